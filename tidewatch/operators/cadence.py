@@ -41,7 +41,7 @@ def detect_cadence(df: DataFrame, layout: Layout, params: Params = DEFAULTS, gro
     """
     steps = deltas(df, layout)
     sizes = df.groupBy(SERIES).agg(F.count("ts").alias("_n"))
-    medians = exact_percentiles(steps.where(F.col("delta") > 0), [SERIES], "delta", [0.5], group_rows)
+    medians = exact_percentiles(steps.where(F.col("delta") > 0), [SERIES], "delta", [0.5], group_rows, layout)
     measured = F.when(F.col("_n") >= 3, F.col("p0_5"))
     return sizes.join(medians, SERIES, "left").select(
         SERIES, F.coalesce(measured, F.lit(float(params.nominal_cadence))).alias("cadence")

@@ -32,7 +32,7 @@ def tail_split(df: DataFrame, k: int, keys: Sequence[str] = (SERIES,), order: Se
     return joined.withColumn("part", F.when(mark >= F.col("_cut"), "current").otherwise("reference")).drop("_cut")
 
 
-def psi(parted: DataFrame, value: str, keys: Sequence[str] = (SERIES,), params: Params = DEFAULTS, group_rows: int = GROUP_ROWS) -> DataFrame:
+def psi(parted: DataFrame, value: str, keys: Sequence[str] = (SERIES,), params: Params = DEFAULTS, group_rows: int = GROUP_ROWS, layout: Layout | None = None) -> DataFrame:
     """Population stability index of `current` against `reference` rows, per key.
 
     Bin edges are deciles of the reference. Null when either side has fewer rows
@@ -41,7 +41,7 @@ def psi(parted: DataFrame, value: str, keys: Sequence[str] = (SERIES,), params:
     keys = list(keys)
     rows = parted.where(F.col(value).isNotNull() & ~F.isnan(value))
     probs = [i / params.psi_bins for i in range(1, params.psi_bins)]
-    deciles = exact_percentiles(rows.where(F.col("part") == "reference"), keys, value, probs, group_rows)
+    deciles = exact_percentiles(rows.where(F.col("part") == "reference"), keys, value, probs, group_rows, layout)
     names = [c for c in deciles.columns if c not in keys]
     edges = deciles.select(*keys, F.array_distinct(F.array(*names)).alias("_edges"))
     binned = rows.join(edges, keys, "left").withColumn("bin", F.coalesce(bin_of(value, F.col("_edges")), F.lit(0)))
@@ -61,12 +61,12 @@ def psi(parted: DataFrame, value: str, keys: Sequence[str] = (SERIES,), params:
     )
 
 
-def feature_drift(df: DataFrame, value: str, params: Params = DEFAULTS, keys: Sequence[str] = (SERIES,), order: Sequence[str] = ("ts",)) -> DataFrame:
+def feature_drift(df: DataFrame, value: str, params: Params = DEFAULTS, keys: Sequence[str] = (SERIES,), order: Sequence[str] = ("ts",), layout: Layout | None = None) -> DataFrame:
     """PSI of the last `drift_window` known values against the earlier ones; null below two windows of rows."""
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
     known = tail_split(df.where(F.col(value).isNotNull()), params.drift_window, keys, order)
-    scores = psi(known, value, keys, params)
+    scores = psi(known, value, keys, params, layout=layout)
     enough = F.col("_all") >= params.drift_window * 2
     out = sizes.join(scores, keys, "left").withColumn("psi", F.when(enough, F.col("psi")))
     return out.select(*keys, "psi", severity("psi").alias("severity"), "reference_rows", "current_rows")

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.ordering import MAX_SLICES, quantile_edges, running_offsets, slice_of
+from tidewatch.operators.ordering import MAX_SLICES, Layout, quantile_edges, running_offsets, slice_of
 
 GROUP_ROWS = 2_000_000
 
@@ -74,13 +74,17 @@ def exact_percentiles(
     value: str,
     probs: Sequence[float],
     group_rows: int = GROUP_ROWS,
+    layout: Layout | None = None,
 ) -> DataFrame:
     """One row per group with columns p0_5, p0_95, ...
 
-    The largest group is measured first: if it fits an aggregation buffer the
-    built-in aggregate is used, otherwise the sliced form.
+    The largest group is measured first (unless `layout` has already found the
+    whole table small): if it fits an aggregation buffer the built-in aggregate
+    is used, otherwise the sliced form.
     """
     keys = list(keys)
+    if layout is not None and layout.single:
+        return direct_percentiles(df, keys, value, probs)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     top = sizes.agg(F.max("n").alias("n"), F.sum("n").alias("rows")).first()
     if (top.n or 0) <= group_rows:

@@ -97,13 +97,13 @@ def flat_signal(persistence_mae: Column, params: Params = DEFAULTS) -> Column:
 # -- scaling -----------------------------------------------------------------
 
 
-def fit_scaler(train: DataFrame, columns: Sequence[str], method: str, keys: Sequence[str] = (SERIES,)) -> DataFrame:
+def fit_scaler(train: DataFrame, columns: Sequence[str], method: str, keys: Sequence[str] = (SERIES,), layout: Layout | None = None) -> DataFrame:
     """Per key and feature `centre` and `spread`; a spread of zero counts as one. Fit on training rows only."""
     keys = list(keys)
     if method == "robust":
         long = train.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])).alias("_p"))
         long = long.select(*keys, "_p.feature", "_p.v")
-        q = exact_percentiles(long, [*keys, "feature"], "v", [0.25, 0.5, 0.75])
+        q = exact_percentiles(long, [*keys, "feature"], "v", [0.25, 0.5, 0.75], layout=layout)
         fitted = q.select(*keys, "feature", F.col("p0_5").alias("centre"), (F.col("p0_75") - F.col("p0_25")).alias("spread"))
     else:
         if method == "standard":

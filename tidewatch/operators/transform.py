@@ -89,25 +89,27 @@ def rollup(
     freq: str,
     columns: Sequence[str],
     keys: Sequence[str] = (SERIES,),
+    layout: Layout | None = None,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Mean, max, p95 per column and sample count of every non-empty bucket, wide."""
+    """Mean, max, p95 per column and sample count of every non-empty bucket, wide.
+
+    Mean, max and count combine before the shuffle. A percentile cannot; where a
+    bucket is too full for one aggregation buffer it is computed in slices.
+    """
     bucketed = df.withColumn("bucket", F.window("ts", freq)["start"])
     by = [*keys, "bucket"]
-    stats = bucketed.groupBy(*by).agg(
-        *[F.avg(c).alias(f"{c}_mean") for c in columns],
-        *[F.max(c).alias(f"{c}_max") for c in columns],
-        F.count(F.lit(1)).alias("samples"),
-    )
-    largest = stats.agg(F.max("samples")).first()[0] or 0
-    if largest <= group_rows:
-        stats = bucketed.groupBy(*by).agg(
-            *[F.avg(c).alias(f"{c}_mean") for c in columns],
-            *[F.max(c).alias(f"{c}_max") for c in columns],
-            *[F.percentile(c, F.lit(0.95)).alias(f"{c}_p95") for c in columns],
-            F.count(F.lit(1)).alias("samples"),
-        )
+    plain = [F.avg(c).alias(f"{c}_mean") for c in columns] + [F.max(c).alias(f"{c}_max") for c in columns]
+    samples = F.count(F.lit(1)).alias("samples")
+    small = layout is not None and layout.single
+    if not small:
+        fullest = bucketed.groupBy(*by).agg(samples).agg(F.max("samples")).first()[0] or 0
+        small = fullest <= group_rows
+    if small:
+        p95 = [F.percentile(c, F.lit(0.95)).alias(f"{c}_p95") for c in columns]
+        stats = bucketed.groupBy(*by).agg(*plain, *p95, samples)
     else:
+        stats = bucketed.groupBy(*by).agg(*plain, samples)
         for c in columns:
             p95 = exact_percentiles(bucketed, by, c, [0.95], group_rows).withColumnRenamed("p0_95", f"{c}_p95")
             stats = stats.join(p95, by, "left")
@@ -132,10 +134,10 @@ def rollup_long(wide: DataFrame, tier: str, columns: Sequence[str], keys: Sequen
 
 
 def build_rollups(
-    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (SERIES,), params: Params = DEFAULTS
+    df: DataFrame, columns: Sequence[str], layout: Layout | None = None, keys: Sequence[str] = (SERIES,), params: Params = DEFAULTS
 ) -> DataFrame:
     """Every retention tier, long. A tier's p95 cannot be built from another tier, so each reads the samples."""
-    tiers = [rollup_long(rollup(df, tier, columns, keys), tier, columns, keys) for tier in params.rollup_tiers]
+    tiers = [rollup_long(rollup(df, tier, columns, keys, layout), tier, columns, keys) for tier in params.rollup_tiers]
     out = tiers[0]
     for t in tiers[1:]:
         out = out.unionByName(t)
