@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.columns import breach_rate, monthly_cost, present, safety_floor, sorted_percentile
+from tidewatch.functions.columns import array_breaches, breach_rate, monthly_cost, present, safety_floor, sorted_percentile
 from tidewatch.operators.cadence import SERIES
 from tidewatch.operators.ordering import Layout, add_position, in_blocks, settle
 from tidewatch.params import DEFAULTS, Params
@@ -114,7 +114,7 @@ def replay(decided: DataFrame, params: Params = DEFAULTS, keys: Sequence[str] =
             F.struct(
                 F.lit(n).alias("policy"),
                 F.round(f"_x_{n}", 3).alias("alloc"),
-                F.size(F.filter("_future", lambda v, n=n: v > F.col(f"_x_{n}"))).cast("bigint").alias("breaches"),
+                array_breaches(F.col("_future"), F.col(f"_x_{n}")).cast("bigint").alias("breaches"),
                 F.size("_future").cast("bigint").alias("samples"),
             )
             for n in chosen

@@ -25,7 +25,7 @@ def metrics(spark: SparkSession, sf_dir: str, series: str = "event_type") -> Dat
         F.col("value").alias("cpu_percent"),
         k.alias("mem_percent"),
         (k * 327.68).alias("mem_used_mb"),
-        (F.col("value") / 10.0).alias("disk_read_mb_s"),
+        (F.col("value") / 9.7).alias("disk_read_mb_s"),
         (k / 20.0).alias("disk_write_mb_s"),
     )
 
@@ -33,7 +33,7 @@ def metrics(spark: SparkSession, sf_dir: str, series: str = "event_type") -> Dat
 def metrics_sql(series: str = "event_type", name: str = "metrics") -> str:
     k = "CAST(json_extract_string(props, '$.k') AS DOUBLE)"
     return f"""{name} AS (SELECT CAST({series} AS VARCHAR) AS series_key, event_id AS id, ts, value AS cpu_percent,
-  {k} AS mem_percent, {k} * 327.68 AS mem_used_mb, value / 10.0 AS disk_read_mb_s, {k} / 20.0 AS disk_write_mb_s FROM events)"""
+  {k} AS mem_percent, {k} * 327.68 AS mem_used_mb, value / 9.7 AS disk_read_mb_s, {k} / 20.0 AS disk_write_mb_s FROM events)"""
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
