@@ -17,10 +17,13 @@ from tidewatch.params import DEFAULTS, FEATURE_DEFINING, Params
 
 
 def data_fingerprint(df: DataFrame, targets: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """12 hex digits over row count, time span and target sums: the same rows give the same value from any source."""
+    """12 hex digits over row count, time span and target sums: the same rows give the same value from any source.
+
+    Sums are taken in decimals, so they do not depend on the order tasks finish in.
+    """
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     parts = [F.count(F.lit(1)).cast("string"), stamp(F.min("ts")), stamp(F.max("ts"))]
-    parts += [F.concat(F.lit(f"{t}:"), F.format_string("%.4f", F.coalesce(F.sum(F.col(t).cast("double")), F.lit(0.0)))) for t in targets]
+    parts += [F.concat(F.lit(f"{t}:"), F.coalesce(F.sum(F.col(t).cast("decimal(28,8)")).cast("decimal(38,4)"), F.lit(0).cast("decimal(38,4)")).cast("string")) for t in targets]
     fp = F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 12)
     return df.groupBy(*keys).agg(fp.alias("data_fingerprint"), F.count(F.lit(1)).alias("rows"))
 

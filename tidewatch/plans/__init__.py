@@ -1,4 +1,4 @@
 """Named queries over the driver tables."""
 
-from tidewatch.plans import decide, ingest, quality, shape  # noqa: F401
+from tidewatch.plans import decide, ingest, learned, quality, records, shape  # noqa: F401
 from tidewatch.plans.catalog import ORACLES, QUERIES  # noqa: F401
