@@ -75,14 +75,13 @@ def _solve(batches: Iterator[pd.DataFrame], p: int, alpha: float) -> Iterator[pd
     rows, cols = np.triu_indices(p)
     for pdf in batches:
         out = []
-        for r in pdf.itertuples(index=False):
-            n, sums, prods = r._n, np.asarray(r._sx, float), np.asarray(r._sxx, float)
+        for n, sx, sxx, sxy, sy in zip(pdf["_n"], pdf["_sx"], pdf["_sxx"], pdf["_sxy"], pdf["_sy"]):
+            sums = np.asarray(sx, float)
             gram = np.zeros((p, p))
-            gram[rows, cols] = prods
+            gram[rows, cols] = sxx
             gram = gram + np.triu(gram, 1).T - np.outer(sums, sums) / n
-            moment = np.asarray(r._sxy, float) - sums * r._sy / n
-            weights = np.linalg.solve(gram + alpha * np.eye(p), moment)
-            out.append((weights.tolist(), float((r._sy - sums @ weights) / n)))
+            weights = np.linalg.solve(gram + alpha * np.eye(p), np.asarray(sxy, float) - sums * sy / n)
+            out.append((weights.tolist(), float((sy - sums @ weights) / n)))
         keys = pdf.drop(columns=["_n", "_sx", "_sxx", "_sxy", "_sy"]).reset_index(drop=True)
         yield pd.concat([keys, pd.DataFrame(out, columns=["weights", "intercept"])], axis=1)
 

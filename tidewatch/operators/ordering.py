@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -92,18 +93,21 @@ class Layout:
         return Layout(tuple(quantile_edges(df, as_number(df, order), parts)), block_rows)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder every executor can reach: inside the one the cluster names, a temporary one only where none is named, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{root.rstrip('/')}/tidewatch-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` where every executor can read it again.
+    """Write `df` as a table in the shared folder and read it back.
 
-    Uses the folder the cluster names; a temporary one only where none is
-    named, as in tests.
+    Computed once, readable again after the loss of any executor, and columnar,
+    so that later readers still prune columns.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/cut"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settle(df: DataFrame, layout: Layout) -> DataFrame:

@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.operators.ordering import shared_folder  # noqa: F401
 from tidewatch.operators.runlog import latest_run
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder all executors can reach: under the cluster's checkpoint folder, a temporary one only in tests."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{root.rstrip('/')}/tidewatch-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
 def load_run(df: DataFrame, run_id: int, path: str, parts: Sequence[str] = ()) -> None:
     """Write the rows of one run. Loading a run again replaces exactly its partition."""
     out = df.withColumn("run_id", F.lit(run_id).cast("bigint"))
