@@ -17,6 +17,7 @@ from tidewatch.params import DEFAULTS, Params
 
 LABEL = "target_next"
 ROLL_STATS = ("mean", "std", "max", "min")
+CALENDAR = ("hour", "minute", "second_of_minute", "dayofweek")
 
 
 def lag_columns(target: str, w, lags: Sequence[int]) -> dict[str, Column]:
@@ -32,12 +33,7 @@ def rolling_columns(target: str, w, size: int) -> dict[str, Column]:
 
 
 def calendar_columns(ts: str = "ts") -> dict[str, Column]:
-    return {
-        "hour": F.hour(ts),
-        "minute": F.minute(ts),
-        "second_of_minute": F.second(ts).cast("int"),
-        "dayofweek": F.weekday(ts),
-    }
+    return dict(zip(CALENDAR, (F.hour(ts), F.minute(ts), F.second(ts).cast("int"), F.weekday(ts))))
 
 
 def interaction_columns(target: str) -> dict[str, Column]:
@@ -63,7 +59,7 @@ def feature_names(target: str, available: Sequence[str], params: Params = DEFAUL
         names += [f"{target}_{i}" for i in ("level_x_vol", "slope_x_vol", "steps_to_saturation", "zscore_local")]
         names += [f"{t}_now" for t in params.forecast_targets if t != target and t in available]
     if params.use_calendar:
-        names += list(calendar_columns())
+        names += CALENDAR
     if params.encoding_enabled and params.encode_in_model:
         names += all_encoded_names(params)
     return names
