@@ -113,8 +113,8 @@ def flag_outliers(df: DataFrame, layout: Layout, contract: Contract = METRICS, p
     out = in_blocks(df, SEGMENT, "slot", layout, scored, params.outlier_window, params.outlier_window)
     flags = {}
     for c in targets:
-        score = F.abs(F.lit(0.6745) * (F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_a_{c}"), F.lit(0.0)))
-        flags[f"{c}_is_outlier"] = F.when(score > params.outlier_threshold, 1).otherwise(0)
+        score = f"abs(0.6745D * ({c} - _m_{c}) / nullif(_a_{c}, 0D))"
+        flags[f"{c}_is_outlier"] = F.expr(f"CASE WHEN {score} > {params.outlier_threshold}D THEN 1 ELSE 0 END")
     out = out.withColumns(flags)
     out = out.withColumn("is_outlier", F.greatest(*[F.col(f) for f in flags], F.lit(0)))
     scratch = [f"{p}{c}" for c in targets for p in (("_d_", "_a_") if keep_median else ("_m_", "_d_", "_a_"))]
@@ -123,14 +123,13 @@ def flag_outliers(df: DataFrame, layout: Layout, contract: Contract = METRICS, p
 
 def linear_fill(c: str, pos: str, limit: int | None, edges: bool) -> Column:
     """Value on the line between the nearest known neighbours (see `neighbours`)."""
-    pv, pp, nv, np_ = (F.col(f"_{k}_{c}") for k in ("pv", "pp", "nv", "np"))
-    back, ahead = F.col(pos) - pp, np_ - F.col(pos)
-    line = pv + (nv - pv) * back / (back + ahead)
-    inside = pv.isNotNull() & nv.isNotNull()
-    if limit is not None:
-        inside = inside & (F.least(back, ahead) <= limit)
-    filled = F.when(F.col(c).isNotNull(), F.col(c)).when(inside, line)
-    return filled.otherwise(F.coalesce(pv, nv)) if edges else filled
+    back, ahead = f"({pos} - _pp_{c})", f"(_np_{c} - {pos})"
+    near = f" AND least({back}, {ahead}) <= {limit}" if limit is not None else ""
+    rest = f"coalesce(_pv_{c}, _nv_{c})" if edges else "NULL"
+    return F.expr(
+        f"CASE WHEN {c} IS NOT NULL THEN {c} WHEN _pv_{c} IS NOT NULL AND _nv_{c} IS NOT NULL{near} "
+        f"THEN _pv_{c} + (_nv_{c} - _pv_{c}) * {back} / ({back} + {ahead}) ELSE {rest} END"
+    )
 
 
 def _drop_neighbours(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -162,7 +161,7 @@ def impute(df: DataFrame, layout: Layout, contract: Contract = METRICS, params:
     cols = value_columns(df, contract)
     around = neighbours(settle(df, layout), SEGMENT, "slot", cols, layout)
     out = around.withColumns({f"_new_{c}": linear_fill(c, "slot", params.max_interpolate_run, False) for c in cols})
-    out = out.withColumns({f"filled_{c}": (F.col(c).isNull() & F.col(f"_new_{c}").isNotNull()).cast("int") for c in cols})
+    out = out.withColumns({f"filled_{c}": F.expr(f"CAST({c} IS NULL AND _new_{c} IS NOT NULL AS INT)") for c in cols})
     out = out.withColumns({c: F.col(f"_new_{c}") for c in cols})
     return _drop_neighbours(out, cols).drop(*[f"_new_{c}" for c in cols])
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,43 +43,63 @@ def value_blocks(df: DataFrame, value: str, keys: Sequence[str], order: Sequence
     )
 
 
-def fold_breaches(values: Column, level: Column) -> Column:
-    """Summary of one block against a level: what is needed to join it to its neighbours.
+def _summaries(values: np.ndarray, levels: np.ndarray) -> dict[str, np.ndarray]:
+    """For every level what is needed to join a block to its neighbours.
 
     n, breaches, starts (a breach after a non-breach, the first value included),
-    lead and trail (breaching rows at either end), best (longest run), worst.
+    lead and run (breaching values at either end), best (longest run), worst.
     """
-    zero = F.lit(0)
-    start = F.struct(
-        zero.alias("n"), zero.alias("breaches"), zero.alias("starts"), zero.alias("lead"),
-        zero.alias("run"), zero.alias("best"), F.lit(0.0).alias("worst"),
-    )
-
-    def step(acc, v):
-        over = v > level
-        run = F.when(over, acc["run"] + 1).otherwise(0)
-        return F.struct(
-            (acc["n"] + 1).alias("n"),
-            (acc["breaches"] + over.cast("int")).alias("breaches"),
-            (acc["starts"] + (over & (acc["run"] == 0)).cast("int")).alias("starts"),
-            F.when(over & (acc["lead"] == acc["n"]), acc["lead"] + 1).otherwise(acc["lead"]).alias("lead"),
-            run.alias("run"),
-            F.greatest(acc["best"], run).alias("best"),
-            F.greatest(acc["worst"], F.when(over, v - level).otherwise(F.lit(0.0))).alias("worst"),
-        )
-
-    return F.aggregate(values, start, step)
+    over = values[None, :] > levels[:, None]
+    size = values.size
+    place = np.arange(size)
+    length = place - np.maximum.accumulate(np.where(over, -1, place), axis=1)
+    breaches = over.sum(axis=1)
+    full = breaches == size
+    return {
+        "n": np.full(levels.size, size),
+        "breaches": breaches,
+        "starts": over[:, 0] + (over[:, 1:] & ~over[:, :-1]).sum(axis=1),
+        "lead": np.where(full, size, np.argmin(over, axis=1)),
+        "run": length[:, -1],
+        "best": length.max(axis=1),
+        "worst": np.where(breaches > 0, values.max() - levels, 0.0),
+    }
+
+
+def fold_blocks(blocks: DataFrame, keys: Sequence[str], levels: Sequence[float]) -> DataFrame:
+    """One summary row per block and level. Blocks arrive as Arrow batches and are compared with all levels at once."""
+    grid = np.asarray(levels, dtype=float)
+    names = [*keys, "block"]
+    types = ", ".join(f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in names)
+    schema = f"{types}, allocation_percent double, n bigint, breaches bigint, starts bigint, lead bigint, run bigint, best bigint, worst double"
+
+    def fold(batches):
+        for pdf in batches:
+            for row in zip(*[pdf[k] for k in names], pdf["values"]):
+                out = pd.DataFrame({"allocation_percent": grid, **_summaries(np.asarray(row[-1], dtype=float), grid)})
+                for k, v in zip(names, row):
+                    out[k] = v
+                yield out[[*names, *out.columns[: -len(names)]]]
+
+    return blocks.mapInPandas(fold, schema)
+
+
+def array_episodes(values: Column, level: Column) -> Column:
+    """Runs of consecutive values above a level in a bounded array."""
+    before = F.concat(F.array(F.lit(False)), F.transform(values, lambda v: v > level))
+    pairs = F.zip_with(F.transform(values, lambda v: v > level), F.slice(before, 1, F.size(values)), lambda now, prev: now & ~prev)
+    return F.size(F.filter(pairs, lambda p: p))
 
 
 def join_blocks(folded: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per key the breach statistics of the whole series from its block summaries `_f`.
+    """Per key the breach statistics of the whole series from its block summaries.
 
     A run that ends a block and one that starts the next are one episode. Blocks
     breaching throughout are chained by counting the others before them.
     """
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy("block")
-    f = folded.select(*keys, "block", "_f.*").withColumn("full", F.col("n") == F.col("breaches"))
+    f = folded.withColumn("full", F.col("n") == F.col("breaches"))
     f = f.withColumns(
         {
             "joined": ((F.lag("run").over(w) > 0) & (F.col("lead") > 0)).cast("int"),
@@ -115,7 +137,7 @@ def join_blocks(folded: DataFrame, keys: Sequence[str]) -> DataFrame:
 def breach_stats(df: DataFrame, value: str, level, layout: Layout, keys: Sequence[str] = (SERIES,), order: Sequence[str] = ("ts",), rows: int = FOLD_ROWS) -> DataFrame:
     """How an allocation level under-serves demand: rate, episodes, longest episode, overshoot."""
     blocks = value_blocks(df, value, keys, order, layout, rows)
-    return join_blocks(blocks.withColumn("_f", fold_breaches(F.col("values"), F.lit(float(level)))), keys)
+    return join_blocks(fold_blocks(blocks, keys, [float(level)]), keys)
 
 
 def sweep_levels(params: Params = DEFAULTS) -> list[float]:
@@ -130,10 +152,7 @@ def sweep(df: DataFrame, value: str, target: str, layout: Layout, params: Params
     the arrays it already holds once per level.
     """
     blocks = value_blocks(df, value, keys, order, layout, rows)
-    levels = F.array(*[F.lit(x) for x in sweep_levels(params)])
-    folded = blocks.withColumn(
-        "_l", F.explode(F.transform(levels, lambda x: F.struct(x.alias("allocation_percent"), fold_breaches(F.col("values"), x).alias("_f"))))
-    ).select(*keys, "block", "_l.allocation_percent", "_l._f")
+    folded = fold_blocks(blocks, keys, sweep_levels(params))
     stats = join_blocks(folded, [*keys, "allocation_percent"])
     return stats.select(
         *keys,
@@ -196,8 +215,8 @@ def recommend(forecasts: DataFrame, recent: DataFrame, params: Params = DEFAULTS
     out = joined.withColumn("_want", candidate).withColumn("recommended_percent", safety_floor("_want", "recent", params))
     level = F.col("recommended_percent")
     vals = present(F.col("recent"))
-    fold = fold_breaches(F.filter("recent", lambda v: v.isNotNull()), level)
-    priced_rows = priced(out.withColumn("_f", fold), "target", "recommended_percent", params)
+    known = F.filter("recent", lambda v: v.isNotNull())
+    priced_rows = priced(out, "target", "recommended_percent", params)
     return priced_rows.select(
         *keys,
         F.round("forecast_peak", 2).alias("forecast_peak"),
@@ -209,7 +228,7 @@ def recommend(forecasts: DataFrame, recent: DataFrame, params: Params = DEFAULTS
         "monthly_cost",
         "static_cost",
         breach_rate(array_breaches(vals, level), F.size(vals)).alias("breach_rate"),
-        F.col("_f.starts").cast("bigint").alias("breach_episodes"),
+        array_episodes(known, level).cast("bigint").alias("breach_episodes"),
     )
 
 

@@ -238,7 +238,7 @@ def neighbours(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str]
     keys = list(keys)
 
     def known(c):
-        return F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col(pos).alias("p")))
+        return F.expr(f"CASE WHEN {c} IS NOT NULL THEN struct({c} AS v, {pos} AS p) END")
 
     def scans(by):
         back = Window.partitionBy(*by).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
@@ -251,12 +251,12 @@ def neighbours(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str]
     def spread(frame, back, ahead):
         fields = {}
         for c in cols:
-            b, a = back(c), ahead(c)
-            fields |= {f"_pv_{c}": b["v"], f"_pp_{c}": b["p"], f"_nv_{c}": a["v"], f"_np_{c}": a["p"]}
-        return frame.withColumns(fields)
+            b, a = back.format(c=c), ahead.format(c=c)
+            fields |= {f"_pv_{c}": f"{b}.v", f"_pp_{c}": f"{b}.p", f"_nv_{c}": f"{a}.v", f"_np_{c}": f"{a}.p"}
+        return frame.withColumns({n: F.expr(e) for n, e in fields.items()})
 
     if layout.single:
-        out = spread(df.withColumns(scans(keys)), lambda c: F.col(f"_back_{c}"), lambda c: F.col(f"_ahead_{c}"))
+        out = spread(df.withColumns(scans(keys)), "_back_{c}", "_ahead_{c}")
         return out.drop(*[f"_back_{c}" for c in cols], *[f"_ahead_{c}" for c in cols])
 
     blocked = df.withColumn("_block", block_of(pos, layout))
@@ -275,8 +275,8 @@ def neighbours(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str]
     joined = blocked.join(ends, [*keys, "_block"]).withColumns(scans([*keys, "_block"]))
     out = spread(
         joined,
-        lambda c: F.coalesce(F.col(f"_back_{c}"), F.col(f"_cb_{c}")),
-        lambda c: F.coalesce(F.col(f"_ahead_{c}"), F.col(f"_ca_{c}")),
+        "coalesce(_back_{c}, _cb_{c})",
+        "coalesce(_ahead_{c}, _ca_{c})",
     )
     scratch = [f"{p}{c}" for c in cols for p in ("_back_", "_ahead_", "_cb_", "_ca_")]
     return out.drop("_block", *scratch)
