@@ -359,3 +359,36 @@ def trajectory(rolled: DataFrame, start: str, keys: Sequence[str], params: Param
 
 def forecast_p95(values: Column) -> Column:
     return sorted_percentile(present(values), 0.95)
+
+
+# -- walk-forward refit ------------------------------------------------------
+
+
+def refit_forecasts(rows: DataFrame, decided: DataFrame, target: str, features: Sequence[str], params: Params = DEFAULTS, **overrides) -> DataFrame:
+    """Decisions with `forecast` replaced by a model refitted every `retrain_every` decisions.
+
+    `rows` are numbered usable rows with the instant `ts`; `decided` comes from
+    `backtest.decisions` with the companions the features need. A block's model
+    sees, of every series, only rows before that block's first decision there.
+    The loop is over blocks; all decisions of a block roll forward together.
+    Blocks with too few rows keep the persistence forecast.
+    """
+    last = decided.agg(F.max("step")).first()[0]
+    if last is None:
+        return decided
+    block = F.floor(F.col("step") / params.retrain_every)
+    out = None
+    for b in range(last // params.retrain_every + 1):
+        mine = cut_lineage(decided.where(block == b))
+        begins = mine.groupBy(SERIES).agg(F.min("ts").alias("_begin"))
+        seen = cut_lineage(rows.join(begins, SERIES).where(F.col("ts") < F.col("_begin")).select(*features, LABEL))
+        if seen.count() < params.min_train_rows:
+            part = mine
+        else:
+            model = fit_boosting(seen, features, params, **overrides)
+            state = mine.select(SERIES, "step", "ts", F.filter("recent", lambda v: v.isNotNull()).alias("history"))
+            rolled = rollout(model, state, target, features, params).select(SERIES, "step", F.col("forecast").alias("_new"))
+            part = mine.join(rolled, [SERIES, "step"], "left")
+            part = part.withColumn("forecast", F.coalesce("_new", "forecast")).drop("_new").select(*mine.columns)
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewatch.operators import backtest as B
 from tidewatch.operators import models as ML
 from tidewatch.operators import scoring as Z
 from tidewatch.operators.cost import recent_values, to_long
@@ -16,7 +17,7 @@ from tidewatch.params import DEFAULTS
 from tidewatch.plans.catalog import query
 from tidewatch.plans.shape import TARGET, cleaned, predictions, usable
 
-TREES = 20
+TREES = 10
 COLUMNS = [f"{TARGET}_lag_{k}" for k in (0, 1, 3)] + [f"{TARGET}_roll_mean", f"{TARGET}_roll_std", f"{TARGET}_ewma_slow", f"{TARGET}_trend", "hour"]
 
 
@@ -96,3 +97,13 @@ def backfill_model(spark, d):
     rows = fixed_rows(spark, d)
     out = ML.predict(ML.fit_boosting(Z.split_train(rows), COLUMNS, n_estimators=TREES), rows, COLUMNS)
     return out.select("series_key", (F.col("ts") + F.expr("INTERVAL 3 SECONDS")).alias("predicted_for_ts"), "predicted")
+
+
+@query("backtest_with_refit")
+def backtest_with_refit(spark, d):
+    """The replay with a model refitted every 25 decisions in place of persistence."""
+    done, layout = cleaned(spark, d)
+    columns = [c for c in COLUMNS if c != "hour"]
+    decided = B.decisions(done, TARGET, layout)
+    forecast = ML.refit_forecasts(fixed_rows(spark, d), decided, TARGET, columns, n_estimators=TREES)
+    return B.summarise(B.replay(forecast), F.lit(TARGET))
