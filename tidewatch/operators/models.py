@@ -381,7 +381,10 @@ def refit_forecasts(rows: DataFrame, decided: DataFrame, target: str, features:
     for b in range(last // params.retrain_every + 1):
         mine = cut_lineage(decided.where(block == b))
         begins = mine.groupBy(SERIES).agg(F.min("ts").alias("_begin"))
-        seen = cut_lineage(rows.join(begins, SERIES).where(F.col("ts") < F.col("_begin")).select(*features, LABEL))
+        before = rows.join(begins, SERIES).where(F.col("ts") < F.col("_begin"))
+        # the label of the newest rows lies at or behind the decision
+        known = before.groupBy(SERIES).agg((F.max("rn") - params.target_shift).alias("_known"))
+        seen = cut_lineage(before.join(known, SERIES).where(F.col("rn") <= F.col("_known")).select(*features, LABEL))
         if seen.count() < params.min_train_rows:
             part = mine
         else:
