@@ -3,6 +3,8 @@
 One series here holds every row, or each series spans many slices and blocks.
 """
 
+import os
+
 import pytest
 from conftest import SMALL, TINY, same
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ from tidewatch.params import DEFAULTS
 from tidewatch.plans import views as V
 
 PLAIN = Layout()
+# The long comparisons take minutes; TIDEWATCH_ALL=1 includes them.
+slow = pytest.mark.skipif(not os.environ.get("TIDEWATCH_ALL"), reason="set TIDEWATCH_ALL=1")
 
 
 @pytest.fixture(scope="module")
@@ -88,7 +92,7 @@ def test_gate(spark):
     same(gate.run_checks(typed, "2024-01-25", PLAIN), gate.run_checks(typed, "2024-01-25", layout, arrival=arrival))
 
 
-@pytest.mark.parametrize("strategy", ["flag_only", "interpolate"])
+@pytest.mark.parametrize("strategy", ["flag_only", pytest.param("interpolate", marks=slow)])
 def test_clean(hourly, sliced, strategy):
     params = DEFAULTS.with_(outlier_strategy=strategy)
     same(K.clean(hourly, PLAIN, params=params), K.clean(hourly, sliced, params=params))
@@ -101,12 +105,14 @@ def test_impute_runs_longer_than_a_block(hourly):
     same(K.impute(holed, PLAIN), K.impute(holed, Layout((1.0,), 20)))
 
 
+@slow
 def test_features(cleaned, sliced):
     same(X.feature_frame(cleaned, "cpu_percent", PLAIN), X.feature_frame(cleaned, "cpu_percent", sliced))
     same(X.contamination(cleaned, "cpu_percent", PLAIN), X.contamination(cleaned, "cpu_percent", sliced))
     same(T.add_derived(cleaned, PLAIN), T.add_derived(cleaned, sliced))
 
 
+@slow
 def test_baselines(cleaned, sliced):
     names = X.feature_names("cpu_percent", cleaned.columns)
     out = []
