@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.decontaminate import decontaminate
+from tidewatch.llm.htmltext import extract
+from tidewatch.llm.jaccardjoin import near_duplicates
 from tidewatch.llm.langid import predict_language
 from tidewatch.llm.licenses import scan_licenses
 from tidewatch.llm.linededup import drop_repeated_lines
+from tidewatch.llm.lm import language_scores
 from tidewatch.llm.mixing import mix
 from tidewatch.llm.quality import fit_on_labels, score_quality
 from tidewatch.llm.text import table
+from tidewatch.llm.tokenfiles import token_rows
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +40,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, order = mix(table(spark, sf_dir, "documents"))
     uses = order.groupBy(F.col("_id").alias("u_id"), F.col("_row").alias("u_row")).agg(F.sum("size").alias("taken"), F.count(F.lit(1)).alias("uses"), F.min("position").alias("first_position"))
@@ -42,6 +54,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rows(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(
@@ -56,9 +72,27 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "host", "path")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op3_benchmark_decontamination, op4_line_dedup, op6_source_mixing, op8_license_scan, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_quality_rules,
+        op3_benchmark_decontamination,
+        op4_line_dedup,
+        op5_language_model_scores,
+        op6_source_mixing,
+        op7_token_files,
+        op8_license_scan,
+        op9_html_extraction,
+        op10_language_id,
+    )
+}
 ORACLES: dict[str, str] = {}
