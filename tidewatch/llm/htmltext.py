@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,14 +43,23 @@ STOPS = {"ul", "ol", "table", "dl", "select", "div", "article", "section", "body
 class Node:
     """A container with the parts of its own text, in page order, and what decides its score."""
 
-    path: str
-    inside: bool
+    step: str
+    above: "Node | None"
+    key: int
     parts: list = field(default_factory=list)
     text: int = 0
     linked: int = 0
     blocks: int = 0
     commas: int = 0
 
+    @property
+    def path(self) -> str:
+        steps, node = [], self
+        while node.above is not None:
+            steps.append(node.step)
+            node = node.above
+        return "/".join(["", *reversed(steps)])
+
 
 def step(name: str, attributes: str) -> tuple[str, bool]:
     """(generalised tag with classes, whether it is boilerplate)."""
@@ -75,7 +85,7 @@ def read_page(page: str) -> list[Node]:
     The text of a block goes to the nearest container around it, outside of
     boilerplate; a container also keeps the places of the containers inside it.
     """
-    root = Node("", True)
+    root = Node("", None, 0)
     nodes, holders = [root], [root]
     stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate from here on, container
     bad, links, buffer, at, end = 0, 0, [], 0, len(page)
@@ -155,7 +165,7 @@ def read_page(page: str) -> list[Node]:
             continue
         container = name in CONTAINERS and not bad and not is_bad
         if container:
-            node = Node(f"{holders[-1].path}/{generalised}", True)
+            node = Node(generalised, holders[-1], path_key(holders[-1].key, generalised))
             holders[-1].parts.append(node)
             holders.append(node)
             nodes.append(node)
@@ -169,8 +179,7 @@ def read_page(page: str) -> list[Node]:
 def score(node: Node) -> float:
     """Text of its own blocks that is not link text, with a little for blocks and commas and for the tags meant for articles."""
     own = node.text - 2 * node.linked + 10 * node.commas + 25 * node.blocks
-    last = node.path.rsplit("/", 1)[-1].split(".")[0]
-    return max(0.0, own * {"article": 1.5, "main": 1.3}.get(last, 1.0))
+    return max(0.0, own * {"article": 1.5, "main": 1.3}.get(node.step.split(".")[0], 1.0))
 
 
 def whole_text(node: Node) -> list[str]:
@@ -187,21 +196,23 @@ def whole_text(node: Node) -> list[str]:
     return out
 
 
-def best_path(nodes: list[Node]) -> tuple[str, float]:
-    """The page's vote: the path whose containers score highest together; the shortest among equals."""
-    sums: dict[str, float] = {}
+def path_key(above: int, generalised: str) -> int:
+    """A path as a number, from the one above it: deep pages cost no long strings."""
+    return xxhash.xxh3_64_intdigest(generalised.encode("utf-8", "replace"), seed=above) >> 1
+
+
+def best_path(nodes: list[Node]) -> tuple[Node | None, float]:
+    """The page's vote: a container on the path whose containers score highest together; the first such path among equals."""
+    sums: dict[int, float] = {}
     for n in nodes:
-        sums[n.path] = sums.get(n.path, 0.0) + score(n)
-    if not sums or max(sums.values()) <= 0:
-        return "", 0.0
-    path = max(sums, key=lambda p: (sums[p], -len(p), p))
-    return path, sums[path]
+        sums[n.key] = sums.get(n.key, 0.0) + score(n)
+    best = max(sums.values(), default=0.0)
+    return (next(n for n in nodes if sums[n.key] == best), best) if best > 0 else (None, 0.0)
 
 
-def text_on(nodes: list[Node], path: str | None) -> str | None:
+def text_on(nodes: list[Node], key: int | None) -> str | None:
     """Text of all containers on a path; None if the page has none with text."""
-    found = [whole_text(n) for n in nodes if n.path == path]
-    blocks = [b for part in found for b in part]
+    blocks = [block for n in nodes if n.key == key for block in whole_text(n)]
     return " ".join(blocks) if blocks else None
 
 
@@ -225,12 +236,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             votes = [best_path(read_page(t or "")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v[0] for v in votes], pa.string()), pa.array([v[1] / (v[1] + 500.0) for v in votes], pa.float64())], names=["host", "path", "weight"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([n and n.key for n, _ in votes], pa.int64()), pa.array([n and n.path for n, _ in votes], pa.string()), pa.array([v / (v + 500.0) for _, v in votes], pa.float64())],
+                names=["host", "key", "path", "weight"],
+            )
 
-    votes = hosted.select("host", F.col(html_col)).mapInArrow(vote, "host string, path string, weight double").filter("weight > 0")
-    counted = votes.groupBy("host", "path").agg(F.round(F.sum("weight"), 6).alias("votes"))
+    votes = hosted.select("host", F.col(html_col)).mapInArrow(vote, "host string, key long, path string, weight double").filter("weight > 0")
+    counted = votes.groupBy("host", "key").agg(F.round(F.sum("weight"), 6).alias("votes"), F.min("path").alias("path"))
     first = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
-    winners = counted.withColumn("place", F.row_number().over(first)).filter("place = 1").select(F.col("host").alias("w_host"), F.col("path").alias("winner"))
+    winners = counted.withColumn("place", F.row_number().over(first)).filter("place = 1").select(F.col("host").alias("w_host"), F.col("key").alias("winner"))
     joined = hosted.join(winners, F.col("host") == F.col("w_host"), "left").drop("w_host")
     n, where = len(hosted.columns), hosted.columns.index(html_col)
     schema = T.StructType([*hosted.schema.fields, T.StructField("path", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -240,11 +254,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             paths, texts = [], []
             for page, winner in zip(batch.column(where).to_pylist(), batch.column(n).to_pylist(), strict=True):
                 nodes = read_page(page or "")
-                path, text = winner, text_on(nodes, winner) if winner is not None else None
+                text = text_on(nodes, winner) if winner is not None else None
+                key = winner
                 if text is None:
-                    path = best_path(nodes)[0]
-                    text = text_on(nodes, path) if path else None
-                paths.append(path if text else None)
+                    node = best_path(nodes)[0]
+                    key = node.key if node else None
+                    text = text_on(nodes, key) if node else None
+                paths.append(next(n.path for n in nodes if n.key == key) if text else None)
                 texts.append(text or "")
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(paths, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,12 +108,13 @@ def _frequencies(docs: DataFrame, shingle: int, owners: int) -> DataFrame:
     """(_id, _row, classes): for each shingle of a set, by owner and hash, the rounded binary logarithm of how many rows hold it."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        part = TaskContext.get().partitionId()
+        for number, batch in enumerate(batches):
             sets = sets_of(batch.column(2).to_pylist(), shingle)
             if not sets:
                 continue
             tokens, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            name = xxhash.xxh3_64_intdigest(repr((batch.column(0).to_pylist(), batch.column(1).to_pylist())).encode()) >> 1
+            name = xxhash.xxh3_64_intdigest(repr((part, number, batch.column(0).to_pylist(), batch.column(1).to_pylist())).encode()) >> 1
             owner, order = owned(tokens, owners)
             cuts = np.searchsorted(owner[order], np.arange(owners + 1))
             for o in range(owners):

@@ -21,7 +21,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 #: For each weight, (time, height) knots of its piecewise-linear schedule: heavy sources come early, light ones late.
 SCHEDULES: tuple[tuple[tuple[float, float], ...], ...] = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.75), (1.0, 2.0)))
-ROWS_PER_BUCKET = 200_000
+ROWS_PER_BUCKET = 10_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
