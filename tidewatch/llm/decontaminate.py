@@ -65,7 +65,9 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     held = marked.select("_id", "_row", F.explode("prints").alias("print"))
     suspects = held.join(item_grams.select("print").distinct(), "print", "left_semi").select(F.col("_id").alias("s_id"), F.col("_row").alias("s_row")).distinct()
     this_row = lambda a, b: F.col("_id").eqNullSafe(F.col(a)) & (F.col("_row") == F.col(b))
-    texts = cut_lineage(bare.join(suspects, this_row("s_id", "s_row"), "left_semi"))
+    raw = docs.select(F.col(id_col).alias("_id"), row_id(id_col, text_col).alias("_row"), F.col(text_col).alias("text"))
+    # A suspect's words are cut after the join: texts travel, not arrays of words.
+    texts = cut_lineage(raw.join(suspects, this_row("s_id", "s_row"), "left_semi").select("_id", "_row", _words("text").alias("words")))
     grams = texts.withColumn("hashes", _gram_hashes(F.col("words"), GRAM)).select("_id", "_row", F.posexplode("hashes").alias("at", "print"))
     matches = (
         grams.join(item_grams, "print")
