@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,59 +109,74 @@ def trace(predictions: DataFrame, models: DataFrame, versions: DataFrame, runs:
 # -- events ------------------------------------------------------------------
 
 
-def run_events(runs: DataFrame) -> DataFrame:
-    level = F.when(F.col("status") == "error", "ERROR").when(F.col("gate_verdict") == "FAIL", "ERROR").when(F.col("gate_verdict") == "WARN", "WARN").otherwise("INFO")
-    counts = F.concat(
-        F.coalesce("source_kind", F.lit("?")), F.lit(": "), F.coalesce("rows_in", F.lit(0)).cast("string"), F.lit(" in / "),
-        F.coalesce("rows_out", F.lit(0)).cast("string"), F.lit(" out"),
-    )
-    return runs.select(
-        F.col("started_at").alias("at"), F.lit("etl").alias("source"), level.alias("level"),
-        F.concat(F.lit("ETL run "), F.col("run_id").cast("string"), F.lit(" "), F.coalesce("status", F.lit("running"))).alias("event"),
-        F.coalesce(F.col("error"), counts).alias("detail"),
-    )
-
-
-def check_events(checks: DataFrame) -> DataFrame:
-    return checks.where(F.col("status") != "PASS").select(
-        F.col("checked_at").alias("at"), F.lit("quality").alias("source"),
-        F.when(F.col("status") == "FAIL", "ERROR").otherwise("WARN").alias("level"),
-        F.concat(F.lit("run "), F.col("run_id").cast("string"), F.lit(" - "), F.col("check_name"), F.lit(" "), F.col("status")).alias("event"),
-        F.coalesce("detail", F.lit("")).alias("detail"),
-    )
-
-
-def model_events(models: DataFrame) -> DataFrame:
-    num = lambda c: F.coalesce(F.format_string("%.4f", F.col(c)), F.lit("?"))
-    return models.select(
-        F.col("created_at").alias("at"), F.lit("model").alias("source"),
-        F.when(F.col("is_champion"), "INFO").otherwise("WARN").alias("level"),
-        F.concat(F.col("target"), F.lit(" "), F.coalesce("algorithm", F.lit("?")), F.when(F.col("is_champion"), " PROMOTED").otherwise(" REJECTED")).alias("event"),
-        F.coalesce(F.col("rejected_reason"), F.concat(F.lit("MAE "), num("mae"), F.lit(" vs baseline "), num("baseline_mae"))).alias("detail"),
-    )
-
-
-def drift_events(events: DataFrame) -> DataFrame:
-    return events.select(
-        F.col("detected_at").alias("at"), F.lit("drift").alias("source"), F.lit("WARN").alias("level"),
-        F.concat(F.col("target"), F.lit(" drift - "), F.coalesce("action", F.lit("?"))).alias("event"),
-        F.concat(F.coalesce(F.concat(F.col("outcome"), F.lit(". ")), F.lit("")), F.coalesce("detail", F.lit(""))).alias("detail"),
-    )
-
-
-def config_events(audit: DataFrame) -> DataFrame:
-    return audit.select(
-        F.col("changed_at").alias("at"), F.lit("config").alias("source"), F.lit("INFO").alias("level"),
-        F.concat(F.lit("config "), F.col("key")).alias("event"),
-        F.concat(F.coalesce("old_value", F.lit("(unset)")), F.lit(" -> "), F.col("new_value"), F.lit("  ["), F.coalesce("source", F.lit("?")), F.lit("]")).alias("detail"),
-    )
+@dataclass(frozen=True)
+class EventKind:
+    """How rows of one record table read as events.
 
+    Texts are alternatives of which the first without a missing field holds.
+    `{field}` must be known, `{field|text}` has a stand-in, `{field:4}` is a
+    number to 4 places. `alarms` are (level, condition), the first that holds.
+    """
 
-def alert_events(recommendations: DataFrame) -> DataFrame:
-    return recommendations.where(F.col("type") == "process_alert").select(
-        F.col("ts").alias("at"), F.lit("alert").alias("source"), F.lit("WARN").alias("level"), F.lit("process alert").alias("event"),
-        F.substring(F.coalesce("process_payload", F.lit("")), 1, 400).alias("detail"),
-    )
+    source: str
+    at: str
+    event: str
+    detail: tuple[str, ...]
+    alarms: tuple[tuple[str, str], ...] = ()
+    level: str = "INFO"
+    where: str = "true"
+    detail_chars: int = 0
+
+    def columns(self) -> list[str]:
+        """Select list in SQL that Spark and other engines read alike."""
+        cases = " ".join(f"WHEN {test} THEN '{level}'" for level, test in self.alarms)
+        level = f"CASE {cases} ELSE '{self.level}' END" if cases else f"'{self.level}'"
+        detail = f"coalesce({', '.join(map(text_sql, self.detail))})" if len(self.detail) > 1 else text_sql(self.detail[0])
+        if self.detail_chars:
+            detail = f"substr({detail}, 1, {self.detail_chars})"
+        return [f"{self.at} AS at", f"'{self.source}' AS source", f"{level} AS level", f"{text_sql(self.event)} AS event", f"{detail} AS detail"]
+
+    def events(self, rows: DataFrame) -> DataFrame:
+        return rows.where(self.where).selectExpr(*self.columns())
+
+    def sql(self, table: str) -> str:
+        return f"SELECT {', '.join(self.columns())} FROM {table} WHERE {self.where}".replace(" AS at,", ' AS "at",')
+
+
+def text_sql(template: str) -> str:
+    """A template as a SQL expression; null if a field without a stand-in is missing."""
+    parts = []
+    for literal, field in re.findall(r"([^{]+)|\{([^}]*)\}", template):
+        if literal:
+            parts.append(f"'{literal}'")
+            continue
+        name, _, standin = field.partition("|")
+        name, _, places = name.partition(":")
+        value = f"CASE WHEN {name} IS NOT NULL THEN printf('%.{places}f', {name}) END" if places else f"CAST({name} AS STRING)"
+        parts.append(f"coalesce({value}, '{standin}')" if "|" in field else f"({value})")
+    return " || ".join(parts)
+
+
+# The texts of the event log.
+EVENT_KINDS = {
+    "runs": EventKind(
+        "etl", "started_at", "ETL run {run_id} {status|running}", ("{error}", "{gate_detail}", "{source_kind|?}: {rows_in|0} in / {rows_out|0} out"),
+        (("ERROR", "status IN ('error', 'FAILED') OR gate_verdict = 'FAIL'"), ("WARN", "gate_verdict = 'WARN'")),
+    ),
+    "checks": EventKind("quality", "checked_at", "run {run_id} — {check_name} {status}", ("{detail|}",), (("ERROR", "status = 'FAIL'"),), "WARN", "status <> 'PASS'"),
+    "promoted": EventKind("model", "created_at", "{target} {algorithm|?} PROMOTED", ("{rejected_reason}", "MAE {mae:4|?} vs baseline {baseline_mae:4|?}"), where="is_champion"),
+    "rejected": EventKind("model", "created_at", "{target} {algorithm|?} REJECTED", ("{rejected_reason}", "MAE {mae:4|?} vs baseline {baseline_mae:4|?}"), level="WARN", where="NOT coalesce(is_champion, false)"),
+    "drifts": EventKind("drift", "detected_at", "{target} drift — {action|?}", ("{outcome}. {detail|}", "{detail|}"), level="WARN"),
+    "audit": EventKind("config", "changed_at", "config {key}", ("{old_value|(unset)} -> {new_value}  [{source|?}]",)),
+    "recos": EventKind("alert", "ts", "process alert", ("{process_payload|}",), level="WARN", where="type = 'process_alert'", detail_chars=400),
+}
+#: The record table each kind reads; models are read twice.
+EVENT_TABLES = {"promoted": "models", "rejected": "models"}
+
+
+def events_of(tables: dict[str, DataFrame]) -> list[DataFrame]:
+    """Event streams of the record tables at hand, by the names in EVENT_KINDS (models: `models`)."""
+    return [kind.events(tables[EVENT_TABLES.get(name, name)]) for name, kind in EVENT_KINDS.items() if EVENT_TABLES.get(name, name) in tables]
 
 
 def event_log(parts: Sequence[DataFrame], limit: int | None = None) -> DataFrame:

@@ -40,24 +40,25 @@ def params_fingerprint(params: Params = DEFAULTS, keys: Sequence[str] | None = F
     return hashlib.sha256(json.dumps(values, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:12]
 
 
-def definition_id(target: str, features: Sequence[str], params: Params = DEFAULTS) -> str:
-    """What a vector means: target, feature set and the parameters that define them. Data does not enter."""
-    body = {"target": target, "features": sorted(features), "config": params_fingerprint(params)}
-    return hashlib.sha256(json.dumps(body, separators=(",", ":")).encode()).hexdigest()[:12]
+#: What an identifier is made of, in this order; `data` only where one snapshot is meant.
+IDENTIFYING = ("target", "features", "config", "data")
 
 
-def version_id(target: str, features: Sequence[str], data_fp: str | None, params: Params = DEFAULTS) -> str:
-    """One materialisation: a definition on one snapshot of the data."""
-    body = {"target": target, "features": sorted(features), "config": params_fingerprint(params), "data": data_fp or ""}
-    return hashlib.sha256(json.dumps(body, separators=(",", ":")).encode()).hexdigest()[:12]
+def identifier(**parts: Column) -> Column:
+    """12 hex digits over the JSON of the given parts: a definition without `data`, a version of it with.
+
+    Data does not enter a definition; features are a set.
+    """
+    ready = {k: v for k, v in parts.items() if v is not None}
+    ready["features"] = F.array_sort(ready["features"])
+    if "data" in ready:
+        ready["data"] = F.coalesce(ready["data"], F.lit(""))
+    return F.substring(F.sha2(F.to_json(F.struct(*[ready[k].alias(k) for k in IDENTIFYING if k in ready])), 256), 1, 12)
 
 
-def version_column(target: Column, features: Column, config_fp: Column, data_fp: Column | None = None) -> Column:
-    """The same idea over metadata rows: hash of target, sorted features, config and (optionally) data."""
-    fields = [target.alias("target"), F.array_sort(features).alias("features"), config_fp.alias("config")]
-    if data_fp is not None:
-        fields.append(F.coalesce(data_fp, F.lit("")).alias("data"))
-    return F.substring(F.sha2(F.to_json(F.struct(*fields)), 256), 1, 12)
+def identify(target: str, features: Sequence[str], params: Params = DEFAULTS, data: str | None = None) -> Column:
+    """The identifier of one target's feature set under given parameters."""
+    return identifier(target=F.lit(target), features=F.array(*[F.lit(f) for f in features]), config=F.lit(params_fingerprint(params)), data=None if data is None else F.lit(data))
 
 
 def vector_json(features: Sequence[str]) -> Column:
@@ -78,8 +79,8 @@ def load_offline(spark, path: str, version: str) -> DataFrame:
 
 def manifest(rows: DataFrame, target: str, features: Sequence[str], data_fp: str | None, params: Params = DEFAULTS) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n_rows")).select(
-        F.lit(version_id(target, features, data_fp, params)).alias("version_id"),
-        F.lit(definition_id(target, features, params)).alias("definition_id"),
+        identify(target, features, params, data_fp or "").alias("version_id"),
+        identify(target, features, params).alias("definition_id"),
         F.lit(target).alias("target"),
         F.lit(len(features)).alias("n_features"),
         "n_rows",

@@ -135,7 +135,7 @@ def cycle_sink(root: str, target: str = "cpu_percent", contract: Contract = METR
         done = spark.read.parquet(f"{root}/clean").where(F.col("batch_id") == batch_id).drop("batch_id")
 
         names = X.feature_names(target, done.columns, params)
-        vectors = O.online_vectors(X.feature_frame(done, target, layout, params), names, target, "live", O.definition_id(target, names, params))
+        vectors = O.online_vectors(X.feature_frame(done, target, layout, params), names, target, "live", O.identify(target, names, params))
         put(vectors, "online", batch_id)
 
         recent = Y.recent_values(Y.to_long(done, [target]), params)
