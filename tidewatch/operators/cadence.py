@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import seconds_between
-from tidewatch.operators.ordering import Layout, add_position, attach, in_blocks, running_sum, settle
-from tidewatch.operators.percentiles import GROUP_ROWS, exact_percentiles
+from tidewatch.operators.ordering import Layout, add_position, attach, in_blocks, join_spread, running_sum, settle
+from tidewatch.operators.percentiles import exact_percentiles
 from tidewatch.params import DEFAULTS, Params
 
 SERIES = "series_key"
@@ -34,7 +34,7 @@ def deltas(df: DataFrame, layout: Layout) -> DataFrame:
     return out.withColumn("delta", seconds_between("ts", "prev_ts"))
 
 
-def detect_cadence(df: DataFrame, layout: Layout, params: Params = DEFAULTS, group_rows: int = GROUP_ROWS) -> DataFrame:
+def detect_cadence(df: DataFrame, layout: Layout, params: Params = DEFAULTS, group_rows: int | None = None) -> DataFrame:
     """(series_key, cadence): median positive delta, the nominal interval where there is none.
 
     Fewer than three samples say nothing about an interval.
@@ -50,7 +50,7 @@ def detect_cadence(df: DataFrame, layout: Layout, params: Params = DEFAULTS, gro
 
 def find_gaps(df: DataFrame, cadence: DataFrame, layout: Layout, params: Params = DEFAULTS) -> DataFrame:
     """Breaks in collection: deltas beyond gap_multiple times the cadence."""
-    steps = deltas(df, layout).join(cadence, SERIES)
+    steps = join_spread(deltas(df, layout), cadence, [SERIES], ["ts"])
     return steps.where(F.col("delta") > F.col("cadence") * F.lit(params.gap_multiple)).select(
         SERIES,
         F.col("prev_ts").alias("gap_start"),
@@ -66,7 +66,7 @@ def segment(df: DataFrame, cadence: DataFrame, layout: Layout, params: Params =
     A delta equal to the threshold is not a gap. Timestamps must be unique per
     series, as after `deduplicate`.
     """
-    placed = settle(add_position(df.join(cadence, SERIES), [SERIES], ["ts"], layout), layout)
+    placed = settle(add_position(join_spread(df, cadence, [SERIES], ["ts"]), [SERIES], ["ts"], layout), layout)
 
     def breaks(frame, by):
         prev = F.lag("ts").over(Window.partitionBy(*by).orderBy("ts"))

@@ -47,8 +47,8 @@ def clipped_counts(df: DataFrame, contract: Contract = METRICS) -> dict[str, Col
 
 
 def grid_step(cadence: str = "cadence") -> Column:
-    """Slot width in microseconds, whole milliseconds."""
-    return (F.rint(F.col(cadence) * 1000.0) * 1000).cast("bigint")
+    """Slot width in microseconds: whole milliseconds, at least one."""
+    return F.greatest(F.rint(F.col(cadence) * 1000.0) * 1000, F.lit(1000.0)).cast("bigint")
 
 
 def regrid(segmented: DataFrame, layout: Layout, contract: Contract = METRICS, params: Params = DEFAULTS) -> DataFrame:

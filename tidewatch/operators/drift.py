@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from tidewatch.functions.columns import bin_of, psi_term, severity
 from tidewatch.operators.cadence import SERIES
 from tidewatch.operators.encode import category, vocabulary
-from tidewatch.operators.ordering import Layout, add_position, in_blocks, newest, running_sum, settle
-from tidewatch.operators.percentiles import GROUP_ROWS, exact_percentiles
+from tidewatch.operators.ordering import Layout, add_position, in_blocks, join_spread, newest, running_sum, settle
+from tidewatch.operators.percentiles import exact_percentiles
 from tidewatch.params import DEFAULTS, Params
 
 
@@ -28,11 +28,11 @@ def tail_split(df: DataFrame, k: int, keys: Sequence[str] = (SERIES,), order: Se
     tail = newest(df.select(*keys, *order), keys, [F.desc(o) for o in order], k)
     cut = tail.groupBy(*keys).agg(F.min(mark).alias("_cut"))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    joined = df.join(cut.join(sizes, keys), keys)
+    joined = join_spread(df, cut.join(sizes, keys), keys, order)
     return joined.withColumn("part", F.when(mark >= F.col("_cut"), "current").otherwise("reference")).drop("_cut")
 
 
-def psi(parted: DataFrame, value: str, keys: Sequence[str] = (SERIES,), params: Params = DEFAULTS, group_rows: int = GROUP_ROWS, layout: Layout | None = None) -> DataFrame:
+def psi(parted: DataFrame, value: str, keys: Sequence[str] = (SERIES,), params: Params = DEFAULTS, group_rows: int | None = None, layout: Layout | None = None) -> DataFrame:
     """Population stability index of `current` against `reference` rows, per key.
 
     Bin edges are deciles of the reference. Null when either side has fewer rows
@@ -44,7 +44,7 @@ def psi(parted: DataFrame, value: str, keys: Sequence[str] = (SERIES,), params:
     deciles = exact_percentiles(rows.where(F.col("part") == "reference"), keys, value, probs, group_rows, layout)
     names = [c for c in deciles.columns if c not in keys]
     edges = deciles.select(*keys, F.array_distinct(F.array(*names)).alias("_edges"))
-    binned = rows.join(edges, keys, "left").withColumn("bin", F.coalesce(bin_of(value, F.col("_edges")), F.lit(0)))
+    binned = join_spread(rows, edges, keys, [value], "left").withColumn("bin", F.coalesce(bin_of(value, F.col("_edges")), F.lit(0)))
     counts = binned.groupBy(*keys, "bin").agg(
         F.count_if(F.col("part") == "reference").alias("r"), F.count_if(F.col("part") == "current").alias("c")
     )

@@ -158,8 +158,10 @@ def scaling_table(rows: DataFrame, features: Sequence[str], params: Params = DEF
     """(estimator, scaling, rank, mae) of boosting and ridge without and with each scaler, over all series."""
     out = None
     for rank, method in enumerate(("none", "standard", "minmax", "robust")):
+        # the trees are fitted over all series, so is their scaler; each series has a ridge and a scaler of its own
         scaled = rows if method == "none" else apply_scaler(rows, fit_scaler(split_train(rows), features, method), features)
-        boosted = holdout(scaled, features, params, **overrides).select(F.lit("boosting").alias("estimator"), LABEL, "predicted")
+        pooled = rows if method == "none" else apply_scaler(rows, fit_scaler(split_train(rows), features, method, ()), features, ())
+        boosted = holdout(pooled, features, params, **overrides).select(F.lit("boosting").alias("estimator"), LABEL, "predicted")
         ridge = split_test(predict_ridge(scaled, fit_ridge(split_train(scaled), features, params.ridge_alpha), features, "predicted"))
         both = boosted.unionByName(ridge.select(F.lit("ridge").alias("estimator"), LABEL, "predicted"))
         mae = F.round(error_aggregates(F.col(LABEL), F.col("predicted"))[0], 4).alias("mae")
@@ -171,8 +173,9 @@ def scaling_table(rows: DataFrame, features: Sequence[str], params: Params = DEF
 # -- permutation importance --------------------------------------------------
 
 
-def indexed(df: DataFrame, keys: Sequence[str], parts: int = 64) -> tuple[DataFrame, int]:
+def indexed(df: DataFrame, keys: Sequence[str], rows_per_part: int = 1_000_000) -> tuple[DataFrame, int]:
     """Add a dense index `_i` over all rows without sorting them in one place: hash parts, counts, offsets."""
+    parts = max(1, math.ceil(df.count() / rows_per_part))
     placed = df.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")).withColumn("_all", F.lit(0))
     counts = running_offsets(placed.groupBy("_all", "_part").agg(F.count(F.lit(1)).alias("_n")), ["_all"], "_part", "_n", "_offset")
     from pyspark.sql import Window
@@ -190,6 +193,12 @@ def _stride(total: int, rng: random.Random) -> tuple[int, int]:
             return a, rng.randrange(total)
 
 
+def _wrapped(a: Column, i: Column, b: Column, total: int) -> Column:
+    """(a * i + b) mod total in decimals: the product of two row numbers outgrows 64 bits."""
+    wide = lambda c: c.cast("decimal(18,0)")
+    return F.pmod((wide(a) * wide(i)).cast("decimal(38,0)") + wide(b), F.lit(total).cast("decimal(38,0)")).cast("bigint")
+
+
 def permutation_importance(model, test: DataFrame, features: Sequence[str], keys: Sequence[str] = (SERIES, "rn"), params: Params = DEFAULTS) -> DataFrame:
     """(feature, importance): mean growth of the error when one column is shuffled.
 
@@ -205,7 +214,7 @@ def permutation_importance(model, test: DataFrame, features: Sequence[str], keys
     plan = [(j, r, *_stride(total, rng)) for j in range(len(features)) for r in range(params.permutation_repeats)]
     trials = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for j, _, a, b in plan])
     donors = rows.select(F.col("_i").alias("_donor"), F.array(*features).alias("_given"))
-    copies = rows.withColumn("_t", F.explode(trials)).withColumn("_donor", F.pmod(F.col("_t.a") * F.col("_i") + F.col("_t.b"), F.lit(total)))
+    copies = rows.withColumn("_t", F.explode(trials)).withColumn("_donor", _wrapped(F.col("_t.a"), F.col("_i"), F.col("_t.b"), total))
     mixed = copies.join(donors, "_donor").withColumns(
         {f: F.when(F.col("_t.j") == j, F.get("_given", F.lit(j))).otherwise(F.col(f)) for j, f in enumerate(features)}
     )
@@ -288,7 +297,7 @@ def tuning_verdict(trials: DataFrame) -> DataFrame:
 
 def _array_ewma(values: Column, span: int) -> Column:
     a = 2.0 / (span + 1)
-    return F.aggregate(F.slice(values, 2, 1_000_000), F.get(values, F.lit(0)), lambda y, x: F.lit(a) * x + F.lit(1 - a) * y)
+    return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.get(values, F.lit(0)), lambda y, x: F.lit(a) * x + F.lit(1 - a) * y)
 
 
 def vector_from_history(target: str, params: Params = DEFAULTS) -> dict[str, Column]:

@@ -18,9 +18,11 @@ Both ways return the same rows; the tests run them against each other.
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
@@ -30,7 +32,21 @@ from pyspark.sql import types as T
 
 ROWS_PER_SLICE = 4_000_000
 BLOCK_ROWS = 50_000
-MAX_SLICES = 20_000
+GROUP_ROWS = 2_000_000
+SALTS = 64
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """How much ordered work one task takes on: rows of a slice, of a block, and of a group in one aggregation buffer."""
+
+    slice_rows: int = ROWS_PER_SLICE
+    block_rows: int = BLOCK_ROWS
+    group_rows: int = GROUP_ROWS
+
+
+#: In force where a call names no sizes of its own; tests and twin queries set small ones to run the cut form on small tables.
+SIZES: ContextVar[Sizes] = ContextVar("sizes", default=Sizes())
 
 
 def as_number(df: DataFrame, name: str) -> Column:
@@ -80,23 +96,49 @@ class Layout:
     def plan(
         df: DataFrame,
         order: str = "ts",
-        rows_per_slice: int = ROWS_PER_SLICE,
-        block_rows: int = BLOCK_ROWS,
+        rows_per_slice: int | None = None,
+        block_rows: int | None = None,
     ) -> "Layout":
         """Look at the table's size and, if it is large, at its order column.
 
         The count is a metadata read for columnar files. Only the cut points
-        reach the driver, at most MAX_SLICES numbers.
+        reach the driver, one number for each slice of millions of rows.
         """
-        rows = df.count()
-        parts = min(MAX_SLICES, math.ceil(rows / rows_per_slice)) if rows else 1
-        return Layout(tuple(quantile_edges(df, as_number(df, order), parts)), block_rows)
+        rows, sizes = df.count(), SIZES.get()
+        parts = math.ceil(rows / (rows_per_slice or sizes.slice_rows)) if rows else 1
+        return Layout(tuple(quantile_edges(df, as_number(df, order), parts)), block_rows or sizes.block_rows)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder every executor can reach: inside the one the cluster names, a temporary one only where none is named, as in tests."""
+    """A new folder every executor can reach, inside the one that spark.checkpoint.dir names.
+
+    Only a session whose tasks all run in the driver's process may do without:
+    it gets a temporary folder. Anywhere else a missing setting is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{root.rstrip('/')}/tidewatch-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if root:
+        return f"{root.rstrip('/')}/tidewatch-{uuid.uuid4().hex}"
+    if not is_local(spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def is_local(master: str) -> bool:
+    return re.fullmatch(r"local(\[[^\]]*\])?", master) is not None
+
+
+def join_spread(df: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a table with one row for each key so that a key's rows stay on many tasks.
+
+    Both sides get a salt, the small side a copy for each. What is grouped by the
+    keys afterwards is combined on the map side and exchanged once more, instead
+    of standing in one partition because of this join.
+    """
+    if not keys:
+        return df.crossJoin(small)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

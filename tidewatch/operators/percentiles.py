@@ -5,21 +5,25 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.ordering import MAX_SLICES, Layout, quantile_edges, running_offsets, slice_of
-
-GROUP_ROWS = 2_000_000
+from tidewatch.operators.ordering import SIZES, Layout, quantile_edges, running_offsets, slice_of
 
 
 def _name(p: float) -> str:
     return f"p{p:g}".replace(".", "_")
 
 
+def known(value: str) -> Column:
+    """What a percentile is taken of: NaN counts as missing, as null does, whatever the size of the group."""
+    number = F.col(value).cast("double")
+    return F.when(~F.isnan(number), number)
+
+
 def direct_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Built-in aggregate; its buffer holds the distinct values of a group."""
-    aggs = [F.percentile(F.col(value), F.lit(float(p))).alias(_name(p)) for p in probs]
+    aggs = [F.percentile(known(value), F.lit(float(p))).alias(_name(p)) for p in probs]
     return df.groupBy(*keys).agg(*aggs)
 
 
@@ -31,7 +35,7 @@ def sliced_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Se
     hold more than that; only the slices containing a wanted rank are sorted.
     """
     keys = list(keys)
-    data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    data = df.select(*keys, known(value).alias("_v")).where(F.col("_v").isNotNull())
     edges = quantile_edges(data, F.col("_v"), parts)
     counted = slice_of(data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), F.col("_v"), edges, "_slice")
     cells = counted.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_n"))
@@ -62,7 +66,9 @@ def sliced_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Se
         lo = F.max(F.when(mine & (F.col("_side") == 0), F.col("_v")))
         hi = F.max(F.when(mine & (F.col("_side") == 1), F.col("_v")))
         spot = F.lit(float(p)) * (F.max("_all") - 1)
-        picked.append((lo + (hi - lo) * (spot - F.floor(spot))).alias(_name(p)))
+        # the same operations in the same order as the built-in aggregate's
+        between = (F.ceil(spot) - spot) * lo + (spot - F.floor(spot)) * hi
+        picked.append(F.when((F.ceil(spot) == F.floor(spot)) | (lo == hi), lo).otherwise(between).alias(_name(p)))
     exact = found.groupBy(*keys).agg(*picked)
     # groups whose values are all null keep their row, as with the aggregate
     return df.select(*keys).distinct().join(exact, keys, "left") if keys else exact
@@ -73,7 +79,7 @@ def exact_percentiles(
     keys: Sequence[str],
     value: str,
     probs: Sequence[float],
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = None,
     layout: Layout | None = None,
 ) -> DataFrame:
     """One row per group with columns p0_5, p0_95, ...
@@ -82,11 +88,11 @@ def exact_percentiles(
     whole table small): if it fits an aggregation buffer the built-in aggregate
     is used, otherwise the sliced form.
     """
-    keys = list(keys)
+    keys, group_rows = list(keys), group_rows or SIZES.get().group_rows
     if layout is not None and layout.single:
         return direct_percentiles(df, keys, value, probs)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     top = sizes.agg(F.max("n").alias("n"), F.sum("n").alias("rows")).first()
     if (top.n or 0) <= group_rows:
         return direct_percentiles(df, keys, value, probs)
-    return sliced_percentiles(df, keys, value, probs, min(MAX_SLICES, math.ceil(top.rows / group_rows) + 1))
+    return sliced_percentiles(df, keys, value, probs, math.ceil(top.rows / group_rows) + 1)

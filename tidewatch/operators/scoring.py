@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.cadence import SERIES
 from tidewatch.operators.features import LABEL, fold_of, train_size
-from tidewatch.operators.ordering import Layout, in_blocks
+from tidewatch.operators.ordering import Layout, in_blocks, join_spread
 from tidewatch.operators.percentiles import exact_percentiles
 from tidewatch.params import DEFAULTS, Params
 
@@ -128,7 +128,7 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, columns: Sequence[str], keys:
     maps = scaler.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("feature", F.struct("centre", "spread")))).alias("_scale")
     )
-    joined = df.join(maps, keys) if keys else df.crossJoin(maps)
+    joined = join_spread(df, maps, keys, list(columns)) if keys else df.crossJoin(F.broadcast(maps))  # one row without keys
     scaled = {c: (F.col(c) - F.col("_scale")[c]["centre"]) / F.col("_scale")[c]["spread"] for c in columns}
     return joined.withColumns(scaled).drop("_scale")
 
@@ -175,7 +175,7 @@ def correlation_screen(
     Of a pair at or above the threshold a protected feature stays, otherwise the
     more important one; without importances the later one goes.
     """
-    strong = pairs.where(F.abs("r") >= params.corr_threshold).select("feature_a", "feature_b").limit(len(columns) ** 2)
+    strong = pairs.where(F.abs("r") >= params.corr_threshold).select("feature_a", "feature_b")
     linked = {(r.feature_a, r.feature_b) for r in strong.collect()}
     importance, dropped = importance or {}, {}
     for i, first in enumerate(columns):

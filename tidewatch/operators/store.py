@@ -66,15 +66,16 @@ def vector_json(features: Sequence[str]) -> Column:
     return F.to_json(F.struct(*[F.col(f) for f in features]), {"ignoreNullFields": "false"})
 
 
-def materialise(rows: DataFrame, features: Sequence[str], label: str, version: str, path: str) -> None:
-    """Write a training set as one partition of the offline store. Writing a version again replaces it."""
+def materialise(rows: DataFrame, features: Sequence[str], label: str, version: str | Column, path: str):
+    """Write a training set as one partition of the offline store; returns its schema. Writing a version again replaces it."""
     out = rows.select(F.lit(version).alias("version_id"), SERIES, "ts", "segment_id", F.col(label).alias("target_value"), *features)
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version_id").parquet(path)
+    return out.schema
 
 
-def load_offline(spark, path: str, version: str) -> DataFrame:
-    """One materialised version; the partition filter prunes the others."""
-    return spark.read.parquet(path).where(F.col("version_id") == version)
+def load_offline(spark, path: str, version: str | Column, schema=None) -> DataFrame:
+    """One materialised version; the partition filter prunes the others. With a schema, a store without rows reads as empty."""
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path).where(F.col("version_id") == version)
 
 
 def manifest(rows: DataFrame, target: str, features: Sequence[str], data_fp: str | None, params: Params = DEFAULTS) -> DataFrame:

@@ -11,8 +11,8 @@ from tidewatch.functions.columns import ewma, ewma_depth, headroom, regime_label
 from tidewatch.operators.cadence import SERIES
 from tidewatch.operators.clean import SEGMENT
 from tidewatch.operators.encode import encode
-from tidewatch.operators.ordering import Layout, add_position, in_blocks, settle
-from tidewatch.operators.percentiles import GROUP_ROWS, exact_percentiles
+from tidewatch.operators.ordering import SIZES, Layout, add_position, in_blocks, settle
+from tidewatch.operators.percentiles import exact_percentiles, known
 from tidewatch.params import DEFAULTS, Params
 
 
@@ -90,13 +90,14 @@ def rollup(
     columns: Sequence[str],
     keys: Sequence[str] = (SERIES,),
     layout: Layout | None = None,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Mean, max, p95 per column and sample count of every non-empty bucket, wide.
 
     Mean, max and count combine before the shuffle. A percentile cannot; where a
     bucket is too full for one aggregation buffer it is computed in slices.
     """
+    group_rows = group_rows or SIZES.get().group_rows
     bucketed = df.withColumn("bucket", F.window("ts", freq)["start"])
     by = [*keys, "bucket"]
     plain = [F.avg(c).alias(f"{c}_mean") for c in columns] + [F.max(c).alias(f"{c}_max") for c in columns]
@@ -106,7 +107,7 @@ def rollup(
         fullest = bucketed.groupBy(*by).agg(samples).agg(F.max("samples")).first()[0] or 0
         small = fullest <= group_rows
     if small:
-        p95 = [F.percentile(c, F.lit(0.95)).alias(f"{c}_p95") for c in columns]
+        p95 = [F.percentile(known(c), F.lit(0.95)).alias(f"{c}_p95") for c in columns]
         stats = bucketed.groupBy(*by).agg(*plain, *p95, samples)
     else:
         stats = bucketed.groupBy(*by).agg(*plain, samples)

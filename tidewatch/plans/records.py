@@ -75,8 +75,8 @@ def offline_round_trip(spark, d):
     rows, path = X.training_rows(frame, names), W.shared_folder(spark) + "/features"
     version = O.identify(TARGET, names, data="snapshot")
     for _ in range(2):
-        O.materialise(rows, _F, X.LABEL, version, path)
-    return O.load_offline(spark, path, version).select("series_key", "ts", "segment_id", *_F, "target_value")
+        schema = O.materialise(rows, _F, X.LABEL, version, path)
+    return O.load_offline(spark, path, version, schema).select("series_key", "ts", "segment_id", *_F, "target_value")
 
 
 @query("offline_manifest", with_ctes(FEATS, f"SELECT '{TARGET}' AS target, {len(X.feature_names(TARGET, ['mem_percent', 'disk_read_mb_s']))} AS n_features, count(*) AS n_rows FROM feat WHERE {_KEPT} AND target_next IS NOT NULL"))

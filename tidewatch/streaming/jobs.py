@@ -61,12 +61,18 @@ def gap_sessions(stream: DataFrame, gap: str, lateness: str = "10 minutes") -> D
 
 
 def score_stream(predictions: DataFrame, actuals: DataFrame, lateness: str = "10 minutes", patience: str = "1 minute") -> DataFrame:
-    """Predictions joined to what happened in the same second; unmatched ones leave unscored once the watermark passes."""
+    """Predictions joined to what happened in the same second; unmatched ones leave unscored once the watermark passes.
+
+    Of several samples in one second the first by time counts, so a prediction
+    is scored once: seconds are reduced before the join.
+    """
     p = predictions.withColumn("_second", F.date_trunc("second", "predicted_for_ts")).withWatermark("_second", lateness)
-    a = actuals.select(F.col(SERIES).alias("_series"), F.date_trunc("second", "ts").alias("_at"), "actual").withWatermark("_at", lateness)
-    limit = F.expr(f"_at >= _second AND _at <= _second + INTERVAL {patience} AND _at = _second AND {SERIES} = _series")
-    joined = p.join(a, limit, "leftOuter")
-    return joined.withColumn("abs_error", F.abs(F.col("actual") - F.col("predicted"))).drop("_second", "_at", "_series")
+    stamped = actuals.select(F.col(SERIES).alias("_series"), "ts", "actual").withWatermark("ts", lateness)
+    firsts = stamped.groupBy("_series", F.window("ts", "1 second").alias("_w")).agg(F.min_by("actual", "ts").alias("actual"))
+    a = firsts.select("_series", "actual", F.window_time("_w").alias("_end"))
+    same = F.expr(f"date_trunc('second', _end) = _second AND {SERIES} = _series AND _end >= _second AND _end <= _second + INTERVAL {patience}")
+    joined = p.join(a, same, "leftOuter")
+    return joined.withColumn("abs_error", F.abs(F.col("actual") - F.col("predicted"))).drop("_second", "_end", "_series")
 
 
 def alert_stream(stream: DataFrame, column: str = "mem_percent", params: Params = DEFAULTS) -> DataFrame:
