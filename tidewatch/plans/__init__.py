@@ -2,3 +2,4 @@
 
 from tidewatch.plans import decide, ingest, learned, quality, records, shape  # noqa: F401
 from tidewatch.plans.catalog import ORACLES, QUERIES  # noqa: F401
+from tidewatch.plans import twins  # noqa: E402,F401,I001  after the queries it repeats
