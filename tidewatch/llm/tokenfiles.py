@@ -12,9 +12,12 @@ Parquet files, which Spark writes and commits.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +29,9 @@ from tidewatch.llm.text import small_batches
 from tidewatch.operators.ordering import shared_folder
 
 END_ID = 0
-BLOCK_IDS = 4_000_000
+BLOCK_IDS = 1_000_000
 MAGIC = b"TWID"
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 PARTITION_BYTES = 64_000_000
 #: Bytes of each of four numbers for every control byte, their sums, and their places.
 LENGTHS = (np.arange(256)[:, None] >> (2 * np.arange(4))[None, :] & 3) + 1
@@ -87,6 +90,13 @@ def decode_block(block: bytes) -> np.ndarray:
     return ranked[decode_numbers(block[begin : begin + controls], block[begin + controls :], count)]
 
 
+#: A newline or nothing, letters of the Latin scripts with or without a space before them, a full stop or a comma or nothing.
+SIMPLE = re.compile(r"(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)")
+#: Byte-level vocabularies write printable bytes as themselves and the others as the characters from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: b if b in _PRINTED else 256 + sum(1 for x in range(b) if x not in _PRINTED) for b in range(256)}
+
+
 class Encoder:
     """The library's ids of whole texts, with the pieces between white space remembered.
 
@@ -106,30 +116,46 @@ class Encoder:
         self.parted = self._ids("\0")
         merged = [t for t in self.library.get_vocab() if "\u0100" in t and t != "\u0100"]  # how byte-level vocabularies write NUL
         self.pieces = len(self.parted) == 1 and not merged
+        self.marks = {m: self._ids(m).tobytes() for m in ("", "\n", ".", ",")}
         self.known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def _word(self, word: str) -> bytes:
+        """Ids of letters with at most a space before them, straight from the model: they are one piece."""
+        return array("I", [t.id for t in self.library.model.tokenize(word.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+
     def _learn(self, pieces: list[str]) -> None:
-        ids = self._ids("\0".join(pieces))
-        cuts = np.flatnonzero(ids == self.parted[0])
-        data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-        begin = 0
-        for piece, end in zip(pieces, ends, strict=True):
-            self.known[piece] = data[begin:end]
-            begin = end + 4
+        known, odd = self.known, []
+        for piece in pieces:
+            m = SIMPLE.fullmatch(piece)
+            if m is None:
+                odd.append(piece)
+                continue
+            ids = known.get(m[2]) or self._word(m[2])
+            known[piece] = self.marks[m[1]] + ids + self.marks[m[3]]
+        if odd:
+            ids = self._ids("\0".join(odd))
+            cuts = np.flatnonzero(ids == self.parted[0])
+            data, begin = ids.tobytes(), 0
+            for piece, end in zip(odd, [*(4 * cuts).tolist(), 4 * len(ids)], strict=True):
+                known[piece] = data[begin:end]
+                begin = end + 4
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.pieces or "\0" in text or text.split() != text.replace("\n", " ").split(" ") or any(s in text for s in self.special):
+        if not self.pieces or "\0" in text or any(s in text for s in self.special):
             return self._ids(text)
         pieces = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
         try:
             return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4")
         except KeyError:
-            if len(self.known) > CACHE_PIECES:
-                self.known.clear()
-            self._learn([p for p in dict.fromkeys(pieces) if p not in self.known])
+            if len(self.known) > CACHE_PIECES:  # what came first is what comes often
+                self.known = dict(islice(self.known.items(), CACHE_PIECES // 2))
+            new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+            if any(p.split() != [p[1:] if p[:1] in " \n" else p] for p in new):  # white space at an end or next to other white space
+                return self._ids(text)
+            self._learn(new)
         return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4")
 
 

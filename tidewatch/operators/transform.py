@@ -134,14 +134,41 @@ def rollup_long(wide: DataFrame, tier: str, columns: Sequence[str], keys: Sequen
     return wide.select(F.lit(tier).alias("tier"), *keys, "ts", "samples", F.inline(rows))
 
 
+#: Seconds of the units a tier may be named in.
+UNITS = {"second": 1, "minute": 60, "hour": 3_600, "day": 86_400}
+
+
+def tier_seconds(tier: str) -> int | None:
+    """Length of a tier like `5 minutes`; None for other texts."""
+    number, _, unit = tier.strip().partition(" ")
+    unit = unit.strip().lower().rstrip("s")
+    return int(number) * UNITS[unit] if number.isdigit() and unit in UNITS else None
+
+
 def build_rollups(
     df: DataFrame, columns: Sequence[str], layout: Layout | None = None, keys: Sequence[str] = (SERIES,), params: Params = DEFAULTS
 ) -> DataFrame:
-    """Every retention tier, long. A tier's p95 cannot be built from another tier, so each reads the samples."""
-    tiers = [rollup_long(rollup(df, tier, columns, keys, layout), tier, columns, keys) for tier in params.rollup_tiers]
-    out = tiers[0]
-    for t in tiers[1:]:
-        out = out.unionByName(t)
+    """Every retention tier, long. A tier's p95 cannot be built from another tier, so each reads the samples.
+
+    Tiers that divide the longest one are grouped inside its buckets: the samples
+    are exchanged once and measured once for all of them.
+    """
+    tiers, lengths = list(params.rollup_tiers), [tier_seconds(t) for t in params.rollup_tiers]
+    longest = max((n for n in lengths if n), default=0)
+    if all(n and longest % n == 0 for n in lengths):
+        placed = df.select(*keys, "ts", *columns).withColumn("_outer", F.window("ts", f"{longest} seconds")["start"])
+        by = [*keys, "_outer"]
+        fullest = None if layout is not None and layout.single else placed.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if (fullest or 0) <= SIZES.get().group_rows:
+            met = placed.repartition(*[F.col(c) for c in by])
+            parts = [rollup_long(rollup(met, tier, columns, by, Layout()), tier, columns, by).drop("_outer") for tier in tiers]
+        else:
+            parts = [rollup_long(rollup(df, tier, columns, keys, layout), tier, columns, keys) for tier in tiers]
+    else:
+        parts = [rollup_long(rollup(df, tier, columns, keys, layout), tier, columns, keys) for tier in tiers]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 

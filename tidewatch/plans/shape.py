@@ -190,27 +190,27 @@ def _tiers_sql(base: str, cols) -> str:
     return " UNION ALL ".join(out)
 
 
-@query("rollup_tiers_long", with_ctes([M], _tiers_sql("metrics", V.MEASURES[:2])))
+@query("rollup_tiers_long", with_ctes([M], _tiers_sql("metrics", V.MEASURES)))
 def rollup_tiers_long(spark, d):
     raw = V.metrics(spark, d)
-    return T.build_rollups(raw, V.MEASURES[:2], V.plan(raw))
+    return T.build_rollups(raw, V.MEASURES, V.plan(raw))
 
 
-@query("rollup_load_and_read", with_ctes([M], "SELECT *, CAST(7 AS BIGINT) AS run_id FROM (" + _tiers_sql("metrics", V.MEASURES[:1]) + ")"))
+@query("rollup_load_and_read", with_ctes([M], "SELECT *, CAST(7 AS BIGINT) AS run_id FROM (" + _tiers_sql("metrics", V.MEASURES) + ")"))
 def rollup_load_and_read(spark, d):
     """Long rollups written partitioned by run and tier, then read back."""
     raw, path = V.metrics(spark, d), W.shared_folder(spark) + "/rollup"
-    W.load_run(T.build_rollups(raw, V.MEASURES[:1], V.plan(raw)), 7, path, ["tier"])
+    W.load_run(T.build_rollups(raw, V.MEASURES, V.plan(raw)), 7, path, ["tier"])
     return W.read_run(spark, path, 7)
 
 
-@query("rollup_csv_export", with_ctes([M], "SELECT series_key, ts, column_name, mean_value, samples FROM (" + _tiers_sql("metrics", V.MEASURES[:1]) + ") WHERE tier = '5 minutes'"))
+@query("rollup_csv_export", with_ctes([M], _tiers_sql("metrics", V.MEASURES)))
 def rollup_csv_export(spark, d):
+    """Every tier and measure out to CSV and back."""
     raw, path = V.metrics(spark, d), W.shared_folder(spark) + "/rollup_csv"
-    params = DEFAULTS.with_(rollup_tiers=("5 minutes",))
-    W.export_csv(T.build_rollups(raw, V.MEASURES[:1], V.plan(raw), params=params), path, ["ts", "column_name"])
+    W.export_csv(T.build_rollups(raw, V.MEASURES, V.plan(raw)), path, ["tier", "ts", "column_name"])
     schema = "tier string, series_key string, ts timestamp, samples bigint, column_name string, mean_value double, max_value double, p95_value double"
-    return spark.read.option("header", True).schema(schema).csv(path).select("series_key", "ts", "column_name", "mean_value", "samples")
+    return spark.read.option("header", True).schema(schema).csv(path)
 
 
 @query(
