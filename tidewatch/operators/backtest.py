@@ -179,7 +179,8 @@ def ranking_flips(winners: DataFrame, expected: str = "reactive_p95") -> DataFra
     )
 
 
-def latest_results(results: DataFrame, stamp: str = "run_at", keys: Sequence[str] = ()) -> DataFrame:
-    """Rows of the newest run (per key, or of the whole table)."""
+def latest_results(results: DataFrame, stamp: str = "run_at", keys: Sequence[str] = (), cost: str | None = None) -> DataFrame:
+    """Rows of the newest run (per key, or of the whole table), the cheapest first if a cost is named."""
     last = results.groupBy(*keys).agg(F.max(stamp).alias(stamp)) if keys else results.agg(F.max(stamp).alias(stamp))
-    return results.join(last, [*keys, stamp], "left_semi")
+    rows = results.join(last, [*keys, stamp], "left_semi")
+    return rows.orderBy(*keys, cost) if cost else rows

@@ -42,7 +42,7 @@ def baseline_predictions(rows: DataFrame, target: str, layout: Layout, params: P
 
 
 def ladder(predicted: DataFrame, keys: Sequence[str] = (SERIES,), label: str = LABEL) -> DataFrame:
-    """MAE and RMSE (4 decimals) of every `p_` column on the same rows; rungs without any prediction are left out."""
+    """MAE and RMSE (4 decimals) of every `p_` column on the same rows, best first; rungs without any prediction are left out."""
     rungs = [c for c in predicted.columns if c.startswith("p_")]
     aggs = []
     for c in rungs:
@@ -52,7 +52,7 @@ def ladder(predicted: DataFrame, keys: Sequence[str] = (SERIES,), label: str = L
     long = F.array(
         *[F.struct(F.lit(c[2:]).alias("baseline"), F.col(f"_mae_{c}").alias("mae"), F.col(f"_rmse_{c}").alias("rmse")) for c in rungs]
     )
-    return wide.select(*keys, F.inline(long)).where(F.col("mae").isNotNull())
+    return wide.select(*keys, F.inline(long)).where(F.col("mae").isNotNull()).orderBy(*keys, "mae", "baseline")
 
 
 def best_baseline(table: DataFrame, keys: Sequence[str] = (SERIES,)) -> DataFrame:

@@ -39,20 +39,32 @@ def next_instant(ts: Column, params: Params = DEFAULTS) -> Column:
 
 
 def predict_next(vectors: DataFrame, champion: DataFrame, target: str, params: Params = DEFAULTS, keys: Sequence[str] = (SERIES,)) -> DataFrame:
-    """One-step prediction of baseline champions from newest vectors.
+    """One-step prediction of each key's champion from its newest vector.
 
-    `vectors` has the feature columns and `definition_id`; a champion trained on
-    another definition is refused with a reason instead of served.
+    `vectors` has the feature columns and `definition_id`. A baseline champion
+    repeats the newest value. A linear one brings `weights` (feature -> weight)
+    and `intercept`. A champion trained on another definition, one without
+    weights and one whose features the vector lacks are refused with a reason,
+    so no prediction is missing without an error.
     """
     joined = vectors.join(champion, list(keys))
-    refused = ~F.col("is_baseline") & F.col("feature_definition").isNotNull() & (F.col("feature_definition") != F.col("definition_id"))
-    return joined.select(
-        *keys,
-        "model_id",
-        next_instant(F.col("ts"), params).alias("predicted_for_ts"),
-        F.when(F.col("is_baseline"), F.round(f"{target}_lag_0", 4)).alias("predicted"),
-        F.when(refused, F.lit("feature definition mismatch")).alias("error"),
+    baseline = F.col("is_baseline")
+    refused = ~baseline & F.col("feature_definition").isNotNull() & (F.col("feature_definition") != F.col("definition_id"))
+    if "weights" in champion.columns:
+        known = F.create_map(*[x for c in vectors.columns if c.startswith(f"{target}_") or vectors.schema[c].dataType.simpleString() in ("double", "int", "bigint") for x in (F.lit(c), F.col(c).cast("double"))])
+        names = F.map_keys("weights")
+        terms = F.transform(names, lambda n: F.element_at("weights", n) * F.try_element_at(known, n))
+        linear = F.col("intercept") + F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+        trained = F.col("weights").isNotNull()
+    else:
+        linear, trained = F.lit(None).cast("double"), F.lit(False)
+    error = (
+        F.when(refused, F.lit("feature definition mismatch"))
+        .when(~baseline & ~trained, F.lit("no model weights"))
+        .when(~baseline & linear.isNull(), F.lit("missing feature"))
     )
+    predicted = F.when(baseline, F.round(f"{target}_lag_0", 4)).when(error.isNull(), F.round(linear, 4))
+    return joined.select(*keys, "model_id", next_instant(F.col("ts"), params).alias("predicted_for_ts"), predicted.alias("predicted"), error.alias("error"))
 
 
 def horizon_forecast(latest: DataFrame, params: Params = DEFAULTS, steps: int | None = None) -> DataFrame:

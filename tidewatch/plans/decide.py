@@ -162,7 +162,19 @@ def monitor_actions(spark, d):
     return D.monitor_actions(decided, elapsed < params.retrain_cooldown * 1_000_000, params).select("series_key", "trigger", "action")
 
 
-@query("alert_cooldown")
+_COOLDOWN = [
+    "alerts AS (SELECT series_key, id, ts, cpu_percent FROM metrics WHERE cpu_percent > 80)",
+    "instants AS (SELECT series_key, ts, min(id) AS first_id FROM alerts GROUP BY series_key, ts)",
+    "later AS (SELECT series_key, ts, min(ts) OVER (PARTITION BY series_key ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR FOLLOWING AND UNBOUNDED FOLLOWING) AS next_ts FROM instants)",
+    "kept AS (SELECT series_key, min(ts) AS ts FROM instants GROUP BY series_key UNION ALL SELECT k.series_key, l.next_ts FROM kept k JOIN later l ON k.series_key = l.series_key AND k.ts = l.ts WHERE l.next_ts IS NOT NULL)",
+]
+
+
+@query(
+    "alert_cooldown",
+    with_ctes([M, *_COOLDOWN], f"SELECT a.series_key, id, a.ts, {nudge('cpu_percent')} AS cpu_percent, k.ts IS NOT NULL AND id = first_id AS accepted FROM alerts a "
+              "JOIN instants i ON a.series_key = i.series_key AND a.ts = i.ts LEFT JOIN kept k ON a.series_key = k.series_key AND a.ts = k.ts").replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def alert_cooldown(spark, d):
     """Samples above the alert level, and which of them would be filed; the rule depends on the alert filed before."""
     alerts = V.metrics(spark, d).where(F.col("cpu_percent") > DEFAULTS.capacity_alert).select("series_key", "id", "ts", "cpu_percent")
@@ -510,4 +522,4 @@ def scenario_ranking(spark, d):
 )
 def latest_results(spark, d):
     rows = V.table(spark, d, "orders").select(F.col("o_orderpriority").alias("scenario"), F.col("o_orderdate").cast("timestamp").alias("run_at"), "o_orderkey", F.col("o_totalprice").alias("cost"))
-    return B.latest_results(rows, keys=["scenario"])
+    return B.latest_results(rows, keys=["scenario"], cost="cost")

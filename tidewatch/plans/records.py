@@ -191,15 +191,20 @@ def resolved_champions(spark, d):
 @query(
     "next_predictions",
     with_ctes([*FEATS, f"c AS (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY ts DESC) AS k FROM feat WHERE {_KEPT})"],
-              f"SELECT series_key, 'm-' || series_key AS model_id, ts + INTERVAL 3 SECOND AS predicted_for_ts, CASE WHEN series_key < 'm' THEN round({TARGET}_lag_0, 4) END AS predicted, CASE WHEN series_key >= 'm' THEN 'feature definition mismatch' END AS error FROM c WHERE k = 1"),
+              f"SELECT series_key, 'm-' || series_key AS model_id, ts + INTERVAL 3 SECOND AS predicted_for_ts, CASE WHEN series_key < 'm' THEN round({TARGET}_lag_0, 4) "
+              f"WHEN series_key < 's' THEN round(1.5 + 0.6 * {TARGET}_lag_0 + 0.4 * {TARGET}_roll_mean, 4) END AS predicted, "
+              "CASE WHEN series_key >= 'v' THEN 'feature definition mismatch' WHEN series_key >= 's' THEN 'no model weights' END AS error FROM c WHERE k = 1"),
 )
 def next_predictions(spark, d):
-    """Series before 'm' have a baseline champion; the others were trained on another definition and are refused."""
+    """Baselines up to 'm', linear champions up to 's', one whose weights are lost, and from 'v' on one of another definition, refused."""
     frame, names, _ = framed(spark, d)
-    vectors = X.serving_rows(frame, names).withColumn("definition_id", O.identify(TARGET, names))
+    own = O.identify(TARGET, names)
+    vectors = X.serving_rows(frame, names).withColumn("definition_id", own)
+    name = F.col("series_key")
+    weights = F.create_map(F.lit(f"{TARGET}_lag_0"), F.lit(0.6), F.lit(f"{TARGET}_roll_mean"), F.lit(0.4))
     champion = V.table(spark, d, "events").select(F.col("event_type").alias("series_key")).distinct().select(
-        "series_key", F.concat(F.lit("m-"), "series_key").alias("model_id"), (F.col("series_key") < "m").alias("is_baseline"),
-        F.lit("other").alias("feature_definition"),
+        "series_key", F.concat(F.lit("m-"), "series_key").alias("model_id"), (name < "m").alias("is_baseline"), F.when(name >= "v", F.lit("other")).otherwise(own).alias("feature_definition"),
+        F.when((name >= "m") & (name < "s"), weights).alias("weights"), F.lit(1.5).alias("intercept"),
     )
     return P.predict_next(vectors, champion, TARGET)
 
