@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.llm import sql
 from tidewatch.llm.decontaminate import decontaminate
 from tidewatch.llm.htmltext import extract
 from tidewatch.llm.jaccardjoin import near_duplicates
@@ -50,7 +51,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = rows.groupBy(F.col("_id").alias("c_id"), F.col("_row").alias("c_row")).agg(F.count(F.lit(1)).alias("copies"))
     per_row = copies.join(uses, F.col("c_id").eqNullSafe(F.col("u_id")) & (F.col("c_row") == F.col("u_row")), "left")
     return rows.join(per_row, F.col("_id").eqNullSafe(F.col("c_id")) & (F.col("_row") == F.col("c_row"))).select(
-        F.col("_id").alias("doc_id"), "size", "source_size", "target", F.coalesce(F.floor(F.col("taken") / F.col("copies")), F.lit(0)).cast("long").alias("taken"), F.round("first_position", 6).alias("first_position")
+        F.col("_id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), F.coalesce(F.floor(F.col("taken") / F.col("copies")), F.lit(0)).cast("long").alias("taken"), F.round("first_position", 6).alias("first_position")
     )
 
 
@@ -95,4 +96,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_language_id,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": sql.OP1, "op3_benchmark_decontamination": sql.OP3, "op4_line_dedup": sql.OP4, "op6_source_mixing": sql.OP6}
