@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm.text import small_batches
+from tidewatch.operators.ordering import join_spread
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -244,8 +245,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     votes = hosted.select("host", F.col(html_col)).mapInArrow(vote, "host string, key long, path string, weight double").filter("weight > 0")
     counted = votes.groupBy("host", "key").agg(F.round(F.sum("weight"), 6).alias("votes"), F.min("path").alias("path"))
     first = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
-    winners = counted.withColumn("place", F.row_number().over(first)).filter("place = 1").select(F.col("host").alias("w_host"), F.col("key").alias("winner"))
-    joined = hosted.join(winners, F.col("host") == F.col("w_host"), "left").drop("w_host")
+    winners = counted.withColumn("place", F.row_number().over(first)).filter("place = 1").select("host", F.col("key").alias("winner"))
+    # a host may have a third of all pages: they stay on many tasks
+    joined = join_spread(hosted, winners, ["host"], [html_col], "left").select(*hosted.columns, "winner")
     n, where = len(hosted.columns), hosted.columns.index(html_col)
     schema = T.StructType([*hosted.schema.fields, T.StructField("path", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 

@@ -31,7 +31,7 @@ from tidewatch.operators.ordering import shared_folder
 END_ID = 0
 BLOCK_IDS = 1_000_000
 MAGIC = b"TWID"
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
 PARTITION_BYTES = 64_000_000
 #: Bytes of each of four numbers for every control byte, their sums, and their places.
 LENGTHS = (np.arange(256)[:, None] >> (2 * np.arange(4))[None, :] & 3) + 1
@@ -116,7 +116,9 @@ class Encoder:
         self.parted = self._ids("\0")
         merged = [t for t in self.library.get_vocab() if "\u0100" in t and t != "\u0100"]  # how byte-level vocabularies write NUL
         self.pieces = len(self.parted) == 1 and not merged
-        self.marks = {m: self._ids(m).tobytes() for m in ("", "\n", ".", ",")}
+        self.tokenize = self.library.model.tokenize
+        self.code, self.kind = ("H", np.dtype("<u2")) if self.library.get_vocab_size() <= 1 << 16 else ("I", np.dtype("<u4"))
+        self.marks = {m: self._ids(m).astype(self.kind).tobytes() for m in ("", "\n", ".", ",")}
         self.known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
@@ -124,7 +126,11 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of letters with at most a space before them, straight from the model: they are one piece."""
-        return array("I", [t.id for t in self.library.model.tokenize(word.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+        if word.isascii():
+            letters = "\u0120" + word[1:] if word[0] == " " else word
+        else:
+            letters = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
         known, odd = self.known, []
@@ -133,30 +139,33 @@ class Encoder:
             if m is None:
                 odd.append(piece)
                 continue
-            ids = known.get(m[2]) or self._word(m[2])
-            known[piece] = self.marks[m[1]] + ids + self.marks[m[3]]
+            before, word, behind = m.groups()
+            if before or behind:
+                known[piece] = self.marks[before] + (known.get(word) or self._word(word)) + self.marks[behind]
+            else:
+                known[piece] = self._word(word)
         if odd:
             ids = self._ids("\0".join(odd))
             cuts = np.flatnonzero(ids == self.parted[0])
-            data, begin = ids.tobytes(), 0
-            for piece, end in zip(odd, [*(4 * cuts).tolist(), 4 * len(ids)], strict=True):
+            data, width, begin = ids.astype(self.kind).tobytes(), self.kind.itemsize, 0
+            for piece, end in zip(odd, [*(width * cuts).tolist(), width * len(ids)], strict=True):
                 known[piece] = data[begin:end]
-                begin = end + 4
+                begin = end + width
 
     def encode(self, text: str) -> np.ndarray:
         if not self.pieces or "\0" in text or any(s in text for s in self.special):
             return self._ids(text)
         pieces = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
         try:
-            return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4")
+            return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), self.kind).astype("<u4")
         except KeyError:
             if len(self.known) > CACHE_PIECES:  # what came first is what comes often
-                self.known = dict(islice(self.known.items(), CACHE_PIECES // 2))
+                self.known = dict(islice(self.known.items(), CACHE_PIECES * 3 // 4))
             new = [p for p in dict.fromkeys(pieces) if p not in self.known]
             if any(p.split() != [p[1:] if p[:1] in " \n" else p] for p in new):  # white space at an end or next to other white space
                 return self._ids(text)
             self._learn(new)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), self.kind).astype("<u4")
 
 
 _ENCODERS: dict[str, Encoder] = {}

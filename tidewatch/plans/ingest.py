@@ -102,8 +102,8 @@ def json_source(spark, d):
         F.col("value").alias("cpu_percent"),
     )
     V.table(spark, d, "events").select(F.array(record).alias("data")).write.mode("overwrite").json(path)
-    lines = spark.read.schema("data array<struct<id: bigint, ts: string, series_key: string, cpu_percent: double>>").json(path)
-    return C.coerce(lines.select(F.inline("data")), METRICS.without(*V.MEASURES[1:])).select("id", "ts", "series_key", "cpu_percent")
+    records = R.read_json(spark, path, schema="data array<struct<id: bigint, ts: string, series_key: string, cpu_percent: double>>", lines=True)
+    return C.coerce(records, METRICS.without(*V.MEASURES[1:])).select("id", "ts", "series_key", "cpu_percent")
 
 
 @query(
@@ -192,7 +192,21 @@ _LONG = " UNION ALL ".join(
     with_ctes([M, V.DIRTY_SQL, f"w AS (SELECT series_key, count(*) FILTER (WHERE ts IS NULL) AS bad, {_BREACH} FROM dirty GROUP BY series_key)"], f"SELECT * FROM ({_LONG}) WHERE breaches > 0"),
 )
 def contract_breaches(spark, d):
-    return C.validate(C.coerce(V.dirty(spark, d)), METRICS, ["series_key"])
+    """The contract is read from its own rule rows."""
+    contract = C.contract_from(C.contract_rows(spark, METRICS))
+    return C.validate(C.coerce(V.dirty(spark, d), contract), contract, ["series_key"])
+
+
+@query(
+    "contract_differences",
+    "SELECT event_type AS series_key, kind, column_name, count(*) AS rows FROM events, (VALUES ('missing', 'disk_read_mb_s'), ('missing', 'mem_used_mb'), ('undeclared', 'note')) v(kind, column_name) GROUP BY ALL",
+)
+def contract_differences(spark, d):
+    """Columns a table lacks or has beyond its contract, for every series."""
+    raw = V.metrics(spark, d).drop("mem_used_mb", "disk_read_mb_s").withColumn("note", F.lit("x"))
+    found = C.column_differences(raw.drop("series_key", "id"), METRICS.without("series_key", "id"))
+    rows = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("column_name")) for kind, names in found.items() for c in names])
+    return raw.groupBy("series_key").agg(F.count(F.lit(1)).alias("rows")).select("series_key", F.inline(rows), "rows")
 
 
 @query(

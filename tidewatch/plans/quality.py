@@ -8,10 +8,12 @@ from tidewatch.operators import cadence as G
 from tidewatch.operators import clean as K
 from tidewatch.operators import gate
 from tidewatch.operators.contract import METRICS, coerce
+from tidewatch.operators.ordering import shared_folder
 from tidewatch.params import DEFAULTS
 from tidewatch.plans import stages as S
 from tidewatch.plans import views as V
 from tidewatch.plans.catalog import query, rounded, with_ctes
+from tidewatch.sources.writers import export_csv
 
 M = V.metrics_sql()
 USERS = V.metrics_sql("user_id")
@@ -314,6 +316,14 @@ def clean_hourly(spark, d):
     return K.clean(V.hourly(spark, d)).select(*CLEAN_COLS)
 
 
+@query("clean_csv_export", with_ctes(HCHAIN, CLEAN_OUT))
+def clean_csv_export(spark, d):
+    """Clean series out to CSV and back."""
+    rows, path = K.clean(V.hourly(spark, d)).select(*CLEAN_COLS), shared_folder(spark) + "/clean_csv"
+    export_csv(rows, path, ["series_key", "segment_id", "slot"])
+    return spark.read.option("header", True).schema(rows.schema).csv(path)
+
+
 @query("clean_daily", with_ctes([V.DAILY_SQL, *S.to_clean("daily")], CLEAN_OUT))
 def clean_daily(spark, d):
     return K.clean(V.daily(spark, d)).select(*CLEAN_COLS)

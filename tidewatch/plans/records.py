@@ -318,6 +318,13 @@ def check_history(spark, d):
     return V.checks(spark, d).groupBy("check_name", "status").agg(F.count(F.lit(1)).alias("rows"), F.max("checked_at").alias("last_at"))
 
 
+@query("check_history_newest", with_ctes([V.CHECKS_SQL], f"SELECT run_id, check_name, status, {nudge('value')} AS value, detail, checked_at FROM checks ORDER BY checked_at DESC, run_id DESC, check_name, detail LIMIT 200"))
+def check_history_newest(spark, d):
+    """The newest 200 check results."""
+    rows = V.checks(spark, d).select("run_id", "check_name", "status", "value", "detail", "checked_at")
+    return L.history(rows, [F.desc("checked_at"), F.desc("run_id"), F.col("check_name"), F.col("detail")], 200)
+
+
 _OLDNEW = ["old AS (SELECT 'size.' || p_partkey AS key, p_size::VARCHAR AS value FROM part WHERE p_size <> 10)", "new AS (SELECT 'size.' || p_partkey AS key, greatest(p_size, 20)::VARCHAR AS value FROM part WHERE p_size <> 30)"]
 
 

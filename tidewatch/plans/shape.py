@@ -468,3 +468,12 @@ def correlation_screen(spark, d):
     kept, _ = Z.correlation_screen(cols, Z.correlation_pairs(rows, cols), protected=[f"{TARGET}_lag_0"])
     listed = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(c in kept).alias("kept")) for c in cols])
     return spark.range(1).select(F.inline(listed))
+
+
+@query("features_csv_export", with_ctes(FEATS, f"SELECT series_key, ts, {rounded(*S.feature_cols(TARGET))} FROM feat"))
+def features_csv_export(spark, d):
+    """Feature vectors out to CSV and back."""
+    frame, _, _ = framed(spark, d)
+    rows, path = frame.select("series_key", "ts", *S.feature_cols(TARGET)), W.shared_folder(spark) + "/features_csv"
+    W.export_csv(rows, path, ["series_key", "ts"])
+    return spark.read.option("header", True).schema(rows.schema).csv(path)

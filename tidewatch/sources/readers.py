@@ -32,9 +32,13 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None =
     return reader.schema(schema).csv(path) if schema else reader.csv(path)
 
 
-def read_json(spark: SparkSession, path: str, records_key: str = "data", schema: T.StructType | None = None) -> DataFrame:
-    """JSON files holding a list of records or an object with the list under `records_key`."""
-    reader = spark.read.option("multiLine", True)
+def read_json(spark: SparkSession, path: str, records_key: str = "data", schema: T.StructType | str | None = None, lines: bool = False) -> DataFrame:
+    """JSON files holding a list of records or an object with the list under `records_key`.
+
+    With `lines` every line is such an object, and files are split among tasks;
+    otherwise a file is one value, read by one task.
+    """
+    reader = spark.read.option("multiLine", not lines)
     raw = (reader.schema(schema) if schema else reader).json(path)
     if records_key in raw.columns and isinstance(raw.schema[records_key].dataType, T.ArrayType):
         element = raw.schema[records_key].dataType.elementType
