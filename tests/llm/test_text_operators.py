@@ -292,7 +292,7 @@ def test_token_files(spark, docs, rows, empty):
 
 
 def test_pieces_encode_like_whole_texts():
-    coder = tokenfiles.encoder(tokenfiles.default_tokenizer())
+    coder = tokenfiles.Encoder(tokenfiles.default_tokenizer())
     rng = random.Random(3)
     parts = [" ", "  ", "\n", "a", "B", "é", "1", "23", "'s", "'", "!", "\t", "<|endoftext|>", "\xa0", "漢", ".", "\n\n", "\x00", "👍", "\x1c", "\x85", "​", "word"]
     for _ in range(5_000):
