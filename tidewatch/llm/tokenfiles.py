@@ -168,15 +168,6 @@ class Encoder:
         return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), self.kind).astype("<u4")
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -200,7 +191,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, block
     order = (F.col("doc_id"), F.xxhash64("text"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        coder, part, number = Encoder(tokenizer), TaskContext.get().partitionId(), 0
         held, names, size = [], [], 0
 
         def block() -> pa.RecordBatch:
@@ -222,6 +213,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, block
                     held, names, size, number = [], [], 0, number + 1
         if held:
             yield block()
+        coder.known.clear()  # workers live on: what one task has learned must not stay in their memory
 
     ranged = fed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ranged.mapInArrow(blocks, "part int, block int, doc_ids array<long>, lengths array<long>, ids binary").write.parquet(path)
