@@ -22,30 +22,36 @@ from tidewatch.llm.tokenfiles import token_rows
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set and the smallest id its near duplicates reach."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its base counts, the trees' score and whether it is kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = score_quality(docs, fit_on_labels(docs, table(spark, sf_dir, "labels")))
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality_score", "kept")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words inside benchmark passages."""
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its lines before and the text after repeated lines went."""
     done = drop_repeated_lines(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op5_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its unigram and its automaton score."""
     return language_scores(table(spark, sf_dir, "documents"))
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its source's target and the words the mix takes of it."""
     rows, order = mix(table(spark, sf_dir, "documents"))
     uses = order.groupBy(F.col("_id").alias("u_id"), F.col("_row").alias("u_row")).agg(F.sum("size").alias("taken"), F.count(F.lit(1)).alias("uses"), F.min("position").alias("first_position"))
     copies = rows.groupBy(F.col("_id").alias("c_id"), F.col("_row").alias("c_row")).agg(F.count(F.lit(1)).alias("copies"))
@@ -56,10 +62,12 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its place in the token files and a checksum of what they hold of it."""
     return token_rows(table(spark, sf_dir, "documents"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its licence phrases and labels."""
     done = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(
         "doc_id",
@@ -74,10 +82,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its main text."""
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "host", "path")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its predicted language."""
     return predict_language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
 
 
