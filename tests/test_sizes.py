@@ -66,3 +66,26 @@ def test_an_empty_batch_fails_its_row_count_only(spark):
     assert [(r["check_name"], r["status"], r["value"]) for r in done.checks.collect()] == [("row_count", "FAIL", 0.0)]
     assert [(r["status"], r["gate_verdict"], r["rows_in"], r["error"]) for r in done.run.collect()] == [("blocked", "FAIL", 0, "gate failed: row_count")]
     assert done.clean is None and Layout.plan(raw).single
+
+
+def test_breach_blocks_merge_at_any_width(spark):
+    """Blocks of a few values, merged in groups of every width, against one walk over the series."""
+    import random
+
+    import pandas as pd
+
+    from tidewatch.operators.cost import fold_blocks, join_blocks
+
+    rng, rows, want = random.Random(8), [], {}
+    for key in range(12):
+        values = [rng.choice((10.0, 95.0, 96.0)) if key % 3 else rng.choice((95.0, 95.0, 95.0, 10.0)) for _ in range(rng.randint(1, 60))]
+        if key == 5:
+            values = [99.0] * 40
+        over = [v > 90 for v in values]
+        runs = [len(r) for r in "".join("x" if o else " " for o in over).split()]
+        want[str(key)] = (len(values), sum(over), len(runs), max(runs, default=0))
+        rows += [(str(key), i // 4, values[i : i + 4]) for i in range(0, len(values), 4)]
+    blocks = spark.createDataFrame(pd.DataFrame(rows, columns=["k", "block", "values"]), "k string, block bigint, values array<double>")
+    for width in (1, 2, 3, 100):
+        got = join_blocks(fold_blocks(blocks, ["k"], [90.0]), ["k"], width).collect()
+        assert {r["k"]: (r["samples"], r["breaches"], r["episodes"], r["longest_episode"]) for r in got} == want

@@ -28,6 +28,7 @@ from tidewatch.params import DEFAULTS, Params
 # Consecutive values folded together. Small enough for one array, large enough
 # that the per-block summaries are a tiny fraction of the rows.
 FOLD_ROWS = 2_000
+BLOCKS_IN_ONE = 4_096
 
 
 def value_blocks(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], layout: Layout, rows: int = FOLD_ROWS) -> DataFrame:
@@ -91,39 +92,67 @@ def array_episodes(values: Column, level: Column) -> Column:
     return F.size(F.filter(pairs, lambda p: p))
 
 
-def join_blocks(folded: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per key the breach statistics of the whole series from its block summaries.
-
-    A run that ends a block and one that starts the next are one episode. Blocks
-    breaching throughout are chained by counting the others before them.
-    """
-    keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy("block")
+def _chained(folded: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Blocks in order with `joined` (goes on from the block before) and `chain` (broken blocks so far)."""
+    w = Window.partitionBy(*by).orderBy("block")
     f = folded.withColumn("full", F.col("n") == F.col("breaches"))
-    f = f.withColumns(
+    return f.withColumns(
         {
-            "joined": ((F.lag("run").over(w) > 0) & (F.col("lead") > 0)).cast("int"),
+            "joined": F.coalesce(((F.lag("run").over(w) > 0) & (F.col("lead") > 0)).cast("int"), F.lit(0)),
             "chain": F.sum(F.when(F.col("full"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)),
         }
     )
-    # a chain starts with the tail of a broken block, goes on through full blocks
-    # and ends with the head of the next broken one
+
+
+def _crossing(chained: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Longest run over block borders. A chain starts with the tail of a broken block, goes on through full blocks and ends with the head of the next broken one."""
+    by = list(by)
     tail = F.when(F.col("full"), F.col("n")).otherwise(F.col("run"))
-    spans = f.groupBy(*keys, "chain").agg(F.sum(tail).alias("span"))
-    heads = f.where(~F.col("full")).select(*keys, (F.col("chain") - 1).alias("chain"), "lead")
-    crossing = (
-        spans.join(heads, [*keys, "chain"], "full")
-        .groupBy(*keys)
-        .agg(F.max(F.coalesce("span", F.lit(0)) + F.coalesce("lead", F.lit(0))).alias("_cross"))
+    spans = chained.groupBy(*by, "chain").agg(F.sum(tail).alias("span"))
+    heads = chained.where(~F.col("full")).select(*by, (F.col("chain") - 1).alias("chain"), "lead")
+    joined = spans.join(heads, [*by, "chain"], "full")
+    return joined.groupBy(*by).agg(F.max(F.coalesce("span", F.lit(0)) + F.coalesce("lead", F.lit(0))).alias("_cross"))
+
+
+def merge_blocks(folded: DataFrame, keys: Sequence[str], width: int = BLOCKS_IN_ONE) -> DataFrame:
+    """Summaries of `width` neighbouring blocks as summaries of one, so that the blocks of a hot key are chained by many tasks."""
+    by = [*keys, "_wide"]
+    f = _chained(folded.withColumn("_wide", F.floor(F.col("block") / width).cast("bigint")), by)
+    whole = F.max("chain").over(Window.partitionBy(*by))
+    f = f.withColumn("_last", whole)
+    zero = F.lit(0).cast("bigint")
+    head = F.sum(F.when(F.col("chain") == 0, F.col("n")).when((F.col("chain") == 1) & ~F.col("full"), F.col("lead")))
+    tail = F.sum(F.when(F.col("chain") == F.col("_last"), F.when(F.col("full"), F.col("n")).otherwise(F.col("run"))))
+    merged = f.groupBy(*by).agg(
+        F.sum("n").alias("n"),
+        F.sum("breaches").alias("breaches"),
+        F.sum(F.col("starts") - F.col("joined")).alias("starts"),
+        F.coalesce(head, zero).alias("lead"),
+        F.coalesce(tail, zero).alias("run"),
+        F.max("best").alias("_best"),
+        F.max("worst").alias("worst"),
     )
+    done = merged.join(_crossing(f, by), by)
+    return done.select(*keys, F.col("_wide").alias("block"), "n", "breaches", "starts", "lead", "run", F.greatest("_best", "_cross").cast("bigint").alias("best"), "worst")
+
+
+def join_blocks(folded: DataFrame, keys: Sequence[str], width: int = BLOCKS_IN_ONE) -> DataFrame:
+    """Per key the breach statistics of the whole series from its block summaries.
+
+    A run that ends a block and one that starts the next are one episode. Blocks
+    breaching throughout are chained by counting the others before them, first
+    inside groups of `width` blocks, then over the groups.
+    """
+    keys = list(keys)
+    f = _chained(merge_blocks(folded, keys, width), keys)
     total = f.groupBy(*keys).agg(
         F.sum("n").alias("samples"),
         F.sum("breaches").alias("breaches"),
-        F.sum(F.col("starts") - F.coalesce("joined", F.lit(0))).alias("episodes"),
+        F.sum(F.col("starts") - F.col("joined")).alias("episodes"),
         F.max("best").alias("_best"),
         F.round(F.max("worst"), 3).alias("worst_overshoot"),
     )
-    return total.join(crossing, keys).select(
+    return total.join(_crossing(f, keys), keys).select(
         *keys,
         "samples",
         "breaches",
