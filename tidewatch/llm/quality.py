@@ -206,19 +206,22 @@ def _best_split(codes, g, h, signs, bins, min_rows, ridge, low, high):
     return found
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Every row of `docs` with the base counts and the features (array `features`) added."""
+def feature_rows(counts: dict[str, np.ndarray]) -> np.ndarray:
+    return np.stack([counts[f] for f in FEATURES], 1)
+
+
+def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Every row of `docs` with its statistics as an array `features`."""
     small_batches(docs.sparkSession)
-    docs = docs.drop(*BASE, "features")
+    docs = docs.drop("features")
     n = len(docs.columns)
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(b, T.LongType()) for b in BASE], T.StructField("features", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*docs.schema.fields, T.StructField("features", T.ArrayType(T.DoubleType()))])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = statistics(batch.column(n).to_pylist())
-            rows = np.stack([got[f] for f in FEATURES], 1) if batch.num_rows else np.zeros((0, len(FEATURES)))
+            rows = feature_rows(statistics(batch.column(n).to_pylist()))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, len(FEATURES), dtype=np.int32)), pa.array(rows.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array(got[b], pa.int64()) for b in BASE], lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], lists], names=schema.names)
 
     return docs.withColumn("_text", F.col(text_col).cast("binary")).mapInArrow(compute, schema)
 
@@ -230,7 +233,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     """
     some = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     fed = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most sample_rows pairs of numbers
-    rows = with_statistics(fed).select("doc_id", "quality", "features").limit(sample_rows).collect()
+    rows = with_features(fed).select("doc_id", "quality", "features").limit(sample_rows).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["features"]))
     y = np.array([float(r["quality"] > 0) for r in rows])
     if not len(y) or y.min() == y.max():
@@ -248,18 +251,17 @@ def score_quality(docs: DataFrame, forest: Forest | None, keep_from: float = KEE
     Rows stand alone: repeated rows are handled alike. Added columns replace
     input columns of the same names.
     """
-    added = ["base_failed", "quality_score", "kept"]
-    counted = with_statistics(docs.drop(*added), text_col)
-    schema = T.StructType([*(f for f in counted.schema.fields if f.name != "features"), T.StructField("base_failed", T.BooleanType()), T.StructField("quality_score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
+    small_batches(docs.sparkSession)
+    docs = docs.drop(*BASE, "base_failed", "quality_score", "kept")
+    n = len(docs.columns)
+    more = [*[(b, T.LongType()) for b in BASE], ("base_failed", T.BooleanType()), ("quality_score", T.DoubleType()), ("kept", T.BooleanType())]
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(name, kind) for name, kind in more]])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, repeat = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("n_words", "n_repeat_words"))
-            x = batch.column(batch.schema.get_field_index("features")).flatten().to_numpy().reshape(-1, len(FEATURES))
-            failed = (words < 50) | (100 * repeat > 50 * words)
-            chance = 1 / (1 + np.exp(-forest.margin(x))) if forest is not None else np.ones(len(x))
-            kept = ~failed & (chance >= keep_from)
-            rest = [c for c, f in zip(batch.columns, batch.schema.names, strict=True) if f != "features"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(failed), pa.array(chance), pa.array(kept)], names=schema.names)
-
-    return counted.mapInArrow(judge, schema)
+            counts = statistics(batch.column(n).to_pylist())
+            failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
+            chance = 1 / (1 + np.exp(-forest.margin(feature_rows(counts)))) if forest is not None else np.ones(len(failed))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array(counts[b], pa.int64()) for b in BASE], pa.array(failed), pa.array(chance), pa.array(~failed & (chance >= keep_from))], names=schema.names)
+
+    return docs.withColumn("_text", F.col(text_col).cast("binary")).mapInArrow(judge, schema)
