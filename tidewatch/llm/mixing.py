@@ -123,11 +123,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int =
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` as often as the mix takes them, in training order, with their own columns only."""
-    _, order = mix(docs, **options)
+    rows, order = mix(docs, **options)
     key = docs.withColumn("_row", row_id("doc_id", "text"))
-    # Equal rows all stand in the order: number them on both sides, so that each is met by its own entries.
-    nth = Window.partitionBy("_id", "_row", "epoch").orderBy("position")
-    entries = order.withColumn("nth", F.row_number().over(nth)).select("_id", F.col("_row").alias("o_row"), "epoch", "nth", "position")
-    numbered = key.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "_row").orderBy("_row")))
-    joined = numbered.join(entries, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("o_row")) & (F.col("n") == F.col("nth")))
+    entries = order.select("_id", F.col("_row").alias("o_row"), "epoch", "position")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("o_row"))
+    if not rows.groupBy("_id", "_row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        # Equal rows all stand in the order: number them on both sides, so that each is met by its own entries.
+        entries = entries.withColumn("nth", F.row_number().over(Window.partitionBy("_id", "o_row", "epoch").orderBy("position")))
+        key = key.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "_row").orderBy("_row")))
+        same = same & (F.col("n") == F.col("nth"))
+    joined = key.join(entries, same)
     return joined.orderBy("position", "_id", "_row", "epoch").select(*docs.columns)
