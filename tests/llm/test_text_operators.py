@@ -348,6 +348,23 @@ def test_html(spark, empty):
     assert htmltext.extract(df.limit(0)).collect() == []
 
 
+def test_html_of_articles_in_several_parts(spark):
+    """Title, lead and body in containers of their own; another template on the same host; sections without an article."""
+    lead, body, teaser = "A lead of some words. " * 3, "The body goes on, and on. " * 40, "Read this too."
+    split = f"<body><nav>menu</nav><article><h1>Title</h1><div class=lead><p>{lead}</p></div><div class=body><p>{body}</p></div></article><div class=more>{teaser}</div></body>"
+    other = f"<body><article>{teaser}</article><div class=story><h1>Title</h1><p>{body}</p></div></body>"
+    sections = f"<body><div class=wrap><h1>Title</h1>{''.join(f'<section><div class=s{c}><p>{c} {lead}</p></div></section>' for c in 'abc')}</div></body>"
+    both = f"<body><main><h1>Title</h1><article><p>{body}</p></article></main><div>{teaser}</div></body>"
+    links = "<body><div><a href=x>only links here</a></div></body>"
+    pages = [*[(k, "http://a.example/", split) for k in range(4)], (4, "http://a.example/", other), (5, "http://b.example/", sections), (6, "http://c.example/", both), (7, "http://d.example/", links)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    one = lambda x: " ".join(x.split())
+    assert all(got[k] == one(f"Title {lead} {body}") for k in range(4))
+    assert got[4] == one(f"{teaser} Title {body}")
+    assert got[5] == one(f"Title a {lead} b {lead} c {lead}")
+    assert got[6] == one(f"Title {body}") and got[7] == "only links here"
+
+
 def test_html_on_pages(spark):
     import html
     import re

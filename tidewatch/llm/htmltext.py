@@ -1,9 +1,10 @@
 """Main text of web pages by host consensus.
 
-Every page's containers are scored; each page votes for the generalised path
-(tags with classes, without numbers) of its best container; Spark sums the votes
-by host; then every page is read again and the text of the containers on the
-winning path of its host is taken.
+A container's score reaches all containers around it; each page votes for the
+generalised path (tags with classes, without numbers) of the smallest containers
+that hold nearly all of its good text; Spark sums the votes by host; then every
+page is read again and the text of the containers on the winning path of its
+host is taken, or on its own path where the host's holds too little of it.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 #: An opening tag of the left ends open elements of the right up to the nearest one.
 ENDS = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 STOPS = {"ul", "ol", "table", "dl", "select", "div", "article", "section", "body", "main"}
+#: A page's vote must hold NEARLY all of its good text; the host's path is taken if it holds MOST of it.
+NEARLY, MOST = 0.9, 0.5
 
 
 @dataclass
@@ -50,8 +53,6 @@ class Node:
     parts: list = field(default_factory=list)
     text: int = 0
     linked: int = 0
-    blocks: int = 0
-    commas: int = 0
 
     @property
     def path(self) -> str:
@@ -101,8 +102,6 @@ def read_page(page: str) -> list[Node]:
             node.parts.append(text)
             node.text += len(text)
             node.linked += min(linked, len(text))
-            node.blocks += 1
-            node.commas += text.count(",")
         linked = 0
 
     def close(count: int) -> None:
@@ -177,10 +176,25 @@ def read_page(page: str) -> list[Node]:
     return nodes
 
 
-def score(node: Node) -> float:
-    """Text of its own blocks that is not link text, with a little for blocks and commas and for the tags meant for articles."""
-    own = node.text - 2 * node.linked + 10 * node.commas + 25 * node.blocks
-    return max(0.0, own * {"article": 1.5, "main": 1.3}.get(node.step.split(".")[0], 1.0))
+def held(nodes: list[Node]) -> tuple[dict[int, int], bool]:
+    """Good text under all containers of each path, and whether the page has any.
+
+    Good text is a container's own text less that of its links twice; a page of
+    nothing but links counts all of its text. Nodes are in page order, so a
+    container comes before those inside it.
+    """
+    own = [max(0, n.text - 2 * n.linked) for n in nodes]
+    good = any(own)
+    if not good:
+        own = [n.text for n in nodes]
+    inside = {id(n): x for n, x in zip(nodes, own, strict=True)}
+    for n in reversed(nodes):
+        if n.above is not None:
+            inside[id(n.above)] += inside[id(n)]
+    sums: dict[int, int] = {}
+    for n in nodes:
+        sums[n.key] = sums.get(n.key, 0) + inside[id(n)]
+    return sums, good
 
 
 def whole_text(node: Node) -> list[str]:
@@ -203,12 +217,31 @@ def path_key(above: int, generalised: str) -> int:
 
 
 def best_path(nodes: list[Node]) -> tuple[Node | None, float]:
-    """The page's vote: a container on the path whose containers score highest together; the first such path among equals."""
-    sums: dict[int, float] = {}
+    """The page's vote, as a container on its path, with the good text there; None for a page without text.
+
+    Down from the root as long as one path inside holds nearly all of the page's
+    good text; then up again, so that no title or lead beside it is lost, to the
+    outermost path that still adds good text. An <article> or <main> is left
+    upwards only for a <main> around it.
+    """
+    sums, good = held(nodes)
+    whole = sums[nodes[0].key]
+    if not whole:
+        return None, 0.0
+    best, seen = nodes[0], set()
     for n in nodes:
-        sums[n.key] = sums.get(n.key, 0.0) + score(n)
-    best = max(sums.values(), default=0.0)
-    return (next(n for n in nodes if sums[n.key] == best), best) if best > 0 else (None, 0.0)
+        # two paths that hold more than half each lie in each other, and the inner one begins later
+        if n.key not in seen and sums[n.key] >= NEARLY * whole:
+            best = n
+        seen.add(n.key)
+    top, node, bound = best, best, ""
+    while node is not None:
+        tag, more = node.step.split(".")[0], sums[node.key] > sums[top.key]
+        if tag == "article" or (tag == "main" and (more or not bound)) or (more and not bound):
+            top = node
+        bound = bound or (tag if tag in ("article", "main") else "")
+        node = node.above
+    return top, float(sums[top.key]) if good else 0.0
 
 
 def text_on(nodes: list[Node], key: int | None) -> str | None:
@@ -223,8 +256,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host is what stands between `//` and the next `/`, `?` or `#` of the url,
     without user, port, case and leading `www.`; null or odd urls share the host
     "". Each page votes with at most 1 for its best path, less if it has little
-    text, so no single page decides for a host. Where a page has nothing on its
-    host's path, its own best path is taken. Null and empty html and pages
+    text, so no single page decides for a host. Where its host's path holds less
+    than half of a page's good text, its own path is taken. Null and empty html and pages
     without text give an empty text and no path. Ties between paths go to the
     first by name. Repeated rows vote each and get equal results. An empty table
     gives an empty result. Added columns replace input columns of the same names.
@@ -256,12 +289,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             paths, texts = [], []
             for page, winner in zip(batch.column(where).to_pylist(), batch.column(n).to_pylist(), strict=True):
                 nodes = read_page(page or "")
-                text = text_on(nodes, winner) if winner is not None else None
+                sums = held(nodes)[0]
                 key = winner
-                if text is None:
+                if sums.get(winner, 0) < max(1, MOST * sums[nodes[0].key]):
                     node = best_path(nodes)[0]
                     key = node.key if node else None
-                    text = text_on(nodes, key) if node else None
+                text = text_on(nodes, key) if key is not None else None
                 paths.append(next(n.path for n in nodes if n.key == key) if text else None)
                 texts.append(text or "")
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(paths, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
