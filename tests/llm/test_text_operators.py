@@ -365,6 +365,20 @@ def test_html_of_articles_in_several_parts(spark):
     assert got[6] == one(f"Title {body}") and got[7] == "only links here"
 
 
+def test_html_names_and_icons_keep_the_article(spark):
+    """Names that only contain a boilerplate word, wrappers of the whole page, icons without an end tag of their own."""
+    body = "The body goes on, and on. " * 20
+    want = " ".join(body.split())
+    tags = ["div class='content has-sidebar'", "main class=no-sidebar", "div class='entry with-comments'", "div class=share-price", "div id=form-guide", "div class=modal", "div id='page-header'", "div class=formation", "article class=sidebar-left"]
+    pages = [f"<body><nav>menu</nav><{t}><p>{body}</p><div class=comments>no</div></{t.split()[0]}></body>" for t in tags]
+    nested = f"<body><div class=overlay><div class=popup><div class=modal><div class=widget><div class=side><p>{body}</p></div></div></div></div></div></body>"
+    icons = [f"<body><div><svg width=1 />{body[:130]}<math/>{body[130:]}</div></body>", f"<body><div><svg>x</svg><svg width=1>{body}</div></body>", f"<body><p><svg/>{body}</p><svg><text>no</text></svg></body>"]
+    dropped = [f"<body><div class={c}>no, no</div><article><p>{body}</p><div id={c}>no</div></article></body>" for c in ("ad", "ad-slot", "main-nav", "site_footer", "sidebar2", "post-comments", "comment-list", "cookie-banner", "related-posts")]
+    rows = [(k, f"http://h{k}.example/", p) for k, p in enumerate([*pages, nested, *icons, *dropped])]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: t for k, t in got.items() if t != want} == {}
+
+
 def test_html_on_pages(spark):
     import html
     import re

@@ -31,10 +31,14 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = {"article", "main", "section", "div", "td", "body", "html", "center", "blockquote"}
 BOILERPLATE_TAGS = {"nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "head", *RAW}
-BOILERPLATE_NAMES = re.compile(
-    r"^(ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|aside|footer\w*|header|masthead|topbar|toolbar|cookie\w*|consent\w*|notice\w*|popup\w*|modal\w*|overlay"
-    r"|newsletter\w*|subscri\w*|signup|login|form\w*|search\w*|comment\w*|replies|reply|disqus|respond|share\w*|sharing|social\w*|related\w*|recommend\w*|widget\w*|pagination|pager|tags?|copyright|legal|disclaimer|skip\w*)$"
+NAMES = (
+    r"(?:ads?|adverts?|advertis(?:ing|ements?)|adsense|banners?|sponsor(?:s|ed)?|promos?|promotions?|nav|navbar|navigation|menus?|menubar|breadcrumbs?|sidebars?|side|aside|footers?|header|masthead|topbar|toolbar|cookies?|consent|notices?|popups?|modals?|overlays?"
+    r"|newsletters?|subscribe|subscriptions?|signup|login|forms?|search|searchbox|searchbar|searchform|comments?|commentlist|replies|reply|disqus|respond|share|shares|sharebar|sharing|socials?|related|recommended|recommendations?|widgets?|pagination|pager|tags?|copyright|legal|disclaimer|skip|skiplinks?)"
 )
+#: Words that leave a name in a compound what it is; words such as has, no, with or price do not.
+PLACES = r"(?:site|page|main|global|top|bottom|left|right|primary|secondary|wrapper|wrap|container|box|list|area|block|inner|outer|bar|links?|items?|slot|unit|section|icons?|buttons?|posts|articles|stories|\d+)"
+#: A whole class word or id: a name, names and places together, or a part of a post that is none of its text.
+BOILERPLATE_NAMES = re.compile(rf"^(?:(?:{PLACES}[-_]+)*{NAMES}\d*(?:[-_]+(?:{NAMES}|{PLACES}))*|(?:post|entry|article)[-_]+(?:comments?|tags|share|sharing|socials?|related|footer|nav|navigation|ads?|pagination))$")
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
 #: An opening tag of the left ends open elements of the right up to the nearest one.
 ENDS = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
@@ -63,22 +67,23 @@ class Node:
         return "/".join(["", *reversed(steps)])
 
 
-def step(name: str, attributes: str) -> tuple[str, bool]:
-    """(generalised tag with classes, whether it is boilerplate)."""
-    classes, bad = [], name in BOILERPLATE_TAGS
+def step(name: str, attributes: str) -> tuple[str, bool, bool]:
+    """(generalised tag with classes, whether it is boilerplate, whether only by its class or id)."""
+    classes, bad, named = [], name in BOILERPLATE_TAGS, False
     if attributes and "=" in attributes:
         for key, a, b, c in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), (a or b or c).lower()
             if key in ("class", "id"):
                 words = value.split()
-                bad = bad or any(BOILERPLATE_NAMES.match(part) for w in words for part in (w, *re.split(r"[-_]", w)[:1], *re.split(r"[-_]", w)[-1:]))
+                named = named or any(BOILERPLATE_NAMES.match(w) for w in words)
                 if key == "class":
                     classes += [re.sub(r"\d+", "", w) for w in words]
             elif (key == "role" and value in ROLES) or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
                 bad = True
     if attributes and re.search(r"(^|\s)hidden(\s|=|$)", attributes) and "type=" not in attributes:
         bad = True
-    return ".".join([name, *sorted(set(filter(None, classes)))]), bad and name not in ("html", "body")
+    inner = name not in ("html", "body")
+    return ".".join([name, *sorted(set(filter(None, classes)))]), (bad or named) and inner, named and not bad and inner
 
 
 def read_page(page: str) -> list[Node]:
@@ -86,10 +91,30 @@ def read_page(page: str) -> list[Node]:
 
     The text of a block goes to the nearest container around it, outside of
     boilerplate; a container also keeps the places of the containers inside it.
+    An element that only its class or id makes boilerplate, but that holds nearly
+    all of the page's text, is a wrapper: the page is read again without taking
+    it so, and after some such wrappers without looking at names at all.
     """
+    wrappers: set[int] = set()
+    for _ in range(4):
+        nodes, lost = read_once(page, wrappers)
+        whole = sum(n.text for n in nodes) + sum(lost.values())
+        more = {at for at, n in lost.items() if n >= NEARLY * whole} if lost else set()
+        if not more and lost and not any(n.text for n in nodes) and any(lost.values()):
+            more = set(lost)  # nothing is left, and no one name took it
+        if not more:
+            return nodes
+        wrappers |= more
+    return read_once(page, None)[0]
+
+
+def read_once(page: str, wrappers: set[int] | None) -> tuple[list[Node], dict[int, int]]:
+    """(containers, characters lost to each element that is boilerplate by name alone, by its place); None takes all for wrappers."""
+    lost: dict[int, int] = {}
+    losing, by_name = -1, 0  # the outermost element that is boilerplate; how many of the open ones are by name alone
     root = Node("", None, 0)
     nodes, holders = [root], [root]
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate from here on, container
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, boilerplate from here on, by name alone, container
     bad, links, buffer, at, end = 0, 0, [], 0, len(page)
     linked = 0
 
@@ -105,12 +130,13 @@ def read_page(page: str) -> list[Node]:
         linked = 0
 
     def close(count: int) -> None:
-        nonlocal bad, links
+        nonlocal bad, by_name, links
         for _ in range(count):
-            tag, was_bad, container = stack.pop()
+            tag, was_bad, was_named, container = stack.pop()
             if tag not in INLINE:
                 flush()
             bad -= was_bad
+            by_name -= was_named
             links -= tag == "a"
             if container:
                 holders.pop()
@@ -125,6 +151,8 @@ def read_page(page: str) -> list[Node]:
             buffer.append(page[at:text_end])
             if links:
                 linked += text_end - at
+        elif text_end > at and by_name == bad:
+            lost[losing] += len("".join(page[at:text_end].split()))
         if m is None:
             break
         at = m.end()
@@ -142,10 +170,15 @@ def read_page(page: str) -> list[Node]:
             flush()
         if name in VOID:
             continue
-        generalised, is_bad = step(name, m[3])
+        generalised, is_bad, named = step(name, m[3])
+        if named and (wrappers is None or m.start() in wrappers):
+            is_bad = named = False
         if name in RAW:
+            drawing = name in ("svg", "math")
+            if drawing and m[3].rstrip().endswith("/"):
+                continue
             done = RAW_END[name].search(page, at)
-            at = done.end() if done else end
+            at = done.end() if done else at if drawing else end
             continue
         if name not in INLINE:
             # a block ends an open paragraph and whatever inline elements were left open in it
@@ -161,7 +194,7 @@ def read_page(page: str) -> list[Node]:
                     break
                 if x[0] in STOPS:
                     break
-        if m[3].rstrip().endswith("/") and name in ("svg", "path", "g"):
+        if m[3].rstrip().endswith("/") and name in ("path", "g"):
             continue
         container = name in CONTAINERS and not bad and not is_bad
         if container:
@@ -169,11 +202,15 @@ def read_page(page: str) -> list[Node]:
             holders[-1].parts.append(node)
             holders.append(node)
             nodes.append(node)
-        stack.append((name, is_bad, container))
+        stack.append((name, is_bad, named, container))
+        if named and not bad:
+            losing = m.start()
+            lost[losing] = 0
         bad += is_bad
+        by_name += named
         links += name == "a"
     flush()
-    return nodes
+    return nodes, lost
 
 
 def held(nodes: list[Node]) -> tuple[dict[int, int], bool]:
