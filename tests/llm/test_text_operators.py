@@ -204,6 +204,37 @@ def test_language_scores(docs, rows, empty, options):
     assert lm.language_scores(empty).collect() == []
 
 
+def test_language_model_of_order_3(spark, docs, rows):
+    """Single bigrams and trigrams are arcs too, in one block or many, and no owner gathers the followers of one word."""
+    times = collections.Counter(r["doc_id"] for r in docs.select("doc_id").collect())
+    tokens = {i: [*fx.WORD.findall((t or "").encode().lower()), None] for i, t in rows}
+    counts, arcs = collections.Counter(), collections.defaultdict(set)
+    for i, seq in tokens.items():
+        for n in (1, 2, 3) if zlib.crc32(str(i).encode()) % 7 != 2 else ():
+            for k in range(len(seq) - n + 1):
+                gram = tuple(seq[k : k + n])
+                counts[gram] += times[i]
+                arcs[gram[:-1]].add(gram)
+    total, kinds = sum(c for g, c in counts.items() if len(g) == 1), len(arcs[()])
+
+    def p(gram):
+        if len(gram) == 1:
+            return (counts[gram] + 1) / (total + kinds + 1)
+        seen, n = counts[gram[:-1]], counts[gram]
+        return ((n - 0.75) / seen if n else 0) + (0.75 * len(arcs.get(gram[:-1], ())) / seen if seen else 1) * p(gram[1:])
+
+    want = {i: sum(math.log10(p(tuple(seq[max(0, k - 2) : k + 1]))) for k in range(len(seq))) for i, seq in tokens.items()}
+    for options in ({}, {"block_bytes": 4_000, "owner_bytes": 9_000}):
+        got = {r["doc_id"]: r["score"] for r in lm.language_scores(docs, order=3, min_count=1, **options).collect()}
+        assert got == {i: pytest.approx(w) for i, w in want.items()}
+
+
+def test_followers_of_a_hot_word_are_spread():
+    hashes, per_text = lm.tokens_of([b" ".join(b"the w%d" % k for k in range(2_000))])
+    asked = lm._ask(0, lm.Grams(hashes, per_text, np.ones(1, bool), 2), 8).to_pylist()
+    assert len(asked) == 8 and max(len(m["followers"]) // 4 for m in asked) < 2 * 4_000 / 8
+
+
 def test_language_model_sums_to_one(spark):
     """Over all words and the end, what follows a word has probability 1, less the unknown word's share."""
     texts = ["a b a b a c", "a b c", "b a b", "c c c c c"]

@@ -1,17 +1,19 @@
 """Language-model scores from a weighted backoff automaton.
 
-Word bigrams of the training documents are counted over the whole corpus and
-smoothed: a bigram found at least `min_count` times becomes an arc from the state
-of its first word, with the interpolated probability of absolute discounting; the
-mass left over is the weight of the state's failure arc to the root, whose arcs
-are the words themselves. A text is scored in one pass from left to right that
-carries the state.
+Word n-grams up to `order` of the training documents are counted over the whole
+corpus and smoothed: an n-gram found at least `min_count` times becomes an arc
+from the state of the words before its last, with the interpolated probability
+of absolute discounting; the mass left over is the weight of the state's failure
+arc to the state of one word less, and in the end to the root, whose arcs are the
+words themselves. The state at a token is given by the words before it, so all
+tokens of a block are walked at once, order by order.
 
 The automaton of a large corpus fits in no task. Documents are dealt to blocks of
-about a million words; each block sends what it counted to the tasks that own
-the words, and gets back exactly the states and arcs that its own texts can
-reach. So counts, arcs and answers are spread over all tasks and the traversal
-of a block holds a small part of the automaton.
+about a million words; each block sends its distinct n-grams with their counts to
+tasks that own them by a hash of all their words, so that no frequent word
+gathers its followers in one place. The owners send what the arcs of each state
+sum to to the owners of the states, and blocks get back exactly the counts and
+states that their own texts can reach.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.text import chunks, flat_words, small_batches
+from tidewatch.llm.text import chunks, flat_words, mix, small_batches
 from tidewatch.operators.ordering import cut_lineage
 
 FOLDS, HELD_OUT = 7, 2
@@ -59,142 +61,174 @@ def unsmall(low: bytes, high: bytes) -> np.ndarray:
     return out
 
 
-class Pairs:
-    """Distinct words and distinct pairs of neighbours of a block, words sorted, pairs sorted by first word."""
-
-    def __init__(self, hashes: np.ndarray, per_text: np.ndarray, training: np.ndarray):
-        teaches = np.repeat(training, per_text)
-        self.words, code = np.unique(hashes, return_inverse=True)
-        self.code, self.per_text = code, per_text
-        self.counts = np.bincount(code, teaches, len(self.words)).astype(np.int64)
-        inner = np.ones(len(code), bool)
-        inner[np.cumsum(per_text) - 1] = False  # nothing follows an end
-        at = np.flatnonzero(inner[:-1]) if len(code) else np.zeros(0, np.int64)
-        joined = code[at] * len(self.words) + code[at + 1]
-        self.pairs, which = np.unique(joined, return_inverse=True)
-        self.pair_counts = np.bincount(which, teaches[at], len(self.pairs)).astype(np.int64)
-        self.first, self.second = (self.pairs // max(len(self.words), 1)), (self.pairs % max(len(self.words), 1))
-        self.fan = np.bincount(self.first, minlength=len(self.words))
-
-
 def follower_code(hashes: np.ndarray) -> np.ndarray:
-    """32 bits of a word's hash: enough to tell the followers of one word apart."""
+    """32 bits of a word's hash: enough to tell the followers of one state apart."""
     return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
-def _ask(block: int, p: Pairs, owners: int) -> pa.RecordBatch:
-    """A message to each owner: its words with counts, and the followers of each with counts."""
-    owner = (p.words % np.uint64(owners)).astype(np.int64)
-    order = np.argsort(owner, kind="stable")
-    cuts = np.searchsorted(owner[order], np.arange(owners + 1))
-    starts = np.r_[0, np.cumsum(p.fan)]
-    codes = follower_code(p.words)[p.second]
-    columns: list[list] = [[] for _ in range(9)]
-    for o in range(owners):
-        mine = order[cuts[o] : cuts[o + 1]]
-        if not len(mine):
-            continue
-        pairs = _ranges(starts[mine], p.fan[mine])
-        row = (o, block, p.words[mine].tobytes(), *small(p.counts[mine]), *small(p.fan[mine]), codes[pairs].tobytes(), small(p.pair_counts[pairs]))
-        for c, v in zip(columns, row, strict=True):
-            c.append(v)
-    pair_low, pair_high = [x[0] for x in columns[8]], [x[1] for x in columns[8]]
-    arrays = [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[2:8]], pa.array(pair_low, pa.binary()), pa.array(pair_high, pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, names=ASKED)
-
-
-ASKED = ["owner", "block", "words", "counts", "counts_high", "fan", "fan_high", "followers", "pair_counts", "pair_counts_high"]
-ASKED_TYPE = "owner int, block long, words binary, counts binary, counts_high binary, fan binary, fan_high binary, followers binary, pair_counts binary, pair_counts_high binary"
-ANSWERED = ["owner", "block", "counts", "counts_high", "left", "arcs", "arc_counts", "arc_counts_high", "n_all", "n_kinds"]
-ANSWERED_TYPE = "owner int, block long, counts binary, counts_high binary, left binary, arcs binary, arc_counts binary, arc_counts_high binary, n_all long, n_kinds long"
+def gram_key(states: np.ndarray, followers: np.ndarray) -> np.ndarray:
+    """64-bit hashes of n-grams, from those of all words but the last and the last word's code."""
+    return mix(mix(states ^ np.uint64(0x9E3779B97F4A7C15)) + followers.astype(np.uint64))
 
 
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[0] .. +lengths[0]-1, starts[1] .. and so on."""
-    total = int(lengths.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    return np.arange(total) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+class Grams:
+    """Distinct n-grams of a block; each list has words first, then pairs and so on, sorted by key.
 
-
-def _answer(owner: int, messages: list[dict], discount: float, min_count: int) -> Iterator[pa.RecordBatch]:
-    """Sum what all blocks counted; tell each block what became of its words and pairs.
-
-    counts: of its words in training. left: for words with arcs, the share of
-    probability left to the failure arc, 1 for others. arcs: bits, whether the
-    pair is an arc; arc_counts: the counts of those.
+    code: the n-gram that ends at each token, -1 where the text has begun too
+    late. state and suffix: the n-gram of one word less without the last or the
+    first word.
     """
-    words = [np.frombuffer(m["words"], np.uint64) for m in messages]
-    fans = [unsmall(m["fan"], m["fan_high"]) for m in messages]
-    every, which = np.unique(np.concatenate(words), return_inverse=True)
+
+    def __init__(self, hashes: np.ndarray, per_text: np.ndarray, training: np.ndarray, order: int):
+        teaches = np.repeat(training, per_text)
+        place = np.arange(len(hashes)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+        words, code = np.unique(hashes, return_inverse=True)
+        self.keys, self.code, self.counts = [words], [code], [np.bincount(code, teaches, len(words)).astype(np.int64)]
+        self.state, self.suffix, self.follower = [None], [None], [None]
+        for n in range(1, order):
+            at = np.flatnonzero(place >= n)
+            before, last = self.code[-1], follower_code(hashes[at])
+            keys, first, which = np.unique(gram_key(self.keys[-1][before[at - 1]], last), return_index=True, return_inverse=True)
+            code = np.full(len(hashes), -1, np.int64)
+            code[at] = which
+            self.keys.append(keys)
+            self.code.append(code)
+            self.counts.append(np.bincount(which, teaches[at], len(keys)).astype(np.int64))
+            self.state.append(before[at[first] - 1])
+            self.suffix.append(before[at[first]])
+            self.follower.append(last[first])
+
+    def owned(self, owners: int) -> list[list[np.ndarray]]:
+        """For each order and owner the places of its n-grams, in order of keys."""
+        return [_owned(k, owners) for k in self.keys]
+
+
+def _owned(keys: np.ndarray, owners: int) -> list[np.ndarray]:
+    owner = (keys % np.uint64(owners)).astype(np.int64)
+    by_owner = np.argsort(owner, kind="stable")
+    return np.split(by_owner, np.searchsorted(owner[by_owner], np.arange(1, owners)))
+
+
+ASKED = pa.schema([("owner", pa.int32()), ("block", pa.int64()), ("n_states", pa.int64()), *[(c, pa.binary()) for c in ("words", "states", "followers", "counts", "counts_high")]])
+ASKED_TYPE = "owner int, block long, n_states long, words binary, states binary, followers binary, counts binary, counts_high binary"
+#: What owners send. SUMS: to the owner of states, what the arcs of each sum to; STATES: to itself, all states it owns;
+#: HELD: to itself, which of them a block has; COUNTS and LEFT: to a block, of its n-grams and of its states.
+SUMS, STATES, HELD, COUNTS, LEFT, TEXT = range(6)
+TOLD = ["keys", "low", "high", "mass_low", "mass_high"]
+TOLD_SCHEMA = pa.schema([("owner", pa.int32()), ("block", pa.int64()), ("role", pa.int32()), *[(c, pa.binary()) for c in TOLD], ("n_all", pa.int64()), ("n_kinds", pa.int64())])
+TOLD_TYPE = "owner int, block long, role int, keys binary, low binary, high binary, mass_low binary, mass_high binary, n_all long, n_kinds long"
+
+
+def _told(owner: int, block: int, role: int, keys: bytes = b"", kinds: tuple = (b"", b""), mass: tuple = (b"", b""), n_all: int = 0, n_kinds: int = 0) -> pa.RecordBatch:
+    row = (owner, block, role, keys, *kinds, *mass, n_all, n_kinds)
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, TOLD_SCHEMA.types, strict=True)], schema=TOLD_SCHEMA)
+
+
+def _ask(block: int, g: Grams, owners: int) -> pa.RecordBatch:
+    """A message to each owner: its words, its longer n-grams as state and last word, and the counts of all."""
+    owned = g.owned(owners)
+    rows = []
+    for o in range(owners):
+        mine = [places[o] for places in owned]
+        if not any(map(len, mine)):
+            continue
+        states = [g.keys[n - 1][g.state[n][mine[n]]] for n in range(1, len(mine))]
+        followers = [g.follower[n][mine[n]] for n in range(1, len(mine))]
+        counts = np.concatenate([c[m] for c, m in zip(g.counts, mine, strict=True)])
+        rows.append((o, block, sum(map(len, mine[:-1])), g.keys[0][mine[0]].tobytes(), b"".join(x.tobytes() for x in states), b"".join(x.tobytes() for x in followers), *small(counts)))
+    columns = zip(*rows, strict=True) if rows else [[]] * len(ASKED)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, ASKED.types, strict=True)], schema=ASKED)
+
+
+def _sum(owner: int, messages: list[dict], owners: int, min_count: int) -> Iterator[pa.RecordBatch]:
+    """Sum what all blocks counted, tell the blocks, and tell the owners of states what their arcs sum to."""
+    keys, states, longer = [], [], []
+    for m in messages:
+        words, s = np.frombuffer(m["words"], np.uint64), np.frombuffer(m["states"], np.uint64)
+        keys.append(np.concatenate([words, gram_key(s, np.frombuffer(m["followers"], np.uint32))]))
+        states.append(np.concatenate([np.zeros(len(words), np.uint64), s]))
+        longer.append(np.arange(len(keys[-1])) >= len(words))
+    every, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     counts = np.bincount(which, np.concatenate([unsmall(m["counts"], m["counts_high"]) for m in messages]), len(every)).astype(np.int64)
-    pair_words = np.repeat(which, np.concatenate(fans))
-    followers = np.concatenate([np.frombuffer(m["followers"], np.uint32) for m in messages])
-    pairs, pair_of = np.unique(pair_words.astype(np.uint64) << np.uint64(32) | followers, return_inverse=True)
-    pair_counts = np.bincount(pair_of, np.concatenate([unsmall(m["pair_counts"], m["pair_counts_high"]) for m in messages]), len(pairs)).astype(np.int64)
-    arc = pair_counts >= min_count
-    first = (pairs >> np.uint64(32)).astype(np.int64)
-    gone = np.bincount(first[arc], pair_counts[arc] - discount, len(every))
-    left = np.where(counts > 0, 1.0 - gone / np.maximum(counts, 1), 1.0)
-    n_all, n_kinds = int(counts.sum()), int((counts > 0).sum())
-    del followers, pair_words
-    a = b = 0
-    for m, w, f in zip(messages, words, fans, strict=True):
-        mine, own = which[a : a + len(w)], pair_of[b : b + int(f.sum())]
-        a, b = a + len(w), b + len(own)
-        low, high = small(counts[mine])
-        kept = arc[own]
-        arc_low, arc_high = small(pair_counts[own][kept])
-        row = [owner, m["block"], low, high, left[mine].astype("<f8").tobytes(), np.packbits(kept).tobytes(), arc_low, arc_high, n_all, n_kinds]
-        n_all = n_kinds = 0  # told once for each owner
-        yield pa.RecordBatch.from_pydict(dict(zip(ANSWERED, [[v] for v in row], strict=True)), schema=ANSWER_SCHEMA)
-
-
-ANSWER_SCHEMA = pa.schema([("owner", pa.int32()), ("block", pa.int64()), *[(c, pa.binary()) for c in ANSWERED[2:8]], ("n_all", pa.int64()), ("n_kinds", pa.int64())])
+    is_longer, state = np.concatenate(longer)[first], np.concatenate(states)[first]
+    del states, longer, first
+    arc = is_longer & (counts >= min_count)
+    of, at = np.unique(state[arc], return_inverse=True)
+    kinds, mass = np.bincount(at, minlength=len(of)), np.bincount(at, counts[arc], len(of)).astype(np.int64)
+    for o, mine in enumerate(_owned(of, owners)):
+        if len(mine):
+            yield _told(o, -1, SUMS, of[mine].tobytes(), small(kinds[mine]), small(mass[mine]))
+    del state, arc, of, at, kinds, mass
+    is_state = np.zeros(len(every), bool)
+    a = 0
+    for m, k in zip(messages, keys, strict=True):
+        is_state[which[a : a + m["n_states"]]] = True
+        a += len(k)
+    index = np.cumsum(is_state) - 1
+    known = counts[~is_longer]
+    yield _told(owner, -1, STATES, every[is_state].tobytes(), n_all=int(known.sum()), n_kinds=int((known > 0).sum()))
+    a = 0
+    for m, k in zip(messages, keys, strict=True):
+        mine = which[a : a + len(k)]
+        a += len(k)
+        yield _told(owner, m["block"], COUNTS, kinds=small(counts[mine]))
+        yield _told(owner, m["block"], HELD, index[mine[: m["n_states"]]].astype("<u4").tobytes())
+
+
+def _left(owner: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Tell each block number and counts of the arcs of its states."""
+    every = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows if r["role"] == STATES])
+    kinds, mass = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+    for r in rows:
+        if r["role"] == SUMS:
+            at = np.searchsorted(every, np.frombuffer(r["keys"], np.uint64))
+            kinds[at] += unsmall(r["low"], r["high"])
+            mass[at] += unsmall(r["mass_low"], r["mass_high"])
+    for r in rows:
+        if r["role"] == HELD:
+            mine = np.frombuffer(r["keys"], "<u4")
+            yield _told(owner, r["block"], LEFT, kinds=small(kinds[mine]), mass=small(mass[mine]))
 
 
 class Automaton:
     """The part of the model that the texts of one block can reach."""
 
-    def __init__(self, p: Pairs, answers: list[dict], owners: int, n_all: int, n_kinds: int, discount: float):
-        m = len(p.words)
-        self.counts, left = np.zeros(m, np.int64), np.ones(m)
-        owner = (p.words % np.uint64(owners)).astype(np.int64)
-        order = np.argsort(owner, kind="stable")
-        cuts = np.searchsorted(owner[order], np.arange(owners + 1))
-        starts = np.r_[0, np.cumsum(p.fan)]
-        pair_counts = np.zeros(len(p.pairs), np.int64)
-        for x in answers:
-            mine = order[cuts[x["owner"]] : cuts[x["owner"] + 1]]
-            self.counts[mine] = unsmall(x["counts"], x["counts_high"])
-            left[mine] = np.frombuffer(x["left"], "<f8")
-            pairs = _ranges(starts[mine], p.fan[mine])
-            kept = np.unpackbits(np.frombuffer(x["arcs"], np.uint8), count=len(pairs)).astype(bool)
-            pair_counts[pairs[kept]] = unsmall(x["arc_counts"], x["arc_counts_high"])
-        self.base = np.log10((self.counts + 1) / (n_all + n_kinds + 1))
-        root = (self.counts + 1) / (n_all + n_kinds + 1)
-        with np.errstate(divide="ignore"):
-            self.fail = np.log10(left)
-        arcs = np.flatnonzero(pair_counts)
-        first, second = p.first[arcs], p.second[arcs]
-        weight = np.log10((pair_counts[arcs] - discount) / self.counts[first] + left[first] * root[second])
-        self.m = m
-        self.arcs = dict(zip(p.pairs[arcs].tolist(), weight.tolist(), strict=True))
-
-    def traverse(self, code: list[int], root: list[float], fail: list[float]) -> float:
-        """log10 probability of a token sequence, from the root on."""
-        arcs, m = self.arcs.get, self.m
-        total, state = 0.0, -1
-        for token in code:
-            weight = arcs(state * m + token) if state >= 0 else None
-            if weight is None:  # no arc: along the failure arc to the root, and on from there
-                weight = root[token] + fail[state] if state >= 0 else root[token]
-            total += weight
-            state = token
-        return total
-
-
-def language_scores(docs: DataFrame, discount: float = DISCOUNT, min_count: int = MIN_COUNT, block_bytes: int = BLOCK_BYTES, owner_bytes: int = OWNER_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def __init__(self, g: Grams, told: list[dict], owners: int, n_all: int, n_kinds: int, discount: float, min_count: int):
+        counts, kinds, mass = ([np.zeros(len(k), np.int64) for k in g.keys] for _ in range(3))
+        owned = g.owned(owners)
+
+        def spread(into: list[np.ndarray], orders: int, owner: int, values: np.ndarray) -> None:
+            a = 0
+            for n in range(orders):
+                mine = owned[n][owner]
+                into[n][mine] = values[a : a + len(mine)]
+                a += len(mine)
+
+        for x in told:
+            if x["role"] == COUNTS:
+                spread(counts, len(counts), x["owner"], unsmall(x["low"], x["high"]))
+            else:
+                spread(kinds, len(counts) - 1, x["owner"], unsmall(x["low"], x["high"]))
+                spread(mass, len(counts) - 1, x["owner"], unsmall(x["mass_low"], x["mass_high"]))
+        self.g, self.known = g, counts[0] > 0
+        #: For each order the probability of the last word after the others: by the arc if there is one, or along failure arcs.
+        self.weight = [(counts[0] + 1) / (n_all + n_kinds + 1)]
+        for n in range(1, len(counts)):
+            seen = np.maximum(counts[n - 1], 1)
+            left = np.where(counts[n - 1] > 0, 1.0 - (mass[n - 1] - discount * kinds[n - 1]) / seen, 1.0)
+            arc = np.where(counts[n] >= min_count, (counts[n] - discount) / seen[g.state[n]], 0.0)
+            self.weight.append(arc + left[g.state[n]] * self.weight[-1][g.suffix[n]])
+
+    def traverse(self, order: int) -> np.ndarray:
+        """log10 probability of every token, from the root on, in states of fewer than `order` words."""
+        out = np.log10(self.weight[0])[self.g.code[0]]
+        for n in range(1, order):
+            at = np.flatnonzero(self.g.code[n] >= 0)
+            out[at] = np.log10(self.weight[n])[self.g.code[n][at]]
+        return out
+
+
+def language_scores(docs: DataFrame, discount: float = DISCOUNT, min_count: int = MIN_COUNT, order: int = 2, block_bytes: int = BLOCK_BYTES, owner_bytes: int = OWNER_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows outside the held-out fold. Tokens are ASCII_SPACE words
@@ -202,13 +236,13 @@ def language_scores(docs: DataFrame, discount: float = DISCOUNT, min_count: int
     alone. base_score is the add-one unigram log10 probability, score that of
     the automaton. Without training rows every token has probability 1. Repeated
     rows are scored alike and count as often as they stand there. Other columns
-    are not used. Words are told apart by 64-bit hashes, followers of one word
-    by 32 bits of theirs.
+    are not used. Words and states are told apart by 64-bit hashes, followers of
+    one state by 32 bits of theirs.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 100)
     fed = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     size = fed.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    blocks, owners = max(1, -(-size // block_bytes)), max(1, -(-size // owner_bytes))
+    blocks, owners = max(1, -(-size // block_bytes)), max(1, -(-size * (order - 1) // owner_bytes))
     dealt = fed.withColumn("block", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(blocks)))
 
     def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -230,42 +264,42 @@ def language_scores(docs: DataFrame, discount: float = DISCOUNT, min_count: int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in whole_blocks(batches):
             hashes, per_text = tokens_of(rows.column("text").to_pylist())
-            yield _ask(block, Pairs(hashes, per_text, ~rows.column("held_out").to_numpy(zero_copy_only=False)), owners)
+            yield _ask(block, Grams(hashes, per_text, ~rows.column("held_out").to_numpy(zero_copy_only=False), order), owners)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[dict]] = {}
-        for batch in batches:
-            for m in batch.to_pylist():
-                held.setdefault(m["owner"], []).append(m)
-        for owner in sorted(held):
-            yield from _answer(owner, held.pop(owner), discount, min_count)
+        for owner, messages in whole_blocks(batches):
+            yield from _sum(owner, messages.to_pylist(), owners, min_count)
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for owner, rows in whole_blocks(batches):
+            yield from _left(owner, rows.to_pylist())
 
     in_blocks = lambda columns: dealt.select("block", *columns).repartition(max(1, blocks // 2), "block").sortWithinPartitions("block")
+    # a partition may have several owners: sorted, one is held at a time
+    by_owner = lambda df: df.repartition(owners, "owner").sortWithinPartitions("owner")
     asked = in_blocks(["held_out", "text"]).mapInArrow(count, ASKED_TYPE)
-    answers = cut_lineage(asked.repartition(owners, "owner").mapInArrow(own, ANSWERED_TYPE))
-    totals = answers.agg(F.coalesce(F.sum("n_all"), F.lit(0)).alias("n_all"), F.coalesce(F.sum("n_kinds"), F.lit(0)).alias("n_kinds")).first()
+    summed = cut_lineage(by_owner(asked).mapInArrow(own, TOLD_TYPE))
+    totals = summed.agg(F.coalesce(F.sum("n_all"), F.lit(0)).alias("n_all"), F.coalesce(F.sum("n_kinds"), F.lit(0)).alias("n_kinds")).first()
     n_all, n_kinds = totals["n_all"], totals["n_kinds"]
+    left = by_owner(summed.filter(F.col("role").isin(SUMS, STATES, HELD))).mapInArrow(states, TOLD_TYPE)
 
-    texts = dealt.select("block", F.lit(1).alias("role"), F.col("doc_id"), "held_out", "text", *[F.lit(None).cast(t).alias(c) for c, t in (("owner", "int"), *[(c, "binary") for c in ANSWERED[2:8]])])
-    told = answers.select("block", F.lit(0).alias("role"), F.lit(None).cast(docs.schema[id_col].dataType).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("binary").alias("text"), "owner", *ANSWERED[2:8])
+    texts = dealt.select("block", F.lit(TEXT).alias("role"), F.col("doc_id"), "held_out", "text", *[F.lit(None).cast(t).alias(c) for c, t in (("owner", "int"), *[(c, "binary") for c in TOLD[1:]])])
+    told = summed.filter(F.col("role") == COUNTS).unionByName(left).select("block", "role", F.lit(None).cast(docs.schema[id_col].dataType).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("binary").alias("text"), "owner", *TOLD[1:])
     met = texts.unionByName(told).repartition(max(1, blocks // 2), "block").sortWithinPartitions("block", "role")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in whole_blocks(batches):
             role = rows.column("role").to_numpy()
-            split = int((role == 0).sum())
-            replies = rows.slice(0, split).select(["owner", *ANSWERED[2:8]]).to_pylist()
+            split = int((role != TEXT).sum())
+            replies = rows.slice(0, split).select(["owner", "role", *TOLD[1:]]).to_pylist()
             mine = rows.slice(split)
             hashes, per_text = tokens_of(mine.column("text").to_pylist())
-            p = Pairs(hashes, per_text, ~mine.column("held_out").to_numpy(zero_copy_only=False))
-            model = Automaton(p, replies, owners, n_all, n_kinds, discount)
+            g = Grams(hashes, per_text, ~mine.column("held_out").to_numpy(zero_copy_only=False), order)
+            model = Automaton(g, replies, owners, n_all, n_kinds, discount, min_count)
             del replies, hashes
-            ends = np.cumsum(per_text)
-            begins = ends - per_text
-            base = np.add.reduceat(model.base[p.code], begins) if len(begins) else np.zeros(0)
-            known = np.add.reduceat((model.counts > 0)[p.code].astype(np.int64), begins) if len(begins) else np.zeros(0, np.int64)
-            root, fail = model.base.tolist(), model.fail.tolist()
-            scores = [model.traverse(p.code[a:b].tolist(), root, fail) for a, b in zip(begins, ends, strict=True)]
+            begins = np.cumsum(per_text) - per_text
+            base, scores = (np.add.reduceat(model.traverse(n), begins) if len(begins) else np.zeros(0) for n in (1, order))
+            known = np.add.reduceat(model.known[g.code[0]].astype(np.int64), begins) if len(begins) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [mine.column("doc_id").combine_chunks(), mine.column("held_out").combine_chunks(), pa.array(per_text, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64())],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
