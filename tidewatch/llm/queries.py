@@ -46,8 +46,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its unigram and its automaton score."""
-    return language_scores(table(spark, sf_dir, "documents"))
+    """Every document with its unigram score and that of the automaton of order 3 with all its n-grams."""
+    return language_scores(table(spark, sf_dir, "documents"), order=3, min_count=1)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
