@@ -355,6 +355,15 @@ def test_licenses(docs, rows, empty):
     assert licenses.scan_licenses(empty).collect() == []
 
 
+def test_license_rules_reach_as_far_as_their_patterns(spark):
+    """A holder of many short words, and one that is too long for the pattern."""
+    holder = "the a b c d e f g h i j k l m n o p q r"
+    texts = [f"Neither the name of {holder} nor the names of its contributors", f"Neither the name of {holder * 4} nor the names of x", "You should have received a copy of the GNU Lesser General Public License"]
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert "bsd-3-clause" in got[0] and "bsd-3-clause" not in got[1] and "lgpl-notice" in got[2]
+    assert len(licenses.parse_rules()) > 200
+
+
 def test_license_rules_resolve_overlaps(spark):
     texts = ["licensed under the Apache License, Version 2.0.", "the Apache License", "GNU Lesser General Public License v2.1 or MPL 2.0", "cc by-nc-sa 4.0", "Copyright (c) 2020 X. All rights reserved.", "mit and apache and gnu", "SPDX-License-Identifier: MIT"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -9,6 +9,7 @@ rule.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.text import NOT_ALNUM, lower_az, split_words
 
-REACH = 16
 #: phrase -> label; places of these are reported whatever the rules say.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
@@ -44,6 +44,32 @@ RULES = r"""
 1 | gfdl | permission | is granted to copy distribute and or modify this document
 1 | cc0-1.0 | cc0 | 1 0 universal
 1 | artistic-2.0 | artistic | license 2 0
+1 | bsd-4-clause | advertising | materials mentioning features or use of this software
+1 | bsd-binary | redistributions | in binary form must reproduce the above copyright notice
+1 | bsd-retain | redistributions | of source code must retain the above copyright notice
+1 | mit-notice | above | copyright notice and this permission notice shall be included
+1 | isc-disclaimer | author | disclaims all warranties with regard to this software
+1 | agpl-grant | program | is licensed under the gnu affero general public license
+1 | gpl-notice | you | should have received a copy of the gnu general public license
+1 | lgpl-notice | you | should have received a copy of the gnu lesser general public license
+1 | gpl-warranty | hope | that it will be useful but without any warranty
+1 | apache-notice | distributed | on an as is basis without warranties or conditions of any kind
+1 | apache-notice | unless | required by applicable law or agreed to in writing
+1 | mpl-notice | copy | of the mpl was not distributed with this file
+1 | zlib-origin | origin | of this software must not be misrepresented
+1 | bsl-1.0-grant | permission | is hereby granted free of charge to any person or organization obtaining a copy
+1 | postgresql-grant | permission | to use copy modify and distribute this software and its documentation for any purpose without fee
+1 | cc-by-grant | licensed | under (a|the) creative commons attribution
+1 | public-domain-grant | dedicated | to the public domain
+1 | public-domain-grant | released | into the public domain
+1 | beerware | buy | me a beer in return
+1 | json | software | shall be used for good not evil
+1 | php-notice | product | includes php software freely available from
+1 | openssl-notice | product | includes software developed by the openssl project
+1 | apache-1.1-notice | product | includes software developed by the apache software foundation
+1 | ofl-reserved | reserved | font name
+1 | bsl-1.1-change | change | date .{0,60}?change license
+1 | elastic-limit | provide | the software to third parties as a hosted or managed service
 2 | gpl-3.0 | gpl | v?3( 0)?( only| or later)?
 2 | gpl-2.0 | gpl | v?2( 0)?( only| or later)?
 2 | gpl-1.0 | gpl | v?1( 0)?( only| or later)?
@@ -140,6 +166,45 @@ RULES = r"""
 2 | elastic-2.0 | elastic | license (version |v)?2( 0)?
 2 | sspl-1.0 | server | side public license (version |v)?1
 2 | unicode-dfs-2016 | unicode | license agreement data files and software
+2 | cecill-2.1 | cecill | (version |v)?2 1
+2 | cecill-2.0 | cecill | (version |v)?2 0
+2 | cecill-b | cecill | b
+2 | cecill-c | cecill | c
+2 | lppl-1.3 | latex | project public licen[cs]e (version |v)?1 3[a-c]?
+2 | lppl-1.3 | lppl | (version |v)?1 3[a-c]?
+2 | ncsa | ncsa | open source licen[cs]e
+2 | ms-rl | microsoft | reciprocal licen[cs]e
+2 | qpl-1.0 | q | public licen[cs]e (version |v)?1 0
+2 | ipl-1.0 | ibm | public licen[cs]e (version |v)?1 0
+2 | npl-1.1 | netscape | public licen[cs]e (version |v)?1 1
+2 | spl-1.0 | sun | public licen[cs]e (version |v)?1 0
+2 | sissl | sun | industry standards source licen[cs]e
+2 | apsl-2.0 | apple | public source licen[cs]e (version |v)?2 0
+2 | cpal-1.0 | common | public attribution licen[cs]e (version |v)?1 0
+2 | rpl-1.5 | reciprocal | public licen[cs]e (version |v)?1 5
+2 | upl-1.0 | universal | permissive licen[cs]e (version |v)?1 0
+2 | mulan-psl-2.0 | mulan | permissive software licen[cs]e (version |v)?2
+2 | blueoak-1.0.0 | blue | oak model licen[cs]e 1 0 0
+2 | polyform-nc-1.0 | polyform | noncommercial licen[cs]e 1 0 0
+2 | pddl-1.0 | open | data commons public domain dedication
+2 | ogl-uk-3.0 | open | government licen[cs]e (version |v)?3 0
+2 | etalab-2.0 | licence | ouverte (version |v)?2 0
+2 | w3c | w3c | software (and document )?(notice and )?licen[cs]e
+2 | openldap-2.8 | openldap | public licen[cs]e (version |v)?2 8
+2 | hpnd | historical | permission notice and disclaimer
+3 | cecill | cecill | licen[cs]e
+3 | lppl | latex | project public licen[cs]e
+3 | ijg | independent | jpeg group
+3 | libpng | libpng | licen[cs]e
+3 | curl | curl | licen[cs]e
+3 | perl | same | terms as perl
+3 | tcl | tcl | tk licen[cs]e
+3 | vim | vim | licen[cs]e
+3 | intel | intel | open source licen[cs]e
+3 | nvidia | nvidia | (software )?licen[cs]e
+3 | fair | fair | licen[cs]e
+3 | llama | llama | [0-9]? ?community licen[cs]e
+3 | openrail | openrail | (m )?licen[cs]e
 3 | gpl | gnu | general public licen[cs]e
 3 | gpl | gnu | gpl
 3 | gpl | gpl | licen[cs]ed?
@@ -223,6 +288,12 @@ def parse_rules(text: str = RULES) -> list[Rule]:
     return out
 
 
+def reach(rule: Rule) -> int:
+    """Most words that a rule's pattern can match: one for each space, and every second character of a gap may be one."""
+    gaps = re.findall(r"\.\{0,(\d+)\}", rule.pattern)
+    return 1 + rule.pattern.removesuffix("(?= )").count(" ") + sum(int(n) // 2 + 1 for n in gaps)
+
+
 def _rule_array(rules: list[Rule]) -> Column:
     return F.array(*[F.struct(F.lit(n).alias("n"), F.lit(r.tier).alias("tier"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern")) for n, r in enumerate(rules)])
 
@@ -253,17 +324,20 @@ def scan_licenses(docs: DataFrame, rules: list[Rule] | None = None, text_col: st
     as independent by tier). Words are runs of digits, a-z and non-ASCII
     characters after lowering A-Z. A null or empty text has no words and no
     findings. Repeated rows are handled alike; ties between equal intervals go to
-    the earlier rule. Rules see the words of at most 16 from their keyword on.
-    Added columns replace input columns of the same names.
+    the earlier rule. Rules see as many words from their keyword on as its patterns
+    can match. Added columns replace input columns of the same names.
     """
     rules = parse_rules() if rules is None else rules
     keywords = sorted({r.keyword for r in rules} | {p.split()[0] for p in PHRASES})
+    reaches = {k: max((reach(r) for r in rules if r.keyword == k), default=1) for k in keywords}
+    longest = max(reaches.values())
+    reach_of = F.create_map(*[F.lit(v) for kv in reaches.items() for v in kv])
     added = ["n_words", "base", "found", "base_labels", "labels", "score"]
     worded = docs.drop(*added).withColumn("_words", split_words(lower_az(F.col(text_col)), NOT_ALNUM))
     words = F.col("_words")
     spots = worded.withColumn("_at", F.when(F.size(words) > 0, F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(keywords))).otherwise(F.array().cast("array<int>")))
     base = F.filter(F.transform("_at", lambda i: F.struct(i.alias("at"), _phrase_at(words, i).alias("label"))), lambda x: x["label"].isNotNull())
-    near = F.transform("_at", lambda i: F.struct(i.alias("at"), F.get(words, i).alias("word"), F.concat(F.array_join(F.slice(words, i + 1, REACH), " "), F.lit(" ")).alias("near")))
+    near = F.transform("_at", lambda i: F.struct(i.alias("at"), F.get(words, i).alias("word"), F.concat(F.array_join(F.slice(words, i + 1, F.element_at(reach_of, F.get(words, i))), " "), F.lit(" ")).alias("near")))
 
     def detections(x: Column) -> Column:
         own = F.filter(_rule_array(rules), lambda r: r["keyword"] == x["word"])
@@ -280,9 +354,9 @@ def scan_licenses(docs: DataFrame, rules: list[Rule] | None = None, text_col: st
         better = (o["tier"] < d["tier"]) | ((o["tier"] == d["tier"]) & ((length_o > length_d) | ((length_o == length_d) & (o["n"] < d["n"]))))
         return (o["at"] <= d["at"]) & (o["to"] >= d["to"]) & better
 
-    # An interval spans at most REACH words, so only the REACH groups up to its own can contain it.
-    reach = F.transform("_groups", lambda g, j: F.filter(g, lambda d: ~F.exists(F.flatten(F.slice("_groups", F.greatest(j + 2 - REACH, F.lit(1)), F.least(j + 1, F.lit(REACH)))), lambda o: inside(d, o))))
-    done = groups.withColumn("found", F.flatten(reach))
+    # An interval spans at most `longest` words, so only that many groups up to its own can contain it.
+    standing = F.transform("_groups", lambda g, j: F.filter(g, lambda d: ~F.exists(F.flatten(F.slice("_groups", F.greatest(j + 2 - longest, F.lit(1)), F.least(j + 1, F.lit(longest)))), lambda o: inside(d, o))))
+    done = groups.withColumn("found", F.flatten(standing))
     miss = F.aggregate("found", F.lit(1.0), lambda p, d: p * (F.lit(1.0) - F.element_at(F.create_map(*[F.lit(v) for kv in CONFIDENCE.items() for v in kv]), d["tier"])))
     return (
         done.withColumn("n_words", F.size("_words").cast("long"))
