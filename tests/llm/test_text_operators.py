@@ -454,6 +454,16 @@ def test_language_id(spark, docs, empty):
     assert {r["lang_pred"] for r in nothing} == {"und"}
 
 
+def test_language_id_means_the_same_at_every_length(spark):
+    docs = text.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    known = langid.language_dictionaries(docs)
+    once = docs.filter("length(text) between 3000 and 4000 and lang is not null").limit(20).select("doc_id", F.concat("text", F.lit(" ")).alias("text")).cache()
+    short, long = (sorted((r["doc_id"], r["lang_pred"], r["score"], r["margin"]) for r in langid.identify(d, known).collect()) for d in (once, once.withColumn("text", F.repeat("text", 30))))
+    assert len(short) == 20
+    for a, b in zip(short, long, strict=True):
+        assert a[:2] == b[:2] and b[2] == pytest.approx(a[2], rel=0.1) and b[3] == pytest.approx(a[3], rel=0.25)
+
+
 def test_language_id_on_held_out_documents(spark):
     rows = langid.predict_language(text.table(spark, "/root/testdata/sf0.01", "documents")).filter("held_out").select("lang", "lang_pred", "rejected").collect()
     right = [r["lang"] == r["lang_pred"] for r in rows]

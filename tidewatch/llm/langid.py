@@ -24,6 +24,7 @@ LEVEL = 5
 NARROW = 0.01
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 5, 0
+PIECE_BYTES = 1_000
 
 
 #: Bytes of ASCII characters other than letters become spaces, so that only words are compared.
@@ -34,6 +35,13 @@ def letters(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace").translate(SPACED)
 
 
+def pieces(text: bytes, most: int = PIECE_BYTES) -> list[bytes]:
+    """The whole text in equal pieces of about `most` bytes: a dictionary helps each of them alike, however long the text is."""
+    n = max(1, round(len(text) / most))
+    cuts = [len(text) * k // n for k in range(n + 1)]
+    return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def held_out(id_col: str = "doc_id", folds: int = FOLDS, fold: int = HELD_OUT):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
@@ -86,7 +94,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL
                 if text is None or not coders:
                     got = (UNKNOWN, 0.0, 0.0, True)
                 else:
-                    sizes = np.array([len(c.compress(text)) for c in coders], float)
+                    parts = pieces(text)
+                    sizes = np.array([sum(len(c.compress(part)) for part in parts) for c in coders], float)
                     best = int(sizes.argmin())
                     gap = float((np.delete(sizes, best).min() - sizes[best]) / max(len(text), 1)) if len(sizes) > 1 else 1.0
                     weight = np.exp((sizes.min() - sizes) * 8 / max(16.0, sizes.min()))
@@ -103,7 +112,7 @@ def predict_language(docs: DataFrame, folds: int = FOLDS, fold: int = HELD_OUT,
 
     Learns from the rows outside the held-out fold only and looks at nothing but
     the text in a prediction. lang_pred is the language whose dictionary encodes
-    the whole text smallest (ties: the one with most training rows); `und` with score 0 for a
+    the pieces of the whole text smallest (ties: the one with most training rows); `und` with score 0 for a
     text that is null or has no letter, or if nothing could be learned. margin
     is how many bytes a byte of text the runner-up needs more; below `narrow`
     the row is marked rejected, its prediction stays. Repeated rows are handled
