@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import sql
+from tidewatch.llm.convrepair import repair_report
 from tidewatch.llm.decontaminate import decontaminate
 from tidewatch.llm.htmltext import extract
 from tidewatch.llm.jaccardjoin import near_duplicates
@@ -91,6 +92,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by rule, with its faults and its cheapest repair."""
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_html_extraction,
         op10_language_id,
+        op11_conversation_repair,
     )
 }
 ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": sql.OP1, "op3_benchmark_decontamination": sql.OP3, "op4_line_dedup": sql.OP4, "op6_source_mixing": sql.OP6}
