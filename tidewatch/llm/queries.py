@@ -19,6 +19,7 @@ from tidewatch.llm.lm import language_scores
 from tidewatch.llm.mixing import mix
 from tidewatch.llm.quality import fit_on_labels, score_quality
 from tidewatch.llm.text import table
+from tidewatch.llm.tokenalign import align
 from tidewatch.llm.tokenfiles import token_rows
 
 
@@ -97,6 +98,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(table(spark, sf_dir, "conversations"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the groups and links of its tokens under two tokenizers."""
+    found, _ = align(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -111,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_html_extraction,
         op10_language_id,
         op11_conversation_repair,
+        op12_token_alignment,
     )
 }
 ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": sql.OP1, "op3_benchmark_decontamination": sql.OP3, "op4_line_dedup": sql.OP4, "op6_source_mixing": sql.OP6}

@@ -108,9 +108,10 @@ class Encoder:
     newline, NUL, or the name of a special token go to the library as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
+        self.cached = cached
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.parted = self._ids("\0")
@@ -159,8 +160,8 @@ class Encoder:
         try:
             return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), self.kind).astype("<u4")
         except KeyError:
-            if len(self.known) > CACHE_PIECES:  # what came first is what comes often
-                self.known = dict(islice(self.known.items(), CACHE_PIECES * 3 // 4))
+            if len(self.known) > self.cached:  # what came first is what comes often
+                self.known = dict(islice(self.known.items(), self.cached * 3 // 4))
             new = [p for p in dict.fromkeys(pieces) if p not in self.known]
             if any(p.split() != [p[1:] if p[:1] in " \n" else p] for p in new):  # white space at an end or next to other white space
                 return self._ids(text)
