@@ -18,6 +18,7 @@ from tidewatch.llm.linededup import drop_repeated_lines
 from tidewatch.llm.lm import language_scores
 from tidewatch.llm.mixing import mix
 from tidewatch.llm.quality import fit_on_labels, score_quality
+from tidewatch.llm.qualityrank import classify_quality
 from tidewatch.llm.text import table
 from tidewatch.llm.tokenalign import align
 from tidewatch.llm.tokenfiles import token_rows
@@ -104,6 +105,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("groups", "groups_sha256")
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its quality score from pairwise ranking."""
+    done = classify_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return done.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -119,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_language_id,
         op11_conversation_repair,
         op12_token_alignment,
+        op13_quality_classifier,
     )
 }
 ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": sql.OP1, "op3_benchmark_decontamination": sql.OP3, "op4_line_dedup": sql.OP4, "op6_source_mixing": sql.OP6}
