@@ -1,16 +1,22 @@
 """Streams fed from files must end where the batch operators end."""
 
+import datetime
+import json
+import random
+
 import pytest
 from conftest import TINY, same
 from pyspark.sql import functions as F
 
 from tidewatch.operators import drift as D
+from tidewatch.operators import features as X
 from tidewatch.operators import serving as P
 from tidewatch.operators import transform as T
-from tidewatch.operators.ordering import Layout, cut_lineage
+from tidewatch.operators.ordering import Layout, cut_lineage, newest
 from tidewatch.params import DEFAULTS
 from tidewatch.plans import views as V
 from tidewatch.streaming import jobs as S
+from tidewatch.streaming import stateful as Q
 
 CLOSER = "2025-01-01"
 
@@ -61,12 +67,58 @@ def test_mirror_is_idempotent(spark, landed, tmp_path):
 def test_alerts(spark, landed, tmp_path):
     raw, path, _ = landed
     params = DEFAULTS.with_(alert_cooldown=7200)
-    S.start(S.alert_stream(stream(spark, path), "mem_percent", params), f"{tmp_path}/c", path=f"{tmp_path}/o").awaitTermination()
+    S.start(Q.alert_stream(stream(spark, path), "mem_percent", params), f"{tmp_path}/c", path=f"{tmp_path}/o").awaitTermination()
     high = raw.where("mem_percent > 80").select("series_key", "id", "ts")
     want = D.cooldown(high, ["series_key"], "ts", "id", 7200, Layout()).where("accepted")
     same(spark.read.parquet(f"{tmp_path}/o").select("series_key", "ts"), want.select("series_key", "ts"))
 
 
+def test_alerts_do_not_depend_on_arrival(spark, tmp_path):
+    """Samples and consumers of one instant arrive apart and out of order; the payload has the heaviest three, ties by pid."""
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    samples = [("a", 1, at(0), 90.0), ("a", 3, at(50), 95.0), ("a", 2, at(50), 50.0), ("a", 4, at(30), 99.0), ("a", 5, at(100), 85.0), ("b", 6, at(10), None), ("b", 7, at(99), 81.0), ("a", 8, at(100_000), 0.0)]
+    consumers = [("a", at(0), p, f"n{p}", r) for p, r in ((1, 5.0), (2, 9.0), (3, 9.0), (4, None), (5, 7.0))] + [("a", at(100), 1, None, 1.0), ("b", at(10), 1, "x", 1.0), ("a", at(100_000), 1, "x", 1.0)]
+    left = "series_key string, id long, ts timestamp, mem_percent double"
+    right = "series_key string, ts timestamp, pid long, name string, rss_mb double"
+    for rows, schema, name in ((samples, left, "s"), (consumers, right, "c")):
+        for part in (rows[4:7] + rows[:1], rows[1:4], rows[7:]):
+            if part:
+                spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+    params = DEFAULTS.with_(alert_cooldown=60, alert_top_n=3)
+    got = S.start(Q.alert_stream(S.read_samples(spark, f"{tmp_path}/s", left, 1), "mem_percent", params, S.read_samples(spark, f"{tmp_path}/c", right, 1), "1 hour"), f"{tmp_path}/p", path=f"{tmp_path}/o")
+    got.awaitTermination()
+    fired = {(r["series_key"], r["ts"]): json.loads(r["process_payload"]) for r in spark.read.parquet(f"{tmp_path}/o").collect()}
+    assert set(fired) == {("a", at(0)), ("a", at(100)), ("b", at(99))}
+    assert [(c["pid"], c["rss_mb"]) for c in fired["a", at(0)]] == [(2, 9.0), (3, 9.0), (5, 7.0)]
+    assert fired["a", at(100)] == [{"pid": 1, "name": None, "rss_mb": 1.0}] and fired["b", at(99)] == []
+
+
+def test_online_vectors_after_every_batch(spark, tmp_path):
+    """After each batch the newest vectors are those the batch form finds in all rows so far; nulls and new segments included."""
+    rows, rng = [], random.Random(4)
+    for key, cuts in (("a", (40, 75)), ("b", (25,)), ("c", (5, 10, 60))):
+        for k in range(90):
+            segment = sum(k >= c for c in cuts)
+            rows.append((key, segment, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=3 * k + 1000 * segment), rng.uniform(0, 100), None if rng.random() < 0.1 else 50.0, rng.uniform(0, 9)))
+    schema = "series_key string, segment_id long, ts timestamp, cpu_percent double, mem_percent double, disk_read_mb_s double"
+    done = spark.createDataFrame(rows, schema)
+    spans = [(0, 30), (30, 31), (31, 70), (70, 90)]
+    parts = [spark.createDataFrame([r for i, r in enumerate(rows) if a <= i % 90 < b], schema) for a, b in spans]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    names, checked = X.feature_names("cpu_percent", done.columns), []
+
+    def check(batch, batch_id):
+        batch.write.mode("append").parquet(f"{tmp_path}/v")
+        so_far = spark.createDataFrame([r for i, r in enumerate(rows) if i % 90 < spans[batch_id][1]], schema)
+        want = X.serving_rows(X.feature_frame(so_far, "cpu_percent", Layout()), names).select("series_key", "segment_id", "ts", *names)
+        same(newest(batch.sparkSession.read.parquet(f"{tmp_path}/v"), ["series_key"], [F.desc("ts")]), want)
+        checked.append(want.count())
+
+    S.start(Q.online_vector_stream(S.read_samples(spark, f"{tmp_path}/in", schema, 1), "cpu_percent"), f"{tmp_path}/p", sink=check, mode="update").awaitTermination()
+    assert len(checked) == 4 and checked[-1] == 3
+
+
 def test_scoring(spark, landed, tmp_path):
     raw, path, _ = landed
     predictions = stream(spark, path).select("series_key", "id", F.col("ts").alias("predicted_for_ts"), (F.col("cpu_percent") * 0.9).alias("predicted"))

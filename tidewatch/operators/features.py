@@ -65,6 +65,24 @@ def feature_names(target: str, available: Sequence[str], params: Params = DEFAUL
     return names
 
 
+def complete_features(out: DataFrame, target: str, params: Params, available: Sequence[str]) -> DataFrame:
+    """Add what follows from a row that has its history's columns: trend, interactions, companions, calendar, encoded labels."""
+    more = {}
+    if target in params.quality_targets:
+        more[f"{target}_trend"] = F.col(f"{target}_ewma_fast") - F.col(f"{target}_ewma_slow")
+    if params.use_interactions:
+        more |= interaction_columns(target)
+        more |= {f"{t}_now": F.col(t) for t in params.forecast_targets if t != target and t in available}
+    if params.use_calendar:
+        more |= calendar_columns()
+    out = out.withColumns(more) if more else out
+    if params.encoding_enabled and params.encode_in_model:
+        if "regime" not in out.columns:
+            out = label_regimes(out, params=params)
+        out = encode(out, params)
+    return out
+
+
 def feature_frame(df: DataFrame, target: str, layout: Layout, params: Params = DEFAULTS) -> DataFrame:
     """Clean rows plus every feature and `target_next`, the value `target_shift` rows ahead in the segment.
 
@@ -85,19 +103,7 @@ def feature_frame(df: DataFrame, target: str, layout: Layout, params: Params = D
 
     reach = max(ewma_depth(params.roll_window), max(params.lags), params.roll_window)
     out = in_blocks(with_segment_position(df, layout), SEGMENT, "at", layout, build, reach, params.target_shift)
-    more = {}
-    if target in params.quality_targets:
-        more[f"{target}_trend"] = F.col(f"{target}_ewma_fast") - F.col(f"{target}_ewma_slow")
-    if params.use_interactions:
-        more |= interaction_columns(target)
-        more |= {f"{t}_now": F.col(t) for t in params.forecast_targets if t != target and t in clean_cols}
-    if params.use_calendar:
-        more |= calendar_columns()
-    out = out.withColumns(more) if more else out
-    if params.encoding_enabled and params.encode_in_model:
-        if "regime" not in out.columns:
-            out = label_regimes(out, params=params)
-        out = encode(out, params)
+    out = complete_features(out, target, params, clean_cols)
     extra = [c for c in ("regime",) if c in out.columns and c not in clean_cols]
     return out.select(*clean_cols, *extra, *[n for n in names if n not in clean_cols], LABEL)
 
