@@ -1,5 +1,6 @@
 """Hand-computed results on tables of a few rows."""
 
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -16,10 +17,12 @@ from tidewatch.operators import cost as Y
 from tidewatch.operators import drift as D
 from tidewatch.operators import encode as E
 from tidewatch.operators import features as X
+from tidewatch.operators import forest as W
 from tidewatch.operators import gate
 from tidewatch.operators import models as ML
 from tidewatch.operators import registry as J
 from tidewatch.operators import serving as P
+from tidewatch.operators import transform as T
 from tidewatch.operators.ordering import Layout
 from tidewatch.params import DEFAULTS
 from tidewatch.sources import readers as R
@@ -85,18 +88,40 @@ def test_hampel(spark):
     assert col(K.flag_outliers(df, ONE, CPU), "is_outlier") == [0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0]
 
 
+def smoothed(spark, values, span, layout=ONE):
+    """Exponential mean of one segment, in plain windows or in blocks."""
+    df = series(spark, values).withColumns({"segment_id": F.lit(0), "at": F.col("id")})
+    return col(T.exponential_means(df, {"y": ("cpu_percent", span)}, layout), "y")
+
+
 @pytest.mark.parametrize("span,want", [(3, [10, 15, 22.5, 31.25]), (10, [10, 11.818182, 15.123967, 19.646882])])
 def test_ewma(spark, span, want):
-    df = series(spark, [10.0, 20.0, 30.0, 40.0])
-    got = col(df.withColumn("y", C.ewma("cpu_percent", span, Window.partitionBy("series_key").orderBy("ts"))), "y")
-    assert got == pytest.approx(want, abs=1e-6)
+    assert smoothed(spark, [10.0, 20.0, 30.0, 40.0], span) == pytest.approx(want, abs=1e-6)
 
 
 def test_ewma_after_a_null(spark):
     """A gap of one ages the mean once more: (0.25*10 + 0.5*40) / 0.75."""
-    df = series(spark, [10.0, None, 40.0])
-    got = col(df.withColumn("y", C.ewma("cpu_percent", 3, Window.partitionBy("series_key").orderBy("ts"))), "y")
-    assert got == pytest.approx([10.0, 10.0, 30.0])
+    assert smoothed(spark, [10.0, None, 40.0], 3) == pytest.approx([10.0, 10.0, 30.0])
+
+
+@pytest.mark.parametrize("layout", [ONE, Layout((1e15,), 7), Layout((1e15,), 64)])
+def test_ewma_over_long_runs_of_nulls(spark, layout):
+    """A row at a time, over a run of 500 nulls, a null start and 300 dense rows; blocks of any size agree."""
+    rng = random.Random(6)
+    values = [None, None, *[rng.uniform(0, 100) for _ in range(40)], *[None] * 500, 80.0, *[rng.choice([None, rng.uniform(-50, 50)]) for _ in range(60)], *[rng.uniform(0, 9) for _ in range(300)]]
+    a, want, y, w = 2.0 / 11, [], None, 1.0
+    for x in values:
+        aged = w * (1 - a)
+        if y is None:
+            y, w = x, 1.0
+        elif x is None:
+            w = aged
+        else:
+            y, w = (aged * y + a * x) / (aged + a), 1.0
+        want.append(y)
+    got = smoothed(spark, values, 10, layout)
+    assert [g is None for g in got] == [v is None for v in want]
+    assert [g for g in got if g is not None] == pytest.approx([v for v in want if v is not None], abs=1e-9)
 
 
 def test_rolling_std(spark):
@@ -236,3 +261,20 @@ def test_segments_do_not_see_each_other(spark):
     bumped = base.withColumn("cpu_percent", F.when(F.col("segment_id") == 0, F.col("cpu_percent") * 3 + 1).otherwise(F.col("cpu_percent")))
     frames = [X.feature_frame(df, "cpu_percent", ONE).where("segment_id = 1") for df in (base, bumped)]
     assert frames[0].orderBy("ts").collect() == frames[1].orderBy("ts").collect()
+
+
+def test_stored_forest_is_the_fitted_one(spark):
+    """A boosted model and its rows predict alike; a missing feature or an unknown key gives null."""
+    rng = random.Random(8)
+    rows = [("a", i, rng.uniform(0, 9), rng.uniform(0, 9)) for i in range(300)]
+    train = spark.createDataFrame([(*r, r[2] * 2 + (r[3] > 4) * 5) for r in rows], "series_key string, rn long, x double, y double, target_next double")
+    model = ML.fit_boosting(train, ["x", "y"], n_estimators=6, max_depth=3, learning_rate=0.3)
+    stored = W.packed(W.forest_rows(model, ["x", "y"], spark).withColumn("series_key", F.lit("a")), ["series_key"])
+    want = {r["rn"]: r["predicted"] for r in ML.predict(model, train, ["x", "y"]).collect()}
+    got = {r["rn"]: r["predicted"] for r in W.predict_forest(train, stored).collect()}
+    assert got == pytest.approx(want) and stored.first()["needs"] == ["x", "y"]
+    odd = spark.createDataFrame([("a", 1, 2.0, None), ("b", 2, 2.0, 3.0)], "series_key string, rn long, x double, y double")
+    assert {r["predicted"] for r in W.predict_forest(odd, stored).collect()} == {None}
+    again = W.rescore_champions(train, stored).first()
+    mean = sum(abs(want[r["rn"]] - r["target_next"]) for r in train.collect()) / 300
+    assert again["champion_mae_same_window"] == pytest.approx(mean, abs=1e-4) and again["rows_scored"] == 300

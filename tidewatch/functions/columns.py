@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from tidewatch.params import DEFAULTS, Params, Resource
 
@@ -48,27 +47,17 @@ def ewma_depth(span: int) -> int:
     return math.ceil(60 * math.log(2) / -math.log(1 - 2.0 / (span + 1)))
 
 
-def ewma(x, span: int, ordered: WindowSpec) -> Column:
-    """Exponential mean y = a*x + (1-a)*y, a = 2/(span+1), started at the first value.
+def ewma_step(x, gap, span: int) -> tuple[Column, Column]:
+    """(factor, offset) by which a known value changes the mean: y -> factor * y + offset, `gap` rows after the last known value.
 
-    The frame is bounded by `ewma_depth`; older samples are below the last bit.
-    A null keeps the mean but ages it: the next value then weighs more.
+    a = 2/(span+1). Rows without a value keep the mean but age it, so the value
+    behind them weighs more. Without a gap the value itself starts the mean.
     """
-    a = F.lit(2.0 / (span + 1))
-    keep = F.lit(1.0 - 2.0 / (span + 1))
-    history = F.collect_list(F.struct(as_col(x).cast("double").alias("x"))).over(
-        ordered.rowsBetween(-ewma_depth(span), 0)
-    )
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("w"))
-
-    def step(acc, item):
-        aged = acc["w"] * keep
-        mixed = (aged * acc["y"] + a * item["x"]) / (aged + a)
-        y = F.when(acc["y"].isNull(), item["x"]).when(item["x"].isNull(), acc["y"]).otherwise(mixed)
-        w = F.when(acc["y"].isNotNull() & item["x"].isNull(), aged).otherwise(F.lit(1.0))
-        return F.struct(y.alias("y"), w.alias("w"))
-
-    return F.aggregate(history, start, step)["y"]
+    a, keep, x, gap = F.lit(2.0 / (span + 1)), F.lit(1.0 - 2.0 / (span + 1)), as_col(x).cast("double"), as_col(gap)
+    aged = F.pow(keep, gap)
+    factor = F.when(x.isNotNull(), F.coalesce(aged / (aged + a), F.lit(0.0)))
+    offset = F.when(x.isNotNull(), F.coalesce(a * x / (aged + a), x))
+    return factor, offset
 
 
 def sorted_percentile(values: Column, p: float) -> Column:

@@ -7,12 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.columns import ewma_depth
 from tidewatch.operators.cadence import SERIES
 from tidewatch.operators.clean import SEGMENT
 from tidewatch.operators.encode import all_encoded_names, encode
 from tidewatch.operators.ordering import Layout, add_position, in_blocks, newest, settle
-from tidewatch.operators.transform import derived_columns, label_regimes, seg_window, with_segment_position
+from tidewatch.operators.transform import derived_columns, ewma_specs, exponential_means, label_regimes, seg_window, with_segment_position
 from tidewatch.params import DEFAULTS, Params
 
 LABEL = "target_next"
@@ -101,8 +100,9 @@ def feature_frame(df: DataFrame, target: str, layout: Layout, params: Params = D
         cols[LABEL] = F.lead(target, params.target_shift).over(w)
         return frame.withColumns(cols)
 
-    reach = max(ewma_depth(params.roll_window), max(params.lags), params.roll_window)
-    out = in_blocks(with_segment_position(df, layout), SEGMENT, "at", layout, build, reach, params.target_shift)
+    smoothed = [target] if target in params.quality_targets else []
+    placed = exponential_means(with_segment_position(df, layout), ewma_specs(smoothed, params), layout)
+    out = in_blocks(placed, SEGMENT, "at", layout, build, max(*params.lags, params.roll_window), params.target_shift)
     out = complete_features(out, target, params, clean_cols)
     extra = [c for c in ("regime",) if c in out.columns and c not in clean_cols]
     return out.select(*clean_cols, *extra, *[n for n in names if n not in clean_cols], LABEL)
@@ -158,7 +158,13 @@ def serving_rows(frame: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def numbered(df: DataFrame, layout: Layout) -> DataFrame:
-    """Add `rn` (0-based place among the rows of the series) and `n` (their number)."""
+    """Add `rn` (0-based place among the rows of the series) and `n` (their number).
+
+    Sliced rows are settled first: conditions on many derived columns, such as
+    those of complete vectors, would be multiplied by the optimizer in the join
+    that places the rows.
+    """
+    df = settle(df, layout)
     return settle(add_position(df, [SERIES], ["ts"], layout, "rn", "n"), layout)
 
 

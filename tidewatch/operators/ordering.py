@@ -216,16 +216,19 @@ def in_blocks(
     if max(before, after) >= size:
         raise ValueError(f"halo of {max(before, after)} rows needs blocks larger than {size}")
     home, within = block_of(pos, layout), F.pmod(F.col(pos), F.lit(size))
+    # A copy says itself whether it is one: an equation of two block numbers would be
+    # multiplied by the optimizer through all that is derived from them.
+    whose = lambda block, own: F.struct(block.alias("block"), F.lit(own).alias("own"))
     copies = F.array_compact(
         F.array(
-            home,
-            F.when(within >= size - before, home + 1),
-            F.when(within < after, home - 1),
+            whose(home, True),
+            F.when(within >= size - before, whose(home + 1, False)),
+            F.when(within < after, whose(home - 1, False)),
         )
     )
-    spread = df.withColumn("_home", home).withColumn("_block", F.explode(copies))
+    spread = df.withColumn("_copy", F.explode(copies)).withColumns({"_block": F.col("_copy.block"), "_own": F.col("_copy.own")}).drop("_copy")
     done = fn(spread, [*keys, "_block"])
-    return done.where(F.col("_block") == F.col("_home")).drop("_block", "_home")
+    return done.where("_own").drop("_block", "_own")
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, pos: str, layout: Layout) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.cadence import SERIES
 from tidewatch.operators.clean import SEGMENT
+from tidewatch.operators.forest import forest_value, known_values, missing_needs
 from tidewatch.operators.ordering import Layout, add_position, in_blocks, newest, settle
 from tidewatch.params import DEFAULTS, Params
 
@@ -43,21 +44,26 @@ def predict_next(vectors: DataFrame, champion: DataFrame, target: str, params: P
 
     `vectors` has the feature columns and `definition_id`. A baseline champion
     repeats the newest value. A linear one brings `weights` (feature -> weight)
-    and `intercept`. A champion trained on another definition, one without
-    weights and one whose features the vector lacks are refused with a reason,
-    so no prediction is missing without an error.
+    and `intercept`, a forest its `trees` and `needs` (see `forest.packed`). A
+    champion trained on another definition, one without weights or trees and one
+    whose features the vector lacks are refused with a reason, so no prediction
+    is missing without an error.
     """
     joined = vectors.join(champion, list(keys))
+    known = known_values([c for c in vectors.columns if c.startswith(f"{target}_") or vectors.schema[c].dataType.simpleString() in ("double", "int", "bigint")])
     baseline = F.col("is_baseline")
     refused = ~baseline & F.col("feature_definition").isNotNull() & (F.col("feature_definition") != F.col("definition_id"))
     if "weights" in champion.columns:
-        known = F.create_map(*[x for c in vectors.columns if c.startswith(f"{target}_") or vectors.schema[c].dataType.simpleString() in ("double", "int", "bigint") for x in (F.lit(c), F.col(c).cast("double"))])
         names = F.map_keys("weights")
         terms = F.transform(names, lambda n: F.element_at("weights", n) * F.try_element_at(known, n))
         linear = F.col("intercept") + F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
         trained = F.col("weights").isNotNull()
     else:
         linear, trained = F.lit(None).cast("double"), F.lit(False)
+    if "trees" in champion.columns:
+        grown = F.col("trees").isNotNull()
+        linear = F.when(grown, F.when(~missing_needs(F.col("needs"), known), forest_value(F.col("trees"), known))).otherwise(linear)
+        trained = trained | grown
     error = (
         F.when(refused, F.lit("feature definition mismatch"))
         .when(~baseline & ~trained, F.lit("no model weights"))

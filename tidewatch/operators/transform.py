@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.columns import ewma, ewma_depth, headroom, regime_label
+from tidewatch.functions.columns import ewma_depth, ewma_step, headroom, regime_label
 from tidewatch.operators.cadence import SERIES
 from tidewatch.operators.clean import SEGMENT
 from tidewatch.operators.encode import encode
-from tidewatch.operators.ordering import SIZES, Layout, add_position, in_blocks, settle
+from tidewatch.operators.ordering import SIZES, Layout, add_position, block_of, in_blocks, settle
 from tidewatch.operators.percentiles import exact_percentiles, known
 from tidewatch.params import DEFAULTS, Params
 
@@ -33,18 +33,88 @@ def ewma_spans(params: Params) -> tuple[int, int]:
 
 
 def derived_columns(target: str, w, params: Params = DEFAULTS) -> dict:
-    """delta, rolling deviation, fast and slow exponential mean, headroom."""
-    fast, slow = ewma_spans(params)
+    """delta, rolling deviation, headroom; the exponential means are added by `exponential_means`."""
     frame = w.rowsBetween(-(params.roll_window - 1), 0)
     return {
         f"{target}_delta": F.col(target) - F.lag(target).over(w),
         f"{target}_roll_std": F.when(F.count(target).over(frame) >= 2, F.stddev_samp(target).over(frame)),
-        f"{target}_ewma_fast": ewma(target, fast, w),
-        f"{target}_ewma_slow": ewma(target, slow, w),
         f"{target}_headroom": headroom(target),
     }
 
 
+def ewma_specs(targets: Sequence[str], params: Params = DEFAULTS) -> dict[str, tuple[str, int]]:
+    fast, slow = ewma_spans(params)
+    return {f"{t}_ewma_{name}": (t, span) for t in targets for name, span in (("fast", fast), ("slow", slow))}
+
+
+def _composed(df: DataFrame, by: Sequence[str], order: str, pairs: dict[str, int]) -> DataFrame:
+    """Every (`_f_n`, `_o_n`) composed with the pairs before it in `by`, null pairs passed over; `pairs`: n -> depth.
+
+    Reach doubles with each step: 1, 2, 4, ... known rows. Beyond the depth a
+    product of factors is below the last bit of a double.
+    """
+    window = f"OVER (PARTITION BY {', '.join(f'`{b}`' for b in by)} ORDER BY `{order}`)"
+    reach = 1
+    while reach < max(pairs.values()):
+        open_pairs = [n for n, depth in pairs.items() if reach < depth]
+        df = df.withColumns({f"_l{k}_{n}": F.expr(f"lag(`_{k}_{n}`, {reach}) IGNORE NULLS {window}") for n in open_pairs for k in "fo"})
+        df = df.withColumns(
+            {f"_f_{n}": F.col(f"_f_{n}") * F.coalesce(f"_lf_{n}", F.lit(1.0)) for n in open_pairs}
+            | {f"_o_{n}": F.col(f"_o_{n}") + F.col(f"_f_{n}") * F.coalesce(f"_lo_{n}", F.lit(0.0)) for n in open_pairs}
+        ).drop(*[f"_l{k}_{n}" for n in open_pairs for k in "fo"])
+        reach *= 2
+    return df
+
+
+def exponential_means(df: DataFrame, specs: dict[str, tuple[str, int]], layout: Layout, keys: Sequence[str] = tuple(SEGMENT), order: str = "ts", pos: str = "at") -> DataFrame:
+    """Add exponential means along each key: name -> (column, span).
+
+    A known value maps the mean y to f * y + o, and such maps compose, so the
+    mean is a scan of (f, o) pairs. On large tables each block is scanned alone,
+    blocks are scanned by their last pairs, and what arrives at a block is put
+    into its rows. Runs of nulls may be of any length, over any number of blocks.
+    """
+    if not specs:
+        return df
+    keys, single = list(keys), layout.single
+    values = sorted({c for c, _ in specs.values()})
+    by = keys if single else [*keys, "_block"]
+    w = Window.partitionBy(*by).orderBy(order)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    if single:
+        out = df.withColumn("_at", F.row_number().over(w))
+        carried = {c: F.lit(None).cast("bigint") for c in values}
+    else:
+        blocked = df.withColumn("_at", F.col(pos).cast("bigint")).withColumn("_block", block_of(pos, layout))
+        known = blocked.groupBy(*keys, "_block").agg(*[F.max(F.when(F.col(c).isNotNull(), F.col("_at"))).alias(f"_n_{c}") for c in values])
+        over = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        known = known.select(*keys, "_block", *[F.max(f"_n_{c}").over(over).alias(f"_c_{c}") for c in values])
+        out = blocked.join(known, [*keys, "_block"])
+        carried = {c: F.col(f"_c_{c}") for c in values}
+    out = out.withColumns({f"_p_{c}": F.coalesce(F.last(F.when(F.col(c).isNotNull(), F.col("_at")), ignorenulls=True).over(earlier), carried[c]) for c in values})
+    steps = {n: ewma_step(c, F.col("_at") - F.col(f"_p_{c}"), span) for n, (c, span) in specs.items()}
+    out = out.withColumns({f"_f_{n}": f for n, (f, _) in steps.items()} | {f"_o_{n}": o for n, (_, o) in steps.items()})
+    depths = {n: ewma_depth(span) for n, (_, span) in specs.items()}
+    out = _composed(out, by, order, depths)
+    if single:
+        arriving = {n: F.lit(None).cast("double") for n in specs}
+    else:
+        out = settle(out, layout)
+        last = {n: F.max_by(F.struct(F.col(f"_f_{n}").alias("f"), F.col(f"_o_{n}").alias("o")), F.when(F.col(f"_f_{n}").isNotNull(), F.col("_at"))) for n in specs}
+        ends = out.groupBy(*keys, "_block").agg(*[v.alias(f"_e_{n}") for n, v in last.items()])
+        ends = ends.select(*keys, "_block", *[F.col(f"_e_{n}.{k}").alias(f"_{k}_{n}") for n in specs for k in "fo"])
+        ends = _composed(ends, keys, "_block", depths)
+        over = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*keys, "_block", *[F.last(f"_o_{n}", ignorenulls=True).over(over).alias(f"_y_{n}") for n in specs])
+        out = out.join(ends, [*keys, "_block"])
+        arriving = {n: F.col(f"_y_{n}") for n in specs}
+    out = out.withColumns({n: F.col(f"_o_{n}") + F.col(f"_f_{n}") * F.coalesce(arriving[n], F.lit(0.0)) for n in specs})
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumns({n: F.coalesce(F.last(n, ignorenulls=True).over(so_far), arriving[n]) for n in specs})
+    scratch = ["_at", *[f"_p_{c}" for c in values], *[f"_{k}_{n}" for n in specs for k in "fo"]]
+    return out.drop(*scratch) if single else out.drop(*scratch, "_block", *[f"_c_{c}" for c in values], *[f"_y_{n}" for n in specs])
+
+
 def add_derived(df: DataFrame, layout: Layout, params: Params = DEFAULTS, targets: Sequence[str] | None = None) -> DataFrame:
     targets = [t for t in (targets or params.quality_targets) if t in df.columns]
 
@@ -55,7 +125,8 @@ def add_derived(df: DataFrame, layout: Layout, params: Params = DEFAULTS, target
             cols |= derived_columns(t, w, params)
         return frame.withColumns(cols)
 
-    out = in_blocks(with_segment_position(df, layout), SEGMENT, "at", layout, build, before=ewma_depth(params.roll_window))
+    placed = exponential_means(with_segment_position(df, layout), ewma_specs(targets, params), layout)
+    out = in_blocks(placed, SEGMENT, "at", layout, build, before=params.roll_window)
     trend = {f"{t}_trend": F.col(f"{t}_ewma_fast") - F.col(f"{t}_ewma_slow") for t in targets}
     return out.withColumns(trend).drop("at")
 
