@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.components import components
-from tidewatch.llm.text import chunks, flat_words, row_id, shingle_sets, small_batches
+from tidewatch.llm.text import chunks, flat_words, lean, row_id, shingle_sets, small_batches
 from tidewatch.operators.ordering import cut_lineage
 
 SHINGLE, PERCENT = 5, 80
@@ -152,9 +152,9 @@ def _frequencies(docs: DataFrame, shingle: int, owners: int) -> DataFrame:
 
     kind = docs.schema["_id"].dataType.simpleString()
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    asked = docs.select("_id", "_row", "text").mapInArrow(ask, f"owner int, batch long, ids array<{kind}>, rows array<long>, per_doc binary, codes binary")
-    counted = asked.repartition(owners, "owner").sortWithinPartitions("owner").mapInArrow(count, f"owner int, batch long, ids array<{kind}>, rows array<long>, per_doc binary, classes binary")
-    return counted.select("batch", "owner", "ids", "rows", "per_doc", "classes").repartition("batch").sortWithinPartitions("batch").mapInArrow(deal, f"_id {kind}, _row long, classes binary")
+    asked = docs.select("_id", "_row", "text").mapInArrow(lean(ask), f"owner int, batch long, ids array<{kind}>, rows array<long>, per_doc binary, codes binary")
+    counted = asked.repartition(owners, "owner").sortWithinPartitions("owner").mapInArrow(lean(count), f"owner int, batch long, ids array<{kind}>, rows array<long>, per_doc binary, classes binary")
+    return counted.select("batch", "owner", "ids", "rows", "per_doc", "classes").repartition("batch").sortWithinPartitions("batch").mapInArrow(lean(deal), f"_id {kind}, _row long, classes binary")
 
 
 def shingle_table(docs: DataFrame, shingle: int, percent: int, owners: int) -> DataFrame:
@@ -184,7 +184,7 @@ def shingle_table(docs: DataFrame, shingle: int, percent: int, owners: int) -> D
                 names=["_id", "_row", "n", "sign", "prefix", "tokens"],
             )
 
-    return cut_lineage(met.mapInArrow(build, f"_id {kind}, _row long, n long, sign binary, prefix array<long>, tokens binary"))
+    return cut_lineage(met.mapInArrow(lean(build), f"_id {kind}, _row long, n long, sign binary, prefix array<long>, tokens binary"))
 
 
 def _compare(percent: int):
@@ -225,7 +225,7 @@ def _compare(percent: int):
 def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
     kind = rows.schema["node"].dataType.simpleString()
     placed = rows.select("block", "role", "node", "component", "tokens").repartition("block").sortWithinPartitions("block", "role", "node")
-    return cut_lineage(placed.mapInArrow(_compare(percent), f"a {kind}, b {kind}"))
+    return cut_lineage(placed.mapInArrow(lean(_compare(percent)), f"a {kind}, b {kind}"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_sets: int = BLOCK_SETS, block_queries: int = BLOCK_QUERIES, owner_bytes: int = OWNER_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

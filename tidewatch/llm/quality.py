@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.text import chunks, flat_words, mix, small_batches
+from tidewatch.llm.text import chunks, flat_words, lean, mix, small_batches
 
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, RATE, BINS, MIN_ROWS, RIDGE = 60, 4, 0.2, 64, 10, 1.0
@@ -223,7 +223,7 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, len(FEATURES), dtype=np.int32)), pa.array(rows.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], lists], names=schema.names)
 
-    return docs.withColumn("_text", F.col(text_col).cast("binary")).mapInArrow(compute, schema)
+    return docs.withColumn("_text", F.col(text_col).cast("binary")).mapInArrow(lean(compute), schema)
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest | None:
@@ -264,4 +264,4 @@ def score_quality(docs: DataFrame, forest: Forest | None, keep_from: float = KEE
             chance = 1 / (1 + np.exp(-forest.margin(feature_rows(counts)))) if forest is not None else np.ones(len(failed))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array(counts[b], pa.int64()) for b in BASE], pa.array(failed), pa.array(chance), pa.array(~failed & (chance >= keep_from))], names=schema.names)
 
-    return docs.withColumn("_text", F.col(text_col).cast("binary")).mapInArrow(judge, schema)
+    return docs.withColumn("_text", F.col(text_col).cast("binary")).mapInArrow(lean(judge), schema)

@@ -8,13 +8,16 @@ characters, after A-Z (and nothing else) went to lower case.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
+import gc
 import os
 import shutil
 import tempfile
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,23 @@ def small_batches(spark: SparkSession, rows: int = 400) -> None:
         context.addPyFile(shutil.make_archive(os.path.join(folder, "tidewatch_llm"), "zip", os.path.dirname(package), os.path.basename(package)))
 
 
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`work` over batches; when it ends, what it freed goes back to the system, since workers live on between tasks."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def chunks(texts: Sequence[bytes | None], most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(first index, texts) runs of about `most` bytes; a longer text is a run of its own. None reads as empty."""
     begin, size, held = 0, 0, []

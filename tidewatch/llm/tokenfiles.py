@@ -25,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.text import small_batches
+from tidewatch.llm.text import lean, small_batches
 from tidewatch.operators.ordering import shared_folder
 
 END_ID = 0
 BLOCK_IDS = 1_000_000
 MAGIC = b"TWID"
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 PARTITION_BYTES = 64_000_000
 #: Bytes of each of four numbers for every control byte, their sums, and their places.
 LENGTHS = (np.arange(256)[:, None] >> (2 * np.arange(4))[None, :] & 3) + 1
@@ -217,7 +217,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, block
         coder.known.clear()  # workers live on: what one task has learned must not stay in their memory
 
     ranged = fed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranged.mapInArrow(blocks, "part int, block int, doc_ids array<long>, lengths array<long>, ids binary").write.parquet(path)
+    ranged.mapInArrow(lean(blocks), "part int, block int, doc_ids array<long>, lengths array<long>, ids binary").write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -242,7 +242,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "part", "block", "inside", "n_tokens", "ids_crc32"],
                 )
 
-    decoded = files.select("part", "block", "doc_ids", "lengths", "ids").mapInArrow(documents, "doc_id long, part int, block int, inside long, n_tokens long, ids_crc32 long")
+    decoded = files.select("part", "block", "doc_ids", "lengths", "ids").mapInArrow(lean(documents), "doc_id long, part int, block int, inside long, n_tokens long, ids_crc32 long")
     sizes = files.select("part", "block", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("held"))
     parts = sizes.groupBy("part").agg(F.sum("held").alias("held"))
     earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
