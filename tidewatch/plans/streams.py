@@ -18,7 +18,8 @@ from tidewatch.plans import views as V
 from tidewatch.plans.catalog import nudge, query, rounded, with_ctes
 from tidewatch.plans.decide import _COOLDOWN, _PRED, psi_sql
 from tidewatch.plans.records import _F, _KEPT
-from tidewatch.plans.shape import FEATS, M, REGIME, TARGET
+from tidewatch.plans.shape import FEATS, HCHAIN, M, REGIME, TARGET
+from tidewatch.streaming import cycle as Y
 from tidewatch.streaming import jobs as S
 from tidewatch.streaming import stateful as Q
 
@@ -120,6 +121,23 @@ def stream_online_vectors(spark, d):
     return newest(vectors, [SERIES], [F.desc("ts")]).select(SERIES, "segment_id", "ts", *_F)
 
 
+_GIVEN = "cadence AS (SELECT DISTINCT series_key, 3600.0::DOUBLE AS cadence FROM steps)"
+
+
+@query(
+    "stream_cycle_clean",
+    with_ctes([_GIVEN if c.startswith("cadence AS") else c for c in HCHAIN], f"SELECT series_key, segment_id, slot, ts, {rounded(*V.MEASURES)}, is_imputed, observations, is_outlier FROM clean"),
+)
+def stream_cycle_clean(spark, d):
+    """Samples are cleaned as they come and merged into the days they touch; the interval is known beforehand."""
+    raw = V.hourly(spark, d)
+    cadence = cut_lineage(raw.select(SERIES).distinct().withColumn("cadence", F.lit(3600.0)))
+    root = shared_folder(spark)
+    S.start(arriving(raw), f"{root}/progress", sink=Y.clean_sink(root, cadence)).awaitTermination()
+    done = Y.cleaned_so_far(spark, root).where(F.col(SERIES) != CLOSER)
+    return done.select(SERIES, "segment_id", "slot", "ts", *V.MEASURES, "is_imputed", "observations", "is_outlier")
+
+
 _TRAINED = "TIMESTAMP '2024-01-15'"
 _WORDS = ("idle", "ramp", "saturated", "unknown")
 _STREAM_SIGNALS = [
