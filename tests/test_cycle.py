@@ -46,12 +46,12 @@ def test_batches_end_where_one_run_ends(spark, tmp_path):
     rows = samples()
     cadence = spark.createDataFrame([("a", 3.0), ("b", 3.5)], "series_key string, cadence double")
     sink = Y.clean_sink(str(tmp_path), cadence)
-    ends = [1, 40, 41, 230, 430, len(rows)]
+    ends = [40, 41, 230, len(rows)]
     for number, (a, b) in enumerate(zip([0, *ends], ends)):
         sink(spark.createDataFrame(rows[a:b], SCHEMA), number)
-        if number in (1, 3):
+        if number == 2:
             sink(spark.createDataFrame(rows[a:b], SCHEMA), number)  # a retry replaces its own results
-        if number in (2, 3, 5):
+        if number > 0:
             same(Y.cleaned_so_far(spark, str(tmp_path)).select(*COLUMNS), clean_of(spark, rows[:b], cadence))
     done = Y.cleaned_so_far(spark, str(tmp_path))
     assert done.where("filled_disk_read_mb_s = 1").count() and done.where("is_outlier = 1").count() and done.agg(F.max("segment_id")).first()[0] > 1

@@ -167,3 +167,14 @@ def validate(df: DataFrame, contract: Contract = METRICS, keys: list[str] | None
         ]
     )
     return wide.select(*keys, F.inline(long)).where(F.col("breaches") > 0)
+
+
+def conformity(df: DataFrame, contract: Contract = METRICS, keys: list[str] | None = None) -> DataFrame:
+    """Per key: whether its rows conform, how many breaches there are and of how many kinds, and the columns nobody declared."""
+    counts = breach_counts(df, contract)
+    undeclared = [c for c in column_differences(df, contract)["undeclared"] if c not in (keys or [])]
+    wide = df.groupBy(*(keys or [])).agg(*[agg.alias(f"_b{i}") for i, (_, _, agg) in enumerate(counts)])
+    found = [F.col(f"_b{i}") for i in range(len(counts))]
+    total = sum(found[1:], found[0]).cast("bigint")
+    kinds = sum([(c > 0).cast("int") for c in found[1:]], (found[0] > 0).cast("int")).cast("bigint")
+    return wide.select(*(keys or []), (total == 0).alias("conforms"), total.alias("breaches"), kinds.alias("kinds"), F.lit(", ".join(sorted(undeclared))).alias("undeclared"))

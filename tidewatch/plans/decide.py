@@ -162,6 +162,24 @@ def monitor_actions(spark, d):
     return D.monitor_actions(decided, elapsed < params.retrain_cooldown * 1_000_000, params).select("series_key", "trigger", "action")
 
 
+@query(
+    "drift_outcomes",
+    with_ctes([*_SIGNALS, "last AS (SELECT event_type AS series_key, max(ts) AS fired FROM events WHERE value > 480 GROUP BY 1)",
+               "act AS (SELECT series_key, trigger, CASE WHEN trigger IS NULL THEN 'none' WHEN coalesce(epoch_us(TIMESTAMP '2024-01-31') - epoch_us(fired) < 172800000000, false) THEN 'suppressed' ELSE 'retrain' END AS action FROM dec LEFT JOIN last USING (series_key))",
+               "ver AS (SELECT event_type AS series_key, count(*) % 2 = 0 AS promote, 'm-' || event_type AS model_id FROM events GROUP BY 1)"],
+              "SELECT series_key, action, CASE WHEN action = 'retrain' THEN CASE WHEN promote THEN 'promoted' ELSE 'rejected' END WHEN action <> 'none' THEN action END AS outcome, CASE WHEN action = 'retrain' THEN model_id END AS new_model_id FROM act JOIN ver USING (series_key)"),
+)
+def drift_outcomes(spark, d):
+    """The gate's verdict (here: whether a series has an even number of events) written back onto the events that started a retrain."""
+    params = DEFAULTS.with_(retrain_cooldown=172800)
+    raw = V.metrics(spark, d)
+    last = raw.where("cpu_percent > 480").groupBy("series_key").agg(F.max("ts").alias("_at"))
+    elapsed = F.unix_micros(F.lit("2024-01-31").cast("timestamp")) - F.unix_micros("_at")
+    actions = D.monitor_actions(drift_decisions(spark, d).join(last, "series_key", "left"), elapsed < params.retrain_cooldown * 1_000_000, params)
+    verdicts = raw.groupBy("series_key").agg((F.count(F.lit(1)) % 2 == 0).alias("promote")).withColumn("model_id", F.concat(F.lit("m-"), "series_key"))
+    return D.with_outcomes(actions.select("series_key", "action"), verdicts, ["series_key"])
+
+
 _COOLDOWN = [
     "alerts AS (SELECT series_key, id, ts, cpu_percent FROM metrics WHERE cpu_percent > 80)",
     "instants AS (SELECT series_key, ts, min(id) AS first_id FROM alerts GROUP BY series_key, ts)",

@@ -197,6 +197,17 @@ def contract_breaches(spark, d):
     return C.validate(C.coerce(V.dirty(spark, d), contract), contract, ["series_key"])
 
 
+@query(
+    "contract_conformity",
+    with_ctes([M, V.DIRTY_SQL, f"w AS (SELECT series_key, count(*) FILTER (WHERE ts IS NULL) AS bad, {_BREACH} FROM dirty GROUP BY series_key)", f"k AS (SELECT * FROM ({_LONG}) AS l(series_key, column_name, kind, breaches))"],
+              "SELECT series_key, sum(breaches) = 0 AS conforms, CAST(sum(breaches) AS BIGINT) AS breaches, count(*) FILTER (WHERE breaches > 0) AS kinds, 'note' AS undeclared FROM k GROUP BY series_key"),
+)
+def contract_conformity(spark, d):
+    """One verdict for each series, with the columns nobody declared."""
+    contract = C.contract_from(C.contract_rows(spark, METRICS))
+    return C.conformity(C.coerce(V.dirty(spark, d), contract).withColumn("note", F.lit("x")), contract, ["series_key"])
+
+
 @query(
     "contract_differences",
     "SELECT event_type AS series_key, kind, column_name, count(*) AS rows FROM events, (VALUES ('missing', 'disk_read_mb_s'), ('missing', 'mem_used_mb'), ('undeclared', 'note')) v(kind, column_name) GROUP BY ALL",
