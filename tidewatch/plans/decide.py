@@ -464,6 +464,20 @@ def backtest_trace(spark, d):
     return B.replay(B.decisions(done, "cpu_percent", layout))
 
 
+@query(
+    "backtest_registered_policy",
+    with_ctes(_BT, "SELECT series_key, step, ts, 'recent_peak' AS policy, round(least(100.0, list_max(recent)), 3) AS alloc, len(list_filter(future, lambda q: q > least(100.0, list_max(recent)))) AS breaches, len(future) AS samples FROM pol"),
+)
+def backtest_registered_policy(spark, d):
+    """A policy of one's own, replayed beside none of the built-in ones."""
+    done, layout = cleaned(spark, d)
+    B.register_policy("recent_peak", lambda params: F.least(F.lit(100.0), F.array_max("recent")))
+    try:
+        return B.replay(B.decisions(done, "cpu_percent", layout), policies={"recent_peak": B.POLICIES["recent_peak"]}).drop("actual_peak")
+    finally:
+        B.POLICIES.pop("recent_peak")
+
+
 @query("backtest_summary", with_ctes([*_BT, *summary_sql("cpu_percent")], "SELECT * FROM summary"))
 def backtest_summary(spark, d):
     done, layout = cleaned(spark, d)

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from tidewatch.operators import contract as C
 from tidewatch.operators import runlog as L
 from tidewatch.operators.contract import METRICS
+from tidewatch.operators.ordering import cut_lineage, shared_folder
 from tidewatch.params import DEFAULTS
 from tidewatch.plans import views as V
 from tidewatch.plans.catalog import query, rounded, with_ctes
 from tidewatch.sources import readers as R
 from tidewatch.sources import writers as W
+from tidewatch.streaming.jobs import mirror_sink
 
 M = V.metrics_sql()
 ALL = rounded(*V.MEASURES)
@@ -250,3 +252,28 @@ def contract_upsert(spark, d):
         .agg(F.max("s_acctbal").alias("min_value"))
     )
     return C.upsert_rules(rules, changes)
+
+
+@query("stream_source", with_ctes([M], "SELECT series_key, CASE WHEN ts <= TIMESTAMP '2024-01-20 12:00:00' THEN 1 ELSE 2 END AS round, count(*) AS rows, max(ts) AS newest FROM metrics GROUP BY ALL"))
+def stream_source(spark, d):
+    """Two rounds over a stream's mirror: the second asks for what is newer than the first has seen."""
+    raw = V.metrics(spark, d)
+    path = f"{shared_folder(spark)}/mirror"
+    sink = mirror_sink(path)
+    sink(raw.where("ts <= '2024-01-20 12:00:00'"), 0)
+    first = R.get_source(spark, f"stream://{path}", METRICS)
+    mark = R.next_watermark(first).first()["watermark"]
+    counted = cut_lineage(first.withColumn("round", F.lit(1)))
+    sink(raw.where("ts > '2024-01-20 12:00:00'"), 1)
+    second = R.get_source(spark, f"stream://{path}", METRICS, since=str(mark)).withColumn("round", F.lit(2))
+    return counted.unionByName(second).groupBy("series_key", "round").agg(F.count(F.lit(1)).alias("rows"), F.max("ts").alias("newest"))
+
+
+@query("registered_source", with_ctes([M], f"SELECT series_key, id, ts, {ALL} FROM metrics WHERE ts > TIMESTAMP '2024-01-29'"))
+def registered_source(spark, d):
+    """A scheme of one's own beside the built-in ones."""
+    R.register_source("lastday", lambda s, path: R.newer_than(V.metrics(s, path), "2024-01-29 00:00:00"))
+    try:
+        return R.get_source(spark, f"lastday://{d}", METRICS).select("series_key", "id", "ts", *V.MEASURES)
+    finally:
+        R.SOURCES.pop("lastday")

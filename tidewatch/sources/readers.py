@@ -93,11 +93,17 @@ def inventory(sources: dict[str, DataFrame]) -> DataFrame:
     return out.withColumn("status", F.when(F.col("rows") > 0, "ready").otherwise("empty"))
 
 
+def read_mirror(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """What a stream has mirrored below a folder, after a watermark if one is given."""
+    return newer_than(spark.read.parquet(path).drop("batch_id"), since)
+
+
 SourceReader = Callable[..., DataFrame]
 SOURCES: dict[str, SourceReader] = {
     "table": read_table,
     "csv": read_csv,
     "json": read_json,
+    "stream": read_mirror,
 }
 
 
