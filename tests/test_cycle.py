@@ -78,7 +78,8 @@ def test_only_touched_days_are_read(spark, tmp_path):
     days = spark.createDataFrame([("a", 0, k, datetime.datetime(2024, 1, 1 + k), float(k)) for k in range(5)], "series_key string, segment_id long, slot long, ts timestamp, x double").withColumn("day", F.to_date("ts"))
     Y.put(days, f"{tmp_path}/g", "day")
     before = {p: p.stat().st_mtime_ns for p in (tmp_path / "g").rglob("*.parquet")}
-    Y.merge_days(spark, days.where("slot = 3").withColumn("x", F.lit(-1.0)), f"{tmp_path}/g")
+    active = spark.createDataFrame([("a", datetime.datetime(2024, 1, 3, 12))], "series_key string, closed_at timestamp")
+    Y.merge_days(spark, days.where("slot = 3").withColumn("x", F.lit(-1.0)), f"{tmp_path}/g", active)
     after = {p: p.stat().st_mtime_ns for p in (tmp_path / "g").rglob("*.parquet")}
     assert {p.parent.name for p in set(before) ^ set(after)} == {"day=2024-01-04"}
     assert sorted(r["x"] for r in spark.read.parquet(f"{tmp_path}/g").collect()) == [-1.0, 0.0, 1.0, 2.0, 4.0]

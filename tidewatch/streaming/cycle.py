@@ -11,7 +11,8 @@ state before it and replaces its own.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from datetime import date
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -116,16 +117,19 @@ def clean_sink(root: str, cadence: DataFrame, contract: Contract = METRICS, para
         spark, number = batch.sparkSession, F.lit(batch_id).cast("bigint")
         carried = {name: state_before(spark, f"{root}/state/{name}", batch_id) for name in ("open", "raw", "rows")}
         fresh = K.normalise(batch, contract).select(SERIES, "ts", *values)
-        seeds = carried["open"] if carried["open"] is not None else spark.createDataFrame([], f"{SERIES} string, segment_id bigint, segment_start timestamp, prev_ts timestamp, last_slot bigint")
+        seeds = carried["open"] if carried["open"] is not None else spark.createDataFrame([], f"{SERIES} string, segment_id bigint, segment_start timestamp, prev_ts timestamp, last_slot bigint, closed_at timestamp")
         marked = fresh.join(seeds.select(SERIES, F.col("prev_ts").alias("_closed")), SERIES, "left").withColumn("_late", F.coalesce(F.col("ts") <= F.col("_closed"), F.lit(False))).drop("_closed")
         marked = cut_lineage(marked)
         put(marked.where("_late").drop("_late").withColumn("batch_id", number), f"{root}/late", "batch_id")
         arrived = marked.where("NOT _late").drop("_late")
-        raw = arrived if carried["raw"] is None else arrived.unionByName(carried["raw"])
+        # series without news keep their state as it is and touch no day
+        active = cut_lineage(arrived.select(SERIES).distinct())
+        with_news = {n: None if t is None else t.join(active, SERIES, "left_semi") for n, t in carried.items()}
+        raw = arrived if carried["raw"] is None else arrived.unionByName(with_news["raw"])
         base = K.clip_ranges(K.deduplicate(raw, contract), contract)
         placed = cut_lineage(placed_on_grid(base, seeds, cadence, values, params))
         grid = grid_rows(placed, values).withColumns({**{f: F.lit(None).cast("int") for f in flags}, **nothing})
-        held = grid if carried["rows"] is None else carried["rows"].unionByName(grid)
+        held = grid if carried["rows"] is None else with_news["rows"].unionByName(grid)
         # flags anew where a median's window has grown, else those a row carries
         flagged = K.flag_outliers(held.drop(*flags), Layout(), contract, params)
         old = held.select(*KEY, *[F.col(f).alias(f"_old_{f}") for f in flags])
@@ -138,20 +142,22 @@ def clean_sink(root: str, cadence: DataFrame, contract: Contract = METRICS, para
         fills = {c: K.linear_fill(c, "slot", params.max_interpolate_run, False) for c in values}
         done = rows.withColumns({f"_new_{c}": f for c, f in fills.items()}).withColumns({f"filled_{c}": F.expr(f"CAST({c} IS NULL AND _new_{c} IS NOT NULL AS INT)") for c in values})
         done = done.withColumns({c: F.col(f"_new_{c}") for c in values}).drop(*around, *[f"_new_{c}" for c in values]).withColumn(DAY, F.to_date("ts"))
-        merge_days(spark, done, f"{root}/grid")
+        # rows of slots that were open may have got another segment or slot since
+        open_days = [] if carried["raw"] is None else [r[0] for r in with_news["raw"].select(F.to_date("ts")).union(seeds.join(active, SERIES, "left_semi").select(F.to_date("closed_at"))).distinct().collect()]
+        merge_days(spark, done, f"{root}/grid", active.join(seeds.select(SERIES, "closed_at"), SERIES, "left"), open_days)
 
         # what stays open: the slot of the first instant not older than the allowed lateness, and all behind it
         newest = F.max("ts").over(Window.partitionBy(SERIES))
         spot = F.struct("segment_id", "slot")
         cut = placed.withColumn("_new", newest).where(F.unix_micros("ts") >= F.unix_micros("_new") - lateness * 1_000_000).groupBy(SERIES).agg(F.min(spot).alias("_cut"))
         split = placed.join(cut, SERIES)
-        closed = split.where(spot < F.col("_cut")).groupBy(SERIES).agg(F.max_by(F.struct("segment_id", "segment_start", F.col("ts").alias("prev_ts"), F.col("slot").alias("last_slot")), "ts").alias("_s")).select(SERIES, "_s.*")
+        closed = split.where(spot < F.col("_cut")).groupBy(SERIES).agg(F.max_by(F.struct("segment_id", "segment_start", F.col("ts").alias("prev_ts"), F.col("slot").alias("last_slot"), F.timestamp_micros(F.unix_micros("segment_start") + F.col("slot") * F.col("_step")).alias("closed_at")), "ts").alias("_s")).select(SERIES, "_s.*")
         still = seeds.join(closed, SERIES, "left_anti").unionByName(closed)
         still = cut_lineage(still)
         put(still.withColumn("batch_id", number), f"{root}/state/open", "batch_id")
         instants = split.where(spot >= F.col("_cut")).select(SERIES, "ts")
         waiting = raw.join(instants, [SERIES, "ts"], "left_semi")
-        put(waiting.withColumn("batch_id", number), f"{root}/state/raw", "batch_id")
+        put(passed_on(waiting, carried["raw"], active).withColumn("batch_id", number), f"{root}/state/raw", "batch_id")
         ends = still.select(SERIES, F.col("segment_id").alias("_segment"), F.col("last_slot").alias("_closed"))
         near = F.col("slot") > F.col("_closed") - reach(params)
         pending = [F.col(c).isNull() & F.col(f"_pv_{c}").isNotNull() & F.col(f"_nv_{c}").isNull() & (F.col("slot") - F.col(f"_pp_{c}") <= params.max_interpolate_run) for c in values]
@@ -159,21 +165,40 @@ def clean_sink(root: str, cadence: DataFrame, contract: Contract = METRICS, para
         for p in pending[1:]:
             waits = waits | p
         kept = rows.join(ends, SERIES).where((F.col("segment_id") == F.col("_segment")) & (F.col("slot") <= F.col("_closed")) & (near | waits))
-        put(kept.select(*KEY, "ts", *values, "is_imputed", "observations", *flags, *around).withColumn("batch_id", number), f"{root}/state/rows", "batch_id")
+        kept = kept.select(*KEY, "ts", *values, "is_imputed", "observations", *flags, *around)
+        put(passed_on(kept, carried["rows"], active).withColumn("batch_id", number), f"{root}/state/rows", "batch_id")
         if keep_days is not None:
             drop_days(spark, f"{root}/grid", keep_days)
 
     return run
 
 
-def merge_days(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Put rows in place of those of their keys, in the days they touch; only these are read and written."""
-    days = [r[0] for r in rows.select(DAY).distinct().collect()]  # as many as a batch spans
+def passed_on(changed: DataFrame, before: DataFrame | None, active: DataFrame) -> DataFrame:
+    """New state of the active series, the old one of all others."""
+    return changed if before is None else changed.unionByName(before.join(active, SERIES, "left_anti").select(*changed.columns))
+
+
+def merge_days(spark: SparkSession, rows: DataFrame, path: str, active: DataFrame, more_days: Sequence[date] = ()) -> None:
+    """Put rows in place of those of their keys, in the days they touch and `more_days`; only these are read and written.
+
+    `active` has the series of `rows` and `closed_at`: what is stored of them
+    behind that instant, or at all if it is null, gives way.
+    """
+    days = sorted({r[0] for r in rows.select(DAY).distinct().collect()} | {d for d in more_days if d is not None})  # as many as a batch spans
     before = stored(spark, path)
     if before is not None:
-        touched = before.where(F.col(DAY).isin(days))
-        rows = cut_lineage(rows.unionByName(touched.join(rows.select(*KEY), KEY, "left_anti")))
+        touched = before.where(F.col(DAY).isin(days)).join(active.withColumn("_active", F.lit(True)), SERIES, "left")
+        final = touched.where(F.col("_active").isNull() | (F.col("ts") <= F.col("closed_at"))).drop("_active", "closed_at")
+        rows = cut_lineage(rows.unionByName(final.join(rows.select(*KEY), KEY, "left_anti")))
     put(rows, path, DAY)
+    if before is not None:  # overwriting leaves alone what no row is written to
+        for day in set(days) - {r[0] for r in rows.select(DAY).distinct().collect()}:
+            drop_day(spark, path, day)
+
+
+def drop_day(spark: SparkSession, path: str, day: date) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{DAY}={day.isoformat()}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def drop_days(spark: SparkSession, path: str, keep: int) -> None:
@@ -182,11 +207,9 @@ def drop_days(spark: SparkSession, path: str, keep: int) -> None:
     if held is None:
         return
     days = sorted(r[0] for r in held.select(DAY).distinct().collect())
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for day in days:
         if (days[-1] - day).days > keep:
-            folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{DAY}={day.isoformat()}")
-            folder.getFileSystem(conf).delete(folder, True)
+            drop_day(spark, path, day)
 
 
 def cleaned_so_far(spark: SparkSession, root: str, contract: Contract = METRICS) -> DataFrame:
