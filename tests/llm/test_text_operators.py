@@ -419,6 +419,48 @@ def test_html_names_and_icons_keep_the_article(spark):
     assert {k: t for k, t in got.items() if t != want} == {}
 
 
+def own_text(page):
+    nodes = htmltext.read_page(page)
+    node, _ = htmltext.best_path(nodes)
+    return (node and htmltext.text_on(nodes, node.key)) or ""
+
+
+def test_html_keeps_whole_articles():
+    """Forms and hidden elements around a page, slugs as ids, an article's own header, quotes that never close."""
+    body = "The body goes on, and on. " * 20
+    want = " ".join(body.split())
+    wrapped = [
+        f"<body><form id=aspnetForm><div class=menu>{'menu ' * 300}</div><div><h1>T</h1><p>{body}</p><input value=x></div></form></body>",
+        f"<body><form action=/x><p>T {body}</p><button>Send</button></form></body>",
+        f"<body hidden><div hidden><p>T</p><p>{body}</p></div></body>",
+        f"<body><div style='display: none'><article><p>T</p><p>{body}</p></article></div><footer>f</footer></body>",
+    ]
+    assert {k: own_text(p) for k, p in enumerate(wrapped) if own_text(p) != f"T {want}"} == {}
+    assert own_text("<body><form><label>Name</label><input><label>Word</label></form></body>") == ""
+    assert own_text(f"<body><div><p>{body}</p></div><form><label>Name</label></form><div hidden>x</div></body>") == want
+    slugs = f"<article><h2 id=related>A</h2><p>{body}</p><section id=search><h2>B</h2><p>{body}</p></section><div class=legal>{body}</div><div class=tags><a href=x>one</a> <a href=y>two</a></div><section id=comments><p>no</p></section></article>"
+    assert own_text(f"<body><nav>m</nav>{slugs}</body>") == f"A {want} B {want} {want}"
+    assert own_text(f"<body><header>Site</header><article><header><h1>Title</h1></header><p>{body}</p><footer>f</footer></article></body>") == f"Title {want}"
+    comments = f"<div class=comments>{'<p>A long remark of a reader.</p>' * 100}</div>"
+    assert own_text(f"<body><article><h1>Title</h1><p>Short.</p></article>{comments}</body>") == "Title Short."
+    assert own_text(f"<body><h1>Title</h1><p>Short.</p>{comments}</body>") == "Title Short."
+    for link in ('<a href="x>', "<a href='x>", '<a href="x" title="y>', '<a href=x">', '<a" href=x>'):
+        assert own_text(f"<body><p>one {link}two</a> three</p></body>") == "one two three", link
+    assert own_text('<body><p>one <a href="x>two</a> <b class="y">three</b></p></body>') == "one two three"
+    assert own_text('<body><p>one <a title="a > b <i>c</i>" href=x>two</a></p></body>') == "one two"
+
+
+def test_html_is_read_in_linear_time():
+    import time
+
+    n = 40_000
+    hostile = ["<a" * n + '"', "<i>" * n + "</b>" * n, "<b>" + "<i>" * n + "<div>" + "</b>" * n, "<i>" * n + "<div></div>" * n, "<span>" * n + "<td></td>" * n, "<svg>" * n, "<a " + "x" * 20 * n + "=>", '<a x="' * n, "<!" * n, "<a x= " + " " * n + "=" * n]
+    for page in hostile:
+        begun = time.perf_counter()
+        own_text(page)
+        assert time.perf_counter() - begun < 5, page[:20]
+
+
 def test_html_on_pages(spark):
     import html
     import re

@@ -23,8 +23,10 @@ from pyspark.sql import types as T
 from tidewatch.llm.text import small_batches
 from tidewatch.operators.ordering import join_spread
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: A quote opens a value only behind `=`; one that is never closed, or closed in front of more letters with tags between, is an ordinary character.
+VALUE = r"\"[^\"<>]*+\"|'[^'<>]*+'|\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>])"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:{VALUE})?+)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"(?<![a-zA-Z_:-])([a-zA-Z_:-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "canvas", "object"}
 RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -39,6 +41,9 @@ NAMES = (
 PLACES = r"(?:site|page|main|global|top|bottom|left|right|primary|secondary|wrapper|wrap|container|box|list|area|block|inner|outer|bar|links?|items?|slot|unit|section|icons?|buttons?|posts|articles|stories|\d+)"
 #: A whole class word or id: a name, names and places together, or a part of a post that is none of its text.
 BOILERPLATE_NAMES = re.compile(rf"^(?:(?:{PLACES}[-_]+)*{NAMES}\d*(?:[-_]+(?:{NAMES}|{PLACES}))*|(?:post|entry|article)[-_]+(?:comments?|tags|share|sharing|socials?|related|footer|nav|navigation|ads?|pagination))$")
+#: Names that are also ordinary words: on a block of the article they count only if its text is mostly links.
+DOUBTFUL = {"copyright", "disclaimer", "forms", "legal", "menus", "promotions", "recommendations", "recommended", "related", "replies", "reply", "search", "share", "sharing", "side", "tags"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
 #: An opening tag of the left ends open elements of the right up to the nearest one.
 ENDS = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
@@ -57,6 +62,7 @@ class Node:
     parts: list = field(default_factory=list)
     text: int = 0
     linked: int = 0
+    doubtful: bool = False
 
     @property
     def path(self) -> str:
@@ -67,23 +73,45 @@ class Node:
         return "/".join(["", *reversed(steps)])
 
 
-def step(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """(generalised tag with classes, whether it is boilerplate, whether only by its class or id)."""
-    classes, bad, named = [], name in BOILERPLATE_TAGS, False
+@dataclass
+class Lost:
+    """What an element took out of the page that is boilerplate only softly: by its names, or as a form or hidden."""
+
+    named: bool
+    text: int = 0
+    titles: int = 0
+    paragraphs: int = 0
+
+
+#: Why an element is boilerplate: its tag or role; a form or hidden; its names; a name that is also an ordinary word.
+HARD, SOFT, NAMED, DOUBT = 1, 2, 3, 4
+
+
+def step(name: str, attributes: str) -> tuple[str, int]:
+    """(generalised tag with classes, why the element is boilerplate, 0 if it is not)."""
+    classes, hard, soft = [], name in BOILERPLATE_TAGS and name != "form", name == "form"
+    names: list[str] = []
     if attributes and "=" in attributes:
         for key, a, b, c in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), (a or b or c).lower()
-            if key in ("class", "id"):
+            if key == "class" or (key == "id" and name not in HEADINGS):
                 words = value.split()
-                named = named or any(BOILERPLATE_NAMES.match(w) for w in words)
+                names += [w for w in words if BOILERPLATE_NAMES.match(w)]
                 if key == "class":
                     classes += [re.sub(r"\d+", "", w) for w in words]
-            elif (key == "role" and value in ROLES) or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-                bad = True
+            elif (key == "role" and value in ROLES) or (key == "aria-hidden" and value == "true"):
+                hard = True
+            elif key == "style" and re.search(r"display\s*+:\s*+none", value):
+                soft = True
     if attributes and re.search(r"(^|\s)hidden(\s|=|$)", attributes) and "type=" not in attributes:
-        bad = True
-    inner = name not in ("html", "body")
-    return ".".join([name, *sorted(set(filter(None, classes)))]), (bad or named) and inner, named and not bad and inner
+        soft = True
+    why = HARD if hard else SOFT if soft else 0
+    if not why and names:
+        why = NAMED if not DOUBTFUL.issuperset(names) else DOUBT
+    generalised = ".".join([name, *sorted(set(filter(None, classes)))])
+    if name in ("html", "body") or (why == DOUBT and name in HEADINGS):
+        why = 0
+    return generalised, why
 
 
 def read_page(page: str) -> list[Node]:
@@ -91,35 +119,45 @@ def read_page(page: str) -> list[Node]:
 
     The text of a block goes to the nearest container around it, outside of
     boilerplate; a container also keeps the places of the containers inside it.
-    An element that only its class or id makes boilerplate, but that holds nearly
-    all of the page's text, is a wrapper: the page is read again without taking
-    it so, and after some such wrappers without looking at names at all.
+    A form, a hidden element or one that only its class or id makes boilerplate
+    is a wrapper if it holds nearly all of the page's text or, beside an article's
+    title, nearly all of what is not boilerplate: the page is read again without
+    taking it so, and after some such wrappers without looking at names at all.
+    Comments are no wrapper however long, as the article's text stays without them.
     """
     wrappers: set[int] = set()
-    for _ in range(4):
-        nodes, lost = read_once(page, wrappers)
-        whole = sum(n.text for n in nodes) + sum(lost.values())
-        more = {at for at, n in lost.items() if n >= NEARLY * whole} if lost else set()
-        if not more and lost and not any(n.text for n in nodes) and any(lost.values()):
-            more = set(lost)  # nothing is left, and no one name took it
+    for _ in range(6):
+        nodes, lost, article, title = read_once(page, wrappers)
+        kept = sum(n.text for n in nodes)
+        whole = kept + sum(x.text for x in lost.values())
+        more = {
+            at
+            for at, x in lost.items()
+            if x.text and ((x.titles and x.text >= NEARLY * (kept + x.text)) or (x.text >= NEARLY * whole and not article and (not title if x.named else x.paragraphs)))
+        }
+        if not more and not kept:
+            more = {at for at, x in lost.items() if x.named}  # nothing is left, and no one name took it
         if not more:
             return nodes
         wrappers |= more
     return read_once(page, None)[0]
 
 
-def read_once(page: str, wrappers: set[int] | None) -> tuple[list[Node], dict[int, int]]:
-    """(containers, characters lost to each element that is boilerplate by name alone, by its place); None takes all for wrappers."""
-    lost: dict[int, int] = {}
-    losing, by_name = -1, 0  # the outermost element that is boilerplate; how many of the open ones are by name alone
+def read_once(page: str, wrappers: set[int] | None) -> tuple[list[Node], dict[int, Lost], bool, bool]:
+    """(containers, what was lost to each soft boilerplate by its place, whether text stayed in an article, whether a title stayed); None looks at no names."""
+    lost: dict[int, Lost] = {}
+    losing, softly = -1, 0  # the outermost element that is boilerplate; how many of the open ones are so softly
     root = Node("", None, 0)
     nodes, holders = [root], [root]
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, boilerplate from here on, by name alone, container
-    bad, links, buffer, at, end = 0, 0, [], 0, len(page)
-    linked = 0
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, boilerplate from here on, softly, container, article
+    opened: dict[str, list[int]] = {}  # places in the stack by tag
+    blocks: list[int] = []  # places in the stack that are not inline
+    unended: set[str] = set()
+    bad, links, articles, buffer, at, end = 0, 0, 0, [], 0, len(page)
+    linked, article, title = 0, False, False
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, article
         text = " ".join(html.unescape("".join(buffer)).split()) if buffer else ""
         buffer.clear()
         if text:
@@ -127,20 +165,27 @@ def read_once(page: str, wrappers: set[int] | None) -> tuple[list[Node], dict[in
             node.parts.append(text)
             node.text += len(text)
             node.linked += min(linked, len(text))
+            article = article or articles > 0
         linked = 0
 
-    def close(count: int) -> None:
-        nonlocal bad, by_name, links
-        for _ in range(count):
-            tag, was_bad, was_named, container = stack.pop()
+    def close(depth: int) -> None:
+        nonlocal bad, softly, links, articles
+        while len(stack) > depth:
+            tag, was_bad, was_soft, container, whole = stack.pop()
+            opened[tag].pop()
             if tag not in INLINE:
                 flush()
+                blocks.pop()
             bad -= was_bad
-            by_name -= was_named
+            softly -= was_soft
             links -= tag == "a"
+            articles -= whole
             if container:
                 holders.pop()
 
+    def nearest(tags: set[str]) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
+
     while at < end:
         m = TOKEN.search(page, at)
         if m is None:
@@ -151,8 +196,8 @@ def read_once(page: str, wrappers: set[int] | None) -> tuple[list[Node], dict[in
             buffer.append(page[at:text_end])
             if links:
                 linked += text_end - at
-        elif text_end > at and by_name == bad:
-            lost[losing] += len("".join(page[at:text_end].split()))
+        elif text_end > at and softly == bad:
+            lost[losing].text += len("".join(page[at:text_end].split()))
         if m is None:
             break
         at = m.end()
@@ -160,57 +205,90 @@ def read_once(page: str, wrappers: set[int] | None) -> tuple[list[Node], dict[in
             continue
         name = name.lower()
         if m[1]:
-            depth = next((i for i, x in enumerate(reversed(stack), 1) if x[0] == name), 0)
-            if depth and not (name in INLINE and any(x[0] not in INLINE for x in stack[-depth:])):
-                close(depth)
-            elif name == "p" and not bad:
+            place = nearest({name})
+            if place >= 0 and not (name in INLINE and blocks and blocks[-1] > place):
+                close(place)
+            elif name == "p" and place < 0 and not bad:
                 flush()
             continue
         if name not in INLINE and not bad:
             flush()
         if name in VOID:
             continue
-        generalised, is_bad, named = step(name, m[3])
-        if named and (wrappers is None or m.start() in wrappers):
-            is_bad = named = False
+        generalised, why = step(name, m[3])
+        if why == HARD and name == "header" and articles:
+            why = 0  # an article's own header
+        if why == DOUBT and not (name not in INLINE and (articles or name == "section")):
+            why = NAMED
+        soft = why in (SOFT, NAMED)
+        if (soft and wrappers is not None and m.start() in wrappers) or (why == NAMED and wrappers is None):
+            why, soft = 0, False
+        is_bad = soft or why == HARD
         if name in RAW:
             drawing = name in ("svg", "math")
             if drawing and m[3].rstrip().endswith("/"):
                 continue
-            done = RAW_END[name].search(page, at)
+            done = None if name in unended else RAW_END[name].search(page, at)
+            if done is None:
+                unended.add(name)
             at = done.end() if done else at if drawing else end
             continue
         if name not in INLINE:
             # a block ends an open paragraph and whatever inline elements were left open in it
-            for i, x in enumerate(reversed(stack), 1):
-                if x[0] == "p":
-                    close(i)
-                    break
-                if x[0] not in INLINE:
-                    break
-            for i, x in enumerate(reversed(stack), 1):
-                if x[0] in ENDS.get(name, ()):
-                    close(i)
-                    break
-                if x[0] in STOPS:
-                    break
+            if blocks and stack[blocks[-1]][0] == "p":
+                close(blocks[-1])
+            before = nearest(ENDS[name]) if name in ENDS else -1
+            if before > nearest(STOPS):
+                close(before)
         if m[3].rstrip().endswith("/") and name in ("path", "g"):
             continue
-        container = name in CONTAINERS and not bad and not is_bad
+        doubtful = why == DOUBT and not bad
+        container = (name in CONTAINERS or doubtful) and not bad and not is_bad
         if container:
-            node = Node(generalised, holders[-1], path_key(holders[-1].key, generalised))
+            node = Node(generalised, holders[-1], path_key(holders[-1].key, generalised), doubtful=doubtful)
             holders[-1].parts.append(node)
             holders.append(node)
             nodes.append(node)
-        stack.append((name, is_bad, named, container))
-        if named and not bad:
+        opened.setdefault(name, []).append(len(stack))
+        if name not in INLINE:
+            blocks.append(len(stack))
+        whole = name in ("article", "main") and not bad and not is_bad
+        stack.append((name, is_bad, soft, container, whole))
+        if soft and not bad:
             losing = m.start()
-            lost[losing] = 0
+            lost[losing] = Lost(why == NAMED)
+        if not is_bad and softly == bad:
+            if not bad:
+                title = title or name == "h1"
+            else:
+                lost[losing].titles += name in ("h1", "article", "main")
+                lost[losing].paragraphs += name == "p"
         bad += is_bad
-        by_name += named
+        softly += soft
+        articles += whole
         links += name == "a"
     flush()
-    return nodes, lost
+    return without_doubtful(nodes), lost, article, title
+
+
+def without_doubtful(nodes: list[Node]) -> list[Node]:
+    """The containers less those of doubtful names whose text is mostly links, and all inside them."""
+    if not any(n.doubtful for n in nodes):
+        return nodes
+    inside = {id(n): [n.text, n.linked] for n in nodes}
+    for n in reversed(nodes):
+        if n.above is not None:
+            for k in (0, 1):
+                inside[id(n.above)][k] += inside[id(n)][k]
+    gone: set[int] = set()
+    for n in nodes:
+        text, linked = inside[id(n)]
+        if n.above is not None and (id(n.above) in gone or (n.doubtful and 2 * linked >= text)):
+            gone.add(id(n))
+    for n in nodes:
+        if any(isinstance(x, Node) and id(x) in gone for x in n.parts):
+            n.parts = [x for x in n.parts if not (isinstance(x, Node) and id(x) in gone)]
+    return [n for n in nodes if id(n) not in gone]
 
 
 def held(nodes: list[Node]) -> tuple[dict[int, int], bool]:
