@@ -1,11 +1,14 @@
 """The registered text queries: against SQL where there is some, and whole."""
 
+import collections
+
 import duckdb
 import pytest
 from conftest import TINY
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from tidewatch.llm import mixing
 from tidewatch.llm.queries import ORACLES, QUERIES
 
 TABLES = "documents pages benchmark labels".split()
@@ -37,7 +40,6 @@ def test_every_operator_and_the_pipeline_are_registered():
 
 def test_pipeline_against_its_stages_in_python(spark):
     """Each stage's decisions, made again in plain Python from what the stage before it kept."""
-    import collections
     import zlib
 
     import fixtures as fx
@@ -82,3 +84,16 @@ def test_pipeline_against_its_stages_in_python(spark):
         place += len(tokens)
     assert rows == want
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, TINY).collect()) == rows
+
+
+def test_mix_gives_equal_rows_whole_uses(spark, tmp_path):
+    """Equal rows of one id: each is taken a whole number of times, and together as often as the order holds them."""
+    words = " ".join(["w"] * 7)
+    rows = [(1, words, "a")] * 2 + [(1, words, "b")] + [(k, words + f" {k}", "b") for k in range(2, 9)] + [(9, None, None), (None, "x", None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op6_source_mixing"](spark, str(tmp_path)).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(r[0] for r in rows)
+    assert all(r["taken"] % max(1, r["size"]) == 0 and r["taken"] <= 3 * r["size"] for r in got)
+    order = mixing.mix(docs)[1].collect()
+    assert sum(r["taken"] for r in got) == sum(r["size"] for r in order)

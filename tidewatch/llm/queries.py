@@ -56,11 +56,16 @@ def op5_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its source's target and the words the mix takes of it."""
     rows, order = mix(table(spark, sf_dir, "documents"))
-    uses = order.groupBy(F.col("_id").alias("u_id"), F.col("_row").alias("u_row")).agg(F.sum("size").alias("taken"), F.count(F.lit(1)).alias("uses"), F.min("position").alias("first_position"))
-    copies = rows.groupBy(F.col("_id").alias("c_id"), F.col("_row").alias("c_row")).agg(F.count(F.lit(1)).alias("copies"))
-    per_row = copies.join(uses, F.col("c_id").eqNullSafe(F.col("u_id")) & (F.col("c_row") == F.col("u_row")), "left")
-    return rows.join(per_row, F.col("_id").eqNullSafe(F.col("c_id")) & (F.col("_row") == F.col("c_row"))).select(
-        F.col("_id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), F.coalesce(F.floor(F.col("taken") / F.col("copies")), F.lit(0)).cast("long").alias("taken"), F.round("first_position", 6).alias("first_position")
+    key = ("_id", "_row", "source")
+    uses = order.groupBy(*[F.col(k).alias(f"u{k}") for k in key]).agg(F.count(F.lit(1)).alias("uses"), F.min("position").alias("first_position"))
+    equal = rows.groupBy(*key, "size", "source_size", "target").agg(F.count(F.lit(1)).alias("copies"))
+    same = F.col("_id").eqNullSafe(F.col("u_id")) & (F.col("_row") == F.col("u_row")) & F.col("source").eqNullSafe(F.col("usource"))
+    # equal rows share their uses out, each gets whole ones
+    share = F.expr("uses div copies") + F.when(F.col("copy") <= F.col("uses") % F.col("copies"), 1).otherwise(0)
+    return (
+        equal.join(uses, same, "left")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+        .select(F.col("_id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), F.coalesce(share * F.col("size"), F.lit(0)).cast("long").alias("taken"), F.round("first_position", 6).alias("first_position"))
     )
 
 
