@@ -86,6 +86,12 @@ def _solve(batches: Iterator[pd.DataFrame], p: int, alpha: float) -> Iterator[pd
         yield pd.concat([keys, pd.DataFrame(out, columns=["weights", "intercept"])], axis=1)
 
 
+def solve_ridge(sums: DataFrame, p: int, alpha: float) -> DataFrame:
+    """Rows with the sums of p features solved to weights and intercept; other columns stay."""
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.schema.fields if f.name not in ("_n", "_sx", "_sxx", "_sxy", "_sy"))
+    return sums.mapInPandas(lambda it: _solve(it, p, alpha), f"{kept}, weights array<double>, intercept double")
+
+
 def fit_ridge(train: DataFrame, features: Sequence[str], alpha: float, label: str = LABEL, keys: Sequence[str] = (SERIES,)) -> DataFrame:
     """Weights and intercept per key from one aggregation of sums of products."""
     keys, names = list(keys), [f"`{f}`" for f in features]
@@ -98,8 +104,7 @@ def fit_ridge(train: DataFrame, features: Sequence[str], alpha: float, label: st
         F.expr(f"array({', '.join(f'sum({n} * `{label}`)' for n in names)})").alias("_sxy"),
         F.expr(f"sum(`{label}`)").alias("_sy"),
     )
-    key_types = ", ".join(f"`{k}` {train.schema[k].dataType.simpleString()}" for k in keys)
-    return sums.mapInPandas(lambda it: _solve(it, p, alpha), f"{key_types}, weights array<double>, intercept double")
+    return solve_ridge(sums, p, alpha)
 
 
 def predict_ridge(rows: DataFrame, weights: DataFrame, features: Sequence[str], name: str = "p_ridge", keys: Sequence[str] = (SERIES,)) -> DataFrame:
@@ -328,6 +333,7 @@ def vector_from_history(target: str, params: Params = DEFAULTS) -> dict[str, Col
 def rollout(model, state: DataFrame, target: str, features: Sequence[str], params: Params = DEFAULTS, steps: int | None = None, every: int = 5) -> DataFrame:
     """Feed each prediction back as the next observation, for all rows of `state` in parallel.
 
+    `model` is a fitted ensemble or a function that adds `predicted` to a frame.
     `state` has one row per series (or decision): its keys, `ts`, `history` and
     the constant columns the model uses. The loop runs over steps; every few
     steps the state is written to the shared checkpoint folder, as the plan
@@ -339,7 +345,7 @@ def rollout(model, state: DataFrame, target: str, features: Sequence[str], param
         frame = moving
         for level in vector_from_history(target, params):
             frame = frame.withColumns({k: v for k, v in level.items() if k not in ("ts",)})
-        frame = predict(model, frame, features)
+        frame = model(frame) if callable(model) else predict(model, frame, features)
         moving = frame.select(
             *[c for c in columns if c not in ("ts", "history")],
             F.timestamp_micros(F.unix_micros("ts") + F.lit(int(params.nominal_cadence * 1_000_000))).alias("ts"),

@@ -429,14 +429,16 @@ def forecast_timeline(spark, d):
 # -- backtest ----------------------------------------------------------------
 
 
-def backtest_sql(base: list[str], source: str, value: str) -> list[str]:
+def backtest_sql(base: list[str], source: str, value: str, forecasts: list[str] = (), expected: str = "recent[-1]", history: str = "hist") -> list[str]:
+    """The replay; `forecasts` may turn `hist` into another `history`, whose `expected` level replaces persistence."""
     return [
         *base,
         f"num AS (SELECT series_key, ts, {value} AS v, row_number() OVER (PARTITION BY series_key ORDER BY ts) - 1 AS rn, count(*) OVER (PARTITION BY series_key) AS n FROM {source})",
         "dec AS (SELECT series_key, ts, rn AS start, (rn - 100) // 20 AS step, n FROM num WHERE n >= 140 AND rn >= 100 AND (rn - 100) % 20 = 0 AND rn < n - 20)",
         "hist AS (SELECT d.series_key, d.step, any_value(d.ts) AS ts, list(m.v ORDER BY m.rn) FILTER (WHERE m.rn < d.start) AS recent, list(m.v ORDER BY m.rn) FILTER (WHERE m.rn >= d.start) AS future "
         "FROM dec d JOIN num m ON d.series_key = m.series_key AND m.rn >= d.start - 100 AND m.rn < d.start + 20 GROUP BY d.series_key, d.step)",
-        "lean AS (SELECT *, least(100.0, recent[-1] * 1.2) AS nofloor, least(100.0, list_aggregate(recent, 'quantile_cont', 0.95) * 1.2) AS reactive, least(100.0, list_max(future)) AS oracle FROM hist)",
+        *forecasts,
+        f"lean AS (SELECT *, least(100.0, {expected} * 1.2) AS nofloor, least(100.0, list_aggregate(recent, 'quantile_cont', 0.95) * 1.2) AS reactive, least(100.0, list_max(future)) AS oracle FROM {history})",
         "lvl AS (SELECT series_key, step, min(l) AS l FROM (SELECT series_key, step, recent, nofloor + i * 0.5 AS l FROM lean, range(0, 201) r(i) WHERE nofloor + i * 0.5 < 100.5) WHERE round(100.0 * len(list_filter(recent, lambda x: x > l)) / len(recent), 3) <= 5.0 GROUP BY ALL)",
         "pol AS (SELECT lean.*, coalesce(round(least(l, 100.0), 2), 100.0) AS predictive FROM lean LEFT JOIN lvl USING (series_key, step))",
         "trace AS (" + " UNION ALL ".join(

@@ -1,4 +1,4 @@
-"""Queries with trained models. SQL has no trees, so these have no oracle; the ridge is checked against its normal equations in the tests.
+"""Queries with trained models. SQL has no trees, so most have no oracle; the ridge is checked against its normal equations in the tests.
 
 Tree counts are kept small here (`TREES`); the defaults of `Params` stay as they are.
 """
@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import backtest as B
 from tidewatch.operators import models as ML
+from tidewatch.operators import refit as R
 from tidewatch.operators import scoring as Z
 from tidewatch.operators.cost import recent_values, to_long
 from tidewatch.operators.features import LABEL
 from tidewatch.operators.ordering import cut_lineage, newest
 from tidewatch.params import DEFAULTS
-from tidewatch.plans.catalog import query
-from tidewatch.plans.shape import TARGET, cleaned, predictions, usable
+from tidewatch.plans.catalog import query, rounded, with_ctes
+from tidewatch.plans.decide import backtest_sql, summary_sql
+from tidewatch.plans.shape import TARGET, USABLE, cleaned, predictions, usable
 
 TREES = 10
 COLUMNS = [f"{TARGET}_lag_{k}" for k in (0, 1, 3)] + [f"{TARGET}_roll_mean", f"{TARGET}_roll_std", f"{TARGET}_ewma_slow", f"{TARGET}_trend", "hour"]
@@ -107,3 +109,39 @@ def backtest_with_refit(spark, d):
     decided = B.decisions(done, TARGET, layout)
     forecast = ML.refit_forecasts(fixed_rows(spark, d), decided, TARGET, columns, n_estimators=TREES)
     return B.summarise(B.replay(forecast), F.lit(TARGET))
+
+
+# a ridge on the newest value alone, so that its rollout has a closed form
+_REFITS = backtest_sql(
+    USABLE,
+    "clean",
+    TARGET,
+    [
+        f"seen AS (SELECT u.series_key, m.rn AS at, u.{TARGET}_lag_0 AS x, u.target_next AS y FROM usable u JOIN num m USING (series_key, ts))",
+        "begun AS (SELECT series_key, step // 25 AS block, min(start) AS begins FROM dec GROUP BY ALL)",
+        "sums AS (SELECT b.series_key, block, count(*) AS k, sum(x) AS sx, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y) AS sy FROM begun b JOIN seen s ON b.series_key = s.series_key AND s.at + 1 < b.begins GROUP BY ALL HAVING count(*) >= 30)",
+        "slope AS (SELECT *, (sxy - sx * sy / k) / (sxx - sx * sx / k + 1.0) AS b FROM sums)",
+        "rolled AS (SELECT h.*, list_filter(recent, lambda v: v IS NOT NULL)[-1] AS x0, b, (sy - b * sx) / k AS a FROM hist h LEFT JOIN slope s ON h.series_key = s.series_key AND h.step // 25 = s.block)",
+        "told AS (SELECT * EXCLUDE (x0, a, b), CASE WHEN b IS NULL OR x0 IS NULL THEN [recent[-1]] ELSE list_transform(range(1, 21), lambda q: pow(b, q) * x0 + a * (1 - pow(b, q)) / (1 - b)) END AS forecast FROM rolled)",
+    ],
+    "list_aggregate(forecast, 'quantile_cont', 0.95)",
+    "told",
+)
+
+
+def refitted(spark, d):
+    done, layout = cleaned(spark, d)
+    rows, _, _ = usable(spark, d)
+    return R.refit_ridge(done, rows, B.decisions(done, TARGET, layout), TARGET, [f"{TARGET}_lag_0"], layout)
+
+
+@query("backtest_ridge_refits", with_ctes([*_REFITS, *summary_sql(TARGET)], "SELECT * FROM summary"))
+def backtest_ridge_refits(spark, d):
+    """The replay with a ridge of each series refitted every 25 decisions on all that was known."""
+    return B.summarise(B.replay(refitted(spark, d)), F.lit(TARGET))
+
+
+@query("refit_first_steps", with_ctes(_REFITS, f"SELECT series_key, step, ts AS predicted_for_ts, {rounded('predicted', 'actual', 'error')} FROM (SELECT *, forecast[1] AS predicted, future[1] AS actual, abs(actual - predicted) AS error FROM told)"))
+def refit_first_steps(spark, d):
+    """The first step of every refitted forecast beside what came, for the prediction log."""
+    return R.first_steps(refitted(spark, d))
