@@ -8,6 +8,7 @@ Python.
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from collections.abc import Iterator, Sequence
@@ -204,29 +205,74 @@ def _wrapped(a: Column, i: Column, b: Column, total: int) -> Column:
     return F.pmod((wide(a) * wide(i)).cast("decimal(38,0)") + wide(b), F.lit(total).cast("decimal(38,0)")).cast("bigint")
 
 
+def _walk(tree: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
+    """The leaf value of every row of x in one tree: all rows go down a level at a time."""
+    feature, threshold, left, right, value = tree
+    at, every = np.zeros(len(x), np.int64), np.arange(len(x))
+    while True:
+        split = feature[at]
+        inner = split >= 0
+        if not inner.any():
+            return value[at]
+        lower = x[every, np.maximum(split, 0)] <= threshold[at]
+        at = np.where(inner, np.where(lower, left[at], right[at]), at)
+
+
+def tree_arrays(model, features: Sequence[str], spark) -> list[tuple[np.ndarray, ...]]:
+    """(feature, threshold, left, right, value) of each tree by place. A model's size is set by its parameters, not by data."""
+    from tidewatch.operators.forest import forest_rows
+
+    names = {f: j for j, f in enumerate(features)}
+    nodes, out = forest_rows(model, features, spark).toPandas().sort_values(["tree", "node"]), []
+    for _, tree in nodes.groupby("tree"):
+        place = {n: k for k, n in enumerate(tree["node"])}
+        child = lambda c: np.array([place.get(n, 0) for n in tree[c]], np.int64)
+        out.append((np.array([names.get(f, -1) for f in tree["feature"]], np.int64), tree["threshold"].to_numpy(float), child("left"), child("right"), tree["value"].to_numpy(float)))
+    return out
+
+
 def permutation_importance(model, test: DataFrame, features: Sequence[str], keys: Sequence[str] = (SERIES, "rn"), params: Params = DEFAULTS) -> DataFrame:
     """(feature, importance): mean growth of the error when one column is shuffled.
 
-    Row i takes the column's value from row (a*i + b) mod N. With a coprime to N
-    that is a permutation, so no shuffle needs a global sort; a and b are drawn
-    per feature and repeat. All copies are scored in one job.
+    In each repeat row i meets the values of row (a*i + b) mod N, with a coprime
+    to N a permutation, so no shuffle needs a global sort and a repeat costs one
+    exchange of the rows for all features. A task walks again only the trees that
+    use a column, and hands on sums.
     """
     rng = random.Random(params.seed)
-    rows, total = indexed(test.select(*keys, LABEL, *[F.col(f).cast("double").alias(f) for f in features]), keys)
+    rows, total = indexed(test.select(*keys, F.col(LABEL).cast("double").alias("_y"), F.array(*[F.col(f).cast("double") for f in features]).alias("_x")), keys)
     if total < 2:
         raise ValueError("permutation needs at least two rows")
-    rows = cut_lineage(rows)
-    plan = [(j, r, *_stride(total, rng)) for j in range(len(features)) for r in range(params.permutation_repeats)]
-    trials = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for j, _, a, b in plan])
-    donors = rows.select(F.col("_i").alias("_donor"), F.array(*features).alias("_given"))
-    copies = rows.withColumn("_t", F.explode(trials)).withColumn("_donor", _wrapped(F.col("_t.a"), F.col("_i"), F.col("_t.b"), total))
-    mixed = copies.join(donors, "_donor").withColumns(
-        {f: F.when(F.col("_t.j") == j, F.get("_given", F.lit(j))).otherwise(F.col(f)) for j, f in enumerate(features)}
-    )
-    shuffled = predict(model, mixed, features).groupBy(F.col("_t.j").alias("j")).agg(F.avg(F.abs(F.col(LABEL) - F.col("predicted"))).alias("_m"))
-    plain = predict(model, rows, features).agg(F.avg(F.abs(F.col(LABEL) - F.col("predicted"))).alias("_p"))
+    rows = cut_lineage(rows.select("_i", "_y", "_x"))
+    strides = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a, b in (_stride(total, rng) for _ in range(params.permutation_repeats))])
+    donors = rows.select(F.col("_i").alias("_donor"), F.col("_x").alias("_given"))
+    repeats = rows.withColumn("_t", F.explode(strides)).withColumn("_donor", _wrapped(F.col("_t.a"), F.col("_i"), F.col("_t.b"), total)).select("_donor", "_y", "_x")
+    trees = tree_arrays(model, features, test.sparkSession)
+    users = [[k for k, t in enumerate(trees) if (t[0] == j).any()] for j in range(len(features))]
+
+    def grown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, n = np.zeros(len(users)), 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            y, x, given = pdf["_y"].to_numpy(float), np.stack(pdf["_x"]).astype(float), np.stack(pdf["_given"]).astype(float)
+            leaves = [_walk(t, x) for t in trees]
+            whole = np.sum(leaves, axis=0)
+            plain = np.abs(y - whole)
+            n += len(pdf)
+            for j, used in enumerate(users):
+                if used:
+                    own = x[:, j].copy()
+                    x[:, j] = given[:, j]
+                    moved = whole + sum(_walk(trees[k], x) - leaves[k] for k in used)
+                    x[:, j] = own
+                    sums[j] += float((np.abs(y - moved) - plain).sum())
+        if n:
+            yield pd.DataFrame({"j": range(len(users)), "grown": sums, "n": n})
+
+    parts = repeats.join(donors, "_donor").select("_y", "_x", "_given").mapInPandas(grown, "j int, grown double, n long")
     names = F.array(*[F.lit(f) for f in features])
-    return shuffled.crossJoin(F.broadcast(plain)).select(F.get(names, F.col("j")).alias("feature"), (F.col("_m") - F.col("_p")).alias("importance"))
+    return parts.groupBy("j").agg((F.sum("grown") / F.sum("n")).alias("importance")).select(F.get(names, F.col("j")).alias("feature"), "importance")
 
 
 def importance_screen(scores: DataFrame, protected: Sequence[str] = (), params: Params = DEFAULTS) -> DataFrame:
@@ -259,6 +305,20 @@ def select_features(rows: DataFrame, features: Sequence[str], target: str, param
     return final, table
 
 
+def held_out_mae(rows: DataFrame, features: Sequence[str], params: Params = DEFAULTS, **overrides) -> float | None:
+    """Error on the test rows of a model fitted on the training rows."""
+    return holdout(rows, features, params, **overrides).agg(error_aggregates(F.col(LABEL), F.col("predicted"))[0]).first()[0]
+
+
+def selection_effect(rows: DataFrame, table: DataFrame, params: Params = DEFAULTS, **overrides) -> DataFrame:
+    """What a selection cost: features before and after, and the held-out error with all that vary and with the kept ones."""
+    stages = {r.feature: r.stage for r in table.collect()}
+    varied, kept = [f for f, s in stages.items() if s != "cardinality"], [f for f, s in stages.items() if s == "kept"]
+    before, after = (held_out_mae(rows, names, params, **overrides) if names else None for names in (varied, kept))
+    change = None if before is None or after is None else after - before
+    return rows.sparkSession.createDataFrame([(len(stages), len(kept), before, after, change)], "n_before int, n_after int, mae_all_features double, mae_selected double, mae_change double")
+
+
 # -- tuning ------------------------------------------------------------------
 
 
@@ -297,6 +357,24 @@ def tuning_verdict(trials: DataFrame) -> DataFrame:
     )
 
 
+def tuning_report(rows: DataFrame, features: Sequence[str], target: str, candidates: Sequence[dict], params: Params = DEFAULTS) -> DataFrame:
+    """The verdict with both settings judged on the held-out rows that no fold saw, and the settings to adopt.
+
+    `adopted_params` is null where the gain is within the spread between folds.
+    """
+    verdict = cut_lineage(tuning_verdict(tune(rows, features, target, candidates, params)))
+    best = candidates[verdict.first().best_trial]
+    tuned, held = held_out_mae(rows, features, params, **best), held_out_mae(rows, features, params)
+    return verdict.select(
+        "*",
+        F.lit(len(candidates)).alias("trials"),
+        F.round(F.lit(tuned), 5).alias("tuned_test_mae"),
+        F.round(F.lit(held), 5).alias("incumbent_test_mae"),
+        F.round(F.lit(held) - F.lit(tuned), 5).alias("test_gain"),
+        F.when(F.col("adopt"), F.lit(json.dumps(best, sort_keys=True))).alias("adopted_params"),
+    )
+
+
 # -- iterative rollout -------------------------------------------------------
 
 

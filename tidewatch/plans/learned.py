@@ -63,15 +63,22 @@ def scaling_verdicts(spark, d):
 
 @query("feature_selection")
 def feature_selection(spark, d):
-    params = DEFAULTS.with_(permutation_repeats=3)
-    return ML.select_features(fixed_rows(spark, d), [*COLUMNS, "minute"], TARGET, params, n_estimators=TREES)[1]
+    return ML.select_features(fixed_rows(spark, d), [*COLUMNS, "minute"], TARGET, n_estimators=TREES)[1]
+
+
+@query("feature_selection_effect")
+def feature_selection_effect(spark, d):
+    """Held-out error before and after the screens."""
+    rows = fixed_rows(spark, d)
+    _, table = ML.select_features(rows, [*COLUMNS, "minute"], TARGET, n_estimators=TREES)
+    return ML.selection_effect(rows, table, n_estimators=TREES)
 
 
 @query("tuning_verdict")
 def tuning_verdict(spark, d):
     params = DEFAULTS.with_(n_estimators=10)
     grid = {"n_estimators": (5, 10), "max_depth": (2, 3), "learning_rate": (0.1, 0.2)}
-    return ML.tuning_verdict(ML.tune(fixed_rows(spark, d), COLUMNS, TARGET, ML.sample_grid(grid, 2), params))
+    return ML.tuning_report(fixed_rows(spark, d), COLUMNS, TARGET, ML.sample_grid(grid, 2), params)
 
 
 def last_state(done, rows):
