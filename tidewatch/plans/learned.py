@@ -66,6 +66,14 @@ def feature_selection(spark, d):
     return ML.select_features(fixed_rows(spark, d), [*COLUMNS, "minute"], TARGET, n_estimators=TREES)[1]
 
 
+@query("importance_ranking")
+def importance_ranking(spark, d):
+    """Features by what shuffling them costs on the test rows, the dearest first."""
+    rows = fixed_rows(spark, d)
+    scores = ML.permutation_importance(ML.fit_boosting(Z.split_train(rows), COLUMNS, n_estimators=TREES), Z.split_test(rows), COLUMNS)
+    return scores.orderBy(F.desc("importance"), "feature")
+
+
 @query("feature_selection_effect")
 def feature_selection_effect(spark, d):
     """Held-out error before and after the screens."""

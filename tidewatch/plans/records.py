@@ -342,7 +342,7 @@ def config_changes(spark, d):
     return L.config_changes(*_snapshots(spark, d))
 
 
-_AUDIT = "audit AS (SELECT 'cust.' || o_custkey AS key, o_orderkey AS id, o_orderdate AS changed_at, (o_totalprice::BIGINT)::VARCHAR AS old_value, o_orderstatus AS new_value, o_orderpriority AS source FROM orders)"
+_AUDIT = "audit AS (SELECT 'cust.' || o_custkey AS key, o_orderkey AS id, o_orderdate AS changed_at, floor(o_totalprice)::BIGINT::VARCHAR AS old_value, o_orderstatus AS new_value, o_orderpriority AS source FROM orders)"
 
 
 def audit_rows(spark, d):
@@ -352,9 +352,50 @@ def audit_rows(spark, d):
     )
 
 
+@query("config_history_newest", with_ctes([_AUDIT], "SELECT id, key, old_value, new_value, changed_at, source FROM audit ORDER BY id DESC LIMIT 50"))
+def config_history_newest(spark, d):
+    """The newest 50 changes of the configuration."""
+    return L.history(audit_rows(spark, d), [F.desc("id")], 50).select("id", "key", "old_value", "new_value", "changed_at", "source")
+
+
+@query("config_history_of_keys", with_ctes([_AUDIT], "SELECT id, key, old_value, new_value, changed_at, source FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id DESC) AS k FROM audit) WHERE k <= 3"))
+def config_history_of_keys(spark, d):
+    """The newest 3 changes of every key."""
+    return newest(audit_rows(spark, d), ["key"], [F.desc("id")], 3).select("id", "key", "old_value", "new_value", "changed_at", "source")
+
+
+_DRIFT_EVENTS = """drift_log AS (SELECT o_orderkey AS id, o_orderpriority AS target, o_orderdate AS detected_at, CASE o_orderstatus WHEN 'F' THEN 'performance' WHEN 'P' THEN 'input' ELSE 'none' END AS trigger,
+  o_totalprice / 400000.0::DOUBLE AS psi, o_totalprice / 150000.0::DOUBLE AS ratio, CASE o_orderstatus WHEN 'F' THEN 'retrain' WHEN 'P' THEN 'watch' ELSE 'none' END AS action,
+  CASE WHEN o_orderstatus = 'F' THEN 'promoted' END AS outcome, CASE WHEN o_orderstatus = 'F' THEN 'm-' || o_orderkey END AS new_model_id FROM orders)"""
+_DRIFT_COLUMNS = f"target, detected_at, trigger, {rounded('psi', 'ratio')}, action, outcome, new_model_id"
+
+
+def drift_log(spark, d):
+    """Orders as a log of drift events."""
+    status, price = F.col("o_orderstatus"), F.col("o_totalprice").cast("double")
+    of = lambda f, p: F.when(status == "F", f).when(status == "P", p).otherwise("none")
+    return V.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("target"), F.col("o_orderdate").cast("timestamp").alias("detected_at"), of("performance", "input").alias("trigger"),
+        (price / 400000.0).alias("psi"), (price / 150000.0).alias("ratio"), of("retrain", "watch").alias("action"),
+        F.when(status == "F", "promoted").alias("outcome"), F.when(status == "F", F.concat(F.lit("m-"), F.col("o_orderkey").cast("string"))).alias("new_model_id"),
+    )
+
+
+@query("drift_history_newest", with_ctes([_DRIFT_EVENTS], f"SELECT id, {_DRIFT_COLUMNS} FROM drift_log ORDER BY id DESC LIMIT 50"))
+def drift_history_newest(spark, d):
+    """The newest 50 drift events of all targets."""
+    return L.history(drift_log(spark, d), [F.desc("id")], 50)
+
+
+@query("drift_history_of_targets", with_ctes([_DRIFT_EVENTS], f"SELECT id, {_DRIFT_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY id DESC) AS k FROM drift_log) WHERE k <= 50"))
+def drift_history_of_targets(spark, d):
+    """The newest 50 drift events of every target."""
+    return newest(drift_log(spark, d), ["target"], [F.desc("id")], 50)
+
+
 @query(
     "config_as_of",
-    with_ctes([_AUDIT.replace("(o_totalprice::BIGINT)", "floor(o_totalprice)::BIGINT"), "cur AS (SELECT 'cust.' || c_custkey AS key, c_mktsegment AS value FROM customer)",
+    with_ctes([_AUDIT, "cur AS (SELECT 'cust.' || c_custkey AS key, c_mktsegment AS value FROM customer)",
                "bef AS (SELECT key, first(old_value ORDER BY changed_at, id) AS v FROM audit WHERE changed_at > TIMESTAMP '1999-06-01' GROUP BY key)"],
               "SELECT coalesce(c.key, b.key) AS key, CASE WHEN b.key IS NOT NULL THEN b.v ELSE c.value END AS value FROM cur c FULL JOIN bef b ON c.key = b.key"),
 )
@@ -397,7 +438,7 @@ recos AS (SELECT ts, CASE WHEN event_type = 'purchase' THEN 'process_alert' ELSE
 _GATED = "gated AS (SELECT *, CASE WHEN gate_verdict <> 'PASS' AND rows_in % 2 = 0 THEN 'gate ' || gate_verdict END AS gate_detail FROM runs)"
 _STREAMS = " UNION ALL ".join(kind.sql("gated" if name == "runs" else L.EVENT_TABLES.get(name, name)) for name, kind in L.EVENT_KINDS.items())
 _EVENTS = f'ev AS (SELECT "at" AS at_ts, source, level, event, detail FROM ({_STREAMS}))'
-_EV = [V.RUNS_SQL, _GATED, V.CHECKS_SQL, V.MODELS_SQL, _AUDIT.replace("(o_totalprice::BIGINT)", "floor(o_totalprice)::BIGINT"), _ALERTS, _EVENTS]
+_EV = [V.RUNS_SQL, _GATED, V.CHECKS_SQL, V.MODELS_SQL, _AUDIT, _ALERTS, _EVENTS]
 
 
 def all_events(spark, d):
