@@ -4,6 +4,7 @@ import datetime
 import json
 import random
 
+import duckdb
 import pytest
 from conftest import TINY, same
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from tidewatch.operators import transform as T
 from tidewatch.operators.ordering import Layout, cut_lineage, newest
 from tidewatch.params import DEFAULTS
 from tidewatch.plans import views as V
+from tidewatch.plans.catalog import ORACLES, QUERIES
+from tidewatch.plans.streams import land
 from tidewatch.streaming import jobs as S
 from tidewatch.streaming import stateful as Q
 
@@ -140,3 +143,33 @@ def test_cycle(spark, landed, tmp_path):
     assert read("clean").where("batch_id = 0").count() > 0
     assert read("recommendations").groupBy("batch_id").count().count() == 2
     assert read("predictions").where("batch_id = 1").count() == 5
+
+
+@pytest.mark.parametrize("name", ["stream_sessions", "stream_scored"])
+def test_landed_rows_are_never_late(spark, name):
+    """Every series in a file of its own: a span of five files used to reach over triggers, and its last ones came after the watermark."""
+    wanted = {"spark.sql.shuffle.partitions": "11", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        got = QUERIES[name](spark, TINY)
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW events AS SELECT * FROM '{TINY}/events.parquet'")
+        want = con.sql(ORACLES[name])
+        place = [want.columns.index(c) for c in got.columns]
+        rows = sorted((tuple(r) for r in got.collect()), key=str)
+        assert rows == sorted((tuple(r[i] for i in place) for r in want.fetchall()), key=str)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_spans_land_whole(spark):
+    """Each job writes as many files as a trigger takes, spans follow each other, and equal instants share one."""
+    rows = [(f"s{k % 5}", datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=k // 7), float(k)) for k in range(700)] + [("s0", None, 1.0)]
+    path = land(spark.createDataFrame(rows, "series_key string, ts timestamp, x double"), files=3)
+    stored = spark.read.parquet(path).where(F.col("series_key") != "~").withColumn("f", F.input_file_name())
+    spans = sorted(stored.groupBy("_span").agg(F.countDistinct("f").alias("files"), F.min("ts"), F.max("ts"), F.count("*")).collect())
+    assert [s[0] for s in spans] == list(range(12)) and {s[1] for s in spans} == {1} and sum(s[4] for s in spans) == 700
+    assert all(a[3] < b[2] for a, b in zip(spans, spans[1:]))

@@ -5,6 +5,8 @@ Each has the SQL of the batch form, so a stream must end where a batch ends.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from tidewatch.operators import clean as K
 from tidewatch.operators import drift as D
 from tidewatch.operators import serving as P
 from tidewatch.operators.cadence import SERIES
-from tidewatch.operators.ordering import as_number, cut_lineage, newest, quantile_edges, shared_folder
+from tidewatch.operators.ordering import as_number, cut_lineage, newest, quantile_edges, shared_folder, slice_of
 from tidewatch.params import DEFAULTS
 from tidewatch.plans import views as V
 from tidewatch.plans.catalog import nudge, query, rounded, with_ctes
@@ -25,33 +27,44 @@ from tidewatch.streaming import stateful as Q
 
 #: A row of this series, later than all others, lets the watermark pass them; it is no series of the tables.
 CLOSER = "~"
+#: Files of one trigger, the least number of triggers, and about how many rows a file holds at most.
+FILES = 3
 PARTS = 4
+SPAN_ROWS = 500_000
 LATE = "10 minutes"
 
 
-def land(df: DataFrame, ts: str = "ts", parts: int = PARTS) -> str:
-    """Write a table as files of `parts` spans of time, one after the other, a series of a span in one file; returns the folder.
+def land(df: DataFrame, ts: str = "ts", files: int = FILES, parts: int = PARTS) -> str:
+    """Write a table as files of consecutive spans of time, `files` of them at a time; returns the folder.
+
+    A trigger that takes `files` files takes all that one job wrote, so whatever order
+    they arrive in, no row comes after the watermark has passed it, and a series comes
+    in time order. A span reaches up to its edge, a value of the table, and so is never
+    empty but for the last. Spans grow in number, not in length, with the table.
 
     Last comes a row of the closing series one day after the newest. It has zeros,
     not nulls, and is only left out at the very end: a filter above a watermark
     would be moved below it and keep the row from passing.
     """
-    path = f"{shared_folder(df.sparkSession)}/landed"
-    edges = quantile_edges(df, as_number(df, ts), parts)
-    span = F.array_position(F.array_sort(F.array(*[F.lit(float(e)) for e in edges], F.unix_micros(ts).cast("double"))), F.unix_micros(ts).cast("double")) if edges else F.lit(1)
-    stamped = cut_lineage(df.withColumn("_span", span))
-    for k in range(1, len(edges) + 2):
-        stamped.where(F.col("_span") == k).drop("_span").repartition(SERIES).write.mode("append").parquet(path)
-    end = F.max(ts).alias(ts)
+    spark, root = df.sparkSession, shared_folder(df.sparkSession)
+    known = df.where(F.col(ts).isNotNull())
+    spans = files * max(parts, math.ceil(known.count() / (files * SPAN_ROWS)))
+    edges = quantile_edges(known, as_number(known, ts), spans)
+    placed = slice_of(known, as_number(known, ts), [e + 1.0 for e in edges], "_span").withColumn("_job", F.floor(F.col("_span") / files).cast("int"))
+    placed.write.partitionBy("_job").parquet(f"{root}/placed")
+    stored = spark.read.schema(placed.schema).parquet(f"{root}/placed")
+    for k in range(len(edges) // files + 1):
+        stored.where(F.col("_job") == k).drop("_job").repartition("_span").write.mode("append").partitionBy("_span").parquet(f"{root}/landed")
     others = [F.lit("0").cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name not in (SERIES, ts)]
-    closer = df.agg(end).select(F.lit(CLOSER).alias(SERIES), (F.col(ts) + F.expr("INTERVAL 1 DAY")).alias(ts), *others).where(F.col(ts).isNotNull())
-    closer.select(*df.columns).coalesce(1).write.mode("append").parquet(path)
-    return path
+    newest_row = stored.agg(F.max(ts).alias(ts)).where(F.col(ts).isNotNull())
+    closer = newest_row.select(F.lit(CLOSER).alias(SERIES), (F.col(ts) + F.expr("INTERVAL 1 DAY")).alias(ts), *others).select(*df.columns, F.lit(len(edges) + 1).alias("_span"))
+    closer.coalesce(1).write.mode("append").partitionBy("_span").parquet(f"{root}/landed")
+    return f"{root}/landed"
 
 
-def arriving(df: DataFrame, ts: str = "ts", files: int = 3) -> DataFrame:
-    """The table as a stream of the files it landed in, a few at a time."""
-    return S.read_samples(df.sparkSession, land(df, ts), schema=df.schema, files_per_trigger=files)
+def arriving(df: DataFrame, ts: str = "ts", files: int = FILES) -> DataFrame:
+    """The table as a stream of the files it landed in, those of one job at a time."""
+    return S.read_samples(df.sparkSession, land(df, ts, files), schema=df.schema, files_per_trigger=files).select(*df.columns)
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
