@@ -20,6 +20,15 @@ def scaled(spark, d):
     return V.metrics(spark, d).withColumn("cpu_percent", F.col("cpu_percent") * 0.2)
 
 
+#: What the queries read of the rows a run loads.
+LOADED = "series_key string, segment_id bigint, slot bigint, ts timestamp, " + ", ".join(f"{m} double" for m in V.MEASURES) + ", is_imputed int, is_outlier int"
+
+
+def loaded(spark, frame, schema: str = LOADED):
+    """What a run left in `frame`; a run that its gate stopped loaded no rows."""
+    return spark.createDataFrame([], schema) if frame is None else frame
+
+
 def rounded_cadence(chain: list[str]) -> list[str]:
     """The cleaning chain with the cadence to two decimals, as the gate reports it."""
     out = []
@@ -40,7 +49,7 @@ def batch_run_clean(spark, d):
     """A run that passes: what it loaded, beside its own record."""
     done = run_batch(scaled(spark, d), 7, LATER, shared_folder(spark))
     record = done.run.select("status", "gate_verdict", "rows_in", "rows_out")
-    return done.clean.select("series_key", "segment_id", "slot", "ts", *V.MEASURES, "is_imputed", "is_outlier").crossJoin(F.broadcast(record))
+    return loaded(spark, done.clean).select("series_key", "segment_id", "slot", "ts", *V.MEASURES, "is_imputed", "is_outlier").crossJoin(F.broadcast(record))
 
 
 @query(
@@ -51,7 +60,7 @@ def batch_run_features(spark, d):
     """Vectors loaded by a run that is made twice: loading again replaces its own rows."""
     root = shared_folder(spark)
     run_batch(scaled(spark, d), 7, LATER, root)
-    vectors = run_batch(scaled(spark, d), 7, LATER, root).features
+    vectors = loaded(spark, run_batch(scaled(spark, d), 7, LATER, root).features)
     return vectors.groupBy("series_key").agg(F.count(F.lit(1)).alias("vectors"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
