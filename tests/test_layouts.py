@@ -20,7 +20,7 @@ from tidewatch.operators import serving as P
 from tidewatch.operators import scoring as Z
 from tidewatch.operators import transform as T
 from tidewatch.operators.contract import coerce
-from tidewatch.operators.ordering import Layout, cut_lineage
+from tidewatch.operators.ordering import SIZES, Layout, Sizes, cut_lineage
 from tidewatch.operators.percentiles import direct_percentiles, sliced_percentiles
 from tidewatch.params import DEFAULTS
 from tidewatch.plans import views as V
@@ -162,3 +162,15 @@ def test_rollup_and_drift_of_full_groups(samples):
     same(T.rollup(samples, "1 day", ["cpu_percent"], layout=PLAIN), T.rollup(samples, "1 day", ["cpu_percent"], group_rows=50))
     parted = D.tail_split(samples, 200)
     same(D.psi(parted, "cpu_percent", layout=PLAIN), D.psi(parted, "cpu_percent", group_rows=100))
+
+
+def test_many_short_series_are_not_cut(spark):
+    """A table larger than a slice is cut only if one of its series is longer than a block."""
+    short = spark.range(900).select((F.col("id") % 90).cast("string").alias("series_key"), F.timestamp_seconds("id").alias("ts"))
+    long = short.unionByName(spark.range(31).select(F.lit("x").alias("series_key"), F.timestamp_seconds("id").alias("ts")))
+    for sizes, table, single in ((Sizes(100, 30, 20), short, True), (Sizes(100, 30, 20), long, False), (Sizes(100, 30, 20, 0), short, False)):
+        mark = SIZES.set(sizes)
+        try:
+            assert Layout.plan(table).single == single
+        finally:
+            SIZES.reset(mark)

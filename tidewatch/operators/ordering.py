@@ -4,7 +4,7 @@ A window `PARTITION BY series ORDER BY ts` puts a whole series into one task.
 That is right for short series and fatal for one that holds a third of the
 table. Everything ordered in this package therefore goes through a `Layout`:
 
-* few rows (checked, not assumed): plain windows per series;
+* few rows in all, or in the longest series (checked, not assumed): plain windows per series;
 * otherwise the time axis is cut into slices holding about equally many rows.
   A first pass counts rows per (series, slice), a running sum of those few
   counts gives each slice its offset, and `row_number` inside a slice plus the
@@ -38,11 +38,15 @@ SALTS = 64
 
 @dataclass(frozen=True)
 class Sizes:
-    """How much ordered work one task takes on: rows of a slice, of a block, and of a group in one aggregation buffer."""
+    """How much ordered work one task takes on: rows of a slice, of a block, and of a group in one aggregation buffer.
+
+    A table whose longest series has at most `series_rows` rows, those of a block if not given, is not cut.
+    """
 
     slice_rows: int = ROWS_PER_SLICE
     block_rows: int = BLOCK_ROWS
     group_rows: int = GROUP_ROWS
+    series_rows: int | None = None
 
 
 #: In force where a call names no sizes of its own; tests and twin queries set small ones to run the cut form on small tables.
@@ -98,14 +102,22 @@ class Layout:
         order: str = "ts",
         rows_per_slice: int | None = None,
         block_rows: int | None = None,
+        key: str = "series_key",
     ) -> "Layout":
-        """Look at the table's size and, if it is large, at its order column.
+        """Look at the table's size and, if it is large, at its longest series and its order column.
 
-        The count is a metadata read for columnar files. Only the cut points
-        reach the driver, one number for each slice of millions of rows.
+        The count is a metadata read for columnar files. A large table of series
+        that are all shorter than a block needs no cut: they spread by themselves.
+        Only the cut points reach the driver, one number for each slice of
+        millions of rows.
         """
         rows, sizes = df.count(), SIZES.get()
         parts = math.ceil(rows / (rows_per_slice or sizes.slice_rows)) if rows else 1
+        if parts > 1 and rows_per_slice is None and key in df.columns:
+            longest = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+            enough = sizes.block_rows if sizes.series_rows is None else sizes.series_rows
+            if longest <= enough:
+                return Layout((), block_rows or sizes.block_rows)
         return Layout(tuple(quantile_edges(df, as_number(df, order), parts)), block_rows or sizes.block_rows)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewatch.operators.ordering import SIZES, Sizes
 from tidewatch.plans.catalog import ORACLES, QUERIES
 
-SMALL = Sizes(slice_rows=300, block_rows=250, group_rows=200)
+SMALL = Sizes(slice_rows=300, block_rows=250, group_rows=200, series_rows=0)
 TWINS = ("clean_users", "feature_vectors_users", "baseline_ladder", "feature_drift_users", "breach_stats", "gate_checks_dirty", "rollup_hour")
 
 
