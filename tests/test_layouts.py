@@ -5,6 +5,7 @@ One series here holds every row, or each series spans many slices and blocks.
 
 import os
 
+import pandas as pd
 import pytest
 from conftest import SMALL, TINY, same
 from pyspark.sql import functions as F
@@ -174,3 +175,17 @@ def test_many_short_series_are_not_cut(spark):
             assert Layout.plan(table).single == single
         finally:
             SIZES.reset(mark)
+
+
+def test_summaries_of_short_blocks_leave_together(spark, monkeypatch):
+    """One frame for hundreds of short blocks, not one for each; a block's rows are those it has alone."""
+    blocks = spark.createDataFrame([], "series_key string, block bigint, values array<double>")
+    monkeypatch.setattr(type(blocks), "mapInPandas", lambda self, fold, schema: fold)
+    fold = Y.fold_blocks(blocks, ["series_key"], [10.0, 20.0, 30.0])
+    given = pd.DataFrame({"series_key": [f"s{k}" for k in range(500)], "block": range(500), "values": [[float(k % 7 * j % 40) for j in range(1 + k % 9)] for k in range(500)]})
+    frames = list(fold([given]))
+    assert len(frames) == 1 and len(frames[0]) == 1500
+    for k in (0, 13, 499):
+        alone = next(fold([given.iloc[k : k + 1]]))
+        assert frames[0].iloc[3 * k : 3 * k + 3].reset_index(drop=True).equals(alone)
+    assert list(fold([given.iloc[:0]])) == []

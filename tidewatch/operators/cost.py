@@ -22,13 +22,15 @@ from tidewatch.functions.columns import (
     units,
 )
 from tidewatch.operators.cadence import SERIES
-from tidewatch.operators.ordering import Layout, add_position, newest, settle
+from tidewatch.operators.ordering import Layout, add_position, cut_lineage, newest, settle
 from tidewatch.params import DEFAULTS, Params
 
 # Consecutive values folded together. Small enough for one array, large enough
 # that the per-block summaries are a tiny fraction of the rows.
 FOLD_ROWS = 2_000
 BLOCKS_IN_ONE = 4_096
+# Summaries that leave a task in one frame.
+FRAME_ROWS = 50_000
 
 
 def value_blocks(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], layout: Layout, rows: int = FOLD_ROWS) -> DataFrame:
@@ -68,19 +70,26 @@ def _summaries(values: np.ndarray, levels: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def fold_blocks(blocks: DataFrame, keys: Sequence[str], levels: Sequence[float]) -> DataFrame:
-    """One summary row per block and level. Blocks arrive as Arrow batches and are compared with all levels at once."""
+    """One summary row per block and level. Blocks arrive as Arrow batches and are compared with all levels at once.
+
+    Summaries of many blocks leave together: a frame for each would cost more than short blocks themselves.
+    """
     grid = np.asarray(levels, dtype=float)
     names = [*keys, "block"]
     types = ", ".join(f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in names)
     schema = f"{types}, allocation_percent double, n bigint, breaches bigint, starts bigint, lead bigint, run bigint, best bigint, worst double"
 
     def fold(batches):
+        together = max(1, FRAME_ROWS // grid.size) if grid.size else 1
         for pdf in batches:
-            for row in zip(*[pdf[k] for k in names], pdf["values"]):
-                out = pd.DataFrame({"allocation_percent": grid, **_summaries(np.asarray(row[-1], dtype=float), grid)})
-                for k, v in zip(names, row):
-                    out[k] = v
-                yield out[[*names, *out.columns[: -len(names)]]]
+            for begin in range(0, len(pdf), together):
+                part = pdf.iloc[begin : begin + together]
+                found = [_summaries(np.asarray(values, dtype=float), grid) for values in part["values"]]
+                out = part[names].loc[part.index.repeat(grid.size)].reset_index(drop=True)
+                out["allocation_percent"] = np.tile(grid, len(part))
+                for name in found[0]:
+                    out[name] = np.concatenate([f[name] for f in found])
+                yield out
 
     return blocks.mapInPandas(fold, schema)
 
@@ -166,7 +175,7 @@ def join_blocks(folded: DataFrame, keys: Sequence[str], width: int = BLOCKS_IN_O
 def breach_stats(df: DataFrame, value: str, level, layout: Layout, keys: Sequence[str] = (SERIES,), order: Sequence[str] = ("ts",), rows: int = FOLD_ROWS) -> DataFrame:
     """How an allocation level under-serves demand: rate, episodes, longest episode, overshoot."""
     blocks = value_blocks(df, value, keys, order, layout, rows)
-    return join_blocks(fold_blocks(blocks, keys, [float(level)]), keys)
+    return join_blocks(cut_lineage(fold_blocks(blocks, keys, [float(level)])), keys)
 
 
 def sweep_levels(params: Params = DEFAULTS) -> list[float]:
