@@ -3,11 +3,13 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import zlib
 
 import fixtures as fx
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -322,6 +324,26 @@ def test_token_files(spark, docs, rows, empty):
     assert tokenfiles.token_rows(empty).collect() == []
 
 
+def test_token_files_read_the_vocabulary_once_a_worker(spark, rows):
+    docs = spark.createDataFrame([(i, f"{t or ''} word{i}") for i, t in rows], "doc_id long, text string").repartition(6)
+
+    def tasks(batches):
+        for batch in batches:
+            coder = tokenfiles.encoder(tokenfiles.default_tokenizer())
+            for text in batch.column(1).to_pylist():
+                coder.encode(text)
+            coder.forget(3)
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()], pa.int64()), pa.array([id(coder)], pa.int64()), pa.array([len(coder.known)], pa.int64())], names=["pid", "coder", "known"])
+
+    got = [r for _ in range(3) for r in docs.mapInArrow(tasks, "pid long, coder long, known long").collect()]
+    assert len({(r["pid"], r["coder"]) for r in got}) == len({r["pid"] for r in got}) < len(got)
+    assert all(r["known"] <= 3 for r in got)
+    coder, fresh = tokenfiles.encoder(tokenfiles.default_tokenizer()), tokenfiles.Encoder(tokenfiles.default_tokenizer())
+    for _, t in rows:
+        assert coder.encode(t or "").tolist() == fresh.encode(t or "").tolist()
+        coder.forget(2)
+
+
 def test_pieces_encode_like_whole_texts():
     coder = tokenfiles.Encoder(tokenfiles.default_tokenizer())
     rng = random.Random(3)

@@ -12,11 +12,12 @@ Parquet files, which Spark writes and commits.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -31,7 +32,7 @@ from tidewatch.operators.ordering import shared_folder
 END_ID = 0
 BLOCK_IDS = 1_000_000
 MAGIC = b"TWID"
-CACHE_PIECES = 400_000
+CACHE_PIECES, KEPT_PIECES = 400_000, 150_000
 PARTITION_BYTES = 64_000_000
 #: Bytes of each of four numbers for every control byte, their sums, and their places.
 LENGTHS = (np.arange(256)[:, None] >> (2 * np.arange(4))[None, :] & 3) + 1
@@ -97,13 +98,29 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: b if b in _PRINTED else 256 + sum(1 for x in range(b) if x not in _PRINTED) for b in range(256)}
 
 
+class Pieces(dict):
+    """Ids of pieces as bytes. A new piece is learned when it is looked up; one that `learn` gives nothing for is kept in `odd`."""
+
+    def __init__(self, learn: Callable[[str], bytes | None]):
+        super().__init__()
+        self.learn, self.odd = learn, []
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.learn(piece)
+        if ids is None:
+            self.odd.append(piece)
+            return b""
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """The library's ids of whole texts, with the pieces between white space remembered.
 
     Byte-level splitting never joins characters over a single space or newline
     between two words, so the words of such a text encode one by one, each with
-    the character before it. New pieces go to the library in one string, parted
-    by NUL, which no merge of the vocabulary contains. Texts with white space
+    the character before it. Simple new pieces are learned one by one, the others
+    of a text go to the library in one string, parted by NUL, which no merge of the vocabulary contains. Texts with white space
     next to white space or at their ends, other white space than space and
     newline, NUL, or the name of a special token go to the library as a whole.
     """
@@ -120,7 +137,7 @@ class Encoder:
         self.tokenize = self.library.model.tokenize
         self.code, self.kind = ("H", np.dtype("<u2")) if self.library.get_vocab_size() <= 1 << 16 else ("I", np.dtype("<u4"))
         self.marks = {m: self._ids(m).astype(self.kind).tobytes() for m in ("", "\n", ".", ",")}
-        self.known: dict[str, bytes] = {}
+        self.known = Pieces(self._simple)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -133,40 +150,50 @@ class Encoder:
             letters = word.encode().decode("latin-1").translate(BYTE_LETTERS)
         return array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
 
+    def _simple(self, piece: str) -> bytes | None:
+        m = SIMPLE.fullmatch(piece)
+        if m is None:
+            return None
+        before, word, behind = m.groups()
+        if before or behind:
+            return self.marks[before] + (self.known.get(word) or self._word(word)) + self.marks[behind]
+        return self._word(word)
+
     def _learn(self, pieces: list[str]) -> None:
-        known, odd = self.known, []
-        for piece in pieces:
-            m = SIMPLE.fullmatch(piece)
-            if m is None:
-                odd.append(piece)
-                continue
-            before, word, behind = m.groups()
-            if before or behind:
-                known[piece] = self.marks[before] + (known.get(word) or self._word(word)) + self.marks[behind]
-            else:
-                known[piece] = self._word(word)
-        if odd:
-            ids = self._ids("\0".join(odd))
-            cuts = np.flatnonzero(ids == self.parted[0])
-            data, width, begin = ids.astype(self.kind).tobytes(), self.kind.itemsize, 0
-            for piece, end in zip(odd, [*(width * cuts).tolist(), width * len(ids)], strict=True):
-                known[piece] = data[begin:end]
-                begin = end + width
+        ids = self._ids("\0".join(pieces))
+        cuts = np.flatnonzero(ids == self.parted[0])
+        data, width, begin = ids.astype(self.kind).tobytes(), self.kind.itemsize, 0
+        for piece, end in zip(pieces, [*(width * cuts).tolist(), width * len(ids)], strict=True):
+            self.known[piece] = data[begin:end]
+            begin = end + width
+
+    def forget(self, most: int) -> None:
+        """Keep the first `most` pieces: what came first is what comes often."""
+        if len(self.known) > most:
+            kept = list(islice(self.known.items(), most))
+            self.known.clear()
+            self.known.update(kept)
 
     def encode(self, text: str) -> np.ndarray:
         if not self.pieces or "\0" in text or any(s in text for s in self.special):
             return self._ids(text)
-        pieces = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        try:
-            return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), self.kind).astype("<u4")
-        except KeyError:
-            if len(self.known) > self.cached:  # what came first is what comes often
-                self.known = dict(islice(self.known.items(), self.cached * 3 // 4))
-            new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-            if any(p.split() != [p[1:] if p[:1] in " \n" else p] for p in new):  # white space at an end or next to other white space
+        pieces, known = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0"), self.known
+        if len(known) > self.cached:
+            self.forget(self.cached * 3 // 4)
+        ids = b"".join(map(known.__getitem__, pieces))
+        if known.odd:
+            odd, known.odd = list(dict.fromkeys(known.odd)), []
+            if any(p.split() != [p[1:] if p[:1] in " \n" else p] for p in odd):  # white space at an end or next to other white space
                 return self._ids(text)
-            self._learn(new)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), self.kind).astype("<u4")
+            self._learn(odd)
+            ids = b"".join(map(known.__getitem__, pieces))
+        return np.frombuffer(ids, self.kind).astype("<u4")
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of this process. Workers live on between tasks, and every reading of a vocabulary leaves memory behind."""
+    return Encoder(path)
 
 
 def default_tokenizer() -> str:
@@ -192,7 +219,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, block
     order = (F.col("doc_id"), F.xxhash64("text"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, number = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        coder, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
         held, names, size = [], [], 0
 
         def block() -> pa.RecordBatch:
@@ -214,7 +241,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, block
                     held, names, size, number = [], [], 0, number + 1
         if held:
             yield block()
-        coder.known.clear()  # workers live on: what one task has learned must not stay in their memory
+        coder.forget(KEPT_PIECES)  # workers live on: most of what one task has learned must not stay in their memory
 
     ranged = fed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ranged.mapInArrow(lean(blocks), "part int, block int, doc_ids array<long>, lengths array<long>, ids binary").write.parquet(path)
