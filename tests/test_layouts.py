@@ -189,3 +189,16 @@ def test_summaries_of_short_blocks_leave_together(spark, monkeypatch):
         alone = next(fold([given.iloc[k : k + 1]]))
         assert frames[0].iloc[3 * k : 3 * k + 3].reset_index(drop=True).equals(alone)
     assert list(fold([given.iloc[:0]])) == []
+
+
+def test_gate_and_cadence_take_the_deltas_once(spark, samples, monkeypatch):
+    typed, taken = coerce(samples), []
+    layout, arrival = Layout.plan(typed, rows_per_slice=300, block_rows=250), Layout.plan(typed, "id", rows_per_slice=300, block_rows=250)
+    real = G.deltas
+    for module in (G, gate):
+        monkeypatch.setattr(module, "deltas", lambda df, by: taken.append(1) or real(df, by), raising=False)
+    gate.run_checks(typed, "2024-01-25", layout, arrival=arrival)
+    assert len(taken) == 1
+    # the median reads what was written once, not the window again
+    plan = G.detect_cadence(samples, layout, group_rows=10**9)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(" not in plan

@@ -34,12 +34,15 @@ def deltas(df: DataFrame, layout: Layout) -> DataFrame:
     return out.withColumn("delta", seconds_between("ts", "prev_ts"))
 
 
-def detect_cadence(df: DataFrame, layout: Layout, params: Params = DEFAULTS, group_rows: int | None = None) -> DataFrame:
+def detect_cadence(
+    df: DataFrame, layout: Layout, params: Params = DEFAULTS, group_rows: int | None = None, steps: DataFrame | None = None
+) -> DataFrame:
     """(series_key, cadence): median positive delta, the nominal interval where there is none.
 
-    Fewer than three samples say nothing about an interval.
+    Fewer than three samples say nothing about an interval. `steps` are the
+    settled deltas of `df`, if the caller has them; the median reads them several times.
     """
-    steps = deltas(df, layout)
+    steps = steps if steps is not None else settle(deltas(df, layout).select(SERIES, "delta"), layout)
     sizes = df.groupBy(SERIES).agg(F.count("ts").alias("_n"))
     medians = exact_percentiles(steps.where(F.col("delta") > 0), [SERIES], "delta", [0.5], group_rows, layout)
     measured = F.when(F.col("_n") >= 3, F.col("p0_5"))
@@ -48,9 +51,9 @@ def detect_cadence(df: DataFrame, layout: Layout, params: Params = DEFAULTS, gro
     )
 
 
-def find_gaps(df: DataFrame, cadence: DataFrame, layout: Layout, params: Params = DEFAULTS) -> DataFrame:
-    """Breaks in collection: deltas beyond gap_multiple times the cadence."""
-    steps = join_spread(deltas(df, layout), cadence, [SERIES], ["ts"])
+def find_gaps(df: DataFrame, cadence: DataFrame, layout: Layout, params: Params = DEFAULTS, steps: DataFrame | None = None) -> DataFrame:
+    """Breaks in collection: deltas beyond gap_multiple times the cadence. `steps` as in `detect_cadence`."""
+    steps = join_spread(deltas(df, layout) if steps is None else steps, cadence, [SERIES], ["ts"])
     return steps.where(F.col("delta") > F.col("cadence") * F.lit(params.gap_multiple)).select(
         SERIES,
         F.col("prev_ts").alias("gap_start"),

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import seconds_between
-from tidewatch.operators.cadence import SERIES, detect_cadence, find_gaps, with_previous
+from tidewatch.operators.cadence import SERIES, deltas, detect_cadence, find_gaps, with_previous
 from tidewatch.operators.contract import METRICS, Contract, breach_counts
-from tidewatch.operators.ordering import Layout
+from tidewatch.operators.ordering import Layout, settle
 from tidewatch.params import DEFAULTS, Params
 
 PASS, WARN, FAIL = "PASS", "WARN", "FAIL"
@@ -93,8 +93,9 @@ def run_checks(
 
     disorder = with_previous(typed.select(SERIES, "id", "ts"), arrival or layout, {"_prev": "ts"}, order="id")
     disorder = disorder.groupBy(SERIES).agg(F.count_if(F.col("ts") < F.col("_prev")).alias("unsorted"))
-    cadence = detect_cadence(typed, layout, params)
-    gaps = find_gaps(typed, cadence, layout, params).groupBy(SERIES).agg(
+    steps = settle(deltas(typed, layout), layout)
+    cadence = detect_cadence(typed, layout, params, steps=steps)
+    gaps = find_gaps(typed, cadence, layout, params, steps).groupBy(SERIES).agg(
         F.count(F.lit(1)).alias("gaps"), F.sum("missed_samples").alias("missed"), F.max("gap_seconds").alias("longest")
     )
     for part in (

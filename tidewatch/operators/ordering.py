@@ -169,6 +169,11 @@ def settle(df: DataFrame, layout: Layout) -> DataFrame:
     return df if layout.single else cut_lineage(df)
 
 
+def settle_large(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a table of more than a slice of rows before its layout is planned: planning and all that follows read it many times."""
+    return cut_lineage(df) if df.count() > SIZES.get().slice_rows else df
+
+
 def running_offsets(summary: DataFrame, keys: Sequence[str], step: str, value: str, name: str) -> DataFrame:
     """Exclusive running sum of `value` over the few `step`s of each key."""
     before = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
