@@ -1,10 +1,12 @@
 """Streams fed from files must end where the batch operators end."""
 
 import datetime
+import heapq
 import json
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from conftest import TINY, same
 from pyspark.sql import functions as F
@@ -173,3 +175,18 @@ def test_spans_land_whole(spark):
     spans = sorted(stored.groupBy("_span").agg(F.countDistinct("f").alias("files"), F.min("ts"), F.max("ts"), F.count("*")).collect())
     assert [s[0] for s in spans] == list(range(12)) and {s[1] for s in spans} == {1} and sum(s[4] for s in spans) == 700
     assert all(a[3] < b[2] for a, b in zip(spans, spans[1:]))
+
+
+def test_only_rows_that_can_enter_a_ring_reach_the_state():
+    draw = random.Random(3)
+    rows = [(draw.choice(["a", "b", None]), draw.randrange(40), draw.choice([None, draw.random()]), draw.choice([None, "x"]), draw.choice([None, 1.5])) for _ in range(2000)]
+    rows += [("silent", 5, None, None, None)] * 3
+    schema = pa.schema([("series_key", pa.string()), ("_us", pa.int64()), ("value", pa.float64()), ("label", pa.string()), ("error", pa.float64())])
+    cut = [rows[i : i + 256] for i in range(0, len(rows), 256)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), schema.types)], schema=schema) for part in cut]
+    kept = [tuple(r.values()) for b in Q.newest_of_each(iter(batches), 7) for r in b.to_pylist()]
+    assert len(kept) <= 3 * 3 * 7 + 1 and {r[0] for r in kept} == {r[0] for r in rows}
+    for series in ("a", "b", None, "silent"):
+        for k in (2, 3, 4):
+            ring = lambda some: heapq.nlargest(7, [(r[1], r[k]) for r in some if r[0] == series and r[k] is not None], key=lambda x: x[0])
+            assert ring(kept) == ring(rows)

@@ -13,6 +13,9 @@ import json
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -166,6 +169,33 @@ class RecentSignals(StatefulProcessor):
         pass
 
 
+def newest_of_each(batches: Iterator[pa.RecordBatch], size: int, kinds: Sequence[str] = RecentSignals.KINDS) -> Iterator[pa.RecordBatch]:
+    """Of one task's rows those that can enter a ring: the newest `size` of each series and kind, of equal instants the first.
+
+    A series without values keeps its first row, so that it is heard of.
+    """
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]) if held is not None else rows
+        newest = np.argsort(-rows.column("_us").fill_null(-(2**62)).to_numpy(), kind="stable")
+        series = pd.Series(rows.column(SERIES).combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False))
+        kept = set(series.drop_duplicates().index)
+        valued = np.zeros(len(series), bool)
+        for k in kinds:
+            known = rows.column(k).is_valid().to_numpy()
+            valued |= known
+            mine = newest[known[newest]]
+            kept.update(mine[(series.iloc[mine].groupby(series.iloc[mine]).cumcount() < size).to_numpy()].tolist())
+        heard = set(series[valued])
+        chosen = [i for i in sorted(kept) if valued[i] or series[i] not in heard]
+        held = rows.take(pa.array(chosen, pa.int64()))
+    if held is not None:
+        yield from held.to_batches()
+
+
 def drift_profile(reference: DataFrame, value: str, params: Params = DEFAULTS) -> DataFrame:
     """What recent rows are compared with, per series: cut points and rows of each bin of `value`, rows of each regime. Kept beside a model."""
     rows = reference.where(F.col(value).isNotNull() & ~F.isnan(value))
@@ -208,7 +238,9 @@ def drift_signal_stream(samples: DataFrame, scored: DataFrame, profile: DataFram
     rows = labelled.select(SERIES, micros(), known.cast("double").alias("value"), category(labelled, "regime", params).alias("label"), none.cast("double").alias("error"))
     errors = scored.where(F.col("abs_error").isNotNull()).select(SERIES, micros("predicted_for_ts"), none.cast("double").alias("value"), none.cast("string").alias("label"), F.col("abs_error").cast("double").alias("error"))
     schema = f"{SERIES} string, revision bigint, _us bigint, window_mae double, n_scored bigint, values array<double>, regimes array<bigint>"
-    both = rows.unionByName(errors)
+    both, size = rows.unionByName(errors), params.drift_window
+    # a row that is not among the newest of its own task cannot be among the newest of the batch
+    both = both.mapInArrow(lambda batches: newest_of_each(batches, size), both.schema)
     recent = both.groupBy(SERIES).transformWithState(RecentSignals(params.drift_window, words), schema, "append", "None")
     joined = recent.join(profile, SERIES, "left")
     spots = F.transform("values", lambda v: F.size(F.filter("edges", lambda e: v >= e)))
