@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import random
+import tracemalloc
 import zlib
 
 import fixtures as fx
@@ -84,6 +85,20 @@ def test_near_duplicates_in_small_blocks(spark):
         assert got == want
 
 
+def test_counting_shingles_keeps_no_places_of_all_codes():
+    """Classes as from plain counts, in little more memory than the sorted codes and those that repeat."""
+    rng = np.random.default_rng(5)
+    codes = [np.sort(rng.integers(0, 600_000, n, dtype=np.uint32)).astype("<u4") for n in (400_000, 0, 1, 300_000, 100_000)]
+    counts = np.bincount(np.concatenate(codes))
+    tracemalloc.start()
+    told = jaccardjoin.rounded_counts(codes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert told == [np.floor(np.log2(counts[c])).astype(np.uint8).tobytes() for c in codes]
+    assert jaccardjoin.rounded_counts([codes[2], codes[1]]) == [b"\0", b""]
+    assert peak < 6 * sum(c.nbytes for c in codes)  # twelve times with places and inverse of all
+
+
 def test_near_duplicates_of_odd_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (1, "x"), (1, "y"), (3, "y")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["component_id"]) for r in jaccardjoin.near_duplicates(df).collect()), key=str)

@@ -53,6 +53,25 @@ def owned(tokens: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.argsort(owner, kind="stable")
 
 
+def rounded_counts(codes: list[np.ndarray]) -> list[bytes]:
+    """For each code, in bytes, the rounded binary logarithm of how often all arrays hold it.
+
+    Only the repeated codes are kept beside one sorted copy: most shingles stand
+    once, and places of all codes would take several times their memory.
+    """
+    held = np.concatenate(codes)
+    held.sort()
+    again, times = np.unique(held[1:][held[1:] == held[:-1]], return_counts=True)
+    del held
+    classes = np.frexp(times + 1.0)[1].astype(np.uint8) - np.uint8(1)
+    told = []
+    for c in codes:
+        at = np.searchsorted(again, c)
+        at[at == len(again)] = 0
+        told.append((np.where(again[at] == c, classes[at], 0) if len(again) else np.zeros(len(c))).astype(np.uint8).tobytes())
+    return told
+
+
 def _needed(n: int, percent: int) -> int:
     """Least overlap of a set of n with any set that reaches the threshold."""
     return -(-percent * n // 100)
@@ -127,11 +146,7 @@ def _frequencies(docs: DataFrame, shingle: int, owners: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches):
-            codes = [np.frombuffer(c, "<u4") for c in table.column("codes").to_pylist()]
-            _, which, counts = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
-            classes = np.frexp(counts.astype(np.float64))[1].astype(np.uint8)[which] - np.uint8(1)
-            ends = np.cumsum([len(c) for c in codes])
-            told = [classes[e - len(c) : e].tobytes() for c, e in zip(codes, ends.tolist(), strict=True)]
+            told = rounded_counts([np.frombuffer(c.as_buffer(), "<u4") for c in table.column("codes")])
             for batch in table.drop_columns(["codes"]).append_column("classes", pa.array(told, pa.binary())).to_batches():
                 yield batch
 
