@@ -7,8 +7,8 @@ from conftest import same
 from pyspark.sql import functions as F
 
 from tidewatch.operators.batch import run_batch
-from tidewatch.operators.ordering import Layout, is_local, join_spread, shared_folder
-from tidewatch.operators.percentiles import direct_percentiles, sliced_percentiles
+from tidewatch.operators.ordering import GROUP_ROWS, MOST_SLICES, ROWS_PER_SLICE, SIZES, Layout, Sizes, is_local, join_spread, shared_folder, slice_count
+from tidewatch.operators.percentiles import direct_percentiles, exact_percentiles, sliced_percentiles
 from tidewatch.params import Params, load
 from tidewatch.streaming.jobs import score_stream
 
@@ -89,3 +89,17 @@ def test_breach_blocks_merge_at_any_width(spark):
     for width in (1, 2, 3, 100):
         got = join_blocks(fold_blocks(blocks, ["k"], [90.0]), ["k"], width).collect()
         assert {r["k"]: (r["samples"], r["breaches"], r["episodes"], r["longest_episode"]) for r in got} == want
+
+
+def test_small_slices_stop_growing_in_number(spark):
+    """Slices of few rows are at most MOST_SLICES; beyond the usual size a larger table has more of them again."""
+    rows = spark.range(4_000).select(F.lit("x").alias("series_key"), F.timestamp_seconds("id").alias("ts"), (F.col("id") * 37 % 4_001).cast("double").alias("v"))
+    mark = SIZES.set(Sizes(5, 5, 5, 0))
+    try:
+        layout = Layout.plan(rows)
+        same(exact_percentiles(rows, ["series_key"], "v", [0.05, 0.5, 0.95]), direct_percentiles(rows, ["series_key"], "v", [0.05, 0.5, 0.95]))
+    finally:
+        SIZES.reset(mark)
+    assert 0 < len(layout.edges) < MOST_SLICES
+    assert slice_count(36_000_000, 300, ROWS_PER_SLICE) == slice_count(36_000_000, 200, GROUP_ROWS) == MOST_SLICES
+    assert slice_count(3_000, 300, ROWS_PER_SLICE) == 10 and slice_count(2 * MOST_SLICES * ROWS_PER_SLICE, 300, ROWS_PER_SLICE) == 2 * MOST_SLICES

@@ -34,6 +34,7 @@ ROWS_PER_SLICE = 4_000_000
 BLOCK_ROWS = 50_000
 GROUP_ROWS = 2_000_000
 SALTS = 64
+MOST_SLICES = 256
 
 
 @dataclass(frozen=True)
@@ -63,6 +64,16 @@ def as_number(df: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
+def slice_count(rows: int, per_slice: int, usual: int) -> int:
+    """How many slices `rows` are cut into.
+
+    Every cut point is held by a sketch and by all tasks, so slices wanted smaller
+    than usual grow with the table once there are MOST_SLICES of them, up to the
+    usual size. No row is left out by that: a slice holds more of them.
+    """
+    return min(math.ceil(rows / per_slice), max(MOST_SLICES, math.ceil(rows / usual)))
+
+
 def quantile_edges(df: DataFrame, value: Column, parts: int) -> list[float]:
     """Interior cut points of about `parts` equally filled slices (one mergeable sketch)."""
     if parts <= 1:
@@ -112,7 +123,7 @@ class Layout:
         millions of rows.
         """
         rows, sizes = df.count(), SIZES.get()
-        parts = math.ceil(rows / (rows_per_slice or sizes.slice_rows)) if rows else 1
+        parts = slice_count(rows, rows_per_slice or sizes.slice_rows, ROWS_PER_SLICE) if rows else 1
         if parts > 1 and rows_per_slice is None and key in df.columns:
             longest = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
             enough = sizes.block_rows if sizes.series_rows is None else sizes.series_rows

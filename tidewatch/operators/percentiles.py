@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.ordering import SIZES, Layout, quantile_edges, running_offsets, slice_of
+from tidewatch.operators.ordering import GROUP_ROWS, SIZES, Layout, quantile_edges, running_offsets, slice_count, slice_of
 
 
 def _name(p: float) -> str:
@@ -95,4 +94,4 @@ def exact_percentiles(
     top = sizes.agg(F.max("n").alias("n"), F.sum("n").alias("rows")).first()
     if (top.n or 0) <= group_rows:
         return direct_percentiles(df, keys, value, probs)
-    return sliced_percentiles(df, keys, value, probs, math.ceil(top.rows / group_rows) + 1)
+    return sliced_percentiles(df, keys, value, probs, slice_count(top.rows, group_rows, GROUP_ROWS) + 1)

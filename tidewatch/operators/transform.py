@@ -11,8 +11,8 @@ from tidewatch.functions.columns import ewma_depth, ewma_step, headroom, regime_
 from tidewatch.operators.cadence import SERIES
 from tidewatch.operators.clean import SEGMENT
 from tidewatch.operators.encode import encode
-from tidewatch.operators.ordering import SIZES, Layout, add_position, block_of, in_blocks, settle
-from tidewatch.operators.percentiles import exact_percentiles, known
+from tidewatch.operators.ordering import GROUP_ROWS, SIZES, Layout, add_position, block_of, in_blocks, settle, slice_count
+from tidewatch.operators.percentiles import known, sliced_percentiles
 from tidewatch.params import DEFAULTS, Params
 
 
@@ -175,15 +175,15 @@ def rollup(
     samples = F.count(F.lit(1)).alias("samples")
     small = layout is not None and layout.single
     if not small:
-        fullest = bucketed.groupBy(*by).agg(samples).agg(F.max("samples")).first()[0] or 0
-        small = fullest <= group_rows
+        top = bucketed.groupBy(*by).agg(samples).agg(F.max("samples").alias("n"), F.sum("samples").alias("rows")).first()
+        small = (top.n or 0) <= group_rows
     if small:
         p95 = [F.percentile(known(c), F.lit(0.95)).alias(f"{c}_p95") for c in columns]
         stats = bucketed.groupBy(*by).agg(*plain, *p95, samples)
     else:
         stats = bucketed.groupBy(*by).agg(*plain, samples)
         for c in columns:
-            p95 = exact_percentiles(bucketed, by, c, [0.95], group_rows).withColumnRenamed("p0_95", f"{c}_p95")
+            p95 = sliced_percentiles(bucketed, by, c, [0.95], slice_count(top.rows, group_rows, GROUP_ROWS) + 1).withColumnRenamed("p0_95", f"{c}_p95")
             stats = stats.join(p95, by, "left")
     ordered = [f"{c}_{s}" for c in columns for s in ("mean", "max", "p95")]
     return stats.select(*keys, F.col("bucket").alias("ts"), *ordered, "samples")
