@@ -86,6 +86,20 @@ def test_segments(samples):
     same(G.segment_profile(one, PLAIN), G.segment_profile(many, layout))
 
 
+def test_regridding_exchanges_wide_rows_twice(samples):
+    """Once by slice and once by slot: segments, their starts and the holes come from the first pass."""
+    layout = hot_layout(samples)
+    base = cut_lineage(K.prepared(samples))
+    cadence = cut_lineage(G.detect_cadence(base, PLAIN))
+    segmented = G.segment(base, cadence, layout, ends=True)
+    starts = G.segment_starts(G.segment(base, cadence, PLAIN), PLAIN)
+    same(segmented.drop("next_ts"), starts)
+    grid = K.regrid(segmented, layout)
+    same(grid, K.regrid(starts.drop("segment_start"), PLAIN))
+    plan = grid._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and all("_slice" in line for line in plan.splitlines() if "Window" in line)  # of slices only, not of rows
+
+
 def test_gate(spark):
     typed = cut_lineage(coerce(V.dirty(spark, TINY)))
     layout = hot_layout(typed.where(F.col("ts").isNotNull()))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import seconds_between
-from tidewatch.operators.ordering import Layout, add_position, attach, in_blocks, join_spread, running_sum, settle
+from tidewatch.operators.ordering import Layout, add_position, as_number, attach, in_blocks, join_spread, running_sum, settle, slice_of
 from tidewatch.operators.percentiles import exact_percentiles
 from tidewatch.params import DEFAULTS, Params
 
@@ -23,8 +23,13 @@ def with_previous(df: DataFrame, layout: Layout, cols: dict[str, str], order: st
 
     if layout.single:
         return lagged(df, [SERIES])
-    placed = settle(add_position(df, [SERIES], keys, layout, "_at"), layout)
-    return in_blocks(placed, [SERIES], "_at", layout, lagged, before=1).drop("_at")
+    # the row before a slice's first one is the last of the slice before
+    sliced = slice_of(df, as_number(df, order), layout.edges, "_slice")
+    ends = sliced.groupBy(SERIES, "_slice").agg(F.max_by(F.struct(*[F.col(c).alias(n) for n, c in cols.items()]), F.struct(*keys)).alias("_last"))
+    ends = ends.select(SERIES, "_slice", F.lag("_last").over(Window.partitionBy(SERIES).orderBy("_slice")).alias("_before"))
+    first = F.row_number().over(Window.partitionBy(SERIES, "_slice").orderBy(*keys)) == 1
+    out = lagged(sliced.join(ends, [SERIES, "_slice"]).withColumn("_first", first), [SERIES, "_slice"])
+    return out.withColumns({n: F.when(F.col("_first"), F.col(f"_before.{n}")).otherwise(F.col(n)) for n in cols}).drop("_slice", "_before", "_first")
 
 
 def deltas(df: DataFrame, layout: Layout) -> DataFrame:
@@ -63,21 +68,55 @@ def find_gaps(df: DataFrame, cadence: DataFrame, layout: Layout, params: Params
     )
 
 
-def segment(df: DataFrame, cadence: DataFrame, layout: Layout, params: Params = DEFAULTS) -> DataFrame:
+def segment(df: DataFrame, cadence: DataFrame, layout: Layout, params: Params = DEFAULTS, ends: bool = False) -> DataFrame:
     """Add `pos` (place in the series), `cadence` and `segment_id` (grows by one at every gap).
 
     A delta equal to the threshold is not a gap. Timestamps must be unique per
-    series, as after `deduplicate`.
+    series, as after `deduplicate`. `ends` keeps what the cut form knows besides:
+    `segment_start` and `next_ts`, the next instant of the segment.
     """
-    placed = settle(add_position(join_spread(df, cadence, [SERIES], ["ts"]), [SERIES], ["ts"], layout), layout)
+    known = join_spread(df, cadence, [SERIES], ["ts"])
 
-    def breaks(frame, by):
-        prev = F.lag("ts").over(Window.partitionBy(*by).orderBy("ts"))
-        late = seconds_between("ts", prev) > F.col("cadence") * F.lit(params.gap_multiple)
-        return frame.withColumn("_break", F.when(late, 1).otherwise(0))
+    def late(ts, before):
+        return seconds_between(ts, before) > F.col("cadence") * F.lit(params.gap_multiple)
 
-    marked = settle(in_blocks(placed, [SERIES], "pos", layout, breaks, before=1), layout)
-    return running_sum(marked, [SERIES], "ts", F.col("_break"), "segment_id", "pos", layout).drop("_break")
+    if layout.single:
+        placed = add_position(known, [SERIES], ["ts"], layout)
+        marked = placed.withColumn("_break", F.when(late("ts", F.lag("ts").over(Window.partitionBy(SERIES).orderBy("ts"))), 1).otherwise(0))
+        return running_sum(marked, [SERIES], "ts", F.col("_break"), "segment_id", "pos", layout).drop("_break")
+    # rows are exchanged once, slices are then put together by their first and last rows
+    by = [SERIES, "_slice"]
+    w = Window.partitionBy(*by).orderBy("ts")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    marked = slice_of(known, as_number(known, "ts"), layout.edges, "_slice").withColumns(
+        {"_at": F.row_number().over(w).cast("bigint") - 1, "_next": F.lead("ts").over(w), "_break": F.when(late("ts", F.lag("ts").over(w)), 1).otherwise(0)}
+    )
+    marked = marked.withColumns({"_breaks": F.sum("_break").over(so_far), "_start": F.max(F.when(F.col("_break") == 1, F.col("ts"))).over(so_far)})
+    marked = settle(marked.drop("_break"), layout)
+    over = Window.partitionBy(SERIES).orderBy("_slice")
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    slices = marked.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_breaks").alias("_b"), F.min("ts").alias("_first"), F.max("ts").alias("_last"), F.max("_start").alias("_s"), F.max("cadence").alias("cadence")
+    )
+    slices = slices.withColumns({"_before": F.lag("_last").over(over), "_after": F.lead("_first").over(over)})
+    slices = slices.withColumn("_opens", F.when(late("_first", "_before"), 1).otherwise(0))
+    slices = slices.withColumn("_begin", F.when(F.col("_before").isNull() | (F.col("_opens") == 1), F.col("_first")))
+    slices = slices.select(
+        *by,
+        "_after",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
+        (F.coalesce(F.sum(F.col("_b") + F.col("_opens")).over(earlier), F.lit(0)) + F.col("_opens")).alias("_carry"),
+        F.coalesce("_begin", F.last(F.coalesce("_s", "_begin"), ignorenulls=True).over(earlier)).alias("_arriving"),
+    )
+    following = F.coalesce("_next", "_after")
+    out = marked.join(slices, by).select(
+        *known.columns,
+        (F.col("_offset") + F.col("_at")).cast("bigint").alias("pos"),
+        (F.col("_carry") + F.col("_breaks")).cast("bigint").alias("segment_id"),
+        F.coalesce("_start", "_arriving").alias("segment_start"),
+        F.when(late(following, "ts"), None).otherwise(following).alias("next_ts"),
+    )
+    return out if ends else out.drop("segment_start", "next_ts")
 
 
 def segment_report(segmented: DataFrame) -> DataFrame:

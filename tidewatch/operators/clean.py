@@ -59,28 +59,34 @@ def regrid(segmented: DataFrame, layout: Layout, contract: Contract = METRICS, p
     holes after a sample are few and are generated from the sample itself.
     """
     values = value_columns(segmented, contract)
-    placed = segment_starts(segmented, layout)
+    chained = "next_ts" in segmented.columns  # from `segment`, which has seen each row's neighbours
+    placed = segmented if chained else segment_starts(segmented, layout)
     origin = F.unix_micros("segment_start")
-    slot = F.floor((F.unix_micros("ts") - origin) / F.col("_step")).cast("bigint")
+
+    def slot_of(ts):
+        return F.floor((F.unix_micros(ts) - origin) / F.col("_step")).cast("bigint")
+
     slots = (
         placed.withColumn("_step", grid_step())
-        .withColumn("slot", slot)
+        .withColumn("slot", slot_of("ts"))
         .groupBy(*SEGMENT, "slot")
         .agg(
             *[F.avg(c).alias(c) for c in values],
             F.count(F.lit(1)).alias("observations"),
             F.min("segment_start").alias("segment_start"),
             F.min("_step").alias("_step"),
+            *([F.max(slot_of("next_ts")).alias("_following")] if chained else []),
         )
     )
     reach = int(params.gap_multiple) + 3
 
     def holes(frame, by):
         following = F.lead("slot").over(Window.partitionBy(*by).orderBy("slot"))
-        last = F.coalesce(following - 1, F.col("slot"))
-        return frame.withColumn("_slots", F.sequence(F.col("slot"), last))
+        return frame.withColumn("_following", following)
 
-    filled = in_blocks(slots, SEGMENT, "slot", layout, holes, after=reach)
+    filled = slots if chained else in_blocks(slots, SEGMENT, "slot", layout, holes, after=reach)
+    last = F.greatest(F.col("_following") - 1, F.col("slot"))  # nothing follows the last slot of a segment
+    filled = filled.withColumn("_slots", F.sequence(F.col("slot"), last))
     filled = filled.withColumn("_slot", F.explode("_slots"))
     real = F.col("_slot") == F.col("slot")
     return filled.select(
@@ -185,7 +191,7 @@ def gridded(
     """Segmented and regridded samples."""
     base = settle(prepared(raw, contract), layout)
     cadence = cadence if cadence is not None else detect_cadence(base, layout, params)
-    return settle(regrid(segment(base, cadence, layout, params), layout, contract, params), layout)
+    return settle(regrid(segment(base, cadence, layout, params, ends=True), layout, contract, params), layout)
 
 
 def repaired(grid: DataFrame, layout: Layout, contract: Contract = METRICS, params: Params = DEFAULTS) -> DataFrame:
@@ -233,7 +239,7 @@ def audit(
 
     base = settle(clip_ranges(unclipped, contract), layout)
     cadence = cadence if cadence is not None else detect_cadence(base, layout, params)
-    segmented = segment(base, cadence, layout, params)
+    segmented = segment(base, cadence, layout, params, ends=True)
     shape = segment_report(segmented)
     final = repaired(settle(regrid(segmented, layout, contract, params), layout), layout, contract, params)
     cols = value_columns(final, contract)
