@@ -100,6 +100,17 @@ def test_regridding_exchanges_wide_rows_twice(samples):
     assert "Window" in plan and all("_slice" in line for line in plan.splitlines() if "Window" in line)  # of slices only, not of rows
 
 
+def test_uncut_series_are_exchanged_once_for_cadence_and_segments(spark, samples):
+    base = cut_lineage(samples.select("series_key", "ts"))
+    cadence = cut_lineage(G.detect_cadence(base, PLAIN))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = G.segment(base, cadence, PLAIN)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2  # the rows and the cadences
+
+
 def test_gate(spark):
     typed = cut_lineage(coerce(V.dirty(spark, TINY)))
     layout = hot_layout(typed.where(F.col("ts").isNotNull()))

@@ -75,7 +75,8 @@ def segment(df: DataFrame, cadence: DataFrame, layout: Layout, params: Params =
     series, as after `deduplicate`. `ends` keeps what the cut form knows besides:
     `segment_start` and `next_ts`, the next instant of the segment.
     """
-    known = join_spread(df, cadence, [SERIES], ["ts"])
+    # plain windows gather a series anyhow: joined by the series alone, the rows are exchanged once for both
+    known = df.join(cadence, SERIES) if layout.single else join_spread(df, cadence, [SERIES], ["ts"])
 
     def late(ts, before):
         return seconds_between(ts, before) > F.col("cadence") * F.lit(params.gap_multiple)
