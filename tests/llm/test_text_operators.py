@@ -252,6 +252,33 @@ def test_followers_of_a_hot_word_are_spread():
     assert len(asked) == 8 and max(len(m["followers"]) // 4 for m in asked) < 2 * 4_000 / 8
 
 
+def test_asking_for_counts_takes_few_bytes():
+    """Trigrams of many words, 13 bytes each when they left a block as state, last word and count; the rounds of squeezing lose nothing."""
+    rng = np.random.default_rng(5)
+    hashes, per_text = lm.tokens_of([b" ".join(b"w%d" % k for k in rng.integers(0, 5_000, 200_000))])
+    g, asked = lm.Grams(hashes, per_text, np.ones(1, bool), 3), 0
+    for orders in ((0, 1), (2,)):
+        for m in lm._ask(0, g, 8, orders).to_pylist():
+            asked += sum(len(x) for x in m.values() if isinstance(x, bytes))
+    assert asked < 8 * sum(map(len, g.keys))
+    for n, limit in ((1, 1 << 64), (2, 5), (999, 10_000), (5_000, 1 << 61), (4_001, 1 << 40), (3, 3)):
+        places = np.unique(rng.integers(0, limit - 1, n, np.uint64, endpoint=True))
+        places[-1] = limit - 1
+        assert (lm.unsqueeze(lm.squeeze(places, limit), len(places), limit) == places).all()
+    assert len(lm.unsqueeze(b"", 0, 7)) == 0
+
+
+def test_exchanges_behind_a_cut_are_released(spark, docs, monkeypatch):
+    """Each pass over the texts cuts its lineage with its exchanges given back, and the session's setting is as before."""
+    from tidewatch.operators import ordering
+
+    seen, before = [], spark.conf.get(ordering.RELEASE, "false")
+    cut = ordering.cut_lineage
+    monkeypatch.setattr(ordering, "cut_lineage", lambda df: seen.append(spark.conf.get(ordering.RELEASE)) or cut(df))
+    lm.language_scores(docs, order=3, min_count=1)
+    assert seen == ["true"] * 3 and spark.conf.get(ordering.RELEASE) == before
+
+
 def test_language_model_sums_to_one(spark):
     """Over all words and the end, what follows a word has probability 1, less the unknown word's share."""
     texts = ["a b a b a c", "a b c", "b a b", "c c c c c"]

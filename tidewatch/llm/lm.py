@@ -11,9 +11,13 @@ tokens of a block are walked at once, order by order.
 The automaton of a large corpus fits in no task. Documents are dealt to blocks of
 about a million words; each block sends its distinct n-grams with their counts to
 tasks that own them by a hash of all their words, so that no frequent word
-gathers its followers in one place. The owners send what the arcs of each state
-sum to to the owners of the states, and blocks get back exactly the counts and
-states that their own texts can reach.
+gathers its followers in one place. An owner has a range of hashes, which leave a
+block in order and so need little more than the bits of their distances. It
+answers which n-grams stand in other blocks too, the counts of those, and which
+one block shall add each of them to its state: what the arcs of a state sum to is
+then added up over the blocks that share the state. Each order is a pass of its
+own whose exchange is given back before the next, and blocks get exactly the
+counts and states that their own texts can reach.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.text import chunks, flat_words, mix, small_batches
-from tidewatch.operators.ordering import cut_lineage
+from tidewatch.operators.ordering import cut_lineage_and_release
 
 FOLDS, HELD_OUT = 7, 2
 DISCOUNT, MIN_COUNT = 0.75, 2
@@ -80,11 +84,12 @@ class Grams:
     """
 
     def __init__(self, hashes: np.ndarray, per_text: np.ndarray, training: np.ndarray, order: int):
+        self.per_text = per_text
         teaches = np.repeat(training, per_text)
         place = np.arange(len(hashes)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
         words, code = np.unique(hashes, return_inverse=True)
         self.keys, self.code, self.counts = [words], [code], [np.bincount(code, teaches, len(words)).astype(np.int64)]
-        self.state, self.suffix, self.follower = [None], [None], [None]
+        self.state, self.suffix = [None], [None]
         for n in range(1, order):
             at = np.flatnonzero(place >= n)
             before, last = self.code[-1], follower_code(hashes[at])
@@ -96,120 +101,172 @@ class Grams:
             self.counts.append(np.bincount(which, teaches[at], len(keys)).astype(np.int64))
             self.state.append(before[at[first] - 1])
             self.suffix.append(before[at[first]])
-            self.follower.append(last[first])
 
-    def owned(self, owners: int) -> list[list[np.ndarray]]:
-        """For each order and owner the places of its n-grams, in order of keys."""
-        return [_owned(k, owners) for k in self.keys]
-
-
-def _owned(keys: np.ndarray, owners: int) -> list[np.ndarray]:
-    owner = (keys % np.uint64(owners)).astype(np.int64)
-    by_owner = np.argsort(owner, kind="stable")
-    return np.split(by_owner, np.searchsorted(owner[by_owner], np.arange(1, owners)))
-
-
-ASKED = pa.schema([("owner", pa.int32()), ("block", pa.int64()), ("n_states", pa.int64()), *[(c, pa.binary()) for c in ("words", "states", "followers", "counts", "counts_high")]])
-ASKED_TYPE = "owner int, block long, n_states long, words binary, states binary, followers binary, counts binary, counts_high binary"
-#: What owners send. SUMS: to the owner of states, what the arcs of each sum to; STATES: to itself, all states it owns;
-#: HELD: to itself, which of them a block has; COUNTS and LEFT: to a block, of its n-grams and of its states.
-SUMS, STATES, HELD, COUNTS, LEFT, TEXT = range(6)
-TOLD = ["keys", "low", "high", "mass_low", "mass_high"]
-TOLD_SCHEMA = pa.schema([("owner", pa.int32()), ("block", pa.int64()), ("role", pa.int32()), *[(c, pa.binary()) for c in TOLD], ("n_all", pa.int64()), ("n_kinds", pa.int64())])
-TOLD_TYPE = "owner int, block long, role int, keys binary, low binary, high binary, mass_low binary, mass_high binary, n_all long, n_kinds long"
-
-
-def _told(owner: int, block: int, role: int, keys: bytes = b"", kinds: tuple = (b"", b""), mass: tuple = (b"", b""), n_all: int = 0, n_kinds: int = 0) -> pa.RecordBatch:
-    row = (owner, block, role, keys, *kinds, *mass, n_all, n_kinds)
+    def owned(self, owners: int) -> list[np.ndarray]:
+        """For each order where the n-grams of each owner begin, and the end."""
+        begins = np.array([first_key(o, owners) for o in range(owners)], np.uint64)
+        return [np.append(np.searchsorted(k, begins), len(k)) for k in self.keys]
+
+
+def first_key(owner: int, owners: int) -> int:
+    """Owners have ranges of keys, in order."""
+    return -(-(owner << 64) // owners)
+
+
+def low_bits(n: int, limit: int) -> int:
+    """How many low bits of `n` ascending integers below `limit` are kept as they are, a multiple of 4."""
+    return min(range(0, 64, 4), key=lambda low: low + (limit // n >> low))
+
+
+def squeeze(ascending: np.ndarray, limit: int) -> bytes:
+    """Ascending integers below `limit`: low bits, whole bytes before a half one; the rest counted up, a bit for each integer and each step."""
+    n = len(ascending)
+    if not n:
+        return b""
+    low = low_bits(n, limit)
+    raw = np.ascontiguousarray(ascending, "<u8").view(np.uint8).reshape(n, 8)
+    half = np.zeros((n + 1) // 2 * 2 if low % 8 else 0, np.uint8)
+    if low % 8:
+        half[:n] = raw[:, low // 8] & 15
+    high = (ascending.astype(np.uint64) >> np.uint64(low)).astype(np.int64) + np.arange(n)
+    steps = np.zeros(high[-1] + 1, np.uint8)
+    steps[high] = 1
+    return raw[:, : low // 8].tobytes() + (half[::2] | half[1::2] << 4).tobytes() + np.packbits(steps).tobytes()
+
+
+def unsqueeze(held: bytes, n: int, limit: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint64)
+    low = low_bits(n, limit)
+    raw, whole, halves = np.zeros((n, 8), np.uint8), n * (low // 8), (n + 1) // 2 if low % 8 else 0
+    raw[:, : low // 8] = np.frombuffer(held, np.uint8, whole).reshape(n, low // 8)
+    if halves:
+        half = np.frombuffer(held, np.uint8, halves, whole)
+        raw[::2, low // 8], raw[1::2, low // 8] = half & 15, half[: n // 2] >> 4
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(held, np.uint8, offset=whole + halves)))[:n] - np.arange(n)
+    return raw.view("<u8").ravel() | high.astype(np.uint64) << np.uint64(low)
+
+
+ASKED = pa.schema([("owner", pa.int32()), ("block", pa.int64()), ("n_words", pa.int64()), ("words", pa.binary()), ("n_longer", pa.int64()), *[(c, pa.binary()) for c in ("followers", "counts", "counts_high")]])
+ASKED_TYPE = "owner int, block long, n_words long, words binary, n_longer long, followers binary, counts binary, counts_high binary"
+#: What is told. TOTALS: of all words of an owner; HELD: by an owner to itself, which of its shared states a block has; COUNTS: to a block,
+#: which of its n-grams are shared and their counts; SUMS: by a block to owners, what its arcs add to shared states; LEFT: to a block, all sums of those.
+TOTALS, HELD, COUNTS, SUMS, LEFT, TEXT = range(6)
+TOLD = ["n", "keys", "low", "high", "mass_low", "mass_high"]
+TOLD_SCHEMA = pa.schema([("owner", pa.int32()), ("block", pa.int64()), ("role", pa.int32()), ("n", pa.int32()), *[(c, pa.binary()) for c in TOLD[1:]], ("size", pa.int64()), ("total", pa.int64())])
+TOLD_TYPE = "owner int, block long, role int, n int, keys binary, low binary, high binary, mass_low binary, mass_high binary, size long, total long"
+
+
+def _told(owner: int, block: int, role: int, n: int = 0, keys: bytes = b"", kinds: tuple = (b"", b""), mass: tuple = (b"", b""), size: int = 0, total: int = 0) -> pa.RecordBatch:
+    row = (owner, block, role, n, keys, *kinds, *mass, size, total)
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, TOLD_SCHEMA.types, strict=True)], schema=TOLD_SCHEMA)
 
 
-def _ask(block: int, g: Grams, owners: int) -> pa.RecordBatch:
-    """A message to each owner: its words, its longer n-grams as state and last word, and the counts of all."""
-    owned = g.owned(owners)
+def _ask(block: int, g: Grams, owners: int, orders: tuple[int, ...] = (0, 1)) -> pa.RecordBatch:
+    """A message to each owner: its words (order 0), its n-grams of one longer order, and the counts of all."""
+    owned, limit = g.owned(owners), (1 << 64) // owners
     rows = []
     for o in range(owners):
-        mine = [places[o] for places in owned]
-        if not any(map(len, mine)):
-            continue
-        states = [g.keys[n - 1][g.state[n][mine[n]]] for n in range(1, len(mine))]
-        followers = [g.follower[n][mine[n]] for n in range(1, len(mine))]
-        counts = np.concatenate([c[m] for c, m in zip(g.counts, mine, strict=True)])
-        rows.append((o, block, sum(map(len, mine[:-1])), g.keys[0][mine[0]].tobytes(), b"".join(x.tobytes() for x in states), b"".join(x.tobytes() for x in followers), *small(counts)))
+        mine = [slice(owned[n][o], owned[n][o + 1]) if n in orders else slice(0, 0) for n in (0, orders[-1])]
+        if orders[-1] == 0:
+            mine[1] = slice(0, 0)
+        keys = [g.keys[n][m] - np.uint64(first_key(o, owners)) for n, m in zip((0, orders[-1]), mine, strict=True)]
+        if any(map(len, keys)):
+            counts = np.concatenate([g.counts[n][m] for n, m in zip((0, orders[-1]), mine, strict=True)])
+            rows.append((o, block, *[x for k in keys for x in (len(k), squeeze(k, limit))], *small(counts)))
     columns = zip(*rows, strict=True) if rows else [[]] * len(ASKED)
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, ASKED.types, strict=True)], schema=ASKED)
 
 
-def _sum(owner: int, messages: list[dict], owners: int, min_count: int) -> Iterator[pa.RecordBatch]:
-    """Sum what all blocks counted, tell the blocks, and tell the owners of states what their arcs sum to."""
-    keys, states, longer = [], [], []
-    for m in messages:
-        words, s = np.frombuffer(m["words"], np.uint64), np.frombuffer(m["states"], np.uint64)
-        keys.append(np.concatenate([words, gram_key(s, np.frombuffer(m["followers"], np.uint32))]))
-        states.append(np.concatenate([np.zeros(len(words), np.uint64), s]))
-        longer.append(np.arange(len(keys[-1])) >= len(words))
-    every, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    counts = np.bincount(which, np.concatenate([unsmall(m["counts"], m["counts_high"]) for m in messages]), len(every)).astype(np.int64)
-    is_longer, state = np.concatenate(longer)[first], np.concatenate(states)[first]
-    del states, longer, first
-    arc = is_longer & (counts >= min_count)
-    of, at = np.unique(state[arc], return_inverse=True)
-    kinds, mass = np.bincount(at, minlength=len(of)), np.bincount(at, counts[arc], len(of)).astype(np.int64)
-    for o, mine in enumerate(_owned(of, owners)):
-        if len(mine):
-            yield _told(o, -1, SUMS, of[mine].tobytes(), small(kinds[mine]), small(mass[mine]))
-    del state, arc, of, at, kinds, mass
-    is_state = np.zeros(len(every), bool)
-    a = 0
-    for m, k in zip(messages, keys, strict=True):
-        is_state[which[a : a + m["n_states"]]] = True
-        a += len(k)
-    index = np.cumsum(is_state) - 1
-    known = counts[~is_longer]
-    yield _told(owner, -1, STATES, every[is_state].tobytes(), n_all=int(known.sum()), n_kinds=int((known > 0).sum()))
-    a = 0
-    for m, k in zip(messages, keys, strict=True):
-        mine = which[a : a + len(k)]
-        a += len(k)
-        yield _told(owner, m["block"], COUNTS, kinds=small(counts[mine]))
-        yield _told(owner, m["block"], HELD, index[mine[: m["n_states"]]].astype("<u4").tobytes())
+def _sum(owner: int, messages: list[dict], owners: int, longer: int, order: int) -> Iterator[pa.RecordBatch]:
+    """Sum what all blocks counted, and tell each block what it shares with others. `longer`: the order of the n-grams beside words."""
+    limit = (1 << 64) // owners
+    counted = [unsmall(m["counts"], m["counts_high"]) for m in messages]
+    for n, name, size in ((0, "words", "n_words"), (longer, "followers", "n_longer")):
+        sizes = [m[size] for m in messages]
+        if not sum(sizes):
+            continue
+        every, first, which = np.unique(np.concatenate([unsqueeze(m[name], k, limit) for m, k in zip(messages, sizes, strict=True)]), return_index=True, return_inverse=True)
+        mine = [c[:k] if name == "words" else c[len(c) - k :] for c, k in zip(counted, sizes, strict=True)]
+        counts = np.bincount(which, np.concatenate(mine), len(every)).astype(np.int64)
+        shared = np.bincount(which, minlength=len(every)) > 1
+        index, adds = np.cumsum(shared) - 1, np.zeros(len(which), bool)
+        adds[first] = True
+        if name == "words":
+            yield _told(owner, -1, TOTALS, size=int(counts.sum()), total=int((counts > 0).sum()))
+        a = 0
+        for m, k in zip(messages, sizes, strict=True):
+            own, add = which[a : a + k], adds[a : a + k]
+            a += k
+            both = shared[own]
+            yield _told(owner, m["block"], COUNTS, n, np.packbits(both).tobytes() + np.packbits(add[both]).tobytes(), small(counts[own[both]]))
+            if n + 1 < order:
+                yield _told(owner, m["block"], HELD, n, squeeze(index[own[both]], int(shared.sum())), size=int(both.sum()), total=int(shared.sum()))
 
 
 def _left(owner: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    """Tell each block number and counts of the arcs of its states."""
-    every = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows if r["role"] == STATES])
-    kinds, mass = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
-    for r in rows:
-        if r["role"] == SUMS:
-            at = np.searchsorted(every, np.frombuffer(r["keys"], np.uint64))
-            kinds[at] += unsmall(r["low"], r["high"])
-            mass[at] += unsmall(r["mass_low"], r["mass_high"])
-    for r in rows:
-        if r["role"] == HELD:
-            mine = np.frombuffer(r["keys"], "<u4")
-            yield _told(owner, r["block"], LEFT, kinds=small(kinds[mine]), mass=small(mass[mine]))
+    """Tell each block number and counts of the arcs of the states it shares."""
+    for n in sorted({r["n"] for r in rows}):
+        held = {r["block"]: unsqueeze(r["keys"], r["size"], r["total"]).astype(np.int64) for r in rows if (r["role"], r["n"]) == (HELD, n)}
+        kinds, mass = (np.zeros(max(r["total"] for r in rows if r["n"] == n), np.int64) for _ in range(2))
+        for r in rows:
+            if (r["role"], r["n"]) == (SUMS, n):
+                kinds[held[r["block"]]] += unsmall(r["low"], r["high"])
+                mass[held[r["block"]]] += unsmall(r["mass_low"], r["mass_high"])
+        for block, mine in held.items():
+            yield _told(owner, block, LEFT, n, kinds=small(kinds[mine]), mass=small(mass[mine]))
+
+
+class Counted:
+    """Counts of a block's n-grams over the whole corpus, which of them it shares, and what its arcs add to its states."""
+
+    def __init__(self, g: Grams, told: list[dict], owners: int, min_count: int):
+        self.g, self.owned = g, g.owned(owners)
+        self.counts, self.shared, adds = [c.copy() for c in g.counts], [np.zeros(len(k), bool) for k in g.keys], [np.ones(len(k), bool) for k in g.keys]
+        for x in told:
+            if x["role"] == COUNTS:
+                n, a, b = x["n"], *self.range(x["n"], x["owner"])
+                bits = np.frombuffer(x["keys"], np.uint8)
+                both = np.unpackbits(bits[: -(-(b - a) // 8)], count=b - a).astype(bool)
+                at = a + np.flatnonzero(both)
+                self.shared[n][at], self.counts[n][at] = True, unsmall(x["low"], x["high"])
+                adds[n][at] = np.unpackbits(bits[-(-(b - a) // 8) :], count=len(at)).astype(bool)
+        self.kinds, self.mass = [], []
+        for n in range(1, len(g.keys)):
+            arc = adds[n] & (self.counts[n] >= min_count)
+            state, states = g.state[n][arc], len(g.keys[n - 1])
+            self.kinds.append(np.bincount(state, minlength=states).astype(np.int64))
+            self.mass.append(np.bincount(state, self.counts[n][arc], states).astype(np.int64))
+
+    def range(self, n: int, owner: int) -> tuple[int, int]:
+        return int(self.owned[n][owner]), int(self.owned[n][owner + 1])
+
+    def shared_states(self, n: int, owner: int) -> np.ndarray:
+        a, b = self.range(n, owner)
+        return a + np.flatnonzero(self.shared[n][a:b])
+
+    def sums(self, block: int, owners: int) -> Iterator[pa.RecordBatch]:
+        for n in range(len(self.kinds)):
+            for o in range(owners):
+                mine = self.shared_states(n, o)
+                if len(mine):
+                    yield _told(o, block, SUMS, n, kinds=small(self.kinds[n][mine]), mass=small(self.mass[n][mine]))
+
+    def settle(self, told: list[dict]) -> None:
+        for x in told:
+            if x["role"] == LEFT:
+                mine = self.shared_states(x["n"], x["owner"])
+                self.kinds[x["n"]][mine] = unsmall(x["low"], x["high"])
+                self.mass[x["n"]][mine] = unsmall(x["mass_low"], x["mass_high"])
 
 
 class Automaton:
     """The part of the model that the texts of one block can reach."""
 
     def __init__(self, g: Grams, told: list[dict], owners: int, n_all: int, n_kinds: int, discount: float, min_count: int):
-        counts, kinds, mass = ([np.zeros(len(k), np.int64) for k in g.keys] for _ in range(3))
-        owned = g.owned(owners)
-
-        def spread(into: list[np.ndarray], orders: int, owner: int, values: np.ndarray) -> None:
-            a = 0
-            for n in range(orders):
-                mine = owned[n][owner]
-                into[n][mine] = values[a : a + len(mine)]
-                a += len(mine)
-
-        for x in told:
-            if x["role"] == COUNTS:
-                spread(counts, len(counts), x["owner"], unsmall(x["low"], x["high"]))
-            else:
-                spread(kinds, len(counts) - 1, x["owner"], unsmall(x["low"], x["high"]))
-                spread(mass, len(counts) - 1, x["owner"], unsmall(x["mass_low"], x["mass_high"]))
+        counted = Counted(g, told, owners, min_count)
+        counted.settle(told)
+        counts, kinds, mass = counted.counts, counted.kinds, counted.mass
         self.g, self.known = g, counts[0] > 0
         #: For each order the probability of the last word after the others: by the arc if there is one, or along failure arcs.
         self.weight = [(counts[0] + 1) / (n_all + n_kinds + 1)]
@@ -261,42 +318,66 @@ def language_scores(docs: DataFrame, discount: float = DISCOUNT, min_count: int
         if held:
             yield now, pa.Table.from_batches(held)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in whole_blocks(batches):
-            hashes, per_text = tokens_of(rows.column("text").to_pylist())
-            yield _ask(block, Grams(hashes, per_text, ~rows.column("held_out").to_numpy(zero_copy_only=False), order), owners)
+    def grams(rows: pa.Table, up_to: int) -> Grams:
+        hashes, per_text = tokens_of(rows.column("text").to_pylist())
+        return Grams(hashes, per_text, ~rows.column("held_out").to_numpy(zero_copy_only=False), up_to)
+
+    def told_and_texts(rows: pa.Table) -> tuple[list[dict], pa.Table]:
+        split = int((rows.column("role").to_numpy() != TEXT).sum())
+        return rows.slice(0, split).select(["owner", "role", *TOLD]).to_pylist(), rows.slice(split)
+
+    def counting(orders: tuple[int, ...]):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, rows in whole_blocks(batches):
+                yield _ask(block, grams(rows, orders[-1] + 1), owners, orders)
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for owner, messages in whole_blocks(batches):
-            yield from _sum(owner, messages.to_pylist(), owners, min_count)
+        return count
+
+    def owning(longer: int):
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for owner, messages in whole_blocks(batches):
+                yield from _sum(owner, messages.to_pylist(), owners, longer, order)
+
+        return own
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in whole_blocks(batches):
+            told, mine = told_and_texts(rows)
+            yield from Counted(grams(mine, order), told, owners, min_count).sums(block, owners)
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owner, rows in whole_blocks(batches):
             yield from _left(owner, rows.to_pylist())
 
-    in_blocks = lambda columns: dealt.select("block", *columns).repartition(max(1, blocks // 2), "block").sortWithinPartitions("block")
+    in_blocks = lambda df, *by: df.repartition(max(1, blocks // 2), "block").sortWithinPartitions("block", *by)
     # a partition may have several owners: sorted, one is held at a time
-    by_owner = lambda df: df.repartition(owners, "owner").sortWithinPartitions("owner")
-    asked = in_blocks(["held_out", "text"]).mapInArrow(count, ASKED_TYPE)
-    summed = cut_lineage(by_owner(asked).mapInArrow(own, TOLD_TYPE))
-    totals = summed.agg(F.coalesce(F.sum("n_all"), F.lit(0)).alias("n_all"), F.coalesce(F.sum("n_kinds"), F.lit(0)).alias("n_kinds")).first()
+    by_owner = lambda df: df.repartition(owners, "owner").sortWithinPartitions("owner", "block")
+    summed = None
+    for orders in [(0, 1)[:order], *[(n,) for n in range(2, order)]]:
+        asked = in_blocks(dealt.select("block", "held_out", "text")).mapInArrow(counting(orders), ASKED_TYPE)
+        part = cut_lineage_and_release(by_owner(asked).mapInArrow(owning(orders[-1]), TOLD_TYPE))
+        summed = part if summed is None else summed.unionByName(part)
+    totals = summed.where(F.col("role") == TOTALS).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n_all"), F.coalesce(F.sum("total"), F.lit(0)).alias("n_kinds")).first()
     n_all, n_kinds = totals["n_all"], totals["n_kinds"]
-    left = by_owner(summed.filter(F.col("role").isin(SUMS, STATES, HELD))).mapInArrow(states, TOLD_TYPE)
 
-    texts = dealt.select("block", F.lit(TEXT).alias("role"), F.col("doc_id"), "held_out", "text", *[F.lit(None).cast(t).alias(c) for c, t in (("owner", "int"), *[(c, "binary") for c in TOLD[1:]])])
-    told = summed.filter(F.col("role") == COUNTS).unionByName(left).select("block", "role", F.lit(None).cast(docs.schema[id_col].dataType).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("binary").alias("text"), "owner", *TOLD[1:])
-    met = texts.unionByName(told).repartition(max(1, blocks // 2), "block").sortWithinPartitions("block", "role")
+    texts = dealt.select("block", F.lit(TEXT).alias("role"), F.col("doc_id"), "held_out", "text", *[F.lit(None).cast(t).alias(c) for c, t in (("owner", "int"), ("n", "int"), *[(c, "binary") for c in TOLD[1:]])])
+
+    def met(told: DataFrame) -> DataFrame:
+        """The texts of each block behind what it was told."""
+        told = told.select("block", "role", F.lit(None).cast(docs.schema[id_col].dataType).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("binary").alias("text"), "owner", *TOLD)
+        return in_blocks(texts.unionByName(told), "role")
+
+    counts = summed.where(F.col("role") == COUNTS)
+    added = met(counts).mapInArrow(add, TOLD_TYPE)
+    left = cut_lineage_and_release(by_owner(added.unionByName(summed.where(F.col("role") == HELD))).mapInArrow(states, TOLD_TYPE))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in whole_blocks(batches):
-            role = rows.column("role").to_numpy()
-            split = int((role != TEXT).sum())
-            replies = rows.slice(0, split).select(["owner", "role", *TOLD[1:]]).to_pylist()
-            mine = rows.slice(split)
-            hashes, per_text = tokens_of(mine.column("text").to_pylist())
-            g = Grams(hashes, per_text, ~mine.column("held_out").to_numpy(zero_copy_only=False), order)
+            replies, mine = told_and_texts(rows)
+            g = grams(mine, order)
+            per_text = g.per_text
             model = Automaton(g, replies, owners, n_all, n_kinds, discount, min_count)
-            del replies, hashes
+            del replies
             begins = np.cumsum(per_text) - per_text
             base, scores = (np.add.reduceat(model.traverse(n), begins) if len(begins) else np.zeros(0) for n in (1, order))
             known = np.add.reduceat(model.known[g.code[0]].astype(np.int64), begins) if len(begins) else np.zeros(0, np.int64)
@@ -306,5 +387,5 @@ def language_scores(docs: DataFrame, discount: float = DISCOUNT, min_count: int
             )
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    scored = met.mapInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = met(counts.unionByName(left)).mapInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")

@@ -35,6 +35,7 @@ BLOCK_ROWS = 50_000
 GROUP_ROWS = 2_000_000
 SALTS = 64
 MOST_SLICES = 256
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @dataclass(frozen=True)
@@ -175,6 +176,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_lineage_and_release(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a table that is read on only as written: the files of its exchanges are deleted at once, not when the driver collects garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(RELEASE, "false")
+    conf.set(RELEASE, "true")
+    try:
+        return cut_lineage(df)
+    finally:
+        conf.set(RELEASE, before)
+
+
 def settle(df: DataFrame, layout: Layout) -> DataFrame:
     """Cut lineage where a plan would otherwise be recomputed by its own summaries."""
     return df if layout.single else cut_lineage(df)
