@@ -21,7 +21,7 @@ from tidewatch.operators import serving as P
 from tidewatch.operators import scoring as Z
 from tidewatch.operators import transform as T
 from tidewatch.operators.contract import coerce
-from tidewatch.operators.ordering import SIZES, Layout, Sizes, cut_lineage
+from tidewatch.operators.ordering import SIZES, Layout, Sizes, cut_lineage, within_groups
 from tidewatch.operators.percentiles import direct_percentiles, sliced_percentiles
 from tidewatch.params import DEFAULTS
 from tidewatch.plans import views as V
@@ -131,6 +131,20 @@ def test_impute_runs_longer_than_a_block(hourly):
     same(K.impute(holed, PLAIN), K.impute(holed, Layout((1.0,), 20)))
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_segments_that_fit_a_block_are_not_cut(hourly, cleaned, sliced):
+    """Cut series of short segments: nothing is put into blocks or carried between them, and the rows are the same."""
+    roomy = Layout(sliced.edges, 100_000)
+    assert within_groups(cleaned, "slot", roomy).single and not within_groups(cleaned, "slot", Layout(sliced.edges, 100)).single
+    done, frame = K.clean(hourly, roomy), X.feature_frame(cleaned, "cpu_percent", roomy)
+    assert "_block" not in _plan(done) and "_block" not in _plan(frame)
+    same(cleaned, done)
+    same(X.feature_frame(cleaned, "cpu_percent", PLAIN), frame)
+
+
 @slow
 def test_features(cleaned, sliced):
     same(X.feature_frame(cleaned, "cpu_percent", PLAIN), X.feature_frame(cleaned, "cpu_percent", sliced))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.columns import any_of, clamp
 from tidewatch.operators.cadence import SERIES, detect_cadence, segment, segment_report, segment_starts
 from tidewatch.operators.contract import METRICS, Contract, coerce
-from tidewatch.operators.ordering import Layout, attach, in_blocks, neighbours, settle
+from tidewatch.operators.ordering import Layout, attach, in_blocks, neighbours, settle, within_groups
 from tidewatch.params import DEFAULTS, Params
 
 SEGMENT = [SERIES, "segment_id"]
@@ -195,8 +195,9 @@ def gridded(
 
 
 def repaired(grid: DataFrame, layout: Layout, contract: Contract = METRICS, params: Params = DEFAULTS) -> DataFrame:
-    flagged = flag_outliers(grid, layout, contract, params, keep_median=True)
-    done = impute(repair_outliers(flagged, layout, contract, params), layout, contract, params)
+    inside = within_groups(grid, "slot", layout)
+    flagged = flag_outliers(grid, inside, contract, params, keep_median=True)
+    done = impute(repair_outliers(flagged, layout, contract, params), inside, contract, params)
     return done.drop(*[c for c in done.columns if c.startswith("_m_")])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators.cadence import SERIES
 from tidewatch.operators.clean import SEGMENT
 from tidewatch.operators.encode import all_encoded_names, encode
-from tidewatch.operators.ordering import Layout, add_position, in_blocks, newest, settle
+from tidewatch.operators.ordering import Layout, add_position, in_blocks, newest, settle, within_groups
 from tidewatch.operators.transform import derived_columns, ewma_specs, exponential_means, label_regimes, seg_window, with_segment_position
 from tidewatch.params import DEFAULTS, Params
 
@@ -89,6 +89,8 @@ def feature_frame(df: DataFrame, target: str, layout: Layout, params: Params = D
     """
     clean_cols = df.columns
     names = feature_names(target, clean_cols, params)
+    if "slot" in clean_cols:
+        layout = within_groups(df, "slot", layout)
 
     def build(frame, by):
         w = seg_window(by)

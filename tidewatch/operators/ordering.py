@@ -133,6 +133,19 @@ class Layout:
         return Layout(tuple(quantile_edges(df, as_number(df, order), parts)), block_rows or sizes.block_rows)
 
 
+def within_groups(df: DataFrame, pos: str, layout: Layout) -> Layout:
+    """The layout of ordered work inside groups whose rows `pos` counts from 0.
+
+    Groups that all fit a block have nothing to cut and nothing to carry from
+    block to block: plain windows of each are the same blocks. `df` is read for
+    its longest group and should be settled.
+    """
+    if layout.single:
+        return layout
+    last = df.agg(F.max(pos)).first()[0]
+    return Layout((), layout.block_rows) if last is None or last < layout.block_rows else layout
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder every executor can reach, inside the one that spark.checkpoint.dir names.
 
