@@ -145,6 +145,13 @@ def test_segments_that_fit_a_block_are_not_cut(hourly, cleaned, sliced):
     same(X.feature_frame(cleaned, "cpu_percent", PLAIN), frame)
 
 
+def test_an_audit_merges_the_samples_once(hourly, sliced):
+    twice = hourly.unionByName(hourly.where("cpu_percent > 50"))
+    audit = K.audit(twice, sliced)
+    assert "hashpartitioning(series_key" in _plan(audit) and ", ts#" not in "".join(x for x in _plan(audit).splitlines() if "hashpartitioning" in x)
+    same(K.audit(twice, PLAIN), audit)
+
+
 @slow
 def test_features(cleaned, sliced):
     same(X.feature_frame(cleaned, "cpu_percent", PLAIN), X.feature_frame(cleaned, "cpu_percent", sliced))

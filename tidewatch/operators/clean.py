@@ -26,10 +26,10 @@ def normalise(df: DataFrame, contract: Contract = METRICS) -> DataFrame:
     return coerce(df, contract).where(F.col("ts").isNotNull())
 
 
-def deduplicate(df: DataFrame, contract: Contract = METRICS) -> DataFrame:
-    """One row per (series, ts): the mean of every numeric column, nulls skipped."""
+def deduplicate(df: DataFrame, contract: Contract = METRICS, counted: str | None = None) -> DataFrame:
+    """One row per (series, ts): the mean of every numeric column, nulls skipped. `counted` names a column for how many rows it was."""
     means = [F.avg(c).alias(c) for c in value_columns(df, contract)]
-    return df.groupBy(SERIES, "ts").agg(*means)
+    return df.groupBy(SERIES, "ts").agg(*means, *([F.count(F.lit(1)).alias(counted)] if counted else []))
 
 
 def clip_ranges(df: DataFrame, contract: Contract = METRICS) -> DataFrame:
@@ -227,18 +227,13 @@ def audit(
     incoming = typed.groupBy(SERIES).agg(
         F.count(F.lit(1)).alias("rows_in"), F.count_if(F.col("ts").isNull()).alias("dropped_no_timestamp")
     )
-    merged = (
-        typed.where(F.col("ts").isNotNull())
-        .groupBy(SERIES, "ts")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .groupBy(SERIES)
-        .agg(F.sum(F.col("_c") - 1).alias("duplicates_merged"))
-    )
-    unclipped = deduplicate(normalise(raw, contract), contract)
+    means = deduplicate(normalise(raw, contract), contract, counted="_c")
+    unclipped = settle(means, layout)  # read for what was merged, for what is clipped, and to go on
+    merged = unclipped.groupBy(SERIES).agg(F.sum(F.col("_c") - 1).alias("duplicates_merged"))
     counts = clipped_counts(unclipped, contract)
     clipped = unclipped.groupBy(SERIES).agg(sum(list(counts.values())[1:], list(counts.values())[0]).alias("values_clipped"))
 
-    base = settle(clip_ranges(unclipped, contract), layout)
+    base = clip_ranges(unclipped.drop("_c"), contract)
     cadence = cadence if cadence is not None else detect_cadence(base, layout, params)
     segmented = segment(base, cadence, layout, params, ends=True)
     shape = segment_report(segmented)

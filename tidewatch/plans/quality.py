@@ -346,8 +346,8 @@ def clean_daily(spark, d):
     ),
 )
 def cleaning_audit(spark, d):
-    raw = V.dirty(spark, d)
-    return K.audit(raw, V.plan(coerce(raw).where(F.col("ts").isNotNull())))
+    typed = settle_large(coerce(V.dirty(spark, d)))
+    return K.audit(typed, V.plan(typed.where(F.col("ts").isNotNull())))
 
 
 @query(
