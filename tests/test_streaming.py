@@ -137,6 +137,34 @@ def test_scoring(spark, landed, tmp_path):
     same(got.where("actual IS NOT NULL"), batch.where("actual IS NOT NULL"))
 
 
+def test_a_second_the_watermark_stands_in_is_scored(spark, tmp_path):
+    """Predictions of such a second used to be dropped before its samples were reduced. Of two samples of one instant the lower id counts, however they lie in the file."""
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    seen = [[("a", 3, at(58.2), 30.0), ("a", 2, at(58.2), 20.0), ("a", 9, at(658.5), 1.0)], [("a", 10, at(700), 5.0)], [("a", 11, at(90_000), 0.0)]]
+    for part in seen:
+        spark.createDataFrame(part, "series_key string, id long, ts timestamp, actual double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/s")
+        spark.createDataFrame([(k, t, 25.0) for k, _, t, _ in part], "series_key string, predicted_for_ts timestamp, predicted double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/p")
+    actuals = S.read_samples(spark, f"{tmp_path}/s", "series_key string, id long, ts timestamp, actual double", 1)
+    predictions = S.read_samples(spark, f"{tmp_path}/p", "series_key string, predicted_for_ts timestamp, predicted double", 1)
+    S.start(S.score_stream(predictions, actuals), f"{tmp_path}/c", path=f"{tmp_path}/o").awaitTermination()
+    got = sorted((r["predicted_for_ts"], r["actual"]) for r in spark.read.parquet(f"{tmp_path}/o").where("actual IS NOT NULL").collect())
+    assert got[:4] == [(at(58.2), 20.0), (at(58.2), 20.0), (at(658.5), 1.0), (at(700), 5.0)]
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_equal_instants_predict_in_order_of_arrival(spark, turned):
+    """Plain and cut, whatever order the rows lie in; three samples of one instant reach over a block's end."""
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    rows = [("a", k, at((0, 1, 2, 2, 2, 3)[k]), float(k)) for k in range(6)]
+    raw = spark.createDataFrame(rows[::-1] if turned else rows, "series_key string, id long, ts timestamp, x double").coalesce(1).withColumn("segment_id", F.lit(0))
+    cut = Layout((at(1.5).replace(tzinfo=datetime.timezone.utc).timestamp() * 1e6,), 3)
+    for layout in (Layout(), cut):
+        got = P.backfill_baseline(raw, "x", layout)
+        assert sorted((r["predicted_for_ts"], r["predicted"]) for r in got.collect()) == [(r[2], r[3] - 1) for r in rows[1:]]
+    score = P.score(got, raw.select("series_key", "id", "ts", F.col("x").alias("actual")), ["series_key"]).where(F.col("predicted_for_ts") == at(2))
+    assert {r["actual"] for r in score.collect()} == {2.0}
+
+
 def test_cycle(spark, landed, tmp_path):
     raw, path, _ = landed
     S.start(S.read_samples(spark, path, files_per_trigger=2), f"{tmp_path}/c", sink=S.cycle_sink(str(tmp_path))).awaitTermination()

@@ -112,13 +112,20 @@ def timeline(actuals: DataFrame, trajectory: DataFrame, allocation: DataFrame, k
     return out.join(allocation, keys, "left")
 
 
+def in_order(df: DataFrame) -> list[str]:
+    """What orders the samples of a series: their instant and, if they have one, the `id`, which is arrival order."""
+    return ["ts", "id"] if "id" in df.columns else ["ts"]
+
+
 def backfill_baseline(df: DataFrame, value: str, layout: Layout, params: Params = DEFAULTS) -> DataFrame:
-    """The persistence champion replayed: each value predicts the row `target_shift` later in its segment."""
-    placed = df if layout.single else settle(add_position(df, SEGMENT, ["ts"], layout, "_at"), layout)
+    """The persistence champion replayed: each value predicts the row `target_shift` later in its segment. Of equal instants the one that arrived first comes first."""
+    order = in_order(df)
+    placed = df if layout.single else settle(add_position(df, SEGMENT, order, layout, "_at"), layout)
 
     def shifted(frame, by):
         parts = by if "segment_id" in by else [*by, "segment_id"]
-        return frame.withColumn("predicted", F.lag(value, params.target_shift).over(Window.partitionBy(*parts).orderBy("ts")))
+        w = Window.partitionBy(*parts).orderBy(*order if layout.single else ["_at"])
+        return frame.withColumn("predicted", F.lag(value, params.target_shift).over(w))
 
     out = in_blocks(placed, SEGMENT, "_at", layout, shifted, before=params.target_shift)
     return out.where(F.col("predicted").isNotNull()).select(SERIES, "segment_id", F.col("ts").alias("predicted_for_ts"), "predicted")
@@ -131,7 +138,7 @@ def score(predictions: DataFrame, actuals: DataFrame, keys: Sequence[str], value
     """
     keys = list(keys)
     second = lambda c: F.date_trunc("second", F.col(c))
-    seen = actuals.where(F.col("ts").isNotNull()).groupBy(*keys, second("ts").alias("_second")).agg(F.min_by(value, "ts").alias("actual"))
+    seen = actuals.where(F.col("ts").isNotNull()).groupBy(*keys, second("ts").alias("_second")).agg(F.min_by(value, F.struct(*in_order(actuals))).alias("actual"))
     open_rows = predictions.withColumn("_second", second("predicted_for_ts"))
     joined = open_rows.join(seen, [*keys, "_second"], "left").drop("_second")
     return joined.withColumn("abs_error", F.abs(F.col("actual") - F.col("predicted")))

@@ -108,7 +108,7 @@ def predicted_samples(spark, d) -> DataFrame:
 
 def scored_in_time(spark, d) -> DataFrame:
     predictions = arriving(predicted_samples(spark, d), "predicted_for_ts")
-    actuals = arriving(V.metrics(spark, d)).select(SERIES, "ts", F.col(TARGET).alias("actual"))
+    actuals = arriving(V.metrics(spark, d)).select(SERIES, "id", "ts", F.col(TARGET).alias("actual"))
     return S.score_stream(predictions, actuals, LATE, "1 minute").where(F.col("abs_error").isNotNull())
 
 
@@ -179,7 +179,7 @@ def stream_drift_decisions(spark, d):
     trained = F.lit("2024-01-15").cast("timestamp")
     raw = V.metrics(spark, d)
     profile = Q.drift_profile(raw.where(F.col("ts") < trained), TARGET)
-    errors = P.score(predicted_samples(spark, d), raw.select(SERIES, "ts", F.col(TARGET).alias("actual")), [SERIES]).where(F.col("predicted_for_ts") < trained)
+    errors = P.score(predicted_samples(spark, d), raw.select(SERIES, "id", "ts", F.col(TARGET).alias("actual")), [SERIES]).where(F.col("predicted_for_ts") < trained)
     reference = errors.groupBy(SERIES).agg(F.round(F.avg("abs_error") / 2.0, 4).alias("reference_mae"))
     kept = cut_lineage(profile.join(reference, SERIES, "left"))
     signals = Q.drift_signal_stream(arriving(raw), scored_in_time(spark, d), kept, TARGET)

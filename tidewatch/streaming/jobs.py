@@ -61,16 +61,21 @@ def gap_sessions(stream: DataFrame, gap: str, lateness: str = "10 minutes") -> D
 def score_stream(predictions: DataFrame, actuals: DataFrame, lateness: str = "10 minutes", patience: str = "1 minute") -> DataFrame:
     """Predictions joined to what happened in the same second; unmatched ones leave unscored once the watermark passes.
 
-    Of several samples in one second the first by time counts, so a prediction
-    is scored once: seconds are reduced before the join.
+    Of several samples in one second the first by time counts (by `id`, if they have
+    one, at one instant), so a prediction is scored once: seconds are reduced before
+    the join. A prediction is due at the end of its second, as the second itself is:
+    one that the watermark stands in is kept until its samples are reduced. The
+    seconds compared are plain numbers, since states are dropped by an event time
+    among the keys before `patience` is asked.
     """
-    p = predictions.withColumn("_second", F.date_trunc("second", "predicted_for_ts")).withWatermark("_second", lateness)
-    stamped = actuals.select(F.col(SERIES).alias("_series"), "ts", "actual").withWatermark("ts", lateness)
-    firsts = stamped.groupBy("_series", F.window("ts", "1 second").alias("_w")).agg(F.min_by("actual", "ts").alias("actual"))
-    a = firsts.select("_series", "actual", F.window_time("_w").alias("_end"))
-    same = F.expr(f"date_trunc('second', _end) = _second AND {SERIES} = _series AND _end >= _second AND _end <= _second + INTERVAL {patience}")
+    due = F.date_trunc("second", "predicted_for_ts") + F.expr("INTERVAL '0.999999' SECOND")
+    p = predictions.withColumn("_due", due).withWatermark("_due", lateness).withColumn("_second", F.unix_seconds("_due"))
+    stamped = actuals.withColumnRenamed(SERIES, "_series").withWatermark("ts", lateness)
+    firsts = stamped.groupBy("_series", F.window("ts", "1 second").alias("_w")).agg(F.min_by("actual", F.struct(*P.in_order(actuals))).alias("actual"))
+    a = firsts.select("_series", "actual", F.window_time("_w").alias("_end")).withColumn("_seen", F.unix_seconds("_end"))
+    same = F.expr(f"_seen = _second AND {SERIES} = _series AND _end >= _due AND _end <= _due + INTERVAL {patience}")
     joined = p.join(a, same, "leftOuter")
-    return joined.withColumn("abs_error", F.abs(F.col("actual") - F.col("predicted"))).drop("_second", "_end", "_series")
+    return joined.withColumn("abs_error", F.abs(F.col("actual") - F.col("predicted"))).drop("_due", "_second", "_seen", "_end", "_series")
 
 
 def mirror_sink(path: str) -> Callable[[DataFrame, int], None]:
