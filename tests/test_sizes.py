@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import registry
 from tidewatch.operators.batch import run_batch
-from tidewatch.operators.ordering import GROUP_ROWS, MOST_SLICES, ROWS_PER_SLICE, SIZES, Layout, Sizes, is_local, join_spread, shared_folder, slice_count
+from tidewatch.operators.cadence import deltas, find_gaps
+from tidewatch.operators.ordering import GROUP_ROWS, MOST_SLICES, ROWS_PER_SLICE, SIZES, Layout, Sizes, cut_lineage, is_local, join_spread, shared_folder, slice_count
 from tidewatch.operators.percentiles import direct_percentiles, exact_percentiles, sliced_percentiles
 from tidewatch.params import Params, load
 from tidewatch.streaming.jobs import score_stream
@@ -44,6 +45,16 @@ def test_a_join_with_small_rows_leaves_hot_keys_spread(spark):
     assert "Exchange hashpartitioning(k" in aggregates  # counted by task first, exchanged once more after the join
 
 
+def test_settled_deltas_are_not_sent_to_every_task(spark):
+    """Regular instants make files far smaller than their rows: by that size the driver used to gather them for a broadcast."""
+    rows = spark.range(20_000).select(F.lit("s").alias("series_key"), F.timestamp_seconds(F.floor(F.col("id") / 10) * 86_400 * F.when(F.col("id") > 19_000, 3).otherwise(1)).alias("ts"))
+    steps = cut_lineage(deltas(rows, Layout()))
+    cadence = spark.createDataFrame([("s", 86_400.0)], "series_key string, cadence double")
+    gaps = find_gaps(rows, cadence, Layout(), steps=steps)
+    assert "Broadcast" not in gaps._jdf.queryExecution().executedPlan().toString()
+    assert gaps.count() == 100
+
+
 def test_a_prediction_is_scored_once_with_the_first_sample_of_its_second(spark):
     made = spark.sql("SELECT 's' AS series_key, timestamp'2024-01-01 10:00:05' AS predicted_for_ts, 4.0D AS predicted")
     seen = spark.sql(

@@ -58,7 +58,8 @@ def detect_cadence(
 
 def find_gaps(df: DataFrame, cadence: DataFrame, layout: Layout, params: Params = DEFAULTS, steps: DataFrame | None = None) -> DataFrame:
     """Breaks in collection: deltas beyond gap_multiple times the cadence. `steps` as in `detect_cadence`."""
-    steps = join_spread(deltas(df, layout) if steps is None else steps, cadence, [SERIES], ["ts"])
+    # settled deltas of a regular table are files of a few MB for millions of rows: by their size they would be broadcast
+    steps = join_spread(deltas(df, layout) if steps is None else steps, cadence.hint("shuffle_hash"), [SERIES], ["ts"])
     return steps.where(F.col("delta") > F.col("cadence") * F.lit(params.gap_multiple)).select(
         SERIES,
         F.col("prev_ts").alias("gap_start"),
