@@ -218,3 +218,33 @@ def test_only_rows_that_can_enter_a_ring_reach_the_state():
         for k in (2, 3, 4):
             ring = lambda some: heapq.nlargest(7, [(r[1], r[k]) for r in some if r[0] == series and r[k] is not None], key=lambda x: x[0])
             assert ring(kept) == ring(rows)
+
+
+def test_a_task_hands_on_only_what_can_alert():
+    """Samples above the threshold and the newest; of the consumers of an instant the heaviest, in one row."""
+    draw = random.Random(5)
+    clock = pa.timestamp("us", "UTC")
+    cut = lambda rows, schema: [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 256]), schema.types)], schema=schema) for i in range(0, len(rows), 256)]
+    samples = [("a", t, t, k, draw.choice([None, 10.0, 80.0, 95.0])) for k, t in enumerate(draw.sample(range(5_000), 1_000))]
+    schema = pa.schema([("series_key", pa.string()), ("ts", clock), ("_us", pa.int64()), ("id", pa.int64()), ("observed", pa.float64())])
+    ids = [i for b in Q.above(iter(cut(samples, schema)), "observed", 80.0) for i in b.column("id").to_pylist()]
+    newest = max(samples, key=lambda r: r[2])
+    assert sorted(set(ids)) == sorted({r[3] for r in samples if (r[4] or 0) > 80} | {newest[3]}) and len(ids) < 400
+    rows = [(draw.choice(["a", "b", None]), t, t, draw.randrange(60), draw.choice([None, "x"]), draw.choice([None, 1.0, 2.0, draw.random()])) for t in (draw.randrange(40) for _ in range(3_000))]
+    schema = pa.schema([("series_key", pa.string()), ("ts", clock), ("_us", pa.int64()), ("pid", pa.int64()), ("name", pa.string()), ("rss_mb", pa.float64())])
+    out = pa.schema([*list(schema)[:3], ("held", pa.string())])
+    got = [r for b in Q.packed(iter(cut(rows, schema)), 5, out) for r in b.to_pylist()]
+    assert len(got) == len({(r["series_key"], r["_us"]) for r in got}) == len({(r[0], r[2]) for r in rows})
+    for r in got:
+        every = [(x[5], x[3], x[4]) for x in rows if (x[0], x[2]) == (r["series_key"], r["_us"])]
+        assert [h[:2] for h in json.loads(r["held"])] == [list(h[:2]) for h in Q.heaviest(every, 5)]
+
+
+def test_the_first_sample_above_the_threshold_alerts(spark, tmp_path):
+    """Of two samples of one instant the lower id is below the threshold: it used to hide the other, which the batch form and the SQL file."""
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    rows = [("a", 1, at(0), 50.0), ("a", 2, at(0), 90.0), ("a", 3, at(0), 95.0), ("a", 4, at(100_000), 0.0)]
+    spark.createDataFrame(rows, "series_key string, id long, ts timestamp, mem_percent double").coalesce(1).write.parquet(f"{tmp_path}/s")
+    samples = S.read_samples(spark, f"{tmp_path}/s", "series_key string, id long, ts timestamp, mem_percent double", 1)
+    S.start(Q.alert_stream(samples), f"{tmp_path}/c", path=f"{tmp_path}/o").awaitTermination()
+    assert [(r["ts"], r["observed"]) for r in spark.read.parquet(f"{tmp_path}/o").collect()] == [(at(0), 90.0)]

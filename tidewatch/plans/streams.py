@@ -34,6 +34,11 @@ SPAN_ROWS = 500_000
 LATE = "10 minutes"
 
 
+def triggers(rows: int, files: int = FILES) -> int:
+    """How many triggers a table of so many rows takes."""
+    return max(PARTS, math.ceil(rows / (files * SPAN_ROWS)))
+
+
 def land(df: DataFrame, ts: str = "ts", files: int = FILES, parts: int = PARTS) -> str:
     """Write a table as files of consecutive spans of time, `files` of them at a time; returns the folder.
 
@@ -48,7 +53,7 @@ def land(df: DataFrame, ts: str = "ts", files: int = FILES, parts: int = PARTS)
     """
     spark, root = df.sparkSession, shared_folder(df.sparkSession)
     known = df.where(F.col(ts).isNotNull())
-    spans = files * max(parts, math.ceil(known.count() / (files * SPAN_ROWS)))
+    spans = files * max(parts, triggers(known.count(), files))
     edges = quantile_edges(known, as_number(known, ts), spans)
     placed = slice_of(known, as_number(known, ts), [e + 1.0 for e in edges], "_span").withColumn("_job", F.floor(F.col("_span") / files).cast("int"))
     placed.write.partitionBy("_job").parquet(f"{root}/placed")
@@ -62,9 +67,9 @@ def land(df: DataFrame, ts: str = "ts", files: int = FILES, parts: int = PARTS)
     return f"{root}/landed"
 
 
-def arriving(df: DataFrame, ts: str = "ts", files: int = FILES) -> DataFrame:
-    """The table as a stream of the files it landed in, those of one job at a time."""
-    return S.read_samples(df.sparkSession, land(df, ts, files), schema=df.schema, files_per_trigger=files).select(*df.columns)
+def arriving(df: DataFrame, ts: str = "ts", files: int = FILES, parts: int = PARTS) -> DataFrame:
+    """The table as a stream of the files it landed in, those of one job at a time, in `parts` triggers at least."""
+    return S.read_samples(df.sparkSession, land(df, ts, files, parts), schema=df.schema, files_per_trigger=files).select(*df.columns)
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -202,6 +207,8 @@ def stream_alert_payloads(spark, d):
     raw = V.metrics(spark, d)
     some = raw.select(SERIES, "ts", "id", TARGET, F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"))
     held = some.select(SERIES, "ts", (F.col("id") * 10 + F.col("j")).alias("pid"), F.concat(F.lit("p"), (F.col("id") % 23).cast("string")).alias("name"), (F.col(TARGET) * (F.col("j") + 1) * 37 % 101).alias("rss_mb"))
-    alerts = Q.alert_stream(arriving(raw), TARGET, DEFAULTS.with_(alert_cooldown=3600), arriving(held), LATE)
+    # in as many spans as the consumers: samples that run ahead of them would wait as state until the last trigger
+    alike = triggers(held.where(F.col("ts").isNotNull()).count())
+    alerts = Q.alert_stream(arriving(raw, parts=alike), TARGET, DEFAULTS.with_(alert_cooldown=3600), arriving(held), LATE)
     read = F.from_json("process_payload", "array<struct<pid bigint, name string, rss_mb double>>")
     return drained(alerts).select(SERIES, "ts", "observed", F.posexplode(read).alias("at", "entry")).select(SERIES, "ts", "observed", F.col("at").cast("bigint").alias("at"), "entry.*")

@@ -16,6 +16,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -262,12 +263,68 @@ def drift_signal_stream(samples: DataFrame, scored: DataFrame, profile: DataFram
 # -- alerts -------------------------------------------------------------------
 
 
+#: Instants of one entry of the state, and consumers that a task reduces together.
+CHUNK = 1_000
+TOGETHER = 200_000
+
+
+def heaviest(consumers, top: int) -> list:
+    """The `top` of (rss_mb, pid, name), by weight, unknown weights last, ties by pid."""
+    return heapq.nsmallest(top, consumers, key=lambda h: (-(h[0] if h[0] is not None else -math.inf), h[1]))
+
+
+def above(batches: Iterator[pa.RecordBatch], column: str, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Samples above the threshold, and a task's newest one whatever it is: the watermark must see how far the samples have come."""
+    newest = None
+    for batch in batches:
+        if batch.num_rows:
+            at = batch.column("_us").to_numpy()
+            k = int(at.argmax())
+            if newest is None or at[k] > newest.column("_us")[0].as_py():
+                newest = batch.slice(k, 1)
+            yield batch.filter(pc.fill_null(pc.greater(batch.column(column), threshold), False))
+    if newest is not None:
+        yield newest
+
+
+def packed(batches: Iterator[pa.RecordBatch], top: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """One row for each series and instant among some rows of a task: its heaviest consumers as JSON. Others cannot be among the heaviest of all."""
+
+    def reduced(held):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        at, series = rows.column("_us").to_numpy(), rows.column(SERIES).combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        rss = rows.column("rss_mb")
+        weight = np.where(rss.is_valid().to_numpy(), rss.fill_null(0.0).to_numpy(), -np.inf)
+        order = np.lexsort((rows.column("pid").to_numpy(), -weight, at, series))
+        new = np.ones(order.size, bool)
+        new[1:] = (at[order[1:]] != at[order[:-1]]) | (series[order[1:]] != series[order[:-1]])
+        starts = np.flatnonzero(new)
+        place = np.arange(order.size) - np.repeat(starts, np.diff([*starts, order.size]))
+        kept = rows.take(pa.array(order[place < top]))
+        entries = list(zip(kept.column("rss_mb").to_pylist(), kept.column("pid").to_pylist(), kept.column("name").to_pylist()))
+        ends = [*np.flatnonzero(new[place < top]).tolist(), len(entries)]
+        texts = [json.dumps(entries[a:b]) for a, b in zip(ends, ends[1:])]
+        firsts = rows.select([SERIES, "ts", "_us"]).take(pa.array(order[starts]))
+        return firsts.append_column("held", pa.array(texts, pa.string())).cast(schema).to_batches()
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held, size = [*held, batch], size + batch.num_rows
+        if size >= TOGETHER:
+            yield from reduced(held)
+            held, size = [], 0
+    if held:
+        yield from reduced(held)
+
+
 class Alerts(StatefulProcessor):
     """At most one alert per cooldown, in the order of event time, with the heaviest consumers of its instant.
 
     State: the instant of the last alert, dropped by a timer when its cooldown is
     over, and the instants the watermark has not passed, each with its first
-    sample and a heap of at most `top` consumers. A timer at the earliest of them
+    sample above the threshold and its heaviest consumers as they came from their
+    tasks, `CHUNK` instants in one entry of JSON. A timer at the earliest of them
     decides all that the watermark has passed, so late rows inside the watermark
     count and arrival order does not.
     """
@@ -278,38 +335,54 @@ class Alerts(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "at bigint")
-        self.open = handle.getListState("open", "at bigint, id bigint, observed double, heap array<struct<rss_mb: double, pid: bigint, name: string>>")
+        self.open = handle.getListState("open", "instants string")
+
+    def _waiting(self) -> dict:
+        return {o[0]: o[1:] for chunk in self.open.get() for o in json.loads(chunk[0])} if self.open.exists() else {}
+
+    def _keep(self, waiting: dict) -> None:
+        rows = [(at, *w) for at, w in waiting.items()]
+        self.open.put([(json.dumps(rows[k : k + CHUNK]),) for k in range(0, len(rows), CHUNK)])
+
+    def _listed(self, held: list) -> list:
+        return heaviest([h for text in held for h in json.loads(text)], self.top)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        waiting = {o[0]: (o[1], o[2], [tuple(h) for h in o[3]]) for o in self.open.get()} if self.open.exists() else {}
+        waiting = self._waiting()
         before = min(waiting, default=None)
         for r in rows:
-            tie, observed, heap = waiting.get(r["_us"], (None, None, []))
-            if r["observed"] is not None and (tie is None or r["id"] < tie):
+            tie, observed, held = waiting.get(r["_us"], (None, None, []))
+            high = r["observed"] is not None and r["observed"] > self.threshold
+            if high and (tie is None or r["id"] < tie):
                 tie, observed = r["id"], r["observed"]
-            if r["pid"] is not None:
-                heap = heapq.nsmallest(self.top, [*heap, (r["rss_mb"], r["pid"], r["name"])], key=lambda h: (-(h[0] if h[0] is not None else -math.inf), h[1]))
-            waiting[r["_us"]] = (tie, observed, heap)
-        self.open.put([(at, *w) for at, w in waiting.items()])
-        first = min(waiting)
-        if before is None or first < before:
-            self.handle.registerTimer(first // 1000 + 1)
+            if r["held"] is not None:
+                held = [*held, r["held"]]
+                if len(held) > self.top:
+                    held = [json.dumps(self._listed(held))]
+            if high or r["held"] is not None:
+                waiting[r["_us"]] = (tie, observed, held)
+        if waiting:
+            self._keep(waiting)
+            first = min(waiting)
+            if before is None or first < before:
+                self.handle.registerTimer(first // 1000 + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(((o[0], o[1], o[2], [tuple(h) for h in o[3]]) for o in self.open.get()), key=lambda o: o[0]) if self.open.exists() else []
+        waiting = self._waiting()
         last = self.last.get()[0] if self.last.exists() else None
         began = last
-        for at, _, observed, heap in waiting:
-            if at < passed and observed is not None and observed > self.threshold and (last is None or at - last >= self.wait_us):
+        for at in sorted(at for at, w in waiting.items() if at < passed and w[1] is not None):
+            if last is None or at - last >= self.wait_us:
                 last = at
-                listed = [{"pid": h[1], "name": h[2], "rss_mb": h[0]} for h in heap]
+                _, observed, held = waiting[at]
+                listed = [{"pid": h[1], "name": h[2], "rss_mb": h[0]} for h in self._listed(held)]
                 yield Row(SERIES, "_us", "observed", "threshold", "process_payload")(key[0], at, observed, self.threshold, json.dumps(listed, separators=(",", ":")))
-        later = [o for o in waiting if o[0] >= passed]
+        later = {at: w for at, w in waiting.items() if at >= passed}
         if later:
-            self.open.put(later)
-            self.handle.registerTimer(min(o[0] for o in later) // 1000 + 1)
+            self._keep(later)
+            self.handle.registerTimer(min(later) // 1000 + 1)
         elif waiting:
             self.open.clear()
         if last is not None and last + self.wait_us <= passed:
@@ -327,17 +400,25 @@ def alert_stream(samples: DataFrame, column: str = "mem_percent", params: Params
     """Samples above the threshold, at most one per series and cooldown, each with the heaviest consumers at its instant as JSON.
 
     `samples` may be the online vectors with their lag 0 as `column`; of several
-    at one instant the one with the least id counts. `consumers` has series, ts,
-    pid, name and rss_mb. An alert leaves when the watermark has passed it.
+    above it at one instant the one with the least id counts. `consumers` has
+    series, ts, pid, name and rss_mb; each task hands on only the heaviest of an
+    instant, and samples only if they can alert. An alert leaves when the
+    watermark has passed it.
     """
     keep_state(samples.sparkSession)
+    threshold, top = float(params.capacity_alert), params.alert_top_n
     tie = F.col("id").cast("bigint") if "id" in samples.columns else F.lit(0).cast("bigint")
-    seen = samples.where(F.col("ts").isNotNull()).withWatermark("ts", lateness)
-    rows = seen.select(SERIES, "ts", micros(), tie.alias("id"), F.col(column).cast("double").alias("observed"), F.lit(None).cast("bigint").alias("pid"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("rss_mb"))
+    seen = samples.where(F.col("ts").isNotNull()).select(SERIES, "ts", micros(), tie.alias("id"), F.col(column).cast("double").alias("observed"))
+    seen = seen.mapInArrow(lambda batches: above(batches, "observed", threshold), seen.schema).withWatermark("ts", lateness)
+    rows = seen.select(SERIES, "ts", "_us", "id", "observed", F.lit(None).cast("string").alias("held"))
     if consumers is not None:
-        held = consumers.where(F.col("ts").isNotNull() & F.col("pid").isNotNull()).withWatermark("ts", lateness)
-        rows = rows.unionByName(held.select(SERIES, "ts", micros(), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("double").alias("observed"), F.col("pid").cast("bigint").alias("pid"), "name", F.col("rss_mb").cast("double").alias("rss_mb")))
+        loads = consumers.where(F.col("ts").isNotNull() & F.col("pid").isNotNull())
+        loads = loads.select(SERIES, "ts", micros(), F.col("pid").cast("bigint").alias("pid"), F.col("name").cast("string").alias("name"), F.col("rss_mb").cast("double").alias("rss_mb"))
+        kind = f"{SERIES} string, ts timestamp, _us bigint, held string"
+        arrow = pa.schema([(SERIES, pa.string()), ("ts", pa.timestamp("us", "UTC")), ("_us", pa.int64()), ("held", pa.string())])
+        loads = loads.mapInArrow(lambda batches: packed(batches, top, arrow), kind).withWatermark("ts", lateness)
+        rows = rows.unionByName(loads.select(SERIES, "ts", "_us", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("double").alias("observed"), "held"))
     schema = f"{SERIES} string, _us bigint, observed double, threshold double, process_payload string"
-    processor = Alerts(float(params.capacity_alert), params.alert_cooldown * 1_000_000, params.alert_top_n)
+    processor = Alerts(threshold, params.alert_cooldown * 1_000_000, top)
     out = rows.groupBy(SERIES).transformWithState(processor, schema, "append", "EventTime")
     return out.select(SERIES, instant(), "observed", "threshold", "process_payload")
