@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from conftest import same
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import registry
 from tidewatch.operators.batch import run_batch
 from tidewatch.operators.cadence import deltas, find_gaps
+from tidewatch.operators.cost import _summaries
 from tidewatch.operators.ordering import GROUP_ROWS, MOST_SLICES, ROWS_PER_SLICE, SIZES, Layout, Sizes, cut_lineage, is_local, join_spread, shared_folder, slice_count
 from tidewatch.operators.percentiles import direct_percentiles, exact_percentiles, sliced_percentiles
 from tidewatch.params import Params, load
@@ -45,6 +47,13 @@ def test_a_join_with_small_rows_leaves_hot_keys_spread(spark):
     assert "Exchange hashpartitioning(k" in aggregates  # counted by task first, exchanged once more after the join
 
 
+def test_summaries_of_a_block_keep_no_number_for_each_value():
+    """A view of the last column used to keep 2.6 MB alive for each block of a frame."""
+    found = _summaries(np.arange(2_000.0), np.arange(161.0))
+    assert max((a if a.base is None else a.base).nbytes for a in found.values()) <= 161 * 8
+    assert found["run"].tolist() == [1_999 - k for k in range(161)]
+
+
 def test_settled_deltas_are_not_sent_to_every_task(spark):
     """Regular instants make files far smaller than their rows: by that size the driver used to gather them for a broadcast."""
     rows = spark.range(20_000).select(F.lit("s").alias("series_key"), F.timestamp_seconds(F.floor(F.col("id") / 10) * 86_400 * F.when(F.col("id") > 19_000, 3).otherwise(1)).alias("ts"))

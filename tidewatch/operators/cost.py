@@ -51,6 +51,7 @@ def _summaries(values: np.ndarray, levels: np.ndarray) -> dict[str, np.ndarray]:
 
     n, breaches, starts (a breach after a non-breach, the first value included),
     lead and run (breaching values at either end), best (longest run), worst.
+    All are arrays of their own: a view would keep a number for each value and level alive.
     """
     over = values[None, :] > levels[:, None]
     size = values.size
@@ -63,7 +64,7 @@ def _summaries(values: np.ndarray, levels: np.ndarray) -> dict[str, np.ndarray]:
         "breaches": breaches,
         "starts": over[:, 0] + (over[:, 1:] & ~over[:, :-1]).sum(axis=1),
         "lead": np.where(full, size, np.argmin(over, axis=1)),
-        "run": length[:, -1],
+        "run": length[:, -1].copy(),
         "best": length.max(axis=1),
         "worst": np.where(breaches > 0, values.max() - levels, 0.0),
     }
@@ -190,7 +191,7 @@ def sweep(df: DataFrame, value: str, target: str, layout: Layout, params: Params
     the arrays it already holds once per level.
     """
     blocks = value_blocks(df, value, keys, order, layout, rows)
-    folded = fold_blocks(blocks, keys, sweep_levels(params))
+    folded = cut_lineage(fold_blocks(blocks, keys, sweep_levels(params)))  # read for every part of the joining
     stats = join_blocks(folded, [*keys, "allocation_percent"])
     return stats.select(
         *keys,
